@@ -17,7 +17,10 @@ The plan, none of whose steps lists all pairs of a group:
 5. A posting list is first verified against one pivot (and each group against its first member), so that a large
    group of near copies becomes one component after as many checks as it has members. Later rounds look only at
    members outside the component of their list's pivot, against a growing, hashed choice of pivots that ends with
-   all members: after the last round each pair of a list was verified or lies in one component.
+   all members: after the last round each pair of a list was verified, lies in one component, or can't link by a
+   bound. There are two bounds on a pair besides the sizes: hashes that no other node holds can't be shared, and the
+   number of bits in which the parity sketches of two sets differ is never more than the size of their symmetric
+   difference.
 
 Defined cases: a null or blank text has an empty set and links with nothing; a text with one to four words is one
 shingle; equal rows collapse; rows that share a doc_id count as one document; an empty table gives an empty result;
@@ -45,6 +48,7 @@ class JoinSpec:
     percent: int = 80
     first_pivots: int = 8
     growth: int = 4
+    sketch_longs: int = 16
 
     def alpha(self, n: int) -> int:
         """Least overlap with any set that a set of ``n`` shingles links with."""
@@ -77,6 +81,12 @@ def shingles(text: bytes | None, words: int, table: WordHash) -> np.ndarray:
     return np.unique(mix(a).view(np.int64))
 
 
+def sketch(tokens: np.ndarray, longs: int) -> np.ndarray:
+    """Parity of the number of hashes that fall on each of 64 * ``longs`` bits."""
+    bits = np.bincount(tokens & (64 * longs - 1), minlength=64 * longs) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _set_pass(docs: DataFrame, key: str, text: str, spec: JoinSpec, whole: bool) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
 
@@ -86,14 +96,15 @@ def _set_pass(docs: DataFrame, key: str, text: str, spec: JoinSpec, whole: bool)
             sets = [shingles(b.as_py(), spec.words, table) for b in batch.column(1)]
             sizes = pa.array([len(s) for s in sets], pa.int64())
             if whole:
-                yield pa.RecordBatch.from_arrays([batch.column(0), sizes, list_array(sets, pa.int64())], names=["id", "n", "tokens"])
+                sketches = list_array([sketch(s, spec.sketch_longs) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), sizes, list_array(sets, pa.int64()), sketches], names=["id", "n", "tokens", "sketch"])
                 continue
             one = [int(s.sum()) for s in sets]
             two = [int(mix(s.view(np.uint64) ^ _MUL).view(np.int64).sum()) for s in sets]
             heads = list_array([s[: spec.head(len(s))] for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(one, pa.int64()), pa.array(two, pa.int64()), heads], names=["id", "n", "s1", "s2", "head"])
 
-    rest = "tokens array<long>" if whole else "s1 long, s2 long, head array<long>"
+    rest = "tokens array<long>, sketch array<long>" if whole else "s1 long, s2 long, head array<long>"
     return docs.select(F.col(key).alias("id"), utf8(F.col(text))).mapInArrow(run, f"id {kind}, n long, {rest}")
 
 
@@ -114,22 +125,34 @@ def _fits(x: str, y: str, spec: JoinSpec):
     return 100 * F.least(x, y) >= spec.percent * F.greatest(x, y)
 
 
+def _may_link(spec: JoinSpec):
+    """Bounds for pairs of (n, shared, k0...) with (pn, pshared, pk0...); links are never excluded."""
+    both = F.least("shared", "pshared")
+    differ = F.bit_count(F.col("k0").bitwiseXOR(F.col("pk0")))
+    for i in range(1, spec.sketch_longs):
+        differ = differ + F.bit_count(F.col(f"k{i}").bitwiseXOR(F.col(f"pk{i}")))
+    total = F.col("n") + F.col("pn")
+    # |A & B| = (total - |A ^ B|) / 2 and |A | B| = (total + |A ^ B|) / 2
+    return _fits("n", "pn", spec) & (100 * both >= spec.percent * (total - both)) & (100 * (total - differ) >= spec.percent * (total + differ))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", spec: JoinSpec | None = None) -> DataFrame:
     """One row per row of ``docs``: key, n_shingles, component_id."""
     spec = spec or JoinSpec()
     ws = Workspace(docs.sparkSession, "prefix-join")
     base = ws.save(_set_pass(docs, key, text, spec, whole=False), "base")
-    reps = base.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
-    alone = _survivors(base, reps, spec)
-    live = ws.save(alone, "live")
+    ids = ws.save(base.select("id", "n", "s1", "s2"), "ids")
+    reps = ids.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
+    live = ws.save(_survivors(base, reps, spec), "live")
+    ws.drop("base")
     ws.release()
-    texts = docs.join(live.select(F.col("id").alias(key)), key, "left_semi")
-    sets = ws.save(_set_pass(texts, key, text, spec, whole=True).dropDuplicates(["id", "n"]), "sets")
+    texts = docs.select(key, text).join(live.select(F.col("id").alias(key)), key, "left_semi").dropDuplicates([key, text])
+    sets = ws.save(_set_pass(texts, key, text, spec, whole=True), "sets")
     ws.release()
     prefixes = ws.save(_prefixes(sets, spec), "prefixes")
     ws.release()
     labels = _components(ws, prefixes, sets, spec)
-    out = base.join(reps, ["n", "s1", "s2"], "left")
+    out = ids.join(reps, ["n", "s1", "s2"], "left")
     out = out.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
 
@@ -151,12 +174,14 @@ def _prefixes(sets: DataFrame, spec: JoinSpec) -> DataFrame:
     per = post.join(counts, "token").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked"))
     prefix = F.col("n") - _alpha(F.col("n"), spec) + 1
     take = (prefix - (F.col("n") - F.size("ranked"))).cast("int")
-    return per.withColumn("take", take).where("take > 0").select("id", "n", F.transform(F.slice("ranked", F.lit(1), F.col("take")), lambda x: x["token"]).alias("prefix"))
+    return per.withColumn("take", take).where("take > 0").select("id", "n", F.size("ranked").cast("long").alias("shared"), F.transform(F.slice("ranked", F.lit(1), F.col("take")), lambda x: x["token"]).alias("prefix"))
 
 
 def _components(ws: Workspace, prefixes: DataFrame, sets: DataFrame, spec: JoinSpec) -> DataFrame:
     groups = prefixes.groupBy("n", "prefix").agg(F.min("id").alias("gid"))
-    members = ws.save(prefixes.join(groups, ["n", "prefix"]).select("id", "n", "gid"), "members")
+    members = prefixes.join(groups, ["n", "prefix"]).select("id", "n", "shared", "gid")
+    members = ws.save(members.join(sets.select("id", *(F.col("sketch")[i].alias(f"k{i}") for i in range(spec.sketch_longs))), "id"), "members")
+    ks = [f"k{i}" for i in range(spec.sketch_longs)]
     lists = ws.save(groups.select("gid", "n", F.explode("prefix").alias("token")), "lists")
     inside = members.where("id != gid").select(F.col("gid").alias("a"), F.col("id").alias("b"))
     pivots = lists.groupBy("token").agg(F.min_by("n", "gid").alias("pn"), F.min("gid").alias("pivot"))
@@ -168,16 +193,17 @@ def _components(ws: Workspace, prefixes: DataFrame, sets: DataFrame, spec: JoinS
     largest = lists.join(members.groupBy("gid").count(), "gid").groupBy("token").agg(F.sum("count").alias("m")).agg(F.max("m")).first()[0] or 0
     low, high, step = 0, spec.first_pivots, 1
     while low < largest:
-        posts = lists.join(members.select("gid", "id"), "gid").join(labels.withColumnRenamed("node", "id"), "id")
+        posts = lists.select("gid", "token").join(members.select("gid", "id"), "gid").join(labels.withColumnRenamed("node", "id"), "id")
         open_ = posts.groupBy("token").agg(F.count("*").alias("m"), F.min_by("component", "id").alias("main"), F.max("component").alias("hi"), F.min("component").alias("lo"))
-        posts = ws.save(posts.join(open_.where("hi != lo").where(F.col("m") > low).select("token", "m", "main"), "token"), f"posts{step}")
+        posts = posts.join(open_.where("hi != lo").where(F.col("m") > low).select("token", "m", "main"), "token")
+        posts = ws.save(posts.join(members.drop("gid"), "id"), f"posts{step}")
         if posts.isEmpty():
             break
         spot = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("m")
         chosen = posts.where((spot >= low) & (spot < high))
-        p = chosen.select("token", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"))
+        p = chosen.select("token", F.col("id").alias("p"), F.col("component").alias("pc"), *(F.col(c).alias(f"p{c}") for c in ("n", "shared", *ks)))
         q = posts.where("component != main")
-        near = q.join(p, "token").where((F.col("pc") != F.col("component")) & _fits("n", "pn", spec))
+        near = q.join(p, "token").where((F.col("pc") != F.col("component")) & _may_link(spec))
         pairs = near.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
         links = ws.save(_verified(pairs, sets, spec), f"links{step}")
         labels = label_components(ws, labels, links, f"labels{step}")
