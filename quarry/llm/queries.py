@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import compression_bands, prefix_join
+from quarry.llm import compression_bands, html_nodes, html_training, learned_partitions, minimax_shards, mixing, packing, prefix_join, secrets, surrogates, toxicity
 from quarry.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,16 +16,58 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.train(spark))
+
+
+def op3_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learned_partitions.search(table(spark, sf_dir, "embeddings"))
+
+
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return surrogates.replace_entities(docs.select("doc_id", "text"), count="n_mentions")
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(mixing.with_domain(table(spark, sf_dir, "documents")))
+
+
 def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_nodes.extract(table(spark, sf_dir, "pages"), html_training.train_node_model())
+
+
+def op9_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minimax_shards.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join,
+        op2_secret_scan,
+        op3_learned_partitions,
+        op4_pii_surrogates,
+        op5_best_fit_packing,
+        op6_mixing,
         op7_compression_bands,
+        op8_html_extraction,
+        op9_minimax_shards,
+        op10_toxicity,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.oracle()}

@@ -1,0 +1,261 @@
+"""Keyed surrogates for personal data.
+
+Mentions of e-mail addresses, phone numbers, account and card numbers, social security numbers, IBANs, IP addresses
+and names are found by one pattern and replaced by surrogates of the same kind. A surrogate depends on a secret key and
+on the normalized entity only, so all mentions of an entity in all documents get the same one (coreference), in the
+format of each mention: separators, country code, letter case, number of digits and a valid or invalid check digit stay.
+Given names are exchanged inside lists of one gender and script; other name words become made-up words of their script.
+
+Distinctness is checked, not assumed: all distinct entities of the corpus get their surrogates, and of those that
+collide with each other, or with an original of the same kind, all but one are drawn again with the next attempt until
+no collision is left. Only entities whose attempt isn't 0 need a lookup when texts are rewritten; if there are none,
+texts are rewritten in one pass without a join.
+
+Main path: DataFrame functions only. Defined cases: null texts stay null; texts without mentions stay as they are;
+repeated rows get equal texts; rows that share a doc_id are rewritten alike; an empty table gives an empty result; all
+columns of the input stay.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quarry.runtime import Workspace
+
+#: Given names by script and gender, exchanged inside one list.
+GIVEN = {
+    "latin:f": "Alice Anna Barbara Carmen Catherine Charlotte Claire Elena Elizabeth Emily Emma Hannah Ingrid Isabella Jennifer Jessica Julia Karen Laura Linda Lucia Maria Margaret Martha Mary Nancy Olivia Patricia Rachel Rebecca Sarah Sofia Sophie Susan Ursula".split(),
+    "latin:m": "Alexander Andrew Antonio Charles Christopher Daniel David Edward Francisco Frank George Hans Henry Jacques James Javier John Joseph Juan Jürgen Kevin Klaus Luis Mark Matthew Michael Miguel Patrick Paul Peter Philip Pierre Richard Robert Stephen Thomas Walter William Wolfgang".split(),
+    "cyrillic:f": "Анна Екатерина Елена Ирина Людмила Мария Наталья Ольга Светлана Татьяна".split(),
+    "cyrillic:m": "Александр Алексей Андрей Владимир Дмитрий Иван Михаил Николай Павел Сергей".split(),
+    "greek:f": "Αικατερίνη Ελένη Ιωάννα Μαρία Σοφία".split(),
+    "greek:m": "Γεώργιος Δημήτριος Ιωάννης Κωνσταντίνος Νικόλαος".split(),
+}
+_SYLLABLES = {
+    "latin": "bar ben dal dor fen gar hol kar lam mar nor pel ros sand tor win".split(),
+    "cyrillic": "бар вол гор дол зор кол лен мир нов пет род сав тор фед хол яр".split(),
+    "greek": "αλ βαρ γαλ δημ θεο καλ λαμ μαρ νικ παπ ραλ σταμ τζα φωτ χαρ ψαρ".split(),
+}
+_TITLES = r"(?:Mrs|Mr|Ms|Dr|Sra|Sr|Mme|Prof)\.|Miss|Herr|Frau|Monsieur|Madame|Señora|Señor|Г-жа|Г-н|Κύριος|Κυρία"
+_WORD = r"\p{Lu}[\p{L}'’\-]+"
+_ALL_GIVEN = "|".join(sorted({n for ns in GIVEN.values() for n in ns}, key=lambda n: (-len(n), n)))
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+
+_EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
+_PHONE = r"(?<![\d+])\+\d{1,3}(?:[ .\-]?\(\d{1,4}\))?(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[\-. ]\d{4}(?!\d)|(?<![\d.\-])\d{3}[\-.]\d{3}[\-.]\d{4}(?![\d\-])"
+_IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
+_SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
+_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+_CARD = r"(?<![\d.])\d{4}(?:[ \-]?\d{4}){2,3}(?:[ \-]?\d{1,3})?(?!\d)"
+_NAME = rf"(?<![\p{{L}}])(?:{_TITLES}) {_WORD}(?: {_WORD})?|(?<![\p{{L}}])(?:{_ALL_GIVEN}) {_WORD}"
+MENTION = "|".join((_EMAIL, _PHONE, _IP, _SSN, _IBAN, _CARD, _NAME))
+
+
+@dataclass(frozen=True)
+class SurrogateSpec:
+    key: str = "quarry-surrogates"
+    attempts: int = 64
+
+
+def _digest(spec: SurrogateSpec, kind: Column, norm: Column, attempt: Column, part: str) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(spec.key), F.lit(part), kind, norm, attempt.cast("string")), 256)
+
+
+def _digits_only(x: Column) -> Column:
+    return F.regexp_replace(x, r"[^0-9]", "")
+
+
+def kind_of(m: Column) -> Column:
+    """Kind of a whole mention; the alternatives are those of MENTION."""
+    return (
+        F.when(m.contains("@"), "email")
+        .when(m.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), "ip")
+        .when(m.rlike(r"^(?:\+|\()|^\d{3}[\-.]\d{3}[\-.]\d{4}$"), "phone")
+        .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
+        .when(m.rlike(r"^[A-Z]{2}\d{2}[ A-Z0-9]+$"), "iban")
+        .when(m.rlike(r"^\d"), "card")
+        .otherwise("name")
+    )
+
+
+def _norm(kind: Column, m: Column) -> Column:
+    """What two mentions of one entity have in common."""
+    return (
+        F.when(kind == "email", F.lower(m))
+        .when(kind == "ip", m)
+        .when(kind == "phone", F.concat(F.regexp_extract(m, r"^\+(\d+)", 1), F.lit("-"), _digits_only(F.regexp_replace(m, r"^\+\d+", ""))))
+        .when(kind == "iban", F.regexp_replace(m, " ", ""))
+        .otherwise(_digits_only(m))
+    )
+
+
+def name_kind(word: Column) -> Column:
+    """name:script:gender for known given names, name:script for other words."""
+    k = F.lit("name:latin")
+    k = F.when(word.rlike(r"\p{IsCyrillic}"), "name:cyrillic").when(word.rlike(r"\p{IsGreek}"), "name:greek").otherwise(k)
+    for group, names in GIVEN.items():
+        k = F.when(F.lower(word).isin([n.lower() for n in names]), f"name:{group}").otherwise(k)
+    return k
+
+
+def _name_words(m: Column) -> Column:
+    """The words of a name mention that stand for the person."""
+    return F.filter(F.split(m, " "), lambda w: ~w.rlike(rf"^(?:{_TITLES})$"))
+
+
+def entities_of(mentions: Column) -> Column:
+    """Array of struct(kind, norm) of an array of mentions; each name word is an entity."""
+    plain = F.transform(F.filter(mentions, lambda m: kind_of(m) != "name"), lambda m: F.struct(kind_of(m).alias("kind"), _norm(kind_of(m), m).alias("norm")))
+    words = F.flatten(F.transform(F.filter(mentions, lambda m: kind_of(m) == "name"), _name_words))
+    return F.array_union(plain, F.transform(words, lambda w: F.struct(name_kind(w).alias("kind"), F.lower(w).alias("norm"))))
+
+
+def _luhn_sum(digits: Column) -> Column:
+    """Luhn sum of a digit string, mod 10."""
+    each = F.transform(F.split(F.reverse(digits), ""), lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(c.cast("int") * 2 - F.when(c.cast("int") > 4, 9).otherwise(0)))
+    return F.aggregate(each, F.lit(0), lambda a, x: a + x) % 10
+
+
+def _stream(hexa: Column) -> Column:
+    return F.translate(hexa, "abcdef", "012345")
+
+
+def _checked(norm: Column, drawn: Column) -> Column:
+    """``drawn`` with its last digit set so that its Luhn check is valid exactly if that of ``norm`` is."""
+    body = F.left(drawn, F.length(drawn) - 1)
+    right = (10 - _luhn_sum(F.concat(body, F.lit("0")))) % 10
+    last = F.when(_luhn_sum(norm) == 0, right).when(F.right(drawn, F.lit(1)).cast("int") == right, (right + 1) % 10).otherwise(F.right(drawn, F.lit(1)).cast("int"))
+    return F.concat(body, last.cast("string"))
+
+
+def surrogate_norm(spec: SurrogateSpec, kind: Column, norm: Column, attempt: Column) -> Column:
+    """Normalized surrogate of an entity."""
+    h = _digest(spec, kind, norm, attempt, "1")
+    digits = F.concat(_stream(h), _stream(_digest(spec, kind, norm, attempt, "2")))
+    octet = lambda i, low, n: (F.conv(F.substring(h, 1 + 6 * i, 6), 16, 10).cast("long") % n + low).cast("string")
+    domain = F.substring_index(norm, "@", -1)
+    local = F.substring_index(norm, "@", 1)
+    letters = F.translate(_digest(spec, kind, norm, attempt, "3"), "0123456789", "ghijklmnop")
+    cyrillic = F.translate(letters, "abcdefghijklmnop", "абвгдежзиклмнопр")
+    shaped = F.array_join(
+        F.transform(
+            F.split(local, ""),
+            lambda c, i: F.when(c.rlike(r"\p{IsCyrillic}"), F.substring(cyrillic, 1 + i % 64, F.lit(1)))
+            .when(c.rlike(r"\p{L}"), F.substring(letters, 1 + i % 64, F.lit(1)))
+            .when(c.rlike("[0-9]"), F.substring(digits, 1 + i % 64, F.lit(1)))
+            .otherwise(c),
+        ),
+        "",
+    )
+    site = F.concat(F.lit("mail"), F.left(_stream(_digest(spec, F.lit("domain"), domain, F.lit(0), "4")), F.lit(6)), F.lit(".example."), F.substring_index(domain, ".", -1))
+    email = F.concat(shaped, F.substring(digits, 70, 6), F.lit("@"), site)
+    country = F.substring_index(norm, "-", 1)
+    phone = F.concat(country, F.lit("-"), F.left(digits, F.length(F.substring_index(norm, "-", -1))))
+    iban = F.concat(F.left(norm, F.lit(2)), F.left(digits, F.lit(2)), F.array_join(F.transform(F.split(F.substring(norm, 5, 64), ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(digits, 3 + i, F.lit(1))).otherwise(F.upper(F.substring(letters, 1 + i, F.lit(1))))), ""))
+    found = (
+        F.when(kind == "email", email)
+        .when(kind == "ip", F.concat_ws(".", octet(0, 1, 223), octet(1, 0, 256), octet(2, 0, 256), octet(3, 1, 254)))
+        .when(kind == "phone", phone)
+        .when(kind == "iban", iban)
+        .when(kind == "ssn", F.left(digits, F.lit(9)))
+        .when(kind == "card", _checked(norm, F.left(digits, F.length(norm))))
+    )
+    for group, names in GIVEN.items():
+        n = len(names)
+        low = F.array(*(F.lit(x.lower()) for x in names))
+        step = F.conv(F.substring(_digest(spec, F.lit(group), F.lit(""), F.lit(0), "5"), 1, 6), 16, 10).cast("long") % (n - 1) + 1
+        at = (F.array_position(low, norm) - 1 + step) % n
+        found = found.when(kind == f"name:{group}", F.get(low, at.cast("int")))
+    for script, parts in _SYLLABLES.items():
+        pool = F.array(*(F.lit(x) for x in parts))
+        syllable = lambda i, pool=pool: F.get(pool, F.conv(F.substring(h, 1 + i, 1), 16, 10).cast("int"))
+        found = found.when(kind == f"name:{script}", F.concat(*(syllable(i) for i in range(5))))
+    return found
+
+
+def _fill_digits(shape: Column, digits: Column) -> Column:
+    """``shape`` with its digits replaced by ``digits`` in order."""
+    place = lambda i: F.length(_digits_only(F.substring(shape, F.lit(1), i + 1)))
+    return F.array_join(F.transform(F.split(shape, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(digits, place(i), F.lit(1))).otherwise(c)), "")
+
+
+def _fill_alnum(shape: Column, text: Column) -> Column:
+    place = lambda i: F.length(F.regexp_replace(F.substring(shape, F.lit(1), i + 1), " ", ""))
+    return F.array_join(F.transform(F.split(shape, ""), lambda c, i: F.when(c != " ", F.substring(text, place(i), F.lit(1))).otherwise(c)), "")
+
+
+def _cased(like: Column, word: Column) -> Column:
+    return F.when((F.upper(like) == like) & (F.length(like) > 1), F.upper(word)).when(F.lower(like) == like, word).otherwise(F.initcap(word))
+
+
+def surrogate(spec: SurrogateSpec, mention: Column, attempt_of) -> Column:
+    """The replacement of one mention; ``attempt_of(kind, norm)`` gives the attempt of an entity."""
+    kind = kind_of(mention)
+    norm = _norm(kind, mention)
+    s = surrogate_norm(spec, kind, norm, attempt_of(kind, norm))
+    lead = F.regexp_extract(mention, r"^\+\d+", 0)
+    rest = F.substring(mention, F.length(lead) + 1, F.length(mention))
+
+    def word(w: Column) -> Column:
+        k, n = name_kind(w), F.lower(w)
+        return F.when(w.rlike(rf"^(?:{_TITLES})$"), w).otherwise(_cased(w, surrogate_norm(spec, k, n, attempt_of(k, n))))
+
+    return (
+        F.when(kind == "name", F.array_join(F.transform(F.split(mention, " "), word), " "))
+        .when(kind == "phone", F.concat(lead, _fill_digits(rest, F.substring_index(s, "-", -1))))
+        .when(kind.isin("card", "ssn"), _fill_digits(mention, s))
+        .when(kind == "iban", _fill_alnum(mention, s))
+        .when((kind == "email") & (F.upper(mention) == mention), F.upper(s))
+        .otherwise(s)
+    )
+
+
+def assign_attempts(entities: DataFrame, spec: SurrogateSpec, ws: Workspace) -> DataFrame | None:
+    """(kind, norm, attempt) of the entities whose first surrogate collides; None if there are none.
+
+    ``entities``: distinct (kind, norm). A surrogate is taken by the least attempt, then the least norm.
+    """
+    given = [f"name:{g}" for g in GIVEN]
+    open_ = entities.where(~F.col("kind").isin(given))  # exchanges inside a list can't collide
+    drawn = open_.withColumn("attempt", F.lit(0))
+    moved = None
+    for step in range(spec.attempts):
+        all_ = drawn.withColumn("s", surrogate_norm(spec, F.col("kind"), F.col("norm"), F.col("attempt")))
+        nth = F.row_number().over(Window.partitionBy("kind", "s").orderBy("attempt", "norm"))
+        original = entities.select("kind", F.col("norm").alias("s"), F.lit(True).alias("taken"))
+        ranked = all_.withColumn("nth", nth).join(original, ["kind", "s"], "left")
+        bad = ws.save(ranked.where("nth > 1 or taken").select("kind", "norm"), f"bad{step}")
+        if bad.isEmpty():
+            break
+        again = bad.withColumn("again", F.lit(1))
+        drawn = ws.save(drawn.join(again, ["kind", "norm"], "left").select("kind", "norm", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")), f"drawn{step}")
+        moved = drawn.where("attempt > 0")
+    else:
+        raise ValueError(f"surrogates still collide after {spec.attempts} attempts")
+    return moved
+
+
+def replace_entities(docs: DataFrame, spec: SurrogateSpec | None = None, key: str = "doc_id", text: str = "text", count: str | None = None) -> DataFrame:
+    """``docs`` with surrogates in ``text``; ``count`` names a column for the number of mentions replaced."""
+    spec = spec or SurrogateSpec()
+    ws = Workspace(docs.sparkSession, "surrogates")
+    mentions = F.regexp_extract_all(text, F.lit(MENTION), F.lit(0))
+    found = ws.save(docs.where(F.col(text).rlike(MENTION)).select(F.col(key).alias("id"), F.explode(entities_of(mentions)).alias("e")).select("id", "e.kind", "e.norm"), "found")
+    moved = assign_attempts(ws.save(found.select("kind", "norm").distinct(), "entities"), spec, ws)
+    rows = docs
+    attempt_of = lambda kind, norm: F.lit(0)
+    if moved is not None:
+        pairs = found.distinct().join(moved, ["kind", "norm"])
+        maps = pairs.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "norm"), "attempt"))).alias("_attempts"))
+        rows = docs.join(maps.withColumnRenamed("id", "_id"), docs[key].eqNullSafe(F.col("_id")), "left").drop("_id")
+        attempt_of = lambda kind, norm: F.coalesce(F.try_element_at("_attempts", F.concat_ws("|", kind, norm)), F.lit(0))
+    gaps = F.split(text, MENTION, -1)
+    parts = F.zip_with(gaps, mentions, lambda g, m: F.concat(g, F.when(m.isNull(), "").otherwise(surrogate(spec, m, attempt_of))))
+    hit = F.col(text).rlike(MENTION)
+    extra = {count: F.when(hit, F.size(mentions)).otherwise(0).cast("long")} if count else {}
+    out = rows.withColumns(extra | {text: F.when(hit, F.array_join(parts, "")).otherwise(F.col(text))})
+    return out.select(*docs.columns, *extra)
