@@ -12,12 +12,29 @@ import gc
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that nothing needs installing there."""
+    app = spark.sparkContext.applicationId
+    if _own.get("shipped") == app:
+        return
+    folder = tempfile.mkdtemp(prefix="quarry-ship-")  # on the driver only; Spark serves it to executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    package = Path(__file__).resolve().parent
+    with zipfile.ZipFile(f"{folder}/quarry-{app}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f"{package.name}/{f.relative_to(package)}")
+    spark.sparkContext.addPyFile(f"{folder}/quarry-{app}.zip")
+    _own["shipped"] = app
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder, or one temporary folder for this process if none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -33,6 +50,7 @@ class Workspace:
     """Named Parquet tables under one folder of the shared storage."""
 
     def __init__(self, spark: SparkSession, label: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/quarry-{label}-{uuid.uuid4().hex[:12]}"
 
