@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.text import code_points, utf8, word_code_points
+from quarry.runtime import ship
 
 _SYMBOLS = b"#*$%&|<>"
 
@@ -117,6 +118,7 @@ _SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 
 def judge(docs: DataFrame, limits: BandLimits | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Measures and the verdict ``kept`` for each row of ``docs``; one pass, no shuffle."""
+    ship(docs.sparkSession)
     limits = limits or BandLimits()
     kind = docs.schema[key].dataType.simpleString()
 
@@ -136,6 +138,7 @@ _TYPES = [{"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[x.
 
 def keep_good(docs: DataFrame, limits: BandLimits | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``docs`` whose text is kept, with all their columns; the text travels through the same single pass."""
+    ship(docs.sparkSession)
     limits = limits or BandLimits()
     names = docs.columns
     at = names.index(text)

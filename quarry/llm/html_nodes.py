@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from quarry.runtime import ship
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math".split())
@@ -376,6 +377,7 @@ def extract_pages(pages: list[str], model: Boosted) -> list[str]:
 
 def extract(pages: DataFrame, model: Boosted, block: int = 64) -> DataFrame:
     """page_id, url, text, n_chars for each row; one pass, no shuffle."""
+    ship(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model)
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
 

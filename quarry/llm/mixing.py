@@ -111,7 +111,7 @@ def mix_plan(docs: DataFrame, spec: MixSpec, ws: Workspace, text: str = "text")
     leaves = leaf_budgets(sizes, spec)
     epochs = F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(F.lit(1))
     rest = F.when(F.col("tokens") > 0, F.col("budget") - F.col("epochs") * F.col("tokens")).otherwise(F.lit(0))
-    digits = F.greatest(F.lit(0), F.ceil(F.log(F.lit(16.0), F.col("docs") / spec.bucket_docs))).cast("int")
+    digits = F.greatest(F.lit(0), F.ceil(F.log(16.0, F.col("docs") / spec.bucket_docs))).cast("int")
     leaves = ws.save(leaves.withColumn("epochs", epochs.cast("int")).withColumn("rest", rest).withColumn("digits", digits), "leaves")
     open_ = leaves.where("rest > 0 and tokens > 0").select(*levels, "epochs", "rest", "digits")
     keyed = rows.join(open_, levels).withColumn("key", _key(spec, F.col("epochs")))

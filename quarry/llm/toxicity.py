@@ -1,6 +1,7 @@
 """Toxicity scores from a convolutional text classifier trained in numpy.
 
-Words (ASCII lower case, punctuation as space) are hashed into an embedding table; filters of several widths run over
+Words (ASCII lower case, punctuation as space) are hashed into an embedding table; a word's vector is the sum of the
+rows of the whole word and of its first four and five bytes, so that inflected forms share what they have in common. Filters of several widths run over
 the text, each filter's maximum over all positions is kept, and a logistic layer turns the maxima into a logit. Since
 a filter response is a sum over its offsets, scoring uses one table of responses per offset (embedding times filter)
 and only gathers and adds.
@@ -27,7 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.text import utf8
+from quarry.llm.text import list_array, utf8
+from quarry.runtime import ship
 
 #: Function words that tell the language of a text.
 FUNCTION_WORDS = {
@@ -43,36 +45,46 @@ _SPACES = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctua
 
 @dataclass(frozen=True)
 class ToxicSpec:
-    buckets: int = 1 << 15
+    buckets: int = 1 << 16
     dim: int = 8
     widths: tuple[int, ...] = (1, 2, 3)
     filters: int = 8
     per_class: int = 3000
-    epochs: int = 14
-    patience: int = 4
-    batch: int = 128
+    updates: int = 2400
+    checks: int = 24
+    patience: int = 6
+    batch: int = 32
     rate: float = 0.01
     word_drop: float = 0.1
     seed: int = 5
 
 
 class WordBuckets(dict):
-    """word -> bucket from 1 on (0 is padding); bounded like any cache."""
+    """word -> slot; ``rows[slot]`` has the buckets (from 1 on, 0 is padding) of the word and of its two prefixes."""
 
     def __init__(self, buckets: int, limit: int = 400_000):
         super().__init__()
-        self.buckets, self.limit = buckets, limit
+        self.buckets, self.limit, self.rows = buckets, limit, np.zeros((1024, PARTS), np.int32)
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        b = self[word] = xxhash.xxh3_64_intdigest(word) % (self.buckets - 1) + 1
-        return b
+        slot = self[word] = len(self)
+        if slot >= len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        hashed = (xxhash.xxh3_64_intdigest(word), xxhash.xxh3_64_intdigest(word[:4], 4), xxhash.xxh3_64_intdigest(word[:5], 5))
+        self.rows[slot] = [h % (self.buckets - 1) + 1 for h in hashed]
+        return slot
+
+
+PARTS = 3
 
 
 def word_ids(text: bytes | None, table: WordBuckets) -> np.ndarray:
+    """Buckets of each word, one row per word."""
+    if len(table) >= table.limit:
+        table.clear()
     words = (text or b"").lower().translate(_SPACES).split()
-    return np.fromiter(map(table.__getitem__, words), np.int32, len(words))
+    slots = np.fromiter(map(table.__getitem__, words), np.int64, len(words))  # may extend the rows
+    return table.rows[slots]
 
 
 def language_table(buckets: int) -> np.ndarray:
@@ -81,7 +93,7 @@ def language_table(buckets: int) -> np.ndarray:
     found = np.zeros(buckets, np.int8)
     for i, words in enumerate(FUNCTION_WORDS.values()):
         for w in words.split():
-            found[table[w.encode()]] = i + 1
+            found[word_ids(w.encode(), table)[0, 0]] = i + 1
     return found
 
 
@@ -116,7 +128,7 @@ def _layout(texts: list[np.ndarray], spec: ToxicSpec) -> tuple[np.ndarray, np.nd
     pad = max(spec.widths)
     sizes = np.array([max(1, len(t)) for t in texts], np.int64)
     starts = np.concatenate(([0], np.cumsum(sizes + pad)[:-1]))
-    ids = np.zeros(int((sizes + pad).sum()), np.int32)
+    ids = np.zeros((int((sizes + pad).sum()), PARTS), np.int32)
     for s, t in zip(starts, texts, strict=True):
         ids[s : s + len(t)] = t
     return ids, starts, starts + sizes
@@ -124,10 +136,13 @@ def _layout(texts: list[np.ndarray], spec: ToxicSpec) -> tuple[np.ndarray, np.nd
 
 def responses(ids: np.ndarray, tables: list[np.ndarray], spec: ToxicSpec) -> np.ndarray:
     """Filter responses at each position; tables[j] has the columns of all filters wider than j."""
-    found = tables[0][ids]
+    found = tables[0][ids[:, 0]]
+    for part in range(1, PARTS):
+        found += tables[0][ids[:, part]]
     for j in range(1, len(tables)):
-        columns = tables[j].shape[1]
-        found[: len(ids) - j, found.shape[1] - columns :] += tables[j][ids[j:]]
+        first = found.shape[1] - tables[j].shape[1]
+        for part in range(PARTS):
+            found[: len(ids) - j, first:] += tables[j][ids[j:, part]]
     return found
 
 
@@ -141,7 +156,7 @@ def languages(texts: list[np.ndarray], table: np.ndarray) -> np.ndarray:
     """Index into LANGUAGES of each text; the last one if no function word occurs."""
     found = np.full(len(texts), len(FUNCTION_WORDS), np.int64)
     for i, t in enumerate(texts):
-        counts = np.bincount(table[t], minlength=len(FUNCTION_WORDS) + 1)[1:]
+        counts = np.bincount(table[t[:, 0]], minlength=len(FUNCTION_WORDS) + 1)[1:]
         if counts.any():
             found[i] = counts.argmax()
     return found
@@ -178,11 +193,13 @@ def train(texts: list[np.ndarray], labels: np.ndarray, spec: ToxicSpec) -> Model
     adam = [_Adam(p.shape, spec.rate) for p in params]
     best, kept, bad = np.inf, None, 0
     held = [texts[i] for i in hold]
-    for _ in range(spec.epochs):
-        rng.shuffle(fit)
-        for at in range(0, len(fit), spec.batch):
-            rows = fit[at : at + spec.batch]
-            batch = [np.where(rng.random(len(texts[i])) < spec.word_drop, 0, texts[i]).astype(np.int32) for i in rows]
+    queue = np.empty(0, np.int64)
+    for _ in range(spec.checks):
+        for _ in range(spec.updates // spec.checks):
+            if len(queue) < spec.batch:
+                queue = np.concatenate([queue, rng.permutation(fit)])
+            rows, queue = queue[: spec.batch], queue[spec.batch :]
+            batch = [np.where(rng.random((len(texts[i]), 1)) < spec.word_drop, 0, texts[i]).astype(np.int32) for i in rows]
             _update(batch, labels[rows].astype(np.float32), params, adam, spec)
         model = _model(params, spec)
         z = model.logits(held)
@@ -206,7 +223,8 @@ def _model(params: list[np.ndarray], spec: ToxicSpec) -> Model:
 def _update(batch: list[np.ndarray], y: np.ndarray, params: list[np.ndarray], adam: list[_Adam], spec: ToxicSpec) -> None:
     embed, *kernels, bias, out, out_bias = params
     ids, starts, ends = _layout(batch, spec)
-    found = responses(ids, _offset_tables(embed, kernels, spec), spec)
+    used, local = np.unique(ids, return_inverse=True)
+    found = responses(local.reshape(ids.shape), _offset_tables(embed[used], kernels, spec), spec)
     where = np.stack([s + found[s:e].argmax(0) for s, e in zip(starts, ends, strict=True)])
     raw = np.take_along_axis(found, where, 0) + bias
     pooled = np.maximum(raw, 0)
@@ -217,14 +235,14 @@ def _update(batch: list[np.ndarray], y: np.ndarray, params: list[np.ndarray], ad
     touched, amounts = [], []
     column = 0
     for i, (w, k) in enumerate(zip(spec.widths, kernels, strict=True)):
-        part, at = back[:, column : column + spec.filters], where[:, column : column + spec.filters]
+        amount, at = back[:, column : column + spec.filters], where[:, column : column + spec.filters]
         column += spec.filters
         dk = np.zeros_like(k)
         for j in range(w):
-            near = ids[at + j]
-            dk[j] = np.einsum("bf,bfd->df", part, embed[near])
-            touched.append(near.ravel())
-            amounts.append((part[:, :, None] * k[j].T[None]).reshape(-1, spec.dim))
+            near = ids[at + j]  # text, filter, part
+            dk[j] = np.einsum("bf,bfd->df", amount, embed[near].sum(2))
+            touched.append(near.reshape(-1, PARTS).T.ravel())
+            amounts.append(np.tile((amount[:, :, None] * k[j].T[None]).reshape(-1, spec.dim), (PARTS, 1)))
         grads[1 + i] = dk
     rows, inverse = np.unique(np.concatenate(touched), return_inverse=True)
     total = np.zeros((len(rows), spec.dim), np.float32)
@@ -263,6 +281,7 @@ def held_out(key: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, spec: ToxicSpec | None = None) -> Model | None:
     """Trains on a bounded sample of labelled rows; None without labels of both kinds."""
     spec = spec or ToxicSpec()
+    ship(docs.sparkSession)
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y"))
     picked = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(spec.per_class) for y in (0, 1)]
     sample = F.broadcast(picked[0].union(picked[1]))  # at most 2 * per_class rows
@@ -270,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, spec: ToxicSpec | None = None) -> Mo
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordBuckets(spec.buckets)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([word_ids(t, table) for t in b.column(2).to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "y", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), list_array([word_ids(t, table).ravel() for t in b.column(2).to_pylist()], pa.int32())], names=["doc_id", "y", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.join(sample, "doc_id").select("doc_id", "y", utf8(F.col("text"))).mapInArrow(ids, f"doc_id {kind}, y int, ids array<int>").toArrow()
@@ -278,13 +297,14 @@ def fit(docs: DataFrame, labels: DataFrame, spec: ToxicSpec | None = None) -> Mo
     y = rows["y"].to_numpy()
     if len(y) < 20 or not 0 < y.sum() < len(y):
         return None
-    return train([np.asarray(x.values, np.int32) for x in rows["ids"]], y, spec)
+    return train([x.values.to_numpy().astype(np.int32).reshape(-1, PARTS) for x in rows["ids"]], y, spec)
 
 
 def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, score, predicted for each row of ``docs``; one pass, no shuffle."""
     if model is None:
         return docs.select(key, held_out(key).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[key].dataType.simpleString()
 
