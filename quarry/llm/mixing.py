@@ -49,7 +49,9 @@ class MixSpec:
 
 
 def with_domain(docs: DataFrame, domains: dict[str, str] | None = None) -> DataFrame:
-    """Adds ``domain`` by source."""
+    """Adds ``domain`` by source; a domain column of the input's own stays as it is."""
+    if "domain" in docs.columns:
+        return docs
     pairs = [F.lit(x) for kv in sorted((domains or DOMAINS).items()) for x in kv]
     return docs.withColumn("domain", F.coalesce(F.try_element_at(F.create_map(*pairs), F.coalesce(F.col("source"), F.lit(""))), F.lit("other")))
 

@@ -49,29 +49,84 @@ class PackSpec:
     task_pieces: int = 16_384
 
 
-class TokenCache(dict):
-    """word -> ids as bytes of unsigned 32-bit numbers; misses are encoded in one batch before they are looked up."""
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+_CLOSING = ".,;:!?*#$%&"
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")  # one lower-case form each, and no marks that combine
+_CACHES: dict[str, "TokenCache"] = {}
 
-    def __init__(self, tokenizer, limit: int = 600_000):
-        super().__init__()
-        self.tokenizer, self.limit = tokenizer, limit
 
-    def encode(self, text: str) -> bytes:
-        if _SEPARATORS.search(text):  # white space for str.split, but not for the tokenizer
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = text.split()
-        new = {w for w in words if w not in self}
-        if len(self) + len(new) > self.limit:
-            self.clear()
-            new = set(words)
+class TokenCache:
+    """Ids of texts, as bytes of unsigned 32-bit numbers, by way of their words.
+
+    The tokenizer works on letter runs, digits and other runs between white space, so a text's ids are those of its words
+    in order. Words are looked up; a new word of letters and closing punctuation is put together from its lower-case
+    letters and its punctuation, which many words share; new letter runs are encoded many at a time with a digit between
+    them. Any other word is encoded as it is. Both tables start anew when they are full.
+    """
+
+    def __init__(self, tokenizer, limit: int = 900_000):
+        self.tokenizer, self.limit = tokenizer, limit
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+        mark = tokenizer.encode("1", add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, "<u4").tobytes()
+
+    def _encode_each(self, texts: list[str]) -> list[bytes]:
+        return [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        if len(self.parts) + len(parts) > self.limit:
+            self.parts = {"": b""}
+        letters = [x for x in parts if self.mark is not None and x.isalpha()]
+        others = [x for x in parts if self.mark is None or not x.isalpha()]
+        self.parts.update(zip(others, self._encode_each(others), strict=True))
+        groups = [letters[i : i + 64] for i in range(0, len(letters), 64)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" 1 ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            cuts = (4 * np.flatnonzero(ids == self.mark)).tolist()
+            raw = ids.tobytes()
+            self.parts.update(zip(group, (raw[i:j] for i, j in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True)), strict=True))
+
+    def _learn(self, new: list[str]) -> None:
+        stems = [w.rstrip(_CLOSING) for w in new]
+        plain = [s.isalpha() and (s.isascii() or _LETTERS.fullmatch(s) is not None) for s in stems]
+        whole = [w for w, p in zip(new, plain, strict=True) if not p]
+        words = [w for w, p in zip(new, plain, strict=True) if p]
+        tails = [w[len(s) :] for w, s, p in zip(new, stems, plain, strict=True) if p]
+        lows = [s.lower() for s, p in zip(stems, plain, strict=True) if p]
+        wanted = {*lows, *tails}
+        missing = sorted(x for x in wanted if x not in self.parts)
+        if len(self.parts) + len(missing) > self.limit:
+            missing = sorted(wanted - {""})
+        self._learn_parts(missing)
+        parts = self.parts
+        self.words.update(zip(words, (parts[a] + parts[b] for a, b in zip(lows, tails, strict=True)), strict=True))
+        self.words.update(zip(whole, self._encode_each(whole), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [None if _SEPARATORS.search(t) else t.split() for t in texts]  # those are white space for split() only
+        seen: set[str] = set()
+        for words in split:
+            if words:
+                seen.update(words)
+        new = [w for w in seen if w not in self.words]
+        if len(self.words) + len(new) > self.limit:
+            self.words = {}
+            new = list(seen)
         if new:
-            new = sorted(new)
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, words))
+            self._learn(new)
+        ids = self.words.__getitem__
+        return [self._encode_each([t])[0] if w is None else b"".join(map(ids, w)) for t, w in zip(texts, split, strict=True)]
 
 
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+def cached(path: str) -> TokenCache:
+    """This worker's cache for a tokenizer; it lives as long as the worker does."""
+    if path not in _CACHES:
+        _CACHES[path] = TokenCache(load_tokenizer(path))
+    return _CACHES[path]
 
 
 def load_tokenizer(path: str):
@@ -83,6 +138,19 @@ def load_tokenizer(path: str):
     return t
 
 
+def blocks(texts: list[str], chars: int = 2_000_000) -> Iterator[list[str]]:
+    """Runs of texts of about so many characters, one text at least."""
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t) > chars:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
+
+
 def pieces(docs: DataFrame, spec: PackSpec, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, piece, start, length, ids_crc32 of each piece; one pass, no shuffle."""
     path = _public(spec.tokenizer) if "/" not in spec.tokenizer else spec.tokenizer
@@ -91,11 +159,11 @@ def pieces(docs: DataFrame, spec: PackSpec, key: str = "doc_id", text: str = "te
     end = np.array([spec.end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = TokenCache(load_tokenizer(path))
+        cache = cached(path)
         for b in batches:
             rows, nth, start, length, crc = [], [], [], [], []
-            for i, t in enumerate(b.column(1)):
-                ids = cache.encode(t.as_py() or "") + end
+            encoded = (ids + end for part in blocks([t or "" for t in b.column(1).to_pylist()]) for ids in cache.encode(part))
+            for i, ids in enumerate(encoded):
                 for n, o in enumerate(range(0, len(ids), step)):
                     part = ids[o : o + step]
                     rows.append(i)

@@ -292,7 +292,7 @@ def fit(docs: DataFrame, labels: DataFrame, spec: ToxicSpec | None = None) -> Mo
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), list_array([word_ids(t, table).ravel() for t in b.column(2).to_pylist()], pa.int32())], names=["doc_id", "y", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.join(sample, "doc_id").select("doc_id", "y", utf8(F.col("text"))).mapInArrow(ids, f"doc_id {kind}, y int, ids array<int>").toArrow()
+    rows = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "y", utf8(F.col("text"))).mapInArrow(ids, f"doc_id {kind}, y int, ids array<int>").toArrow()
     rows = rows.sort_by("doc_id")
     y = rows["y"].to_numpy()
     if len(y) < 20 or not 0 < y.sum() < len(y):

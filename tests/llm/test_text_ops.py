@@ -1,0 +1,276 @@
+from __future__ import annotations
+
+import re
+import zlib
+
+import numpy as np
+import zstandard
+
+from quarry.llm import compression_bands, html_nodes, html_training, packing, secrets, surrogates, toxicity
+from tests.llm.conftest import SCHEMA, row
+
+WS = "\x20\x09\x0a\x0b\x0c\x0d"
+
+
+# ---- compression bands
+
+
+def plain_measure(text):
+    text = text or ""
+    words = re.findall(f"[^{WS}]+", text)
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    marked = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(5)}
+    lines, seen, dup = text.split("\n"), set(), 0
+    for x in lines:
+        if re.search(f"[^{WS}]", x):
+            dup += x in seen
+            seen.add(x)
+    return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(marked))
+
+
+def test_bands_against_plain_rules(spark, odd_docs, odd_rows):
+    extra = [row(900, "a b c d e f a b c d e x\nline\nline\n \n \nä#$ €<>|"), row(901, "no no no no no no no no no no no no")]
+    docs = odd_docs.unionByName(spark.createDataFrame(extra, SCHEMA))
+    got = compression_bands.judge(docs).collect()
+    texts = {r[0]: r[1] for r in [*odd_rows, *extra] if r[0] != 400}
+    assert len(got) == len(odd_rows) + 2
+    for r in got:
+        if r.doc_id in texts:
+            want = plain_measure(texts[r.doc_id])
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+            assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0])
+            assert not (r.base_failed and r.kept)
+
+
+def test_bands_reject_what_compresses_too_well_or_not_at_all():
+    limits, z = compression_bands.BandLimits(), zstandard.ZstdCompressor(level=3)
+    rng = np.random.default_rng(0)
+    noise = " ".join("".join(map(chr, rng.integers(33, 126, 12))) for _ in range(900)).encode()
+    table = " ".join(f"item {i} of the list of all items in this list" for i in range(900)).encode()
+    assert not compression_bands.measure(noise, limits, z)[-1] and not compression_bands.measure(table, limits, z)[-1]
+    assert limits.of(0) == (0.90, 1.40) and limits.of(5000)[0] == 0.415
+
+
+def test_keep_good_keeps_columns(spark, odd_docs, no_docs):
+    kept = compression_bands.keep_good(odd_docs)
+    want = {r.doc_id for r in compression_bands.judge(odd_docs).collect() if r.kept}
+    assert kept.columns == odd_docs.columns and {r.doc_id for r in kept.collect()} == want
+    assert compression_bands.judge(no_docs).collect() == [] and compression_bands.keep_good(no_docs).collect() == []
+
+
+# ---- packing
+
+
+def test_packing_round_trip(spark, odd_docs, odd_rows, no_docs):
+    import public_tokenizers
+
+    t = packing.load_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    spec = packing.PackSpec(capacity=64, max_documents=64, max_attention=64 * 64, task_pieces=50)
+    got = packing.pack_documents(odd_docs, spec).collect()
+    want = []
+    for r in odd_rows:
+        ids = np.array(t.encode(r[1] or "", add_special_tokens=False).ids + [0], "<u4")
+        want += [(r[0], i, o, len(ids[o : o + 64]), zlib.crc32(ids[o : o + 64].tobytes())) for i, o in enumerate(range(0, len(ids), 64))]
+    key = lambda x: tuple((v is None, v or 0) for v in x)
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got), key=key) == sorted(want, key=key)
+    seqs = {}
+    for r in got:
+        seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in seqs.values():
+        at = 0
+        for o, n in sorted(parts):
+            assert o == at
+            at += n
+        assert at <= 64
+    short = sum(r.length for r in got)
+    assert len(seqs) <= -(-short // 64) * 1.1 + 4
+    assert packing.pack_documents(no_docs).collect() == []
+
+
+def test_vector_capacities_hold_under_both_rules():
+    rng = np.random.default_rng(2)
+    lengths = rng.integers(1, 90, 700)
+    for rule in ("norm", "dot"):
+        spec = packing.PackSpec(capacity=100, max_documents=5, max_attention=6000, rule=rule)
+        bins, offsets = packing.pack(lengths, spec)
+        for b in np.unique(bins):
+            own = lengths[bins == b]
+            assert own.sum() <= 100 and len(own) <= 5 and (len(own) == 1 or (own**2).sum() <= 6000)
+
+
+def test_token_cache_is_the_tokenizer():
+    import public_tokenizers
+
+    t = packing.load_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["", "a\x1cb c", "Don't stop, it's 123 ÀÉ!! ß. İx <|endoftext|> foo été", "1 1 1", "日本語 テスト.", "ΣΑΣ Ǆ x" * 50]
+    for limit in (5, 1000):
+        got = [x for p in packing.blocks(texts, 20) for x in packing.TokenCache(t, limit).encode(p)]
+        assert got == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+
+
+# ---- html
+
+
+def test_pages(spark):
+    model = html_training.train_node_model(150)
+    body = "<p>First &amp; <b>bold</b>text   of\n the story, long enough to count as prose. It goes on for a while.<p>Second &lt;part&gt; with more words and a <a href=x>link</a> in it.</p>"
+    page = f"<html><head><title>T</title><script>var a='</p>';</script></head><body><nav><ul><li><a href=/a>Menu one</a><li><a href=/b>Menu two</a></ul></nav><div class='ad'>Buy now cheap things today.</div><article><h1>Head line</h1>{body}</article><div class=comments><div class=comment><p>I disagree with all of this.</p></div></div><footer>&copy; x.example</footer></body></html>"
+    rows = [(1, "u", page), (2, None, None), (3, "v", ""), (4, "w", "<!-- open"), (5, "x", "< broken <p <b>"), (1, "u", page), (None, "y", page)]
+    got = {r.page_id: r for r in html_nodes.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), model).collect()}
+    want = "Head line First & boldtext of the story, long enough to count as prose. It goes on for a while. Second <part> with more words and a link in it."
+    assert got[1].text == got[None].text == want and got[1].n_chars == len(want)
+    assert got[2].text == got[3].text == got[4].text == "" and got[2].n_chars == 0
+    assert html_nodes.extract(spark.createDataFrame([], "page_id long, url string, html string"), model).collect() == []
+
+
+def test_decoding_has_no_kept_node_below_a_dropped_one():
+    model = html_training.train_node_model(60)
+    maker = html_training.PageMaker(9)
+    for _ in range(30):
+        es = html_nodes.elements(html_nodes.parse(maker.page()))
+        kept = html_nodes.decode(es, model.raw(html_nodes.features(es)))
+        assert all(not k or e.parent < 0 or kept[e.parent] for e, k in zip(es, kept, strict=True))
+
+
+def test_model_on_held_out_pages():
+    model = html_training.train_node_model(400)
+    x, y, w = html_training.examples(150, 77)
+    hit = (model.raw(x) > 0) == (y > 0)
+    assert (hit * w).sum() / w.sum() > 0.93
+
+
+# ---- secrets
+
+
+def test_secrets(spark, odd_docs, no_docs):
+    forest = secrets.train(spark)
+    token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = [
+        row(1, f'so token = "{token}" is here and 4845168114407329 is a card, los 9807915762804490 too'),
+        row(2, None),
+        row(3, ""),
+        row(4, "commit 8d33eeaaf9ac699e1188f96204dbebab91ab8568 and file user_profile_image_handler_2 in it"),
+        row(1, f'so token = "{token}" is here and 4845168114407329 is a card, los 9807915762804490 too'),
+        row(5, "x" * 50_000 + " ghp_" + "aZ09bY18cX27dW36" * 2 + "eV45 " + "y " * 1000),
+    ]
+    got = secrets.scan(spark.createDataFrame(rows, SCHEMA), forest).collect()
+    found = [(r.doc_id, r.candidate) for r in got if r.is_secret]
+    assert found.count((1, token)) == 2 and all(c == token or c.startswith("ghp_") for _, c in found)
+    assert any(d == 5 for d, _ in found)
+    texts = {r[0]: r[1] for r in rows}
+    assert all(texts[r.doc_id][r.start : r.start + r.length] == r.candidate for r in got)
+    assert secrets.scan(no_docs, forest).collect() == [] and secrets.scan(odd_docs, forest).count() >= 0
+
+
+def test_forest_expression_is_the_forest(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(1)
+    x = rng.random((300, 4))
+    y = (x[:, 0] + x[:, 2] > 1).astype(float)
+    forest = secrets.fit_forest(x, y, secrets.ForestSpec(trees=5, depth=4))
+    df = spark.createDataFrame(x.tolist(), "a double, b double, c double, d double")
+    got = [r[0] for r in df.select(F.round(secrets.as_column(forest, list("abcd")), 9)).collect()]
+    assert np.allclose(got, secrets.predict(forest, x), atol=1e-8)
+    assert (((secrets.predict(forest, x) > 0.5) == y).mean()) > 0.9
+
+
+def test_forest_on_held_out_findings(spark):
+    findings = secrets.labelled_findings(1200, 99)
+    rows = spark.createDataFrame(findings, "before string, candidate string, after string, path string, label int")
+    from pyspark.sql import functions as F
+
+    cols = secrets.features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path"))
+    got = np.array([list(r) for r in rows.select(*cols.values(), F.col("label").cast("double")).collect()], float)
+    p = secrets.predict(secrets.train(spark), got[:, :-1])
+    assert ((p >= 0.5) == got[:, -1]).mean() > 0.93
+
+
+# ---- surrogates
+
+
+def test_surrogates(spark, odd_docs, no_docs):
+    a = "Mail bob.smith@corp.com or call +1 (487) 555-7209; card 4845 1681 1440 7329, ip 97.51.17.173."
+    b = "BOB.SMITH@CORP.COM! 4845168114407329 from 97.51.17.173; Mr. John Smith met Maria Lopez. ssn 123-45-6789"
+    rows = [row(1, a), row(2, b), row(3, None), row(4, ""), row(5, "nothing 12 here v1.2.3"), row(1, a), row(None, a)]
+    got = {r.doc_id: r for r in surrogates.replace_entities(spark.createDataFrame(rows, SCHEMA), count="n_found").collect()}
+    x, y = got[1].text, got[2].text
+    assert got[1].n_found == 4 and got[None].text == x and got[3].text is None and got[4].text == "" and got[5].text == rows[4][1]
+    for old in ("bob.smith", "487", "7209", "4845", "97.51.17.173", "John", "Smith", "Maria", "Lopez", "123-45-6789"):
+        assert old.lower() not in x.lower() and old.lower() not in y.lower(), old
+    m = re.fullmatch(r"Mail (\S+@\S+\.com) or call \+1 \((\d{3})\) (\d{3})-(\d{4}); card (\d{4} \d{4} \d{4} \d{4}), ip (\d+\.\d+\.\d+\.\d+)\.", x)
+    assert m
+    assert y.startswith(m[1].upper() + "! " + m[5].replace(" ", "") + " from " + m[6] + "; Mr. ")
+    males, females = surrogates.GIVEN["latin:m"], surrogates.GIVEN["latin:f"]
+    n = re.search(r"Mr\. (\w+) (\w+) met (\w+) (\w+)\.", y)
+    assert n[1] in males and n[3] in females
+    assert surrogates.replace_entities(no_docs).collect() == []
+    assert surrogates.replace_entities(odd_docs).columns == odd_docs.columns
+
+
+def test_surrogates_stay_distinct_when_draws_collide(spark, monkeypatch):
+    """With a tiny domain every draw collides; the attempts must end in distinct surrogates that aren't originals."""
+    from pyspark.sql import functions as F
+
+    small = lambda spec, kind, norm, attempt: F.concat(F.lit("10.0.0."), (F.crc32(F.concat(norm, attempt.cast("string")).cast("binary")) % 40).cast("string"))
+    monkeypatch.setattr(surrogates, "surrogate_norm", small)
+    rows = [row(i, f"host 10.0.0.{i} and 97.51.17.{i} again 97.51.17.{i}") for i in range(6)]
+    got = surrogates.replace_entities(spark.createDataFrame(rows, SCHEMA), surrogates.SurrogateSpec(attempts=400)).collect()
+    seen = {}
+    for r in got:
+        a, b, c = re.findall(r"10\.0\.0\.\d+", r.text)
+        assert b == c
+        seen[f"10.0.0.{r.doc_id}"], seen[f"97.51.17.{r.doc_id}"] = a, b
+    assert len(set(seen.values())) == 12 and not set(seen.values()) & {f"10.0.0.{i}" for i in range(6)}
+
+
+def test_check_digits_follow_the_original(spark):
+    from pyspark.sql import functions as F
+
+    luhn = lambda s: sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, reversed(s)))) % 10 == 0
+    rows = [("4539578763621486",), ("4539578763621487",), ("1234567812345670",), ("9807915762804490",)]
+    out = spark.createDataFrame(rows, "n string").select("n", surrogates.surrogate_norm(surrogates.SurrogateSpec(), F.lit("card"), F.col("n"), F.lit(0)).alias("s")).collect()
+    assert all(luhn(r.n) == luhn(r.s) and r.n != r.s and len(r.s) == 16 for r in out)
+
+
+# ---- toxicity
+
+
+def test_toxicity(spark, odd_docs, no_docs):
+    rng = np.random.default_rng(3)
+    words = np.array([f"{a}{b}" for a in "ka mo ti su re".split() for b in "lan der pik ost une ali".split()])
+    rows, labels = [], []
+    for i in range(500):
+        w = list(rng.choice(words, 40))
+        bad = i % 3 == 0
+        if bad:
+            for _ in range(3):
+                w[rng.integers(40)] = rng.choice(["idiot", "stupidly", "stupidity", "moron"])
+        rows.append(row(i, " ".join(w) + " the of and"))
+        labels.append((i, int(bad), int(bad)))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    known = spark.createDataFrame([*labels, (3, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, known, toxicity.ToxicSpec(updates=240, checks=12))
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    held = [i for i in range(500) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(got[i].held_out == (i in set(held)) for i in got)
+    assert np.mean([got[i].predicted == labels[i][1] for i in held]) > 0.95
+    odd = toxicity.score(odd_docs, model).collect()
+    assert len(odd) == odd_docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in odd)
+    assert toxicity.score(no_docs, model).collect() == []
+    assert toxicity.fit(docs, known.where("toxic = 0")) is None
+    assert {r.score for r in toxicity.score(docs, None).collect()} == {0.0}
+
+
+def test_gathered_responses_are_convolutions():
+    spec = toxicity.ToxicSpec(buckets=64, dim=3, widths=(1, 2, 3), filters=2)
+    rng = np.random.default_rng(0)
+    e = rng.normal(size=(64, 3))
+    e[0] = 0
+    kernels = [rng.normal(size=(w, 3, 2)) for w in spec.widths]
+    texts = [rng.integers(1, 64, (n, 3)).astype(np.int32) for n in (1, 5, 9)]
+    got = toxicity.pool(texts, toxicity._offset_tables(e, kernels, spec), spec)
+    for t, row_ in zip(texts, got, strict=True):
+        v = np.concatenate([e[t].sum(1), np.zeros((3, 3))])
+        want = [max(sum(v[i + j] @ k[j][:, f] for j in range(len(k))) for i in range(len(t))) for k in kernels for f in range(2)]
+        assert np.allclose(row_, want)
