@@ -103,6 +103,8 @@ def result_stats(results: DataFrame) -> DataFrame:
 def generate(results: DataFrame, query: str, parsed: dict[str, str], providers: Providers | None = None, more: list | None = None) -> dict:
     """Answer by the generator, else by the fallback generators, else from the results; with statistics."""
     providers = providers or Providers()
+    if "overall_design" not in results.columns:  # the index doesn't hold it
+        results = results.withColumn("overall_design", F.lit(""))
     context = joined_rows(results, detail_text(), "rank", "\n\n").first()[0]
     stats = result_stats(results).first().asDict()
     prompt = answer_prompt(query, parsed, stats["total_results"], context or "")
