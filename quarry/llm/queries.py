@@ -70,4 +70,15 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.oracle()}
+_NEAR_SQL = r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
+s as (select doc_id, case when len(words) = 0 then [] when len(words) < 5 then [array_to_string(words, ' ')]
+  else list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) end as shingles from w),
+n as (select doc_id, len(shingles) as n from s),
+t as (select doc_id, unnest(shingles) as shingle from s),
+c as (select a.doc_id as x, b.doc_id as y, count(*) as c from t a join t b on a.shingle = b.shingle and a.doc_id < b.doc_id group by all),
+l as (select x, y from c join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 80 * (a.n + b.n - c)),
+e as (select x, y from l union all select y, x from l),
+r(x, y) as (select x, y from e union select r.x, e.y from r join e on r.y = e.x)
+select n.doc_id, n.n as n_shingles, least(n.doc_id, coalesce(min(r.y), n.doc_id)) as component_id from n left join r on r.x = n.doc_id group by n.doc_id, n.n"""
+
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": _NEAR_SQL.replace("\\\\", "\\"), "op6_mixing": mixing.oracle()}

@@ -27,7 +27,7 @@ CANDIDATE = r"(?<![A-Za-z0-9_+/=\-])(?=[A-Za-z_+/=\-]{0,64}[0-9])[A-Za-z0-9_+/=\
 
 #: Words that names and prose are made of; what they cover isn't random.
 DICTIONARY = (
-    "about access account action address admin after album also andthe answer array author backup badge base before block board book branch buffer build button cache call case chain change channel check child class clear click client close cloud code color column common config content control copy core count create current custom data date debug default delete design detail device dialog display document domain down edit email error event example export false feature field file filter first flag folder font form frame from function game group handle header height hello help home host html image import index info input install item json key label language last layout left length level library line link list load local lock login long main make manager map mark master member menu message method mode model module month more move name native network next node note number object offset open option order output page panel param parent part pass path pattern people photo place player point port post preview print private process product profile project public query queue random range read record region release remove render report request reset resource response result return right role root route row rule sample save schema screen script search section select send server service session set setting shape show sign simple size slot sort source space stack start state static status step stop storage store stream string style submit summary support switch system table target task team temp template term test text theme time title token tool total track tree true type unit update upload user util value vector version video view watch week width window with word work world write year zone"
+    "access account action address admin after also author backup base before block board book branch buffer build button cache call case chain change channel check child class click client close cloud code common config content control count create current custom data date debug default delete design dialog document domain email error event example export field file filter flag form from function game group handle header home host html image import index info input install json key label language layout level library link list load local lock login main make manager master member menu message method mode model module month name native network node note number object offset open output page panel param parent part pass path pattern player preview private process product profile project public query queue random range read record region release remove render report request reset resource response result return role root route rule sample save schema screen script search section select send server service session set setting size source start state static status step storage store stream string submit summary support switch system table target template test text theme time title token tool track update upload user util value version video view write"
 ).split()
 
 _KEYWORD = r"(?i)(secret|token|passw|pwd|api.?key|auth|credential|private.?key|access.?key|bearer|signing|webhook)[^\n]{0,24}$"
