@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import format_gb
 
-#: Models of each task, and settings of each tier; both are data and may be replaced.
+# Models of each task, and settings of each tier; both are data and may be replaced.
 TASKS = {"query_parsing": "llama3.1-8b", "metadata_extraction": "qwen2.5-7b", "ontology_normalization": "qwen3.5-9b", "answer_generation": "qwen3.5-9b", "relevance_judgment": "qwen3.5-9b", "fast_utility": "qwen2.5-0.5b"}
 TIERS = {
     "quality": {"parse_model": "llama3.1-8b", "answer_model": "qwen3.5-9b", "strategy": "hybrid+filter", "context_format": "structured", "context_k": 3},
