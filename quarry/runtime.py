@@ -18,6 +18,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_roots: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -46,6 +47,17 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _own["tmp"]
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all tables that operators left in the shared folder; call it when their results have been used."""
+    while _roots:
+        _delete(spark, _roots.pop())
+
+
 class Workspace:
     """Named Parquet tables under one folder of the shared storage."""
 
@@ -53,6 +65,7 @@ class Workspace:
         ship(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/quarry-{label}-{uuid.uuid4().hex[:12]}"
+        _roots.append(self.root)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` under ``name`` and return the table as read again."""
@@ -63,10 +76,8 @@ class Workspace:
 
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+            _delete(self.spark, f"{self.root}/{name}")
 
     def release(self) -> None:
         """Let Spark's cleaner remove the shuffle files of finished steps, which it ties to garbage collection."""
