@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -127,6 +128,7 @@ FEATURES = (
     "in_nav", "in_header", "in_footer", "in_aside", "in_form", "in_article", "in_main", "in_list",
     "hidden", "depth", "log_chars", "share_of_page", "link_density", "tag_density", "block_count", "p_below", "log_mean_block",
     "place", "order", "siblings", "same_tag_siblings", "sibling_chars", "rank_chars", "punctuation", "digits", "own_text_share",
+    "parent_share", "parent_links", "parent_paragraphs", "parent_punctuation",
 )
 
 
@@ -224,24 +226,10 @@ def features(es: list[Element]) -> np.ndarray:
     x = np.zeros((len(es), len(FEATURES)), np.float32)
     total = max(1, es[0].chars)
     col = {f: i for i, f in enumerate(FEATURES)}
-    n_groups = len(TOKEN_GROUPS)
-    own0, above0, in0, rest0 = len(_TAGS), len(_TAGS) + n_groups, len(_TAGS) + 2 * n_groups, col["hidden"]
-    for e in es:
-        if e.kids:
-            sizes = [es[k].chars for k in e.kids]
-            most, tags = max(sizes), {}
-            for k in e.kids:
-                tags[es[k].node.tag] = tags.get(es[k].node.tag, 0) + 1
-            for order, k in enumerate(e.kids):
-                row = x[k]
-                row[rest0 + 8] = order / len(e.kids)
-                row[rest0 + 9] = min(len(e.kids), 50)
-                row[rest0 + 10] = tags[es[k].node.tag] / len(e.kids)
-                row[rest0 + 11] = np.log1p((sum(sizes) - es[k].chars) / max(1, len(e.kids) - 1))
-                row[rest0 + 12] = es[k].chars / max(1, most)
-    order0 = rest0 + 8
+    own0 = len(_TAGS)
+    above0 = own0 + len(TOKEN_GROUPS)
     for i, e in enumerate(es):
-        row = x[i]
+        row, c = x[i], max(1, e.chars)
         t = _TAG_ID.get(e.node.tag)
         if t is not None:
             row[t] = 1
@@ -249,16 +237,28 @@ def features(es: list[Element]) -> np.ndarray:
             row[own0 + g] = 1
         for g in e.above:
             row[above0 + g] = 1
-        for j, v in enumerate(e.inside):
-            row[in0 + j] = v
-        c = max(1, e.chars)
-        kept = row[order0 : order0 + 5].copy()
-        row[rest0 : rest0 + 8] = (e.hidden, min(e.node.depth, 30), np.log1p(e.chars), e.chars / total, e.links / c, e.tags / c, np.log1p(e.blocks), np.log1p(e.paragraphs))
-        # place and mean block share the slots after the counts
-        row[col["log_mean_block"]] = np.log1p(e.chars / max(1, e.blocks))
-        row[col["place"]] = (e.start + e.chars / 2) / total
-        row[col["order"] : col["order"] + 5] = kept
-        row[col["punctuation"] :] = (e.stops / c, e.digits / c, e.own / c)
+        row[col["in_nav"] : col["in_nav"] + len(e.inside)] = e.inside
+        row[col["hidden"] : col["order"]] = (
+            e.hidden,
+            min(e.node.depth, 30),
+            np.log1p(e.chars),
+            e.chars / total,
+            e.links / c,
+            e.tags / c,
+            np.log1p(e.blocks),
+            np.log1p(e.paragraphs),
+            np.log1p(e.chars / max(1, e.blocks)),
+            (e.start + e.chars / 2) / total,
+        )
+        row[col["punctuation"] : col["parent_share"]] = (e.stops / c, e.digits / c, e.own / c)
+        if not e.kids:
+            continue
+        sizes = [es[k].chars for k in e.kids]
+        kinds = Counter(es[k].node.tag for k in e.kids)
+        for order, k in enumerate(e.kids):
+            n = len(e.kids)
+            x[k, col["order"] : col["punctuation"]] = (order / n, min(n, 50), kinds[es[k].node.tag] / n, np.log1p((sum(sizes) - es[k].chars) / max(1, n - 1)), es[k].chars / max(1, max(sizes)))
+            x[k, col["parent_share"] :] = (e.chars / total, e.links / c, np.log1p(e.paragraphs), e.stops / c)
     return x
 
 

@@ -26,7 +26,12 @@ class PageMaker:
         for _ in range(r.randint(low, high)):
             w = self.word()
             found.append(w + r.choice(["", "", "", "", "", ",", ".", "***", "&amp;"] if r.random() < 0.3 else [""]))
-        return " ".join(found).capitalize() + r.choice([".", "."])
+        return " ".join(found).capitalize() + "."
+
+    def label(self, low: int, high: int) -> str:
+        """Words as in a heading or an item, mostly without a full stop."""
+        text = self.words(low, high)
+        return text if self.r.random() < 0.3 else text.rstrip(".")
 
     def inline(self, low: int, high: int) -> str:
         r, text = self.r, self.words(low, high)
@@ -62,9 +67,9 @@ class PageMaker:
             return f"<form{c('newsletter', 'subscribe', 'search', 'login')}><label>{self.words(1, 4)}</label><input type=text><p>{self.words(2, 20)}</p></form>"
         if kind == "aside":
             tag = r.choice(["aside", "div"])
-            return f"<{tag}{self.css('sidebar', 'aside', 'widget') if tag == 'div' else c('sidebar')}><h3>{self.words(1, 3)}</h3>{r.choice([f'<p>{self.words(5, 60)}</p>', '<ul>' + self.links(r.randint(2, 8)) + '</ul>'])}</{tag}>"
+            return f"<{tag}{self.css('sidebar', 'aside', 'widget') if tag == 'div' else c('sidebar')}><h3>{self.label(1, 3)}</h3>{r.choice([f'<p>{self.words(5, 60)}</p>', '<ul>' + self.links(r.randint(2, 8)) + '</ul>'])}</{tag}>"
         if kind == "related":
-            return f"<section{self.css('related', 'recommended', 'teasers')}><h2>{self.words(1, 3)}</h2>{self.links(r.randint(2, 6), 'div')}<p>{self.words(4, 25)}</p></section>"
+            return f"<section{self.css('related', 'recommended', 'teasers')}><h2>{self.label(1, 3)}</h2>{self.links(r.randint(2, 6), 'div')}<p>{self.words(4, 25)}</p></section>"
         if kind == "comments":
             tag = r.choice(["div", "section", "ol", "ul"])
             item = "li" if tag in ("ol", "ul") else "div"
@@ -75,9 +80,12 @@ class PageMaker:
         if kind == "crumbs":
             return f"<div{self.css('breadcrumb', 'breadcrumbs')}>{' &gt; '.join(f'<a href=/>{self.word()}</a>' for _ in range(r.randint(2, 4)))}</div>"
         if kind == "header":
-            return f"<header{c('header', 'masthead')}><div>{self.words(1, 4)}</div>{r.choice(['', '<p>' + self.words(3, 14) + '</p>'])}</header>"
+            h = r.choice(["h1", "h2", "div", "div"])
+            return f"<header{c('header', 'masthead')}><{h}>{self.label(1, 4)}</{h}>{r.choice(['', '<p>' + self.words(3, 14) + '</p>'])}</header>"
         if kind == "meta":
             return f"<div{self.css('byline', 'meta', 'tags')}>{self.words(1, 6)}</div>"
+        if r.random() < 0.15:  # a bare line of links or words
+            return f"<div>{r.choice([' | '.join(self.word() for _ in range(r.randint(2, 5))), self.label(1, 4)])}</div>"
         tag = r.choice(["footer", "footer", "div"])
         return f"<{tag}{self.css('footer', 'copyright') if tag == 'div' else c('footer')}>&copy; {self.word()}.example &middot; {self.words(2, 30)}</{tag}>"
 
@@ -92,31 +100,34 @@ class PageMaker:
             return f"<p{d}>{body}" + r.choice(["</p>", "</p>", "</p>", ""])
         if kind < 0.74:
             h = r.choice(["h2", "h3", "h4"])
-            return f"<{h}{d}>{self.words(1, 9)}</{h}>"
+            return f"<{h}{d}>{self.label(1, 9)}</{h}>"
         if kind < 0.82:
             t = r.choice(["ul", "ol"])
-            return f"<{t}{d}>" + "".join(f"<li{d}>{self.inline(2, 30)}" + r.choice(["</li>", ""]) for _ in range(r.randint(2, 7))) + f"</{t}>"
+            return f"<{t}{d}>" + "".join(f"<li{d}>{r.choice([self.inline, self.label])(*r.choice([(1, 6), (2, 30)]))}" + r.choice(["</li>", ""]) for _ in range(r.randint(2, 7))) + f"</{t}>"
         if kind < 0.88:
             return f"<blockquote{d}>{r.choice([self.words(5, 60), f'<p{d}>{self.words(5, 60)}</p>'])}</blockquote>"
         if kind < 0.92:
             return f"<pre{d}>{self.words(4, 40)}</pre>"
         if kind < 0.96:
-            return f"<table{d}>" + "".join(f"<tr{d}>" + "".join(f"<td{d}>{self.words(1, 4)}</td>" for _ in range(3)) + "</tr>" for _ in range(r.randint(2, 5))) + "</table>"
+            return f"<table{d}>" + "".join(f"<tr{d}>" + "".join(f"<td{d}>{self.label(1, 4)}</td>" for _ in range(3)) + "</tr>" for _ in range(r.randint(2, 5))) + "</table>"
         return f"<figure{d}><img src=x.png><figcaption{d}>{self.words(3, 20)}</figcaption></figure>"
 
     def article(self) -> str:
         r, d = self.r, " data-main"
         n = r.choice([1, 1, 2, 3, 4, 6, 10, 16])
-        parts = [f"<h1{d}>{self.words(2, 10)}</h1>"] if r.random() < 0.85 else []
-        plain = r.random() < 0.12
+        parts = [f"<h1{d}>{self.label(1, 10)}</h1>"] if r.random() < 0.9 else []
+        plain, bare = r.random() < 0.1, r.random() < 0.1
         for _ in range(n):
+            if bare:
+                parts.append(f"<div{d}>{r.choice([self.words, self.inline])(15, 80)}</div>")
+                continue
             parts.append(f"{self.words(15, 80)}<br><br>" if plain else self.part())
             if r.random() < 0.07:
                 parts.append(self.block())
         if r.random() < 0.1:
             parts = [f"<div{d}>{''.join(parts[:2])}</div>", f"<section{d}>{''.join(parts[2:])}</section>"]
         tag = r.choice(["article", "article", "article", "main", "div", "div", "section"])
-        c = self.css("article", "post", "content", "entry", "story", "main") if tag in ("div", "section") and r.random() < 0.85 else r.choice(["", "", self.css("article", "post", "content")])
+        c = self.css("article", "post", "content", "entry", "story", "main") if tag in ("div", "section") and r.random() < (0.3 if bare else 0.85) else r.choice(["", "", self.css("article", "post", "content")])
         body = f"<{tag}{c}{d}>{''.join(parts)}</{tag}>"
         for _ in range(r.choice([0, 0, 1, 2])):
             w = r.choice(["div", "main", "section"])

@@ -37,7 +37,7 @@ class PartitionSpec:
     graph: int = 12
     hidden: int = 96
     epochs: int = 30
-    target: float = 0.985
+    target: float = 0.95
     slack: float = 1.08
     least_chunk: int = 256
     most_chunk: int = 65_536

@@ -90,13 +90,17 @@ def leaf_budgets(sizes: DataFrame, spec: MixSpec) -> DataFrame:
     """Budget of each leaf. ``sizes``: levels..., tokens, docs."""
     levels = list(spec.levels)
     leaves = sizes.withColumn("cap", F.col("tokens") * spec.max_epochs)
-    total = leaves.agg(F.sum("tokens").alias("t"), F.sum("cap").alias("c"))
-    budgets = total.select(F.least(F.col("c"), F.expr(f"t * {spec.budget_percent} div 100")).alias("b"))
+    budgets = None
     for i, name in enumerate(levels):
         parent = levels[:i]
-        nodes = leaves.groupBy(*levels[: i + 1]).agg(F.sum("cap").alias("cap")).withColumn("w", _weight(name, spec))
-        nodes = nodes.join(budgets, parent) if parent else nodes.crossJoin(budgets)
-        budgets = _share(nodes, parent, name).withColumnRenamed("budget", "b")
+        nodes = leaves.groupBy(*levels[: i + 1]).agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("t")).withColumn("w", _weight(name, spec))
+        if budgets is None:  # the root's budget, from the sums over all of its children
+            root = Window.partitionBy(F.lit(0))
+            nodes = nodes.withColumns({"t": F.sum("t").over(root), "c": F.sum("cap").over(root)})
+            nodes = nodes.withColumn("b", F.least(F.col("c"), F.expr(f"t * {spec.budget_percent} div 100"))).drop("c")
+        else:
+            nodes = nodes.join(budgets, parent)
+        budgets = _share(nodes.drop("t"), parent, name).withColumnRenamed("budget", "b")
     return leaves.join(budgets.withColumnRenamed("b", "budget"), levels)
 
 
@@ -128,7 +132,9 @@ def mix_plan(docs: DataFrame, spec: MixSpec, ws: Workspace, text: str = "text")
     run = keyed.select(*levels, "fine", "key", "rest", "tokens").withColumn("run", F.sum("tokens").over(inside))
     fits = run.join(starts, [*levels, "fine"]).where(F.col("start") + F.col("run") <= F.col("rest"))
     cuts = fits.groupBy(*levels).agg(F.max("key").alias("cut"))
-    return rows, ws.save(leaves.join(cuts, levels, "left").select(*levels, "budget", "epochs", "cut"), "cuts")
+    cuts = ws.save(leaves.join(cuts, levels, "left").select(*levels, "budget", "epochs", "cut"), "cuts")
+    ws.release()
+    return rows, cuts
 
 
 def _selected(rows: DataFrame, cuts: DataFrame, spec: MixSpec) -> DataFrame:

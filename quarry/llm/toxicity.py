@@ -62,7 +62,7 @@ class ToxicSpec:
 class WordBuckets(dict):
     """word -> slot; ``rows[slot]`` has the buckets (from 1 on, 0 is padding) of the word and of its two prefixes."""
 
-    def __init__(self, buckets: int, limit: int = 400_000):
+    def __init__(self, buckets: int, limit: int = 250_000):
         super().__init__()
         self.buckets, self.limit, self.rows = buckets, limit, np.zeros((1024, PARTS), np.int32)
 
@@ -311,7 +311,7 @@ def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         table = WordBuckets(m.spec.buckets)
-        for b in batches:
+        for b in (whole.slice(o, 512) for whole in batches for o in range(0, whole.num_rows, 512)):  # few ids at a time
             s = m.scores([word_ids(t.as_py(), table) for t in b.column(2)])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=[key, "held_out", "score", "predicted"])
 
