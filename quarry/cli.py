@@ -1,4 +1,8 @@
-"""Command line: enrich, ontology, embed, retrieve, answer, chat, search, scan, gap, convert and query."""
+"""Command line: studies and questions, acquisition and reports, matrices, and queries of the catalogue.
+
+Tables given to commands are JSON lines: series (series_id, title, summary, overall_design, organism, series_type,
+supplementary_files), files (series_id, pos, url) and local files (series_id, name, size_bytes).
+"""
 
 from __future__ import annotations
 
@@ -11,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.config import load_config
 from quarry.engine import Engine
+from quarry.plans.acquire import FolderFetcher, download, verify_links
+from quarry.plans.reports import link_report, series_status
 
 
 def parser() -> argparse.ArgumentParser:
@@ -38,6 +44,30 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--format", action="append", default=[])
     one.add_argument("--require-format", action="store_true")
     one.add_argument("--require-convertible", action="store_true")
+    one = sub.add_parser("verify", help="probe the links of a file list")
+    one.add_argument("files")
+    one.add_argument("--folder", required=True, help="where the offline fetcher finds files")
+    one = sub.add_parser("download", help="fetch the chosen files of each series")
+    one.add_argument("files")
+    one.add_argument("--folder", required=True)
+    one.add_argument("--target", required=True)
+    one = sub.add_parser("manifest", help="write manifests of local files")
+    one.add_argument("series")
+    one.add_argument("files")
+    one = sub.add_parser("organize", help="lay files out by domain and organ")
+    one.add_argument("series")
+    one.add_argument("files")
+    one = sub.add_parser("gap", help="organs that no manifest covers, with candidates")
+    one.add_argument("manifests")
+    one.add_argument("candidates")
+    one.add_argument("--format", action="append", default=[])
+    one.add_argument("--modality", default="rna")
+    one = sub.add_parser("run", help="scan, select, download and convert")
+    one.add_argument("series")
+    one.add_argument("--folder", required=True)
+    one.add_argument("--target", required=True)
+    one.add_argument("--domain")
+    one.add_argument("--qc", action="store_true")
     one = sub.add_parser("convert", help="matrices below a folder")
     one.add_argument("folder")
     one.add_argument("--qc", action="store_true")
@@ -92,6 +122,28 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         series = spark.read.json(args.series)
         data, files = engine.classify(series)
         show(engine.select(data, files, domain=args.domain, modality=args.modality, formats=args.format, organism=args.organism, require_format=args.require_format, require_convertible=args.require_convertible)[0])
+    elif args.command == "verify":
+        links = verify_links(spark.read.json(args.files), FolderFetcher(args.folder))
+        show(link_report(links, ["series_id"]))
+    elif args.command == "download":
+        chosen = engine.download_plan(spark.read.json(args.files)).select("series_id", "url")
+        show(series_status(download(chosen, FolderFetcher(args.folder), args.target)))
+    elif args.command == "manifest":
+        print(engine.write_manifests(spark.read.json(args.series), spark.read.json(args.files)))
+    elif args.command == "organize":
+        print(engine.organize(spark.read.json(args.files), spark.read.json(args.series)))
+    elif args.command == "gap":
+        data, files = engine.classify(spark.read.json(args.candidates))
+        found = data.join(spark.read.json(args.candidates).select("series_id", "organ", "pos"), "series_id")
+        meta = spark.read.json(args.manifests).select("geo_metadata.*")
+        show(engine.gaps(meta, found, files, args.format, modality=args.modality))
+    elif args.command == "run":
+        data, files = engine.classify(spark.read.json(args.series))
+        kept = engine.select(data, files, domain=args.domain, require_convertible=True)[1]
+        got = download(engine.download_plan(kept).select("series_id", "url"), FolderFetcher(args.folder), args.target)
+        got.write.mode("overwrite").json(config.path("downloads"))
+        show(series_status(spark.read.schema(got.schema).json(config.path("downloads"))))
+        show(engine.convert(args.target, args.qc).groupBy("sample").count())
     elif args.command == "convert":
         show(engine.convert(args.folder, args.qc).groupBy("sample").count())
     else:

@@ -29,9 +29,15 @@ class Config:
         return f"{self.root.rstrip('/')}/{name}"
 
 
-def load_config(prefix: str = "QUARRY_", env: dict[str, str] | None = None) -> Config:
+def load_config(prefix: str = "QUARRY_", env: dict[str, str] | None = None, path: str | None = None) -> Config:
+    """Defaults, then a YAML or JSON file of the same names, then the environment."""
     env = dict(os.environ) if env is None else env
     given = {}
+    if path:
+        import yaml
+
+        known = {f.name for f in fields(Config)}
+        given = {k: v for k, v in (yaml.safe_load(Path(path).read_text()) or {}).items() if k in known}
     for f in fields(Config):
         raw = env.get(prefix + f.name.upper())
         if raw is not None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -136,3 +137,56 @@ def envelope(calls: DataFrame) -> DataFrame:
 
 def citations(text: Column) -> Column:
     return series_ids(text)
+
+
+def parse_with(generate, query: str, fallback: dict[str, str]) -> dict[str, str]:
+    """Constraints of a query from a generator's JSON; its failure gives ``fallback``, an answer without JSON free text only."""
+    fields = ("organism", "tissue", "disease", "cell_type", "assay", "treatment")
+    try:
+        text = generate(f"Give the constraints of this query as JSON with the keys {', '.join(fields)} and free_text.\n\n{query}")
+    except Exception:  # any failure of the provider
+        return fallback
+    data = json_object(text) or {}
+    return {f: str(data.get(f) or "") for f in fields} | {"free_text": str(data.get("free_text") or query)}
+
+
+def json_object(text: str) -> dict | None:
+    """The JSON object in a text, on the driver; the same three steps as ``functions.text.json_text``."""
+    import json
+    import re
+
+    def load(t: str | None) -> dict | None:
+        try:
+            found = json.loads(t) if t else None
+        except ValueError:
+            return None
+        return found if isinstance(found, dict) else None
+
+    fence = re.search(r"```(?:json)?\s*\n?(.*?)\n?\s*```", text, re.S)
+    if fence and (found := load(fence[1].strip())) is not None:
+        return found
+    start = text.find("{")
+    if start < 0:
+        return None
+    try:
+        found, _ = json.JSONDecoder().raw_decode(text[start:])
+    except ValueError:
+        return load(text[start : text.rfind("}") + 1])
+    return found if isinstance(found, dict) else None
+
+
+def compress(results: DataFrame, query: str, generate, words: int = 500) -> str:
+    """The results' contexts, summarized by a generator for the query."""
+    context = joined_rows(results, context_text(), "rank", "\n").first()[0] or ""
+    return generate(f"In at most {words} words, keep what matters for the query and all accessions.\n\nQuery: {query}\n\n{context}")
+
+
+def extract_metadata(studies: DataFrame, generate) -> DataFrame:
+    """(gse_id, tissues, diseases, cell_types) that a generator finds in title and summary; empty lists without an answer."""
+    @F.pandas_udf("string")
+    def ask(title: pd.Series, summary: pd.Series) -> pd.Series:
+        return pd.Series([generate(f"Give tissues, diseases and cell_types of this study as JSON lists.\n\nTitle: {t}\nSummary: {s}") for t, s in zip(title, summary, strict=True)])
+
+    got = F.from_json(json_text(F.col("_answer")), "struct<tissues: array<string>, diseases: array<string>, cell_types: array<string>>")
+    rows = studies.select("gse_id", ask("title", F.substring("summary", 1, LIMITS["document"])).alias("_answer")).withColumn("_m", got)
+    return rows.select("gse_id", *(F.coalesce(F.col("_m")[c], F.array().cast("array<string>")).alias(c) for c in ("tissues", "diseases", "cell_types")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,3 +99,48 @@ def run_records(composites: DataFrame, model: str = "model", category: str = "ca
 def open_runs(panel: DataFrame, done: DataFrame, key: str = "model") -> DataFrame:
     """Members of the panel without a finished run."""
     return panel.join(done.select(key), key, "left_anti")
+
+
+def prompts(items: DataFrame, choices_field: str = "choices", context_field: str = "context") -> DataFrame:
+    """``items`` with the prompt of each task; passages and contexts are cut to 500 characters."""
+    e, q = F.col("evaluator"), F.coalesce(_field("question"), F.lit(""))
+    listed = F.from_json(F.coalesce(_field(f"{choices_field}.text"), _field(choices_field)), "array<string>")
+    named = F.array(*(F.coalesce(_field(f"op{x}"), F.lit("")) for x in "abcd"))
+    truth = F.from_json(_field("mc1_targets.choices"), "array<string>")
+    science = shuffled_choices(F.col("item_id"), F.array(*(F.coalesce(_field(f"distractor{i}"), F.lit("")) for i in (1, 2, 3)), F.coalesce(_field("correct_answer"), F.lit(""))))
+    cut = lambda c: F.substring(F.coalesce(c, F.lit("")), 1, 500)
+    parts = F.array_join(F.from_json(_field("context.contexts"), "array<string>"), " ")
+    ask = lambda *xs: F.concat(*(F.lit(x) if isinstance(x, str) else F.coalesce(x, F.lit("")) for x in xs))
+    user = F.regexp_extract(F.coalesce(_field("chat"), F.lit("")), r"(?s)USER:\s*(.*?)\s*(?:ASSISTANT:|$)", 1)
+    messages = F.from_json(_field("prompt"), "array<struct<content: string>>")
+    talk = F.from_json(_field("conversations"), "array<struct<value: string>>")
+    prompt = (
+        F.when(e.startswith("mcq"), mcq_prompt(q, F.coalesce(listed, named), _field(context_field)))
+        .when(e == "binary_choice", ask(_field("sentence"), "\n\n1. ", _field("option1"), "\n2. ", _field("option2"), "\n\nReply with 1 or 2 only."))
+        .when(e == "boolean", ask("Passage: ", cut(_field("passage")), "\n\nQuestion: ", q, "\n\nReply with yes or no only."))
+        .when(e == "gsm8k", ask("Reason step by step and put the final number after ####.\n\n", q))
+        .when(e == "truthfulqa", mcq_prompt(q, truth))
+        .when(e == "pubmedqa", ask("Context: ", cut(parts), "\n\nQuestion: ", q, "\n\nReply with yes, no or maybe only."))
+        .when(e == "sciq", mcq_prompt(q, science))
+        .when(e == "token_f1", ask("Context: ", cut(_field("context")), "\n\nQuestion: ", q, "\n\nReply briefly."))
+        .when(e == "json_schema", F.coalesce(F.try_element_at(messages, F.lit(-1))["content"], _field("prompt")))
+        .when(e == "glaive_fc", F.when(user != "", user).otherwise(cut(_field("chat"))))
+        .when(e == "toolace", F.get(talk, F.lit(0))["value"])
+        .otherwise(_field("prompt"))
+    )
+    return items.withColumn("prompt", F.coalesce(prompt, F.lit("")))
+
+
+def answer_items(items: DataFrame, generate) -> DataFrame:
+    """``items`` with the generator's response to each prompt; a call that fails leaves a null, which isn't counted."""
+    def one(p: str) -> str | None:
+        try:
+            return generate(p)
+        except Exception:  # any failure of the provider
+            return None
+
+    @F.pandas_udf("string")
+    def ask(p: pd.Series) -> pd.Series:
+        return p.map(one)
+
+    return items.withColumn("response", ask("prompt"))
