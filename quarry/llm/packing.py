@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,77 +50,78 @@ class PackSpec:
     task_pieces: int = 16_384
 
 
-_SEPARATORS = re.compile("[\x1c-\x1f]")
-_CLOSING = ".,;:!?*#$%&"
+_CLOSING = ".,;:!?*#$%&|"
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")  # one lower-case form each, and no marks that combine
 _CACHES: dict[str, "TokenCache"] = {}
 
 
 class TokenCache:
-    """Ids of texts, as bytes of unsigned 32-bit numbers, by way of their words.
+    """Token ids of blocks of texts, by way of their distinct words.
 
     The tokenizer works on letter runs, digits and other runs between white space, so a text's ids are those of its words
-    in order. Words are looked up; a new word of letters and closing punctuation is put together from its lower-case
-    letters and its punctuation, which many words share; new letter runs are encoded many at a time with a digit between
-    them. Any other word is encoded as it is. Both tables start anew when they are full.
+    in order. Arrow splits a block and numbers its distinct words. A word of letters and closing punctuation is put together
+    from its lower-case letters, which are kept from block to block, and its punctuation; any other word is encoded as it
+    is. New letter runs are encoded many at a time with a digit between them. The table of letter runs starts anew when full.
     """
 
-    def __init__(self, tokenizer, limit: int = 900_000):
+    def __init__(self, tokenizer, limit: int = 450_000):
         self.tokenizer, self.limit = tokenizer, limit
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.letters: dict[str, bytes] = {"": b""}
+        self.closings: dict[str, bytes] = {"": b""}
         mark = tokenizer.encode("1", add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+        if len(mark) != 1:
+            raise ValueError("a digit is no token of its own in this tokenizer")
+        self.mark = mark[0]
 
     def _encode_each(self, texts: list[str]) -> list[bytes]:
-        return [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn_parts(self, parts: list[str]) -> None:
-        if len(self.parts) + len(parts) > self.limit:
-            self.parts = {"": b""}
-        letters = [x for x in parts if self.mark is not None and x.isalpha()]
-        others = [x for x in parts if self.mark is None or not x.isalpha()]
-        self.parts.update(zip(others, self._encode_each(others), strict=True))
-        groups = [letters[i : i + 64] for i in range(0, len(letters), 64)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        groups = [new[i : i + 64] for i in range(0, len(new), 64)]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast([" 1 ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
             cuts = (4 * np.flatnonzero(ids == self.mark)).tolist()
             raw = ids.tobytes()
-            self.parts.update(zip(group, (raw[i:j] for i, j in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True)), strict=True))
-
-    def _learn(self, new: list[str]) -> None:
-        stems = [w.rstrip(_CLOSING) for w in new]
-        plain = [s.isalpha() and (s.isascii() or _LETTERS.fullmatch(s) is not None) for s in stems]
-        whole = [w for w, p in zip(new, plain, strict=True) if not p]
-        words = [w for w, p in zip(new, plain, strict=True) if p]
-        tails = [w[len(s) :] for w, s, p in zip(new, stems, plain, strict=True) if p]
-        lows = [s.lower() for s, p in zip(stems, plain, strict=True) if p]
-        wanted = {*lows, *tails}
-        missing = sorted(x for x in wanted if x not in self.parts)
-        if len(self.parts) + len(missing) > self.limit:
-            missing = sorted(wanted - {""})
-        self._learn_parts(missing)
-        parts = self.parts
-        self.words.update(zip(words, (parts[a] + parts[b] for a, b in zip(lows, tails, strict=True)), strict=True))
-        self.words.update(zip(whole, self._encode_each(whole), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if _SEPARATORS.search(t) else t.split() for t in texts]  # those are white space for split() only
-        seen: set[str] = set()
-        for words in split:
-            if words:
-                seen.update(words)
-        new = [w for w in seen if w not in self.words]
-        if len(self.words) + len(new) > self.limit:
-            self.words = {}
-            new = list(seen)
-        if new:
-            self._learn(new)
-        ids = self.words.__getitem__
-        return [self._encode_each([t])[0] if w is None else b"".join(map(ids, w)) for t, w in zip(texts, split, strict=True)]
+            self.letters.update(zip(group, (raw[i:j] for i, j in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True)), strict=True))
+
+    def _ids_of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
+        stems = [w.rstrip(_CLOSING) for w in words]  # the same object where nothing is stripped
+        lows = [s.lower() for s in stems]
+        found = list(map(self.letters.get, lows))
+        unknown = [i for i, x in enumerate(found) if x is None]
+        odd = [i for i in unknown if not (stems[i].isalpha() and (stems[i].isascii() or _LETTERS.fullmatch(stems[i])))]
+        plain = set(unknown).difference(odd)
+        new = {lows[i] for i in plain}
+        if len(self.letters) + len(new) > self.limit:
+            self.letters = {"": b""}
+        self._learn(sorted(new))
+        for i in plain:
+            found[i] = self.letters[lows[i]]
+        for i, ids in zip(odd, self._encode_each([words[i] for i in odd]), strict=True):
+            found[i], stems[i] = ids, words[i]
+        if len(self.closings) > 10_000:
+            self.closings = {"": b""}
+        closings = self.closings
+        fresh = sorted({w[len(s) :] for w, s in zip(words, stems, strict=True) if s is not w}.difference(closings))
+        closings.update(zip(fresh, self._encode_each(fresh), strict=True))
+        return [x if s is w else x + closings[w[len(s) :]] for w, s, x in zip(words, stems, found, strict=True)]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text of a block, as bytes of unsigned 32-bit numbers."""
+        split = pc.ascii_split_whitespace(texts)
+        ends = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        words = self._ids_of_words(coded.dictionary.to_pylist())
+        table = np.frombuffer(b"".join(words), "<u4")
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) // 4
+        starts = np.cumsum(sizes) - sizes
+        at = coded.indices.to_numpy()
+        n = sizes[at]
+        after = np.concatenate(([0], np.cumsum(n)))
+        ids = table[np.repeat(starts[at] - after[:-1], n) + np.arange(after[-1])]
+        bounds = after[ends]
+        return [ids[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def cached(path: str) -> TokenCache:
@@ -138,17 +140,16 @@ def load_tokenizer(path: str):
     return t
 
 
-def blocks(texts: list[str], chars: int = 2_000_000) -> Iterator[list[str]]:
-    """Runs of texts of about so many characters, one text at least."""
-    part, size = [], 0
-    for t in texts:
-        if part and size + len(t) > chars:
-            yield part
-            part, size = [], 0
-        part.append(t)
-        size += len(t)
-    if part:
-        yield part
+def blocks(texts: pa.Array, size: int = 8_000_000) -> Iterator[pa.Array]:
+    """Runs of texts of about so many bytes, one text at least; null is empty."""
+    texts = pc.fill_null(texts, "")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy())
+    at = 0
+    while at < len(texts):
+        done = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, done + size, side="right")))
+        yield texts.slice(at, stop - at)
+        at = stop
 
 
 def pieces(docs: DataFrame, spec: PackSpec, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -162,7 +163,7 @@ def pieces(docs: DataFrame, spec: PackSpec, key: str = "doc_id", text: str = "te
         cache = cached(path)
         for b in batches:
             rows, nth, start, length, crc = [], [], [], [], []
-            encoded = (ids + end for part in blocks([t or "" for t in b.column(1).to_pylist()]) for ids in cache.encode(part))
+            encoded = (ids + end for part in blocks(b.column(1)) for ids in cache.encode(part))
             for i, ids in enumerate(encoded):
                 for n, o in enumerate(range(0, len(ids), step)):
                     part = ids[o : o + step]

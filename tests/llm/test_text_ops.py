@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 
 from quarry.llm import compression_bands, html_nodes, html_training, packing, secrets, surrogates, toxicity
@@ -104,7 +105,8 @@ def test_token_cache_is_the_tokenizer():
     t = packing.load_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
     texts = ["", "a\x1cb c", "Don't stop, it's 123 ÀÉ!! ß. İx <|endoftext|> foo été", "1 1 1", "日本語 テスト.", "ΣΑΣ Ǆ x" * 50]
     for limit in (5, 1000):
-        got = [x for p in packing.blocks(texts, 20) for x in packing.TokenCache(t, limit).encode(p)]
+        cache = packing.TokenCache(t, limit)
+        got = [x for p in packing.blocks(pa.array(texts), 20) for x in cache.encode(p)]
         assert got == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
 
 
@@ -212,7 +214,7 @@ def test_surrogates_stay_distinct_when_draws_collide(spark, monkeypatch):
     """With a tiny domain every draw collides; the attempts must end in distinct surrogates that aren't originals."""
     from pyspark.sql import functions as F
 
-    small = lambda spec, kind, norm, attempt: F.concat(F.lit("10.0.0."), (F.crc32(F.concat(norm, attempt.cast("string")).cast("binary")) % 40).cast("string"))
+    small = lambda spec, kind, norm, one, two: F.concat(F.lit("10.0.0."), (F.crc32(one.cast("binary")) % 40).cast("string"))
     monkeypatch.setattr(surrogates, "surrogate_norm", small)
     rows = [row(i, f"host 10.0.0.{i} and 97.51.17.{i} again 97.51.17.{i}") for i in range(6)]
     got = surrogates.replace_entities(spark.createDataFrame(rows, SCHEMA), surrogates.SurrogateSpec(attempts=400)).collect()
@@ -229,7 +231,7 @@ def test_check_digits_follow_the_original(spark):
 
     luhn = lambda s: sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, reversed(s)))) % 10 == 0
     rows = [("4539578763621486",), ("4539578763621487",), ("1234567812345670",), ("9807915762804490",)]
-    out = spark.createDataFrame(rows, "n string").select("n", surrogates.surrogate_norm(surrogates.SurrogateSpec(), F.lit("card"), F.col("n"), F.lit(0)).alias("s")).collect()
+    out = spark.createDataFrame(rows, "n string").select("n", surrogates.surrogate_norm(surrogates.SurrogateSpec(), F.lit("card"), F.col("n"), F.sha2("n", 256), F.sha2("n", 224)).alias("s")).collect()
     assert all(luhn(r.n) == luhn(r.s) and r.n != r.s and len(r.s) == 16 for r in out)
 
 
