@@ -18,6 +18,7 @@ columns of the input stay.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -65,6 +66,11 @@ def _digest(spec: SurrogateSpec, kind: Column, norm: Column, attempt: Column, pa
     return F.sha2(F.concat_ws("|", F.lit(spec.key), F.lit(part), kind, norm, attempt.cast("string")), 256)
 
 
+def _steps(spec: SurrogateSpec) -> dict[str, int]:
+    """How far names move inside their list; never a whole turn."""
+    return {g: int(hashlib.sha256(f"{spec.key}|{g}".encode()).hexdigest()[:8], 16) % (len(names) - 1) + 1 for g, names in GIVEN.items()}
+
+
 def _digits_only(x: Column) -> Column:
     return F.regexp_replace(x, r"[^0-9]", "")
 
@@ -102,16 +108,27 @@ def name_kind(word: Column) -> Column:
     return k
 
 
-def _name_words(m: Column) -> Column:
-    """The words of a name mention that stand for the person."""
-    return F.filter(F.split(m, " "), lambda w: ~w.rlike(rf"^(?:{_TITLES})$"))
+def parts_of(mentions: Column) -> Column:
+    """Array of arrays of struct(text, kind, norm): a name has a part per word, titles without a kind; others have one.
+
+    Each step names what the next one uses, so that no expression is repeated in the plan.
+    """
+    typed = F.transform(mentions, lambda m: F.struct(m.alias("text"), kind_of(m).alias("kind")))
+
+    def word(w: Column) -> Column:
+        kind = F.when(~w.rlike(rf"^(?:{_TITLES})$"), name_kind(w))
+        return F.struct(w.alias("text"), kind.alias("kind"), F.lower(w).alias("norm"))
+
+    def parts(x: Column) -> Column:
+        one = F.array(F.struct(x["text"].alias("text"), x["kind"].alias("kind"), _norm(x["kind"], x["text"]).alias("norm")))
+        return F.when(x["kind"] == "name", F.transform(F.split(x["text"], " "), word)).otherwise(one)
+
+    return F.transform(typed, parts)
 
 
 def entities_of(mentions: Column) -> Column:
-    """Array of struct(kind, norm) of an array of mentions; each name word is an entity."""
-    plain = F.transform(F.filter(mentions, lambda m: kind_of(m) != "name"), lambda m: F.struct(kind_of(m).alias("kind"), _norm(kind_of(m), m).alias("norm")))
-    words = F.flatten(F.transform(F.filter(mentions, lambda m: kind_of(m) == "name"), _name_words))
-    return F.array_union(plain, F.transform(words, lambda w: F.struct(name_kind(w).alias("kind"), F.lower(w).alias("norm"))))
+    """Array of struct(text, kind, norm) of the entities that the mentions name."""
+    return F.filter(F.flatten(parts_of(mentions)), lambda p: p["kind"].isNotNull())
 
 
 def _luhn_sum(digits: Column) -> Column:
@@ -132,48 +149,43 @@ def _checked(norm: Column, drawn: Column) -> Column:
     return F.concat(body, last.cast("string"))
 
 
-def surrogate_norm(spec: SurrogateSpec, kind: Column, norm: Column, attempt: Column) -> Column:
-    """Normalized surrogate of an entity."""
-    h = _digest(spec, kind, norm, attempt, "1")
-    digits = F.concat(_stream(h), _stream(_digest(spec, kind, norm, attempt, "2")))
-    octet = lambda i, low, n: (F.conv(F.substring(h, 1 + 6 * i, 6), 16, 10).cast("long") % n + low).cast("string")
+def _spelled(hexa: Column, parts: list[str]) -> Column:
+    """A word with one of 16 syllables for each hexadecimal digit."""
+    pool = F.array(*(F.lit(x) for x in parts))
+    return F.array_join(F.transform(F.split(hexa, ""), lambda h: F.get(pool, F.conv(h, 16, 10).cast("int"))), "")
+
+
+def surrogate_norm(spec: SurrogateSpec, kind: Column, norm: Column, one: Column, two: Column) -> Column:
+    """Normalized surrogate of an entity, drawn from its two digests."""
+    digits = F.concat(_stream(one), _stream(two))
+    letters = F.translate(two, "0123456789", "ghijklmnop")
+    octet = lambda i, low, n: (F.conv(F.substring(one, 1 + 6 * i, 6), 16, 10).cast("long") % n + low).cast("string")
+
+    def shaped(c: Column, i: Column) -> Column:
+        letter = F.substring(letters, 1 + i % 64, F.lit(1))
+        cyrillic = F.translate(letter, "abcdefghijklmnop", "абвгдежзиклмнопр")
+        return F.when(c.rlike(r"\p{IsCyrillic}"), cyrillic).when(c.rlike(r"\p{L}"), letter).when(c.rlike("[0-9]"), F.substring(digits, 1 + i % 64, F.lit(1))).otherwise(c)
+
     domain = F.substring_index(norm, "@", -1)
-    local = F.substring_index(norm, "@", 1)
-    letters = F.translate(_digest(spec, kind, norm, attempt, "3"), "0123456789", "ghijklmnop")
-    cyrillic = F.translate(letters, "abcdefghijklmnop", "абвгдежзиклмнопр")
-    shaped = F.array_join(
-        F.transform(
-            F.split(local, ""),
-            lambda c, i: F.when(c.rlike(r"\p{IsCyrillic}"), F.substring(cyrillic, 1 + i % 64, F.lit(1)))
-            .when(c.rlike(r"\p{L}"), F.substring(letters, 1 + i % 64, F.lit(1)))
-            .when(c.rlike("[0-9]"), F.substring(digits, 1 + i % 64, F.lit(1)))
-            .otherwise(c),
-        ),
-        "",
-    )
-    site = F.concat(F.lit("mail"), F.left(_stream(_digest(spec, F.lit("domain"), domain, F.lit(0), "4")), F.lit(6)), F.lit(".example."), F.substring_index(domain, ".", -1))
-    email = F.concat(shaped, F.substring(digits, 70, 6), F.lit("@"), site)
-    country = F.substring_index(norm, "-", 1)
-    phone = F.concat(country, F.lit("-"), F.left(digits, F.length(F.substring_index(norm, "-", -1))))
-    iban = F.concat(F.left(norm, F.lit(2)), F.left(digits, F.lit(2)), F.array_join(F.transform(F.split(F.substring(norm, 5, 64), ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(digits, 3 + i, F.lit(1))).otherwise(F.upper(F.substring(letters, 1 + i, F.lit(1))))), ""))
+    site = F.concat(F.lit("mail"), F.left(_stream(_digest(spec, F.lit("domain"), domain, F.lit(0), "3")), F.lit(6)), F.lit(".example."), F.substring_index(domain, ".", -1))
+    email = F.concat(F.array_join(F.transform(F.split(F.substring_index(norm, "@", 1), ""), shaped), ""), F.substring(digits, 70, 6), F.lit("@"), site)
+    phone = F.concat(F.substring_index(norm, "-", 1), F.lit("-"), F.left(digits, F.length(F.substring_index(norm, "-", -1))))
+    code = F.transform(F.split(F.substring(norm, 5, 64), ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(digits, 3 + i, F.lit(1))).otherwise(F.upper(F.substring(letters, 1 + i, F.lit(1)))))
     found = (
         F.when(kind == "email", email)
         .when(kind == "ip", F.concat_ws(".", octet(0, 1, 223), octet(1, 0, 256), octet(2, 0, 256), octet(3, 1, 254)))
         .when(kind == "phone", phone)
-        .when(kind == "iban", iban)
+        .when(kind == "iban", F.concat(F.left(norm, F.lit(2)), F.left(digits, F.lit(2)), F.array_join(code, "")))
         .when(kind == "ssn", F.left(digits, F.lit(9)))
         .when(kind == "card", _checked(norm, F.left(digits, F.length(norm))))
     )
+    steps = _steps(spec)
     for group, names in GIVEN.items():
-        n = len(names)
-        low = F.array(*(F.lit(x.lower()) for x in names))
-        step = F.conv(F.substring(_digest(spec, F.lit(group), F.lit(""), F.lit(0), "5"), 1, 6), 16, 10).cast("long") % (n - 1) + 1
-        at = (F.array_position(low, norm) - 1 + step) % n
-        found = found.when(kind == f"name:{group}", F.get(low, at.cast("int")))
+        moved = {n.lower(): names[(i + steps[group]) % len(names)].lower() for i, n in enumerate(names)}
+        table = F.create_map(*(F.lit(x) for pair in moved.items() for x in pair))
+        found = found.when(kind == f"name:{group}", F.try_element_at(table, norm))
     for script, parts in _SYLLABLES.items():
-        pool = F.array(*(F.lit(x) for x in parts))
-        syllable = lambda i, pool=pool: F.get(pool, F.conv(F.substring(h, 1 + i, 1), 16, 10).cast("int"))
-        found = found.when(kind == f"name:{script}", F.concat(*(syllable(i) for i in range(5))))
+        found = found.when(kind == f"name:{script}", _spelled(F.substring(one, 1, 5), parts))
     return found
 
 
@@ -192,28 +204,33 @@ def _cased(like: Column, word: Column) -> Column:
     return F.when((F.upper(like) == like) & (F.length(like) > 1), F.upper(word)).when(F.lower(like) == like, word).otherwise(F.initcap(word))
 
 
-def surrogate(spec: SurrogateSpec, mention: Column, attempt_of) -> Column:
-    """The replacement of one mention; ``attempt_of(kind, norm)`` gives the attempt of an entity."""
-    kind = kind_of(mention)
-    norm = _norm(kind, mention)
-    s = surrogate_norm(spec, kind, norm, attempt_of(kind, norm))
-    lead = F.regexp_extract(mention, r"^\+\d+", 0)
-    rest = F.substring(mention, F.length(lead) + 1, F.length(mention))
-
-    def word(w: Column) -> Column:
-        k, n = name_kind(w), F.lower(w)
-        return F.when(w.rlike(rf"^(?:{_TITLES})$"), w).otherwise(_cased(w, surrogate_norm(spec, k, n, attempt_of(k, n))))
-
+def _formatted(text: Column, kind: Column, s: Column) -> Column:
+    """A surrogate in the format of a mention's part; parts without a kind stay."""
+    lead = F.regexp_extract(text, r"^\+\d+", 0)
+    rest = F.substring(text, F.length(lead) + 1, F.length(text))
     return (
-        F.when(kind == "name", F.array_join(F.transform(F.split(mention, " "), word), " "))
+        F.when(kind.isNull(), text)
+        .when(kind.startswith("name"), _cased(text, s))
         .when(kind == "phone", F.concat(lead, _fill_digits(rest, F.substring_index(s, "-", -1))))
-        .when(kind.isin("card", "ssn"), _fill_digits(mention, s))
-        .when(kind == "iban", _fill_alnum(mention, s))
-        .when((kind == "email") & (F.upper(mention) == mention), F.upper(s))
+        .when(kind.isin("card", "ssn"), _fill_digits(text, s))
+        .when(kind == "iban", _fill_alnum(text, s))
+        .when((kind == "email") & (F.upper(text) == text), F.upper(s))
         .otherwise(s)
     )
 
 
+def surrogates_of(spec: SurrogateSpec, mentions: Column, attempt_of) -> Column:
+    """Replacements of an array of mentions; ``attempt_of(kind, norm)`` gives the attempt of an entity."""
+
+    def each(f):
+        return lambda ps: F.transform(ps, f)
+
+    tried = F.transform(parts_of(mentions), each(lambda p: F.struct(p["text"].alias("text"), p["kind"].alias("kind"), p["norm"].alias("norm"), attempt_of(p["kind"], p["norm"]).alias("attempt"))))
+    drawn = F.transform(tried, each(lambda p: F.struct(*(p[c].alias(c) for c in ("text", "kind", "norm")), *(_digest(spec, p["kind"], p["norm"], p["attempt"], n).alias(c) for n, c in (("1", "one"), ("2", "two"))))))
+    found = F.transform(drawn, each(lambda p: F.struct(p["text"].alias("text"), p["kind"].alias("kind"), surrogate_norm(spec, p["kind"], p["norm"], p["one"], p["two"]).alias("s"))))
+    return F.transform(found, lambda ps: F.array_join(F.transform(ps, lambda p: _formatted(p["text"], p["kind"], p["s"])), " "))
+
+
 def assign_attempts(entities: DataFrame, spec: SurrogateSpec, ws: Workspace) -> DataFrame | None:
     """(kind, norm, attempt) of the entities whose first surrogate collides; None if there are none.
 
@@ -224,7 +241,9 @@ def assign_attempts(entities: DataFrame, spec: SurrogateSpec, ws: Workspace) ->
     drawn = open_.withColumn("attempt", F.lit(0))
     moved = None
     for step in range(spec.attempts):
-        all_ = drawn.withColumn("s", surrogate_norm(spec, F.col("kind"), F.col("norm"), F.col("attempt")))
+        keys = (F.col("kind"), F.col("norm"), F.col("attempt"))
+        all_ = drawn.withColumns({"one": _digest(spec, *keys, "1"), "two": _digest(spec, *keys, "2")})
+        all_ = all_.select("kind", "norm", "attempt", surrogate_norm(spec, F.col("kind"), F.col("norm"), F.col("one"), F.col("two")).alias("s"))
         nth = F.row_number().over(Window.partitionBy("kind", "s").orderBy("attempt", "norm"))
         original = entities.select("kind", F.col("norm").alias("s"), F.lit(True).alias("taken"))
         ranked = all_.withColumn("nth", nth).join(original, ["kind", "s"], "left")
@@ -246,6 +265,7 @@ def replace_entities(docs: DataFrame, spec: SurrogateSpec | None = None, key: st
     mentions = F.regexp_extract_all(text, F.lit(MENTION), F.lit(0))
     found = ws.save(docs.where(F.col(text).rlike(MENTION)).select(F.col(key).alias("id"), F.explode(entities_of(mentions)).alias("e")).select("id", "e.kind", "e.norm"), "found")
     moved = assign_attempts(ws.save(found.select("kind", "norm").distinct(), "entities"), spec, ws)
+    ws.release()
     rows = docs
     attempt_of = lambda kind, norm: F.lit(0)
     if moved is not None:
@@ -254,7 +274,7 @@ def replace_entities(docs: DataFrame, spec: SurrogateSpec | None = None, key: st
         rows = docs.join(maps.withColumnRenamed("id", "_id"), docs[key].eqNullSafe(F.col("_id")), "left").drop("_id")
         attempt_of = lambda kind, norm: F.coalesce(F.try_element_at("_attempts", F.concat_ws("|", kind, norm)), F.lit(0))
     gaps = F.split(text, MENTION, -1)
-    parts = F.zip_with(gaps, mentions, lambda g, m: F.concat(g, F.when(m.isNull(), "").otherwise(surrogate(spec, m, attempt_of))))
+    parts = F.zip_with(gaps, surrogates_of(spec, mentions, attempt_of), lambda g, m: F.concat(g, F.coalesce(m, F.lit(""))))
     hit = F.col(text).rlike(MENTION)
     extra = {count: F.when(hit, F.size(mentions)).otherwise(0).cast("long")} if count else {}
     out = rows.withColumns(extra | {text: F.when(hit, F.array_join(parts, "")).otherwise(F.col(text))})
