@@ -34,6 +34,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 IMPLIED = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"), "tbody": ("thead tbody tr td th", "table"), "tfoot": ("tbody tr td th", "table")}
 IMPLIED = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in IMPLIED.items()}
+TEXT_TAGS = frozenset("p li td blockquote pre h1 h2 h3 h4".split())
 SKIPPED = frozenset("head script style noscript template iframe svg math title textarea select button input option object".split())
 
 _TAG = re.compile(r"""<!--(?:.*?)-->|<!--.*\Z|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*)>""", re.S)
@@ -370,8 +371,9 @@ def extract_pages(pages: list[str], model: Boosted) -> list[str]:
         z = logit[at : at + len(t)]
         at += len(t)
         kept = decode(t, z)
-        # the wrapper elements that lead to kept text are kept as well, but their stray direct text only on its own merit
-        out.append(text_of(t, kept, kept & ((z > 0) | np.array([bool(e.groups) is False and e.node.tag in ("p", "li", "td", "blockquote", "pre", "h1", "h2", "h3", "h4") for e in t]))))
+        # wrappers that lead to kept text are kept, but their own stray text only if they look like content themselves
+        plain = np.array([e.node.tag in TEXT_TAGS and not e.groups for e in t])
+        out.append(text_of(t, kept, kept & ((z > 0) | plain)))
     return out
 
 
