@@ -3,7 +3,7 @@
 Fitting, on at most ``sample`` vectors (the smallest hashes of vec_id, a documented bound): a neighbour graph of the
 sample is cut into balanced partitions (median splits along principal directions, then moves that gain neighbours
 within a size limit), and a small network learns which partitions hold a vector's neighbours. How many partitions a
-query visits is measured on sample queries: the fewest that reach ``target`` recall.
+query visits is measured on sample queries: the fewest that reach ``target`` recall, and as many as hold ``k`` rows.
 
 Searching: every row of the table goes to its most probable partition; a query goes to its most probable few, and all
 their rows are reranked by exact distance. A partition is dealt out over as many chunks as its rows ask for, so a
@@ -214,12 +214,14 @@ def search(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding", spec
     dim = int(np.bincount(sizes).argmax()) if len(sizes) else 1
     x = np.array([r.as_py() for r, n in zip(sample["v"], sizes, strict=True) if n == dim], float).reshape(-1, dim)
     shared = spark.sparkContext.broadcast(fit_router(x, spec))
-    visits = shared.value.visits
+    parts = len(shared.value.b2)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All partitions in order for queries, the first one for other rows."""
         for b in batches:
-            ranked = shared.value.ranked(_matrix(b.column(1), dim), visits).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(ranked), pa.list_(pa.int32()))], names=["id", "v", "parts"])
+            ranked = shared.value.ranked(_matrix(b.column(1), dim), parts).astype(np.int32)
+            asks = b.column(0).to_numpy() % spec.every == 0
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r if q else r[:1] for r, q in zip(ranked, asks, strict=True)], pa.list_(pa.int32()))], names=["id", "v", "parts"])
 
     placed = ws.save(rows.where(F.size("v") == dim).mapInArrow(route, "id long, v array<double>, parts array<int>"), "placed")
     counts = {r[0]: r[1] for r in placed.groupBy(F.col("parts")[0].alias("part")).count().collect()}  # one row per partition
@@ -227,13 +229,16 @@ def search(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding", spec
     goal = min(spec.most_chunk, max(spec.least_chunk, total // max(1, len(counts))))
     if not counts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    least = np.cumsum(sorted(counts.get(p, 0) for p in range(parts)))
+    enough = int(np.searchsorted(least, min(spec.k + 1, total))) + 1  # any so many partitions hold k candidates
+    visits = min(parts, max(shared.value.visits, enough))
     chunks = F.create_map(*(F.lit(int(y)) for p, n in counts.items() for y in (p, -(-n // goal))))
     is_query = F.col("id") % spec.every == 0
     blocks = max(1, -(-placed.where(is_query).count() // spec.query_block))
     cell = lambda part, chunk, block: F.xxhash64(part, chunk, block)
     home = F.col("parts")[0]
     stored = placed.select("id", "v", home.alias("part"), F.pmod(F.xxhash64("id", F.lit(1)), chunks[home]).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(False).alias("asks"))
-    asked = placed.where(is_query).select("id", "v", F.explode("parts").alias("part")).dropDuplicates(["id", "part"]).where(F.array_contains(F.array(*(F.lit(int(p)) for p in counts)), F.col("part")))
+    asked = placed.where(is_query).select("id", "v", F.explode(F.slice("parts", 1, visits)).alias("part")).dropDuplicates(["id", "part"]).where(F.array_contains(F.array(*(F.lit(int(p)) for p in counts)), F.col("part")))
     asked = asked.select("id", "v", "part", F.explode(F.sequence(F.lit(0), (chunks[F.col("part")] - 1).cast("int"))).alias("chunk"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)).cast("int").alias("block"), F.lit(True).alias("asks"))
     both = stored.union(asked).select(cell("part", "chunk", "block").alias("cell"), "asks", "id", "v")
 

