@@ -92,7 +92,7 @@ def _set_pass(docs: DataFrame, key: str, text: str, spec: JoinSpec, whole: bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHash()
-        for batch in batches:
+        for batch in (b.slice(o, 512) for b in batches for o in range(0, b.num_rows, 512)):  # few sets at a time
             sets = [shingles(b.as_py(), spec.words, table) for b in batch.column(1)]
             sizes = pa.array([len(s) for s in sets], pa.int64())
             if whole:

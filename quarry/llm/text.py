@@ -17,7 +17,7 @@ _SPACE = b" \t\n\r\x0b\x0c"
 class WordHash(dict):
     """word (bytes) -> 64-bit hash; forgets everything beyond ``limit`` words, so its memory is bounded."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 250_000):
         super().__init__()
         self.limit = limit
 
