@@ -131,19 +131,24 @@ def domain_score(text: Column, patterns: dict[str, tuple[str, ...]] | None = Non
     """struct(domain, keywords): two cancer patterns decide; one yields to more than two of development; else the most."""
     patterns = patterns or lexicon.DOMAIN_PATTERNS
     t = F.lower(text)
-    found = {d: F.filter(F.array(*(F.when(t.rlike(_NO_CASE + p), p) for p in ps)), lambda x: x.isNotNull()) for d, ps in patterns.items()}
-    n = {d: F.size(found[d]) for d in patterns}
-    most = F.greatest(*n.values())
     none = F.array().cast("array<string>")
-    pick = lambda d: F.struct(F.lit(d).alias("domain"), found[d].alias("keywords"))
-    out = F.when(most == 0, F.struct(F.lit("unknown").alias("domain"), none.alias("keywords")))
-    if "cancer" in n:
-        out = out.when(n["cancer"] >= 2, pick("cancer"))
-        if "development" in n:
+    # the text is in lower case, so patterns in lower case find what they find in any case, and plain words are searched fast
+    found = F.struct(*(F.filter(F.array(*(F.when(t.rlike(p.lower()), p) for p in ps)), lambda x: x.isNotNull()).alias(d) for d, ps in patterns.items()))
+
+    def decide(f: Column) -> Column:
+        n = {d: F.size(f[d]) for d in patterns}
+        most = F.greatest(*n.values())
+        pick = lambda d: F.struct(F.lit(d).alias("domain"), f[d].alias("keywords"))
+        out = F.when(most == 0, F.struct(F.lit("unknown").alias("domain"), none.alias("keywords")))
+        if "cancer" in n:
+            out = out.when(n["cancer"] >= 2, pick("cancer"))
+        if "cancer" in n and "development" in n:
             out = out.when((n["cancer"] == 1) & (n["development"] > 2), pick("development"))
-    for d in patterns:
-        out = out.when(n[d] == most, pick(d))
-    return out
+        for d in patterns:
+            out = out.when(n[d] == most, pick(d))
+        return out
+
+    return F.get(F.transform(F.array(found), decide), F.lit(0))  # bound once, so that each pattern runs once
 
 
 def domain_first(text: Column) -> Column:
