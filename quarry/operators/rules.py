@@ -133,7 +133,7 @@ def domain_score(text: Column, patterns: dict[str, tuple[str, ...]] | None = Non
     t = F.lower(text)
     none = F.array().cast("array<string>")
     # the text is in lower case, so patterns in lower case find what they find in any case, and plain words are searched fast
-    found = F.struct(*(F.filter(F.array(*(F.when(t.rlike(p.lower()), p) for p in ps)), lambda x: x.isNotNull()).alias(d) for d, ps in patterns.items()))
+    found = F.struct(*(F.filter(F.array(*(F.when(t.contains(p.lower()) if p.isalpha() else t.rlike(p.lower()), p) for p in ps)), lambda x: x.isNotNull()).alias(d) for d, ps in patterns.items()))
 
     def decide(f: Column) -> Column:
         n = {d: F.size(f[d]) for d in patterns}
