@@ -118,7 +118,7 @@ _COS = "round(list_dot_product(a.embedding::double[], b.embedding::double[]) / (
 @query(f"""select a.vec_id as raw, b.vec_id as id, {_COS} as score from embeddings a, embeddings b where a.label = 0 and a.vec_id < 500 and b.label != 0 and {_COS} >= 0.3 qualify row_number() over (partition by a.vec_id order by score desc, b.vec_id) = 1""")
 def ontology_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    wanted = e.where("label = 0 and vec_id < 500").select(F.col("vec_id").alias("raw"), F.col("embedding").alias("vec"))  # the terms without an exact match
+    wanted = e.where("label = 0").select(F.col("vec_id").alias("raw"), F.col("embedding").alias("vec"))  # the terms without an exact match
     return nearest_matches(wanted, e.where("label != 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), 0.3)
 
 

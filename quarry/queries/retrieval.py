@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.lexicon import LIMITS
 from quarry.functions.text import truncate
+from quarry.functions.vector import constant, cosine
 from quarry.operators.lookup import expand_queries
 from quarry.operators.ranking import budget_prefix, by_recency, max_marginal_relevance, merge_rankings, reciprocal_rank_fusion, sample_rows, top_k, top_per_group
 from quarry.plans.answer import context_text, field_chunks, within_budget
@@ -112,8 +113,10 @@ def multi_step_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def mmr_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few = top_per_group(table(spark, sf_dir, "embeddings"), ["label"], ["vec_id"], 50)
-    return max_marginal_relevance(few.withColumn("relevance", F.lit(1.0) / F.col("rank")), "label", "vec_id", "embedding", "relevance")
+    asked = constant(_vector(spark, sf_dir, 0))
+    e = table(spark, sf_dir, "embeddings").withColumn("relevance", F.round(cosine(F.col("embedding"), asked), 9))
+    few = top_per_group(e, ["label"], [F.desc("relevance"), "vec_id"], 50)
+    return max_marginal_relevance(few, "label", "vec_id", "embedding", "relevance")
 
 
 @query("select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as submission_date from orders order by submission_date desc, o_orderkey limit 25")

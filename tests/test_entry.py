@@ -34,3 +34,20 @@ def test_queries_give_what_their_sql_gives(spark, name):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def _vectors(spark, path, rows):
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{path}/embeddings.parquet")
+    return str(path)
+
+
+def test_ontology_nearest_asks_for_every_vector_without_a_label(spark, tmp_path):
+    data = _vectors(spark, tmp_path, [(1, [1.0, 0.0], 0), (500, [1.0, 0.1], 0), (9000, [0.1, 1.0], 0), (2, [1.0, 0.0], 1), (700, [0.0, 1.0], 2)])
+    got = {r.raw: r.id for r in catalogue.QUERIES["ontology_nearest"](spark, data).collect()}
+    assert got == {1: 2, 500: 2, 9000: 700}
+
+
+def test_mmr_reorder_takes_the_most_relevant_rows(spark, tmp_path):
+    rows = [(0, [1.0, 0.0], 1), *((i, [0.0, 1.0], 1) for i in range(1, 60)), (99, [1.0, 0.1], 1)]
+    got = catalogue.QUERIES["mmr_reorder"](spark, _vectors(spark, tmp_path, rows)).collect()
+    assert len(got) == 50 and {0, 99} <= {r.vec_id for r in got}
