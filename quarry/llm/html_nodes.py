@@ -11,7 +11,8 @@ Text: character references are decoded once, white space runs inside a block bec
 joined in page order by one space; nothing else is dropped or capped.
 
 Defined cases: null or empty html, or html without kept text, gives an empty text; broken markup (unclosed, unknown
-or stray tags, unclosed comments) is read as text and elements as far as it goes; repeated rows give equal texts.
+or stray tags, unclosed comments, stray quotes) is read as text and elements as far as it goes; a tag that the page's
+end cuts off is dropped; repeated rows give equal texts.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ IMPLIED = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in IMPL
 TEXT_TAGS = frozenset("p li td blockquote pre h1 h2 h3 h4".split())
 SKIPPED = frozenset("head script style noscript template iframe svg math title textarea select button input option object".split())
 
-_TAG = re.compile(r"""<!--(?:.*?)-->|<!--.*\Z|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*)>""", re.S)
+#: A quote counts only after ``=``; nothing is tried twice, so a page cut inside a tag takes one pass.
+_TAG = re.compile(r"""<!--(?:.*?)-->|<!--.*\Z|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>="']++|=\s*+(?:"[^"]*+"|'[^']*+')|[="'])*+)(>|\Z)""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 
@@ -66,6 +68,8 @@ def parse(page: str) -> Node:
         name = m[2]
         if not name:
             continue
+        if not m[4]:  # the page ends inside this tag
+            break
         name = name.lower()
         if m[1]:
             x = here
@@ -97,7 +101,7 @@ def parse(page: str) -> Node:
         if name in VOID or m[3].endswith("/") and name not in CLOSES_P and name not in INLINE:
             continue
         if name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+            end = re.compile(rf"</{name}\b[^>]*+(?:>|\Z)", re.I).search(page, at)
             node.items.append(page[at : end.start() if end else n])
             at = end.end() if end else n
             continue

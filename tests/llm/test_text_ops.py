@@ -125,6 +125,20 @@ def test_pages(spark):
     assert html_nodes.extract(spark.createDataFrame([], "page_id long, url string, html string"), model).collect() == []
 
 
+def test_pages_cut_inside_a_tag_and_stray_quotes():
+    import time
+
+    def texts(node):
+        return "".join(x if isinstance(x, str) else texts(x) for x in node.items)
+
+    began = time.monotonic()
+    assert texts(html_nodes.parse("<p>kept</p><div " + "x" * 24)) == "kept"
+    assert time.monotonic() - began < 2
+    for cut in ("<div", '<div class="a', "<div class='a b' id=", "</div", "<!doctype", "<script>var a</script"):
+        assert texts(html_nodes.parse("<p>kept</p>" + cut)).startswith("kept") and "div" not in texts(html_nodes.parse("<p>kept</p>" + cut))
+    assert texts(html_nodes.parse('<p title="5" tall">text</p><p title="a > b">more</p><p title=it\'s>end</p>')) == "textmoreend"
+
+
 def test_decoding_has_no_kept_node_below_a_dropped_one():
     model = html_training.train_node_model(60)
     maker = html_training.PageMaker(9)
