@@ -1,6 +1,7 @@
 """Secret scan with a random forest that removes false positives.
 
-Candidates are long runs of key-like characters with a digit. Each gets features on the JVM: length, changes of
+Candidates are long runs of key-like characters with a digit, and shorter values, with or without a digit, that are
+assigned to a keyword such as ``password``. Each gets features on the JVM: length, changes of
 character class, shares of classes, coverage by dictionary words, the path it was found under and the words beside it.
 A random forest, trained in numpy on labelled findings, becomes one SQL expression over these features, so scoring
 stays inside the scan of the texts and shuffles nothing.
@@ -23,7 +24,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/=\-])(?=[A-Za-z_+/=\-]{0,64}[0-9])[A-Za-z0-9_+/=\-]{16,}"
+_SECRET_NAME = r"(?i:secret|token|passw(?:or)?d|passwd|passphrase|pwd|api[_\-]?key|access[_\-]?key|private[_\-]?key|credentials?|auth)[A-Za-z_\-]{0,8}"
+_ASSIGN = r"[\"'`]?[ \t]{0,3}(?:=>|:=|=|:)[ \t]{0,3}"
+#: What is assigned to a keyword, of 6 printable characters or more and with or without a digit: in quotes, as a parameter of a URL, or bare.
+_QUOTED = rf"(?<=[\"'`])(?<={_SECRET_NAME}{_ASSIGN}[\"'`])[!-~&&[^\"'`]]{{6,}}+(?=[\"'`])"
+_PARAMETER = rf"(?<==)(?<=[?&][A-Za-z_\-]{{0,24}}{_SECRET_NAME}=)[!-~&&[^\"'`<>,;&#()]]{{5,}}[!-~&&[^\"'`<>,;&#().:]]"
+_BARE = rf"(?<=[=:>\t ])(?<={_SECRET_NAME}{_ASSIGN})(?![=:> ])[!-~&&[^\"'`<>,;()]]{{5,}}[!-~&&[^\"'`<>,;().:]]"
+#: A run of key-like characters with a digit, anywhere; ``=`` is padding at its end only, so a run starts behind ``name=``.
+_RUN = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*+[0-9])[A-Za-z0-9_+/\-]{16,}+(?:={1,2}(?![A-Za-z0-9_+/=\-]))?"
+CANDIDATE = "|".join((_QUOTED, _PARAMETER, _BARE, _RUN))
 
 #: Words that names and prose are made of; what they cover isn't random.
 DICTIONARY = (
@@ -88,6 +97,20 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, str, str, str, int]]
     paths = ["", "", "src0", "web", "src/app/settings.py", "deploy/prod.env", "lib/client.js", "config.yaml", "README.md", "tests/test_api.py", "docs/guide.md", "src/main.go"]
     names = ["token", "secret", "api_key", "API_KEY", "apiKey", "password", "access_key", "auth_token", "client_secret", "private_key", "webhook_secret"]
     joins = [' = "', " = '", '="', ': "', "=", ": ", " := '", " "]
+    leet = str.maketrans("aeios", "4310$")
+    short = [
+        lambda: pick(mixed + "!@#$%&*?", r.randint(7, 14)) + r.choice(dig + "!#$"),
+        lambda: r.choice(DICTIONARY).capitalize().translate(leet) + pick(low + dig, r.randint(1, 4)) + r.choice("!&#$@") + pick(mixed, r.randint(2, 3)),
+        lambda: r.choice(DICTIONARY) + pick(dig, r.randint(2, 4)),
+        lambda: pick(low + up, r.randint(16, 32)),
+    ]
+    plain = [
+        lambda: r.choice(DICTIONARY).ljust(6, "s"),
+        lambda: pick(low, r.randint(6, 11)).capitalize() if r.random() < 0.5 else pick(low, r.randint(6, 11)),
+        lambda: ".".join((r.choice(["self", "config", "settings", "os.environ", "request", "process.env"]), r.choice(names))),
+        lambda: r.choice(["${%s}", "{{%s}}", "$%s", "get_%s", "%s_value", "my_%s"]) % r.choice(names),
+        lambda: r.choice(["required", "optional", "undefined", "string", "******", "xxxxxx", "changeme", "redacted", "[hidden]", "Optional[str]"]),
+    ]
     found = []
     while len(found) < n:
         path = r.choice(paths)
@@ -111,9 +134,13 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, str, str, str, int]]
                 j = r.choice(joins)
                 before = filler() + r.choice([" ", "\n", ", "]) + r.choice(["", "the ", "my_", "const "]) + r.choice(names) + j
                 after = (j[-1] if j[-1] in "\"'" else "") + r.choice(["", " ", "\n", ";"]) + filler()
+                if r.random() < 0.15:
+                    before, after = f"https://{pick(low, 6)}.{r.choice(['net', 'com', 'org'])}/{pick(low, 5)}" + r.choice(["?", "?page=2&", "?q=a&"]) + r.choice(names) + "=", r.choice(["", "&", "&"]) + filler()
+                elif j != " " and r.random() < 0.35:
+                    cand = r.choice(short)()
             found.append((before, cand, after, path, 1))
             continue
-        kind = r.randint(0, 8)
+        kind = r.randint(0, 10)
         before, after = filler() + " ", " " + filler()
         if kind == 0:
             cand, before = pick(hexa, r.choice([32, 40, 64])), filler() + r.choice([" sha256: ", " md5=", " commit ", " checksum: ", ' integrity="', " etag ", " revision "])
@@ -136,6 +163,10 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, str, str, str, int]]
             cand = word[: r.randint(16, 30)].ljust(16, "e") + pick(dig, r.randint(1, 3))
         elif kind == 7:
             cand = "-".join((str(r.randint(1990, 2030)), pick(dig, 2), pick(dig, 2))) + r.choice(["T", "-", "_"]) + pick(dig, 6) + r.choice(["", "-release", "_build"])
+        elif kind > 8:
+            j = r.choice(joins[:-1])
+            cand, before = r.choice(plain)(), filler() + r.choice([" ", "\n"]) + r.choice(names) + j
+            after = (j[-1] if j[-1] in "\"'" else "") + r.choice(["", " ", "\n"]) + filler()
         else:
             cand, before, path = pick(hexa, 40), filler() + r.choice([" example ", " sample ", " dummy "]) + r.choice(["", "token = "]), r.choice(["tests/test_api.py", "docs/guide.md", "examples/readme.md"])
         found.append((before, cand, after, path, 0))
@@ -227,13 +258,15 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
     ends = F.aggregate(sizes, F.array().cast("array<long>"), lambda a, s: F.array_append(a, (F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + s).cast("long")))
     found = found.withColumn("ends", ends)
     one = found.select(key, "path", "found", "gaps", "ends", F.explode(F.sequence(F.lit(0), F.size("found") - 1)).alias("nth"))
-    cand = F.get("found", "nth")
+    cand, gap = F.get("found", "nth"), F.get("gaps", "nth")
+    named = gap.rlike(rf"^{_ASSIGN}[\"'`]?$")  # the candidate before it is the name that it is assigned to
+    before = F.when(named, F.concat(F.coalesce(F.get("found", F.col("nth") - 1), F.lit("")), gap)).otherwise(gap)
     return one.select(
         key,
         F.col("nth").cast("long").alias("nth"),
         (F.get("ends", "nth") - F.length(cand)).alias("start"),
         cand.alias("candidate"),
-        F.right(F.get("gaps", "nth"), F.lit(context)).alias("before"),
+        F.right(before, F.lit(context)).alias("before"),
         F.left(F.get("gaps", F.col("nth") + 1), F.lit(context)).alias("after"),
         "path",
     )
