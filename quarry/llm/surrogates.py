@@ -8,7 +8,7 @@ Given names are exchanged inside lists of one gender and script; other name word
 
 Distinctness is checked, not assumed: all distinct entities of the corpus get their surrogates, and of those that
 collide with each other, or with an original of the same kind, all but one are drawn again with the next attempt until
-no collision is left. Only entities whose attempt isn't 0 need a lookup when texts are rewritten; if there are none,
+no collision is left; made-up words get longer with the attempts. Only entities whose attempt isn't 0 need a lookup when texts are rewritten; if there are none,
 texts are rewritten in one pass without a join.
 
 Main path: DataFrame functions only. Defined cases: null texts stay null; texts without mentions stay as they are;
@@ -189,6 +189,14 @@ def surrogate_norm(spec: SurrogateSpec, kind: Column, norm: Column, one: Column,
     return found
 
 
+def _lengthened(kind: Column, two: Column, attempt: Column, s: Column) -> Column:
+    """``s`` with one more syllable for every four attempts at a made-up word, so that the words never run out."""
+    more = F.lit("")
+    for script, parts in _SYLLABLES.items():
+        more = F.when(kind == f"name:{script}", _spelled(F.substring(two, F.lit(1), F.floor(attempt / 4).cast("int")), parts)).otherwise(more)
+    return F.when(attempt < 4, s).otherwise(F.concat(s, more))
+
+
 def _fill_digits(shape: Column, digits: Column) -> Column:
     """``shape`` with its digits replaced by ``digits`` in order."""
     place = lambda i: F.length(_digits_only(F.substring(shape, F.lit(1), i + 1)))
@@ -226,8 +234,8 @@ def surrogates_of(spec: SurrogateSpec, mentions: Column, attempt_of) -> Column:
         return lambda ps: F.transform(ps, f)
 
     tried = F.transform(parts_of(mentions), each(lambda p: F.struct(p["text"].alias("text"), p["kind"].alias("kind"), p["norm"].alias("norm"), attempt_of(p["kind"], p["norm"]).alias("attempt"))))
-    drawn = F.transform(tried, each(lambda p: F.struct(*(p[c].alias(c) for c in ("text", "kind", "norm")), *(_digest(spec, p["kind"], p["norm"], p["attempt"], n).alias(c) for n, c in (("1", "one"), ("2", "two"))))))
-    found = F.transform(drawn, each(lambda p: F.struct(p["text"].alias("text"), p["kind"].alias("kind"), surrogate_norm(spec, p["kind"], p["norm"], p["one"], p["two"]).alias("s"))))
+    drawn = F.transform(tried, each(lambda p: F.struct(*(p[c].alias(c) for c in ("text", "kind", "norm", "attempt")), *(_digest(spec, p["kind"], p["norm"], p["attempt"], n).alias(c) for n, c in (("1", "one"), ("2", "two"))))))
+    found = F.transform(drawn, each(lambda p: F.struct(p["text"].alias("text"), p["kind"].alias("kind"), _lengthened(p["kind"], p["two"], p["attempt"], surrogate_norm(spec, p["kind"], p["norm"], p["one"], p["two"])).alias("s"))))
     return F.transform(found, lambda ps: F.array_join(F.transform(ps, lambda p: _formatted(p["text"], p["kind"], p["s"])), " "))
 
 
@@ -243,7 +251,7 @@ def assign_attempts(entities: DataFrame, spec: SurrogateSpec, ws: Workspace) ->
     for step in range(spec.attempts):
         keys = (F.col("kind"), F.col("norm"), F.col("attempt"))
         all_ = drawn.withColumns({"one": _digest(spec, *keys, "1"), "two": _digest(spec, *keys, "2")})
-        all_ = all_.select("kind", "norm", "attempt", surrogate_norm(spec, F.col("kind"), F.col("norm"), F.col("one"), F.col("two")).alias("s"))
+        all_ = all_.select("kind", "norm", "attempt", _lengthened(F.col("kind"), F.col("two"), F.col("attempt"), surrogate_norm(spec, F.col("kind"), F.col("norm"), F.col("one"), F.col("two"))).alias("s"))
         nth = F.row_number().over(Window.partitionBy("kind", "s").orderBy("attempt", "norm"))
         original = entities.select("kind", F.col("norm").alias("s"), F.lit(True).alias("taken"))
         ranked = all_.withColumn("nth", nth).join(original, ["kind", "s"], "left")

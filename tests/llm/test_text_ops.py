@@ -258,6 +258,13 @@ def test_surrogates_stay_distinct_when_draws_collide(spark, monkeypatch):
     assert len(set(seen.values())) == 12 and not set(seen.values()) & {f"10.0.0.{i}" for i in range(6)}
 
 
+def test_more_name_words_than_short_made_up_words(spark, monkeypatch):
+    monkeypatch.setitem(surrogates._SYLLABLES, "latin", ["ba", "do"] * 8)  # 32 words of five syllables
+    rows = [row(i, f"Mr. Q{chr(97 + i // 26)}{chr(97 + i % 26)}x was here") for i in range(60)]
+    got = surrogates.replace_entities(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len({r.text for r in got}) == 60 and not {r.text for r in got} & {r[1] for r in rows}
+
+
 def test_check_digits_follow_the_original(spark):
     from pyspark.sql import functions as F
 
