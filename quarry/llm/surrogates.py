@@ -29,8 +29,8 @@ from quarry.runtime import Workspace
 
 #: Given names by script and gender, exchanged inside one list.
 GIVEN = {
-    "latin:f": "Alice Anna Barbara Carmen Catherine Charlotte Claire Elena Elizabeth Emily Emma Hannah Ingrid Isabella Jennifer Jessica Julia Karen Laura Linda Lucia Maria Margaret Martha Mary Nancy Olivia Patricia Rachel Rebecca Sarah Sofia Sophie Susan Ursula".split(),
-    "latin:m": "Alexander Andrew Antonio Charles Christopher Daniel David Edward Francisco Frank George Hans Henry Jacques James Javier John Joseph Juan Jürgen Kevin Klaus Luis Mark Matthew Michael Miguel Patrick Paul Peter Philip Pierre Richard Robert Stephen Thomas Walter William Wolfgang".split(),
+    "latin:f": "Alice Anna Barbara Carmen Catherine Charlotte Claire Elena Elizabeth Emily Emma Hannah Ingrid Isabella Jennifer Jessica Julia Karen Laura Linda Lucia Maria Margaret Martha Mary Nancy Olivia Patricia Rachel Rebecca Sarah Sofia Sophie Susan Ursula Abigail Adriana Agnes Alexandra Alicia Amanda Amelia Amy Ana Andrea Angela Anita Anja Anne Annette Ashley Audrey Beatrice Beatriz Birgit Brenda Brigitte Camille Caroline Cécile Céline Chantal Christina Christine Claudia Cristina Cynthia Deborah Denise Diana Diane Donna Dorothy Edith Eleanor Ellen Élise Emilia Émilie Erika Esther Eva Evelyn Florence Françoise Gabriele Gabriela Gertrud Gisela Gloria Grace Greta Heather Heidi Heike Helen Helena Helga Inés Irene Isabel Isabelle Jacqueline Jane Janet Jean Jessika Joan Joanna Josefina Joyce Juana Juliette Karin Katharina Katherine Kathleen Kelly Kimberly Kirsten Kristin Lauren Léa Lena Leonie Lisa Louise Lucy Luisa Manon Margarita Marie Marion Marta Martina Megan Melanie Melissa Mercedes Michelle Monica Monika Monique Nathalie Natalie Nicole Nina Pamela Paula Petra Pilar Renate Rosa Rosario Ruth Sabine Samantha Sandra Sara Sharon Shirley Silvia Simone Stefanie Stephanie Susanne Sylvie Teresa Theresa Valentina Valérie Vanessa Verónica Victoria Virginia Vivian Yolanda Yvonne Zoe".split(),
+    "latin:m": "Alexander Andrew Antonio Charles Christopher Daniel David Edward Francisco Frank George Hans Henry Jacques James Javier John Joseph Juan Jürgen Kevin Klaus Luis Mark Matthew Michael Miguel Patrick Paul Peter Philip Pierre Richard Robert Stephen Thomas Walter William Wolfgang Aaron Adam Adrian Alain Alan Albert Alberto Alejandro Alfred Andreas Anthony Arnaud Arthur Austin Benjamin Bernard Bernd Brandon Brian Bruce Bruno Carl Carlos Christian Christoph Claude Craig Dennis Dieter Diego Dominik Donald Douglas Dylan Emilio Emmanuel Enrique Eric Ernst Ethan Étienne Eugene Fabian Felix Fernando Florian François Franz Frederick Friedrich Gabriel Gary Georg Gerald Gerhard Gérard Gilbert Gregory Guillaume Günter Harold Heinrich Heinz Helmut Henri Hermann Horst Hugo Ian Ignacio Isaac Jack Jacob Jan Jason Jean-Pierre Jeffrey Jeremy Jerry Jesse Jesús Jonas Jonathan Jorge Jose José Joshua Juergen Jules Julian Justin Karl Keith Kenneth Kurt Kyle Larry Lars Laurent Lawrence Leon Leonard Logan Louis Lucas Lukas Manfred Manuel Marc Marcel Marco Mario Markus Martin Mateo Mathieu Matthias Maurice Max Maximilian Michel Nathan Nicholas Nicolas Noah Olivier Oscar Otto Pablo Pascal Pedro Philipp Philippe Rafael Ralf Ralph Ramón Raymond Raúl Reinhard Roger Roland Ronald Russell Ryan Samuel Santiago Scott Sean Sebastian Sergio Simon Stefan Stephan Steven Sven Théo Thierry Timothy Tobias Uwe Victor Vincent Wayne Werner Wilhelm Xavier Yves Zachary".split(),
     "cyrillic:f": "Анна Екатерина Елена Ирина Людмила Мария Наталья Ольга Светлана Татьяна".split(),
     "cyrillic:m": "Александр Алексей Андрей Владимир Дмитрий Иван Михаил Николай Павел Сергей".split(),
     "greek:f": "Αικατερίνη Ελένη Ιωάννα Μαρία Σοφία".split(),
@@ -43,16 +43,28 @@ _SYLLABLES = {
 }
 _TITLES = r"(?:Mrs|Mr|Ms|Dr|Sra|Sr|Mme|Prof)\.|Miss|Herr|Frau|Monsieur|Madame|Señora|Señor|Г-жа|Г-н|Κύριος|Κυρία"
 _WORD = r"\p{Lu}[\p{L}'’\-]+"
-_ALL_GIVEN = "|".join(sorted({n for ns in GIVEN.values() for n in ns}, key=lambda n: (-len(n), n)))
+_LABELS = "(?:Name|Contact|Author|Patient|Employee|Customer|Nom|Auteur|Nombre|Autor|Kunde|Kundin|Ansprechpartner):"
+_INITIAL = r"\p{Lu}\."
+_PARTICLE = "(?:de|del|la|du|di|da|van|von|der|den|zu)"
+_BY_LETTER: dict[str, list[str]] = {}
+for _n in sorted({n for ns in GIVEN.values() for n in ns}, key=lambda n: (-len(n), n)):
+    _BY_LETTER.setdefault(_n[0], []).append(_n[1:])
+_ALL_GIVEN = "|".join(f"{k}(?:{'|'.join(v)})" for k, v in sorted(_BY_LETTER.items()))  # by first letter, so that most words fail at once
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
 _EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
-_PHONE = r"(?<![\d+])\+\d{1,3}(?:[ .\-]?\(\d{1,4}\))?(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[\-. ]\d{4}(?!\d)|(?<![\d.\-])\d{3}[\-.]\d{3}[\-.]\d{4}(?![\d\-])"
+_INTERNATIONAL = r"(?<![\d+])\+\d{1,3}(?:[ .\-]?\(\d{1,4}\))?(?:[ .\-]?\d(?=[ .\-]))?(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[\-. ]\d{4}(?!\d)|(?<![\d.\-])\d{3}[\-.]\d{3}[\-.]\d{4}(?![\d\-])"
+#: National numbers: French pairs, German and British numbers with a leading 0, Spanish groups of a 9-digit number, and spaced American ones.
+_NATIONAL = (
+    r"0[1-9](?:[ .\-]?\d{2}){4}|(?=(?:[ /\-]?\d){8,13}(?![ .\-/]?\d))0[1-9]\d{1,4}[ /\-]\d{2,8}(?:[ \-]\d{2,5}){0,3}"
+    r"|[6789]\d{2}(?:[ .\-]\d{3}){2}|[6789]\d{2}(?: \d{2}){3}|9\d \d{3} \d{2} \d{2}|(?:1[ \-.])?[2-9]\d{2}[ \-.]\d{3}[ \-.]\d{4}"
+)
+_PHONE = rf"{_INTERNATIONAL}|(?=\d)(?<![\p{{L}}\d.,+/_\-])(?:{_NATIONAL})(?![ .\-/]?\d)(?![\p{{L}}_])"
 _IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
 _SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 _IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 _CARD = r"(?<![\d.])\d{4}(?:[ \-]?\d{4}){2,3}(?:[ \-]?\d{1,3})?(?!\d)"
-_NAME = rf"(?<![\p{{L}}])(?:{_TITLES}) {_WORD}(?: {_WORD})?|(?<![\p{{L}}])(?:{_ALL_GIVEN}) {_WORD}"
+_NAME = rf"(?=\p{{Lu}})(?<![\p{{L}}])(?:(?:{_TITLES}|{_LABELS}) {_WORD}(?: {_INITIAL})?(?: {_PARTICLE}){{0,2}}(?: {_WORD})?|(?:{_ALL_GIVEN})(?: {_INITIAL})?(?: {_PARTICLE}){{0,2}} {_WORD})"
 MENTION = "|".join((_EMAIL, _PHONE, _IP, _SSN, _IBAN, _CARD, _NAME))
 
 
@@ -80,7 +92,7 @@ def kind_of(m: Column) -> Column:
     return (
         F.when(m.contains("@"), "email")
         .when(m.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), "ip")
-        .when(m.rlike(r"^(?:\+|\()|^\d{3}[\-.]\d{3}[\-.]\d{4}$"), "phone")
+        .when(m.rlike(rf"^(?:\+|\()|^\d{{3}}[\-.]\d{{3}}[\-.]\d{{4}}$|^(?:{_NATIONAL})$"), "phone")
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(m.rlike(r"^[A-Z]{2}\d{2}[ A-Z0-9]+$"), "iban")
         .when(m.rlike(r"^\d"), "card")
@@ -116,7 +128,7 @@ def parts_of(mentions: Column) -> Column:
     typed = F.transform(mentions, lambda m: F.struct(m.alias("text"), kind_of(m).alias("kind")))
 
     def word(w: Column) -> Column:
-        kind = F.when(~w.rlike(rf"^(?:{_TITLES})$"), name_kind(w))
+        kind = F.when(~w.rlike(rf"^(?:{_TITLES}|{_LABELS}|{_INITIAL}|{_PARTICLE})$"), name_kind(w))
         return F.struct(w.alias("text"), kind.alias("kind"), F.lower(w).alias("norm"))
 
     def parts(x: Column) -> Column:

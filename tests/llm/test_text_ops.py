@@ -258,6 +258,19 @@ def test_surrogates_stay_distinct_when_draws_collide(spark, monkeypatch):
     assert len(set(seen.values())) == 12 and not set(seen.values()) & {f"10.0.0.{i}" for i in range(6)}
 
 
+def test_spaced_and_national_phones_and_more_names(spark):
+    phones = ["+33 6 12 34 56 78", "+33 1 42 68 53 00", "+61 2 9374 4000", "06 12 34 56 78", "030 1234567", "555 123 4567", "612 345 678", "91 123 45 67", "020 7946 0958", "+1 (487) 555-7209"]
+    names = ["Nathan Brown", "Nathan J. Brown", "Ludwig", "Name: Zora Quist", "Pedro de la Vega"]
+    rows = [row(i, f"call {p} now") for i, p in enumerate(phones)] + [row(50 + i, f"so {n} said") for i, n in enumerate(names)] + [row(90, "on 2024-01-02 about 12 345 of 0.1234 in v1.2.3")]
+    got = {r.doc_id: r for r in surrogates.replace_entities(spark.createDataFrame(rows, SCHEMA), count="n").collect()}
+    for i, p in enumerate(phones):
+        shape = lambda t: re.sub(r"\d", "0", t)
+        assert got[i].n == 1 and got[i].text != rows[i][1] and shape(got[i].text) == shape(rows[i][1]), (p, got[i].text)
+    assert [got[50 + i].n for i in range(len(names))] == [1, 1, 0, 1, 1]
+    assert not re.search("Nathan|Brown|Zora|Quist|Pedro|Vega", " ".join(got[50 + i].text for i in range(len(names))))
+    assert got[90].n == 0
+
+
 def test_more_name_words_than_short_made_up_words(spark, monkeypatch):
     monkeypatch.setitem(surrogates._SYLLABLES, "latin", ["ba", "do"] * 8)  # 32 words of five syllables
     rows = [row(i, f"Mr. Q{chr(97 + i // 26)}{chr(97 + i % 26)}x was here") for i in range(60)]
