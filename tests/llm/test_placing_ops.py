@@ -67,12 +67,66 @@ def test_capacity_is_the_smallest(spark):
         assert max(load.values()) == want
 
 
-def test_giant_groups_get_shards_of_their_own(spark):
+def hash_order(spark, rows):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame(rows, SCHEMA).select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), (F.octet_length(F.coalesce("text", F.lit(""))) + 16).alias("w"))
+    return [(r.h, r.w) for r in docs.groupBy("h").agg(F.sum("w").alias("w")).orderBy("h").collect()]
+
+
+def check_contiguous(spark, rows, shards, **spec):
+    """Shards are runs of the hash order, and the largest is as small as the brute force finds."""
+    from pyspark.sql import functions as F
+
+    load = check_shards(spark, rows, shards, **spec)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = minimax_shards.shard_documents(docs, spec=minimax_shards.ShardSpec(shards=shards, **spec))
+    by_hash = got.join(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")), "doc_id").select("h", "shard").distinct().orderBy("h").collect()
+    places = [r.shard for r in by_hash]
+    assert places == sorted(places)
+    assert max(load.values()) == smallest_capacity([w for _, w in hash_order(spark, rows)], shards)
+    return load
+
+
+def test_giant_groups_stand_alone_in_the_order(spark):
     rows = [row(i, "copied text " * 20) for i in range(200)] + [row(1000 + i, f"other text {i} " * (i % 5 + 1)) for i in range(100)]
-    load = check_shards(spark, rows, 6)
     giant = 200 * (len("copied text " * 20) + 16)
-    rest = sorted(v for v in load.values() if v != giant)
-    assert giant in load.values() and len(load) == 6 and rest[-1] < 1.3 * rest[0]
+    for summary in (2, 16, 65_536):
+        load = check_contiguous(spark, rows, 6, summary_rows=summary)
+        rest = sorted(v for v in load.values() if v != giant)
+        assert giant in load.values() and len(load) == 6 and rest[-1] < 3 * rest[0]  # the run before the giant is shorter
+    more = rows + [row(2000 + i, "a second group of copies " * 9) for i in range(60)] + [row(3000 + i, "and a third one " * 5) for i in range(40)]
+    for shards in (2, 3, 4, 5, 9):
+        check_contiguous(spark, more, shards, summary_rows=16)
+    check_contiguous(spark, more, 150)
+
+
+def test_no_partition_of_small_orders_is_smaller(spark):
+    import itertools
+
+    rng = np.random.default_rng(2)
+    for trial in range(3):
+        rows = [row(i, f"t{trial} {i % 9} " + "y" * int(n)) for i, n in enumerate(rng.choice([1, 5, 60, 700], 11))]
+        weights = [w for _, w in hash_order(spark, rows)]
+        for shards in (2, 4):
+            cuts = itertools.combinations(range(1, len(weights)), shards - 1)
+            best = min(max(sum(weights[a:b]) for a, b in itertools.pairwise((0, *c, len(weights)))) for c in cuts)
+            assert max(check_shards(spark, rows, shards, summary_rows=4).values()) == best
+
+
+def test_many_groups_over_many_shards(spark):
+    """Some 50,000 groups: hundreds of cells are open at once."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(50_000).select(F.col("id").alias("doc_id"), F.concat(F.col("id").cast("string"), F.repeat(F.lit("z"), (F.col("id") * 7919 % 997).cast("int"))).alias("text"))
+    docs = docs.union(spark.range(50_000, 54_000).select("id", F.lit("a text with many copies")))
+    order = docs.groupBy(F.xxhash64("text").alias("h")).agg(F.sum(F.octet_length("text") + 16).alias("w")).orderBy("h").collect()
+    for shards, summary in ((40, 64), (40, 65_536), (300, 1024)):
+        got = minimax_shards.shard_documents(docs, spec=minimax_shards.ShardSpec(shards=shards, summary_rows=summary)).groupBy("shard").agg(F.sum("size").alias("n")).collect()
+        weights = [r.w for r in order]
+        cap = max(r.n for r in got)
+        assert greedy(weights, cap) <= shards and len(got) == shards
+        assert cap == max(weights) or greedy(weights, cap - 1) > shards
 
 
 # ---- mixing
