@@ -12,8 +12,9 @@ good quality.
 Base rules come first: too few words, or too many words inside repeated five-word windows.
 
 Defined cases: null text is an empty text; a text with fewer than ``min_words`` words fails the base rules; the
-tail of a text belongs to a chunk only if it has half a chunk at least; nothing depends on other rows, so copies and
-ties get equal verdicts; other columns are ignored.
+tail of a text belongs to a chunk only if it has half a chunk at least; a text of any length is measured whole, a few
+megabytes of texts at a time; nothing depends on other rows, so copies and ties get equal verdicts; an empty table gives
+an empty result; other columns, whatever their names, are ignored by ``judge`` and kept by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.text import code_points, utf8, word_code_points
+from quarry.llm.text import code_points, slices, utf8, word_code_points
 from quarry.runtime import ship
 
 _SYMBOLS = b"#*$%&|<>"
@@ -127,8 +128,8 @@ def judge(docs: DataFrame, limits: BandLimits | None = None, key: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=limits.level)
-        for batch in batches:
-            rows = [measure(b or b"", limits, squeeze) for b in batch.column(1).to_pylist()]
+        for batch in slices(batches, 1):
+            rows = [measure(b.as_py() or b"", limits, squeeze) for b in batch.column(1)]
             cols = list(zip(*rows, strict=True)) if rows else [[] for _ in _TYPES]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), t) for c, t in zip(cols, _TYPES, strict=True))], names=[key, *_NAMES])
 
@@ -148,9 +149,8 @@ def keep_good(docs: DataFrame, limits: BandLimits | None = None, key: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=limits.level)
-        for batch in batches:
-            texts = batch.column(at).cast(pa.binary()).to_pylist()
-            mask = [measure(b or b"", limits, squeeze)[-1] for b in texts]
+        for batch in slices(batches, at):
+            mask = [measure(b.as_py() or b"", limits, squeeze)[-1] for b in batch.column(at).cast(pa.binary())]
             yield batch.filter(pa.array(mask, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

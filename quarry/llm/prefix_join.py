@@ -20,11 +20,17 @@ The plan, none of whose steps lists all pairs of a group:
    all members: after the last round each pair of a list was verified, lies in one component, or can't link by a
    bound. There are two bounds on a pair besides the sizes: hashes that no other node holds can't be shared, and the
    number of bits in which the parity sketches of two sets differ is never more than the size of their symmetric
-   difference.
+   difference. Only pairs within the bounds ship whole sets.
+
+Hot keys are dealt over salts: a text that a third of all rows copy, empty texts (which join nothing), a prefix that
+thousands of near copies share, and a pivot that meets all members of its group. Each salt of a hot key has a small
+row of its own (the least id seen, or the pivot's set) that its rows meet. Links and labels are pairs of ids; where one
+id is hot there, their joins are left to the splitting of skewed partitions at run time.
 
 Defined cases: a null or blank text has an empty set and links with nothing; a text with one to four words is one
-shingle; equal rows collapse; rows that share a doc_id count as one document; an empty table gives an empty result;
-other columns are ignored.
+shingle; a text of any length is hashed whole, a few megabytes of texts at a time; equal rows collapse, and ties go to
+the smallest doc_id; rows that share a doc_id count as one document; a row without a doc_id takes the component of
+equal texts with one; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.components import label_components
-from quarry.llm.text import WordHash, list_array, mix, utf8
+from quarry.llm.text import WordHash, list_array, mix, slices, utf8
 from quarry.runtime import Workspace
 
 
@@ -49,6 +55,7 @@ class JoinSpec:
     first_pivots: int = 8
     growth: int = 4
     sketch_longs: int = 16
+    salts: int = 1024
 
     def alpha(self, n: int) -> int:
         """Least overlap with any set that a set of ``n`` shingles links with."""
@@ -92,7 +99,7 @@ def _set_pass(docs: DataFrame, key: str, text: str, spec: JoinSpec, whole: bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHash()
-        for batch in (b.slice(o, 512) for b in batches for o in range(0, b.num_rows, 512)):  # few sets at a time
+        for batch in slices(batches, 1):  # few sets at a time
             sets = [shingles(b.as_py(), spec.words, table) for b in batch.column(1)]
             sizes = pa.array([len(s) for s in sets], pa.int64())
             if whole:
@@ -112,12 +119,45 @@ def _alpha(n, spec: JoinSpec):
     return F.floor((F.lit(spec.percent) * n + F.lit(99)) / F.lit(100)).cast("long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, spec: JoinSpec) -> DataFrame:
-    """Pairs (a, b) whose whole sets are similar enough."""
-    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+def _salt(by: str, spec: JoinSpec):
+    return F.pmod(F.xxhash64(by, F.lit(3)), F.lit(spec.salts)).cast("int")
+
+
+def _with_least(rows: DataFrame, keys: list[str], name: str, spec: JoinSpec) -> DataFrame:
+    """``rows`` (keys, id, ...) with the least id of their key; a key's rows are dealt over salts."""
+    salted = rows.withColumn("salt", _salt("id", spec))
+    part = salted.groupBy(*keys, "salt").agg(F.min("id").alias("least"))
+    return salted.join(_spread(part, keys, name), [*keys, "salt"]).drop("salt")
+
+
+def _spread(part: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys, salt, ``name``: the least of the key) from the least of each salt."""
+    return part.join(part.groupBy(*keys).agg(F.min("least").alias(name)), keys).drop("least")
+
+
+def _beside(pairs: DataFrame, links: DataFrame, rows: DataFrame, side: str, other: str, spec: JoinSpec) -> DataFrame:
+    """``pairs`` with the columns of ``rows`` for ``side``; each salt of an id in many pairs meets a copy of its row.
+
+    ``links`` are the bare pairs that ``pairs`` derive from.
+    """
+    needed = links.select(side, _salt(other, spec).alias("salt")).distinct()
+    copies = needed.join(rows.withColumnRenamed("id", side), side)
+    return pairs.withColumn("salt", _salt(other, spec)).join(copies, [side, "salt"]).drop("salt")
+
+
+def _verified(ws: Workspace, name: str, pairs: DataFrame, members: DataFrame, sets: DataFrame, spec: JoinSpec) -> DataFrame:
+    """Pairs (a, b) whose whole sets are similar enough; sketches rule out most others before sets are shipped."""
+    pairs = ws.save(pairs, f"{name}-pairs")
+    ks = [f"k{i}" for i in range(spec.sketch_longs)]
+    one = members.select("id", "n", "shared", *ks)
+    two = members.select("id", *(F.col(c).alias(f"p{c}") for c in ("n", "shared", *ks)))
+    near = _beside(_beside(pairs, pairs, one, "b", "a", spec), pairs, two, "a", "b", spec)
+    near = ws.save(near.where(_may_link(spec)).select("a", "b"), f"{name}-near")
+    left = sets.select("id", F.col("n").alias("na"), F.col("tokens").alias("ta"))
+    right = sets.select("id", F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= spec.percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
+    met = _beside(_beside(near, near, right, "b", "a", spec), near, left, "a", "b", spec)
+    return ws.save(met.where(100 * both >= spec.percent * (F.col("na") + F.col("nb") - both)).select("a", "b"), name)
 
 
 def _fits(x: str, y: str, spec: JoinSpec):
@@ -142,7 +182,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sp
     ws = Workspace(docs.sparkSession, "prefix-join")
     base = ws.save(_set_pass(docs, key, text, spec, whole=False), "base")
     ids = ws.save(base.select("id", "n", "s1", "s2"), "ids")
-    reps = ids.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
+    salted = ids.where("n > 0").withColumn("salt", _salt("id", spec))
+    part = ws.save(salted.groupBy("n", "s1", "s2", "salt").agg(F.min("id").alias("least")), "part")
+    reps = part.groupBy("n", "s1", "s2").agg(F.min("least").alias("rep"))
     live = ws.save(_survivors(base, reps, spec), "live")
     ws.drop("base")
     ws.release()
@@ -152,9 +194,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sp
     prefixes = ws.save(_prefixes(sets, spec), "prefixes")
     ws.release()
     labels = _components(ws, prefixes, sets, spec)
-    out = ids.join(reps, ["n", "s1", "s2"], "left")
-    out = out.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
+    known = reps.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    known = part.drop("least").join(known, ["n", "s1", "s2"])
+    out = salted.join(known, ["n", "s1", "s2", "salt"]).select("id", "n", F.coalesce("component", "id").alias("component"))
+    out = out.union(ids.where("n = 0").select("id", "n", F.col("id").alias("component")))
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def _survivors(base: DataFrame, reps: DataFrame, spec: JoinSpec) -> DataFrame:
@@ -178,16 +222,17 @@ def _prefixes(sets: DataFrame, spec: JoinSpec) -> DataFrame:
 
 
 def _components(ws: Workspace, prefixes: DataFrame, sets: DataFrame, spec: JoinSpec) -> DataFrame:
-    groups = prefixes.groupBy("n", "prefix").agg(F.min("id").alias("gid"))
-    members = prefixes.join(groups, ["n", "prefix"]).select("id", "n", "shared", "gid")
+    marks = prefixes.select("id", "n", "shared", F.xxhash64("prefix").alias("p1"), F.xxhash64(F.lit(5), "prefix").alias("p2"))
+    members = _with_least(marks, ["n", "p1", "p2"], "gid", spec).select("id", "n", "shared", "gid")
     members = ws.save(members.join(sets.select("id", *(F.col("sketch")[i].alias(f"k{i}") for i in range(spec.sketch_longs))), "id"), "members")
     ks = [f"k{i}" for i in range(spec.sketch_longs)]
-    lists = ws.save(groups.select("gid", "n", F.explode("prefix").alias("token")), "lists")
+    firsts = members.where("id = gid").select("id")
+    lists = ws.save(prefixes.join(firsts, "id", "left_semi").select(F.col("id").alias("gid"), "n", F.explode("prefix").alias("token")), "lists")
     inside = members.where("id != gid").select(F.col("gid").alias("a"), F.col("id").alias("b"))
     pivots = lists.groupBy("token").agg(F.min_by("n", "gid").alias("pn"), F.min("gid").alias("pivot"))
     across = lists.join(pivots, "token").where(F.col("gid") != F.col("pivot")).where(_fits("n", "pn", spec))
     pairs = inside.union(across.select(F.col("pivot").alias("a"), F.col("gid").alias("b"))).distinct()
-    links = ws.save(_verified(pairs, sets, spec), "links0")
+    links = _verified(ws, "links0", pairs, members, sets, spec)
     labels = label_components(ws, members.select(F.col("id").alias("node")), links, "labels0")
     ws.release()
     largest = lists.join(members.groupBy("gid").count(), "gid").groupBy("token").agg(F.sum("count").alias("m")).agg(F.max("m")).first()[0] or 0
@@ -205,7 +250,7 @@ def _components(ws: Workspace, prefixes: DataFrame, sets: DataFrame, spec: JoinS
         q = posts.where("component != main")
         near = q.join(p, "token").where((F.col("pc") != F.col("component")) & _may_link(spec))
         pairs = near.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-        links = ws.save(_verified(pairs, sets, spec), f"links{step}")
+        links = _verified(ws, f"links{step}", pairs, members, sets, spec)
         labels = label_components(ws, labels, links, f"labels{step}")
         ws.release()
         low, high, step = high, high * spec.growth, step + 1

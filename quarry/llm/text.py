@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,7 +20,7 @@ _SPACE = b" \t\n\r\x0b\x0c"
 class WordHash(dict):
     """word (bytes) -> 64-bit hash; forgets everything beyond ``limit`` words, so its memory is bounded."""
 
-    def __init__(self, limit: int = 250_000):
+    def __init__(self, limit: int = 100_000):
         super().__init__()
         self.limit = limit
 
@@ -61,3 +64,15 @@ def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 def word_count(text: Column) -> Column:
     """Number of words of a text on the JVM; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = 512, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose ``column`` holds about ``size`` bytes, one row at least, so that memory follows no row count."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            done = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, min(at + rows, int(np.searchsorted(ends, done + size, side="right"))))
+            yield batch.slice(at, stop - at)
+            at = stop
