@@ -4,21 +4,27 @@ Mentions of e-mail addresses, phone numbers, account and card numbers, social se
 and names are found by one pattern and replaced by surrogates of the same kind. A surrogate depends on a secret key and
 on the normalized entity only, so all mentions of an entity in all documents get the same one (coreference), in the
 format of each mention: separators, country code, letter case, number of digits and a valid or invalid check digit stay.
-Given names are exchanged inside lists of one gender and script; other name words become made-up words of their script.
+National and international forms of an American, French or Spanish number are one entity. Given names are exchanged
+inside lists of one gender and script, by a keyed permutation; other name words become made-up words of their script.
 
 Distinctness is checked, not assumed: all distinct entities of the corpus get their surrogates, and of those that
 collide with each other, or with an original of the same kind, all but one are drawn again with the next attempt until
-no collision is left; made-up words get longer with the attempts. Only entities whose attempt isn't 0 need a lookup when texts are rewritten; if there are none,
-texts are rewritten in one pass without a join.
+no collision is left. Made-up words and numbers get longer with the attempts, so that this always ends. Only entities
+whose attempt isn't 0 need a lookup when texts are rewritten; if there are none, texts are rewritten without a join.
 
-Main path: DataFrame functions only. Defined cases: null texts stay null; texts without mentions stay as they are;
-repeated rows get equal texts; rows that share a doc_id are rewritten alike; an empty table gives an empty result; all
-columns of the input stay.
+A text is read by the pattern once for its entities and once for its new form: mentions are put between marks, at which
+the text is split. A text that holds the mark itself is split by the pattern.
+
+Main path: DataFrame functions only. Defined cases: null texts stay null; empty texts and texts without mentions stay as
+they are; a text of any length is rewritten whole; repeated rows get equal texts; rows that share a doc_id are rewritten
+alike; of entities that tie for a surrogate the one of the least attempt, then the least norm keeps it; an empty table
+gives an empty result; all columns of the input stay, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -52,7 +58,7 @@ for _n in sorted({n for ns in GIVEN.values() for n in ns}, key=lambda n: (-len(n
 _ALL_GIVEN = "|".join(f"{k}(?:{'|'.join(v)})" for k, v in sorted(_BY_LETTER.items()))  # by first letter, so that most words fail at once
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
-_EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
+_EMAIL = r"(?<![\p{L}\p{N}._%+'’\-])[\p{L}\p{N}_%+][\p{L}\p{N}._%+'’\-]*+@(?:[\p{L}\p{N}\-]{1,63}\.){1,8}\p{L}{2,24}(?![\p{L}\p{N}])"
 _INTERNATIONAL = r"(?<![\d+])\+\d{1,3}(?:[ .\-]?\(\d{1,4}\))?(?:[ .\-]?\d(?=[ .\-]))?(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[\-. ]\d{4}(?!\d)|(?<![\d.\-])\d{3}[\-.]\d{3}[\-.]\d{4}(?![\d\-])"
 #: National numbers: French pairs, German and British numbers with a leading 0, Spanish groups of a 9-digit number, and spaced American ones.
 _NATIONAL = (
@@ -61,26 +67,33 @@ _NATIONAL = (
 )
 _PHONE = rf"{_INTERNATIONAL}|(?=\d)(?<![\p{{L}}\d.,+/_\-])(?:{_NATIONAL})(?![ .\-/]?\d)(?![\p{{L}}_])"
 _IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
+_HEX = "[0-9A-Fa-f]{1,4}"
+_IP6 = rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}|(?:{_HEX}:){{2,7}}:)(?![\p{{L}}\p{{N}}:])"
 _SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 _IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 _CARD = r"(?<![\d.])\d{4}(?:[ \-]?\d{4}){2,3}(?:[ \-]?\d{1,3})?(?!\d)"
 _NAME = rf"(?=\p{{Lu}})(?<![\p{{L}}])(?:(?:{_TITLES}|{_LABELS}) {_WORD}(?: {_INITIAL})?(?: {_PARTICLE}){{0,2}}(?: {_WORD})?|(?:{_ALL_GIVEN})(?: {_INITIAL})?(?: {_PARTICLE}){{0,2}} {_WORD})"
-MENTION = "|".join((_EMAIL, _PHONE, _IP, _SSN, _IBAN, _CARD, _NAME))
+#: A mention starts with a digit, + or bracket, or after something other than a letter; no other place is tried.
+MENTION = r"(?=[\d+(]|(?<!\p{L}))(?:" + "|".join((_EMAIL, _SSN, _PHONE, _IP6, _IP, _IBAN, _CARD, _NAME)) + ")"
+#: Country codes of E.164: two zones of one digit, the countries with two, and three for all others.
+_COUNTRY = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
+_MARK = "\ue000"  # a character of private use
 
 
 @dataclass(frozen=True)
 class SurrogateSpec:
     key: str = "quarry-surrogates"
-    attempts: int = 64
+    patience: int = 4  #: attempts before a surrogate gets longer
 
 
 def _digest(spec: SurrogateSpec, kind: Column, norm: Column, attempt: Column, part: str) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(spec.key), F.lit(part), kind, norm, attempt.cast("string")), 256)
 
 
-def _steps(spec: SurrogateSpec) -> dict[str, int]:
-    """How far names move inside their list; never a whole turn."""
-    return {g: int(hashlib.sha256(f"{spec.key}|{g}".encode()).hexdigest()[:8], 16) % (len(names) - 1) + 1 for g, names in GIVEN.items()}
+def given_surrogates(spec: SurrogateSpec, group: str) -> dict[str, str]:
+    """Each given name of a list -> the next one in the keyed order, all in lower case; none stays as it is."""
+    order = sorted({n.lower() for n in GIVEN[group]}, key=lambda n: hashlib.sha256(f"{spec.key}|{group}|{n}".encode()).hexdigest())
+    return dict(zip(order, [*order[1:], order[0]], strict=True))
 
 
 def _digits_only(x: Column) -> Column:
@@ -91,21 +104,36 @@ def kind_of(m: Column) -> Column:
     """Kind of a whole mention; the alternatives are those of MENTION."""
     return (
         F.when(m.contains("@"), "email")
+        .when(m.rlike(r"^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$"), "ip6")
+        .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(m.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), "ip")
         .when(m.rlike(rf"^(?:\+|\()|^\d{{3}}[\-.]\d{{3}}[\-.]\d{{4}}$|^(?:{_NATIONAL})$"), "phone")
-        .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(m.rlike(r"^[A-Z]{2}\d{2}[ A-Z0-9]+$"), "iban")
         .when(m.rlike(r"^\d"), "card")
         .otherwise("name")
     )
 
 
+def _phone_norm(m: Column) -> Column:
+    """country code-national number without the trunk's 0; a code of 0 where the form doesn't tell the country."""
+    digits = _digits_only(m)
+    code = F.regexp_extract(m, rf"^\+({_COUNTRY})", 1)
+    abroad = F.concat(code, F.lit("-"), F.regexp_replace(F.substring(digits, F.length(code) + 1, F.length(digits)), "^0", ""))
+    return (
+        F.when(m.startswith("+"), abroad)
+        .when(m.rlike(r"^0[1-9](?:[ .\-]?\d{2}){4}$"), F.concat(F.lit("33-"), F.substring(digits, 2, 15)))
+        .when(m.startswith("0") & ~m.rlike(r"^\d{3}[\-.]\d{3}[\-.]\d{4}$"), F.concat(F.lit("0-"), F.substring(digits, 2, 15)))
+        .when(F.length(digits) == 9, F.concat(F.lit("34-"), digits))
+        .otherwise(F.concat(F.lit("1-"), F.right(digits, F.lit(10))))
+    )
+
+
 def _norm(kind: Column, m: Column) -> Column:
     """What two mentions of one entity have in common."""
     return (
-        F.when(kind == "email", F.lower(m))
+        F.when(kind.isin("email", "ip6"), F.lower(m))
         .when(kind == "ip", m)
-        .when(kind == "phone", F.concat(F.regexp_extract(m, r"^\+(\d+)", 1), F.lit("-"), _digits_only(F.regexp_replace(m, r"^\+\d+", ""))))
+        .when(kind == "phone", _phone_norm(m))
         .when(kind == "iban", F.regexp_replace(m, " ", ""))
         .otherwise(_digits_only(m))
     )
@@ -161,6 +189,19 @@ def _checked(norm: Column, drawn: Column) -> Column:
     return F.concat(body, last.cast("string"))
 
 
+def _mod97(code: Column) -> Column:
+    """Remainder of an IBAN by 97; 1 if its check digits are right."""
+    turned = F.concat(F.substring(code, 5, 64), F.left(code, F.lit(4)))
+    return F.aggregate(F.split(turned, ""), F.lit(0), lambda a, c: (a * F.when(c.rlike("[0-9]"), 10).otherwise(100) + F.conv(c, 36, 10).cast("int")) % 97)
+
+
+def _iban(norm: Column, drawn: Column) -> Column:
+    """An IBAN of the same country; its check digits are right exactly if those of ``norm`` are."""
+    right = 98 - _mod97(F.concat(F.left(norm, F.lit(2)), F.lit("00"), drawn))
+    check = F.when(_mod97(norm) == 1, right).otherwise(right % 97 + 1)
+    return F.concat(F.left(norm, F.lit(2)), F.lpad(check.cast("string"), 2, "0"), drawn)
+
+
 def _spelled(hexa: Column, parts: list[str]) -> Column:
     """A word with one of 16 syllables for each hexadecimal digit."""
     pool = F.array(*(F.lit(x) for x in parts))
@@ -181,60 +222,72 @@ def surrogate_norm(spec: SurrogateSpec, kind: Column, norm: Column, one: Column,
     domain = F.substring_index(norm, "@", -1)
     site = F.concat(F.lit("mail"), F.left(_stream(_digest(spec, F.lit("domain"), domain, F.lit(0), "3")), F.lit(6)), F.lit(".example."), F.substring_index(domain, ".", -1))
     email = F.concat(F.array_join(F.transform(F.split(F.substring_index(norm, "@", 1), ""), shaped), ""), F.substring(digits, 70, 6), F.lit("@"), site)
-    phone = F.concat(F.substring_index(norm, "-", 1), F.lit("-"), F.left(digits, F.length(F.substring_index(norm, "-", -1))))
+    country, number = F.substring_index(norm, "-", 1), F.substring_index(norm, "-", -1)
+    lead = F.translate(F.left(digits, F.lit(1)), "01", "29")  # no number starts with 0 or 1
+    lead = F.when(country == "34", F.translate(lead, "2345", "6789")).otherwise(lead)
+    fourth = F.when(country == "1", F.translate(F.substring(digits, 4, 1), "01", "29")).otherwise(F.substring(digits, 4, 1))
+    phone = F.concat(country, F.lit("-"), F.left(F.concat(lead, F.substring(digits, 2, 2), fourth, F.substring(digits, 5, 60)), F.length(number)))
     code = F.transform(F.split(F.substring(norm, 5, 64), ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(digits, 3 + i, F.lit(1))).otherwise(F.upper(F.substring(letters, 1 + i, F.lit(1)))))
+    part = lambda i, n: F.conv(F.substring(one, 1 + 6 * i, 6), 16, 10).cast("long") % n + 1
+    area = F.when(part(0, 898) < 666, part(0, 898)).otherwise(part(0, 898) + 1)  # 001 to 899 without 666
+    ssn = F.concat(*(F.lpad(x.cast("string"), w, "0") for x, w in ((area, 3), (part(1, 99), 2), (part(2, 9999), 4))))
+    ip6 = F.array_join(F.transform(F.split(norm, ""), lambda c, i: F.when(c == ":", c).otherwise(F.translate(F.substring(one, 1 + i, F.lit(1)), "0", "f"))), "")
     found = (
         F.when(kind == "email", email)
         .when(kind == "ip", F.concat_ws(".", octet(0, 1, 223), octet(1, 0, 256), octet(2, 0, 256), octet(3, 1, 254)))
         .when(kind == "phone", phone)
-        .when(kind == "iban", F.concat(F.left(norm, F.lit(2)), F.left(digits, F.lit(2)), F.array_join(code, "")))
-        .when(kind == "ssn", F.left(digits, F.lit(9)))
+        .when(kind == "ip6", ip6)
+        .when(kind == "iban", _iban(norm, F.array_join(code, "")))
+        .when(kind == "ssn", ssn)
         .when(kind == "card", _checked(norm, F.left(digits, F.length(norm))))
     )
-    steps = _steps(spec)
-    for group, names in GIVEN.items():
-        moved = {n.lower(): names[(i + steps[group]) % len(names)].lower() for i, n in enumerate(names)}
-        table = F.create_map(*(F.lit(x) for pair in moved.items() for x in pair))
+    for group in GIVEN:
+        table = F.create_map(*(F.lit(x) for pair in given_surrogates(spec, group).items() for x in pair))
         found = found.when(kind == f"name:{group}", F.try_element_at(table, norm))
     for script, parts in _SYLLABLES.items():
         found = found.when(kind == f"name:{script}", _spelled(F.substring(one, 1, 5), parts))
     return found
 
 
-def _lengthened(kind: Column, two: Column, attempt: Column, s: Column) -> Column:
-    """``s`` with one more syllable for every four attempts at a made-up word, so that the words never run out."""
-    more = F.lit("")
+def _lengthened(spec: SurrogateSpec, kind: Column, two: Column, attempt: Column, s: Column) -> Column:
+    """``s`` with one more syllable or digit for every ``patience`` attempts, so that surrogates never run out."""
+    n = F.floor(attempt / spec.patience).cast("int")
+    more = F.left(_stream(two), n)
     for script, parts in _SYLLABLES.items():
-        more = F.when(kind == f"name:{script}", _spelled(F.substring(two, F.lit(1), F.floor(attempt / 4).cast("int")), parts)).otherwise(more)
-    return F.when(attempt < 4, s).otherwise(F.concat(s, more))
+        more = F.when(kind == f"name:{script}", _spelled(F.substring(two, F.lit(1), n), parts)).otherwise(more)
+    longer = F.when(kind == "email", F.concat(more, s)).when(kind.isin("ip", "ip6"), F.concat(s, F.lit("/"), more)).otherwise(F.concat(s, more))
+    return F.when(attempt < spec.patience, s).otherwise(longer)
 
 
 def _fill_digits(shape: Column, digits: Column) -> Column:
-    """``shape`` with its digits replaced by ``digits`` in order."""
+    """``shape`` with its digits replaced by ``digits`` in order; more digits than it has follow at its end."""
     place = lambda i: F.length(_digits_only(F.substring(shape, F.lit(1), i + 1)))
-    return F.array_join(F.transform(F.split(shape, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(digits, place(i), F.lit(1))).otherwise(c)), "")
+    filled = F.array_join(F.transform(F.split(shape, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(digits, place(i), F.lit(1))).otherwise(c)), "")
+    return F.concat(filled, F.substring(digits, F.length(_digits_only(shape)) + 1, F.length(digits)))
 
 
 def _fill_alnum(shape: Column, text: Column) -> Column:
     place = lambda i: F.length(F.regexp_replace(F.substring(shape, F.lit(1), i + 1), " ", ""))
-    return F.array_join(F.transform(F.split(shape, ""), lambda c, i: F.when(c != " ", F.substring(text, place(i), F.lit(1))).otherwise(c)), "")
+    filled = F.array_join(F.transform(F.split(shape, ""), lambda c, i: F.when(c != " ", F.substring(text, place(i), F.lit(1))).otherwise(c)), "")
+    return F.concat(filled, F.substring(text, F.length(F.regexp_replace(shape, " ", "")) + 1, F.length(text)))
 
 
 def _cased(like: Column, word: Column) -> Column:
     return F.when((F.upper(like) == like) & (F.length(like) > 1), F.upper(word)).when(F.lower(like) == like, word).otherwise(F.initcap(word))
 
 
-def _formatted(text: Column, kind: Column, s: Column) -> Column:
+def _formatted(text: Column, kind: Column, norm: Column, s: Column) -> Column:
     """A surrogate in the format of a mention's part; parts without a kind stay."""
-    lead = F.regexp_extract(text, r"^\+\d+", 0)
+    lead = F.regexp_extract(text, rf"^\+(?:{_COUNTRY})", 0)
     rest = F.substring(text, F.length(lead) + 1, F.length(text))
+    trunk = F.left(_digits_only(rest), F.length(_digits_only(rest)) - F.length(F.substring_index(norm, "-", -1)))
     return (
         F.when(kind.isNull(), text)
         .when(kind.startswith("name"), _cased(text, s))
-        .when(kind == "phone", F.concat(lead, _fill_digits(rest, F.substring_index(s, "-", -1))))
+        .when(kind == "phone", F.concat(lead, _fill_digits(rest, F.concat(trunk, F.substring_index(s, "-", -1)))))
         .when(kind.isin("card", "ssn"), _fill_digits(text, s))
         .when(kind == "iban", _fill_alnum(text, s))
-        .when((kind == "email") & (F.upper(text) == text), F.upper(s))
+        .when(kind.isin("email", "ip6") & (F.upper(text) == text), F.upper(s))
         .otherwise(s)
     )
 
@@ -247,8 +300,8 @@ def surrogates_of(spec: SurrogateSpec, mentions: Column, attempt_of) -> Column:
 
     tried = F.transform(parts_of(mentions), each(lambda p: F.struct(p["text"].alias("text"), p["kind"].alias("kind"), p["norm"].alias("norm"), attempt_of(p["kind"], p["norm"]).alias("attempt"))))
     drawn = F.transform(tried, each(lambda p: F.struct(*(p[c].alias(c) for c in ("text", "kind", "norm", "attempt")), *(_digest(spec, p["kind"], p["norm"], p["attempt"], n).alias(c) for n, c in (("1", "one"), ("2", "two"))))))
-    found = F.transform(drawn, each(lambda p: F.struct(p["text"].alias("text"), p["kind"].alias("kind"), _lengthened(p["kind"], p["two"], p["attempt"], surrogate_norm(spec, p["kind"], p["norm"], p["one"], p["two"])).alias("s"))))
-    return F.transform(found, lambda ps: F.array_join(F.transform(ps, lambda p: _formatted(p["text"], p["kind"], p["s"])), " "))
+    found = F.transform(drawn, each(lambda p: F.struct(p["text"].alias("text"), p["kind"].alias("kind"), p["norm"].alias("norm"), _lengthened(spec, p["kind"], p["two"], p["attempt"], surrogate_norm(spec, p["kind"], p["norm"], p["one"], p["two"])).alias("s"))))
+    return F.transform(found, lambda ps: F.array_join(F.transform(ps, lambda p: _formatted(p["text"], p["kind"], p["norm"], p["s"])), " "))
 
 
 def assign_attempts(entities: DataFrame, spec: SurrogateSpec, ws: Workspace) -> DataFrame | None:
@@ -260,10 +313,10 @@ def assign_attempts(entities: DataFrame, spec: SurrogateSpec, ws: Workspace) ->
     open_ = entities.where(~F.col("kind").isin(given))  # exchanges inside a list can't collide
     drawn = open_.withColumn("attempt", F.lit(0))
     moved = None
-    for step in range(spec.attempts):
+    for step in itertools.count():
         keys = (F.col("kind"), F.col("norm"), F.col("attempt"))
         all_ = drawn.withColumns({"one": _digest(spec, *keys, "1"), "two": _digest(spec, *keys, "2")})
-        all_ = all_.select("kind", "norm", "attempt", _lengthened(F.col("kind"), F.col("two"), F.col("attempt"), surrogate_norm(spec, F.col("kind"), F.col("norm"), F.col("one"), F.col("two"))).alias("s"))
+        all_ = all_.select("kind", "norm", "attempt", _lengthened(spec, F.col("kind"), F.col("two"), F.col("attempt"), surrogate_norm(spec, F.col("kind"), F.col("norm"), F.col("one"), F.col("two"))).alias("s"))
         nth = F.row_number().over(Window.partitionBy("kind", "s").orderBy("attempt", "norm"))
         original = entities.select("kind", F.col("norm").alias("s"), F.lit(True).alias("taken"))
         ranked = all_.withColumn("nth", nth).join(original, ["kind", "s"], "left")
@@ -273,29 +326,43 @@ def assign_attempts(entities: DataFrame, spec: SurrogateSpec, ws: Workspace) ->
         again = bad.withColumn("again", F.lit(1))
         drawn = ws.save(drawn.join(again, ["kind", "norm"], "left").select("kind", "norm", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")), f"drawn{step}")
         moved = drawn.where("attempt > 0")
-    else:
-        raise ValueError(f"surrogates still collide after {spec.attempts} attempts")
     return moved
 
 
+def _pieces(text: Column) -> Column:
+    """What lies before, in and after mentions, in turn: an odd number of pieces, of which every other is a mention."""
+    marked = F.split(F.regexp_replace(text, MENTION, f"{_MARK}$0{_MARK}"), _MARK, -1)
+    gaps, mentions = F.split(text, MENTION, -1), F.regexp_extract_all(text, F.lit(MENTION), F.lit(0))
+    apart = F.flatten(F.transform(gaps, lambda g, i: F.when(i < F.size(mentions), F.array(g, F.get(mentions, i))).otherwise(F.array(g))))
+    return F.when(text.contains(_MARK), apart).otherwise(marked)
+
+
 def replace_entities(docs: DataFrame, spec: SurrogateSpec | None = None, key: str = "doc_id", text: str = "text", count: str | None = None) -> DataFrame:
-    """``docs`` with surrogates in ``text``; ``count`` names a column for the number of mentions replaced."""
+    """``docs`` with surrogates in ``text``; ``count`` names a column for the number of mentions replaced, new or not."""
     spec = spec or SurrogateSpec()
     ws = Workspace(docs.sparkSession, "surrogates")
-    mentions = F.regexp_extract_all(text, F.lit(MENTION), F.lit(0))
-    found = ws.save(docs.where(F.col(text).rlike(MENTION)).select(F.col(key).alias("id"), F.explode(entities_of(mentions)).alias("e")).select("id", "e.kind", "e.norm"), "found")
+    mentions = F.filter("pieces", lambda _, i: i % 2 == 1)
+    split = docs.select(F.col(key).alias("id"), _pieces(F.col(text)).alias("pieces")).where(F.size("pieces") > 1)
+    found = ws.save(split.select("id", F.explode(entities_of(mentions)).alias("e")).select("id", "e.kind", "e.norm"), "found")
     moved = assign_attempts(ws.save(found.select("kind", "norm").distinct(), "entities"), spec, ws)
     ws.release()
-    rows = docs
+    row, pieces, tries, of = (_unused(n, [*docs.columns, count]) for n in ("row", "pieces", "tries", "of"))
+    rows = docs.select(F.struct(*docs.columns).alias(row), _pieces(F.col(text)).alias(pieces))
     attempt_of = lambda kind, norm: F.lit(0)
     if moved is not None:
         pairs = found.distinct().join(moved, ["kind", "norm"])
-        maps = pairs.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "norm"), "attempt"))).alias("_attempts"))
-        rows = docs.join(maps.withColumnRenamed("id", "_id"), docs[key].eqNullSafe(F.col("_id")), "left").drop("_id")
-        attempt_of = lambda kind, norm: F.coalesce(F.try_element_at("_attempts", F.concat_ws("|", kind, norm)), F.lit(0))
-    gaps = F.split(text, MENTION, -1)
-    parts = F.zip_with(gaps, surrogates_of(spec, mentions, attempt_of), lambda g, m: F.concat(g, F.coalesce(m, F.lit(""))))
-    hit = F.col(text).rlike(MENTION)
-    extra = {count: F.when(hit, F.size(mentions)).otherwise(0).cast("long")} if count else {}
-    out = rows.withColumns(extra | {text: F.when(hit, F.array_join(parts, "")).otherwise(F.col(text))})
-    return out.select(*docs.columns, *extra)
+        maps = pairs.groupBy(F.col("id").alias(of)).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "norm"), "attempt"))).alias(tries))
+        rows = rows.join(maps, F.col(row)[key].eqNullSafe(F.col(of)), "left")
+        attempt_of = lambda kind, norm: F.coalesce(F.try_element_at(tries, F.concat_ws("|", kind, norm)), F.lit(0))
+    new = surrogates_of(spec, F.filter(pieces, lambda _, i: i % 2 == 1), attempt_of)
+    gaps = F.filter(pieces, lambda _, i: i % 2 == 0)
+    hit = F.size(pieces) > 1
+    rewritten = F.when(hit, F.array_join(F.zip_with(gaps, new, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")).otherwise(F.col(row)[text])
+    new_columns = {text: rewritten} | ({count: F.when(hit, F.floor(F.size(pieces) / 2)).otherwise(0).cast("long")} if count else {})
+    return rows.select(*(new_columns.pop(c, F.col(row)[c]).alias(c) for c in docs.columns), *(v.alias(c) for c, v in new_columns.items()))
+
+
+def _unused(name: str, taken: list[str | None]) -> str:
+    while name in taken:
+        name = f"_{name}"
+    return name

@@ -249,7 +249,7 @@ def test_surrogates_stay_distinct_when_draws_collide(spark, monkeypatch):
     small = lambda spec, kind, norm, one, two: F.concat(F.lit("10.0.0."), (F.crc32(one.cast("binary")) % 40).cast("string"))
     monkeypatch.setattr(surrogates, "surrogate_norm", small)
     rows = [row(i, f"host 10.0.0.{i} and 97.51.17.{i} again 97.51.17.{i}") for i in range(6)]
-    got = surrogates.replace_entities(spark.createDataFrame(rows, SCHEMA), surrogates.SurrogateSpec(attempts=400)).collect()
+    got = surrogates.replace_entities(spark.createDataFrame(rows, SCHEMA), surrogates.SurrogateSpec(patience=400)).collect()
     seen = {}
     for r in got:
         a, b, c = re.findall(r"10\.0\.0\.\d+", r.text)
