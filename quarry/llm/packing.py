@@ -52,7 +52,7 @@ class PackSpec:
 
 _CLOSING = ".,;:!?*#$%&|"
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")  # one lower-case form each, and no marks that combine
-_CACHES: dict[str, "TokenCache"] = {}
+_TOKENIZERS: dict[str, object] = {}
 
 
 class TokenCache:
@@ -60,11 +60,11 @@ class TokenCache:
 
     The tokenizer works on letter runs, digits and other runs between white space, so a text's ids are those of its words
     in order. Arrow splits a block and numbers its distinct words. A word of letters and closing punctuation is put together
-    from its lower-case letters, which are kept from block to block, and its punctuation; any other word is encoded as it
+    from its lower-case letters, which are kept from block to block of a task, and its punctuation; any other word is encoded as it
     is. New letter runs are encoded many at a time with a digit between them. The table of letter runs starts anew when full.
     """
 
-    def __init__(self, tokenizer, limit: int = 450_000):
+    def __init__(self, tokenizer, limit: int = 300_000):
         self.tokenizer, self.limit = tokenizer, limit
         self.letters: dict[str, bytes] = {"": b""}
         self.closings: dict[str, bytes] = {"": b""}
@@ -125,10 +125,10 @@ class TokenCache:
 
 
 def cached(path: str) -> TokenCache:
-    """This worker's cache for a tokenizer; it lives as long as the worker does."""
-    if path not in _CACHES:
-        _CACHES[path] = TokenCache(load_tokenizer(path))
-    return _CACHES[path]
+    """A cache for one task over this worker's tokenizer, so that workers don't hold words while they do other things."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = load_tokenizer(path)
+    return TokenCache(_TOKENIZERS[path])
 
 
 def load_tokenizer(path: str):
@@ -140,7 +140,7 @@ def load_tokenizer(path: str):
     return t
 
 
-def blocks(texts: pa.Array, size: int = 8_000_000) -> Iterator[pa.Array]:
+def blocks(texts: pa.Array, size: int = 4_000_000) -> Iterator[pa.Array]:
     """Runs of texts of about so many bytes, one text at least; null is empty."""
     texts = pc.fill_null(texts, "")
     ends = np.cumsum(pc.binary_length(texts).to_numpy())
