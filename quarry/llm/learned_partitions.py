@@ -1,17 +1,22 @@
 """Approximate nearest neighbours by learned partitions.
 
-Fitting, on at most ``sample`` vectors (the smallest hashes of vec_id, a documented bound): a neighbour graph of the
-sample is cut into balanced partitions (median splits along principal directions, then moves that gain neighbours
-within a size limit), and a small network learns which partitions hold a vector's neighbours. How many partitions a
-query visits is measured on sample queries: the fewest that reach ``target`` recall, and as many as hold ``k`` rows.
+Fitting, on a bounded sample (the vectors with the smallest hashes of vec_id: 32 for each partition, 8000 at least and
+32,768 at most): a neighbour graph of the sample is cut into balanced partitions (median splits along principal
+directions, then moves that gain neighbours within a size limit), and a small network learns which partitions hold a
+vector's neighbours. There are about as many partitions as the square root of the table's rows, within bounds. How many
+of them a query visits is measured on sample queries: the fewest that reach ``target`` recall, and as many as hold ``k``
+rows. Vectors with neighbourhoods need few; where all directions are alike, most partitions must be visited.
 
 Searching: every row of the table goes to its most probable partition; a query goes to its most probable few, and all
 their rows are reranked by exact distance. A partition is dealt out over as many chunks as its rows ask for, so a
 vector that a third of all rows share is no hot task; a chunk keeps its ten best for each query, and these meet once.
+Rows are copied only where more than ``query_block`` queries visit their partition, once for each such block.
 
-Defined cases: vectors that are null, zero, of another length than most of the sample, or with null or non-finite
-components take no part; ties go to the smaller vec_id; rows that share a query's vec_id aren't its candidates; a
-query with fewer candidates than ``k`` in the whole table gets all of them; an empty table gives an empty result.
+Defined cases: vectors that are null, zero, or with null or non-finite components take no part; vectors are compared
+with those of their own length only, and lengths other than the commonest of the sample have one partition each; ties go
+to the smaller vec_id; rows that share a query's vec_id aren't its candidates, and of several such queries the smallest
+vector asks; a query with fewer candidates than ``k`` in the whole table gets all of them; an empty table gives an empty
+result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -33,17 +38,27 @@ class PartitionSpec:
     k: int = 10
     every: int = 100
     sample: int = 8000
-    parts: int = 32
-    graph: int = 12
-    hidden: int = 96
+    most_sample: int = 32_768
+    parts: int | None = None
+    least_parts: int = 32
+    most_parts: int = 1024
+    graph: int = 24
+    hidden: int = 256
     epochs: int = 30
     target: float = 0.95
     slack: float = 1.08
     least_chunk: int = 256
     most_chunk: int = 65_536
-    query_block: int = 2048
+    query_block: int = 65_536
     seed: int = 11
 
+    def parts_of(self, rows: int) -> int:
+        """About the square root of the rows, as a power of two."""
+        return self.parts or min(self.most_parts, max(self.least_parts, 1 << (max(1, rows).bit_length() - 1) // 2))
+
+    def sample_of(self, parts: int) -> int:
+        return min(self.most_sample, max(self.sample, 32 * parts))
+
 
 def _nearest(q: np.ndarray, x: np.ndarray, k: int, skip: np.ndarray | None = None) -> np.ndarray:
     """Row numbers of the k nearest rows of x, in blocks."""
@@ -139,10 +154,9 @@ def _learn(x: np.ndarray, soft: np.ndarray, spec: PartitionSpec) -> Router:
     return Router(mean, scale, *p)
 
 
-def fit_router(x: np.ndarray, spec: PartitionSpec) -> Router:
+def fit_router(x: np.ndarray, spec: PartitionSpec, parts: int) -> Router:
     """Graph, balanced partitions, network and the number of partitions to visit, all from the sample ``x``."""
     x = np.unique(x, axis=0)
-    parts = spec.parts
     while parts > 1 and len(x) < 8 * parts:
         parts //= 2
     if parts == 1:
@@ -179,28 +193,32 @@ def nearest_rows(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, r
         keep = nth <= k
         rows, row_ids, order = rows[keep], row_ids[keep], order[keep]
     norms = (rows * rows).sum(1)
+    n = min(k, len(rows))
     out = []
-    for i, q in enumerate(queries):
-        rough = norms - 2 * rows @ q
-        rough[row_ids == query_ids[i]] = np.inf
-        n = min(k, len(rough))
-        cut = np.partition(rough, n - 1)[n - 1]
-        near = np.flatnonzero(rough <= cut + 1e-9 * (1 + abs(cut) + q @ q)) if np.isfinite(cut) else np.flatnonzero(np.isfinite(rough))
-        exact = np.sqrt(((rows[near] - q) ** 2).sum(1))
-        first = np.lexsort((row_ids[near], exact))[:k]
-        out.append((np.full(len(first), i), order[near[first]], exact[first]))
+    for start in range(0, len(queries), 64):  # few at a time, so that the distances of a block stay small
+        asked = queries[start : start + 64]
+        block = norms - 2 * asked @ rows.T
+        for i, (q, rough) in enumerate(zip(asked, block, strict=True), start):
+            rough[row_ids == query_ids[i]] = np.inf
+            cut = np.partition(rough, n - 1)[n - 1]
+            near = np.flatnonzero(rough <= cut + 1e-9 * (1 + abs(cut) + q @ q)) if np.isfinite(cut) else np.flatnonzero(np.isfinite(rough))
+            exact = np.sqrt(((rows[near] - q) ** 2).sum(1))
+            first = np.lexsort((row_ids[near], exact))[:k]
+            out.append((np.full(len(first), i), order[near[first]], exact[first]))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, int), np.empty(0, int), np.empty(0))
 
 
 def valid_vectors(vectors: DataFrame, key: str, vec: str) -> DataFrame:
-    """(id, v array<double>) of the rows that take part, whatever their length."""
-    v = F.transform(vec, lambda x: x.cast("double"))
+    """(id, v) of the rows that take part, whatever their length; single precision stays, other numbers become double."""
+    single = vectors.schema[vec].dataType.simpleString() == "array<float>"
+    v = F.col(vec) if single else F.transform(vec, lambda x: x.cast("double"))
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     return vectors.select(F.col(key).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & sound)
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+def _matrix(column: pa.Array, rows: int) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(rows, len(flat) // max(1, rows))
 
 
 def search(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding", spec: PartitionSpec | None = None) -> DataFrame:
@@ -209,43 +227,52 @@ def search(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding", spec
     spark = vectors.sparkSession
     ws = Workspace(spark, "partitions")
     rows = valid_vectors(vectors, key, vec)
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(spec.sample).toArrow()
+    goal_parts = spec.parts_of(rows.count())
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(spec.sample_of(goal_parts)).toArrow()
     sizes = np.array([len(x) for x in sample["v"]], np.int64)
     dim = int(np.bincount(sizes).argmax()) if len(sizes) else 1
     x = np.array([r.as_py() for r, n in zip(sample["v"], sizes, strict=True) if n == dim], float).reshape(-1, dim)
-    shared = spark.sparkContext.broadcast(fit_router(x, spec))
+    shared = spark.sparkContext.broadcast(fit_router(x, spec, goal_parts))
     parts = len(shared.value.b2)
+    is_query = F.col("id") % spec.every == 0
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All partitions in order for queries, the first one for other rows."""
         for b in batches:
-            ranked = shared.value.ranked(_matrix(b.column(1), dim), parts).astype(np.int32)
+            ranked = shared.value.ranked(_matrix(b.column(1), b.num_rows), parts).astype(np.int32)
             asks = b.column(0).to_numpy() % spec.every == 0
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r if q else r[:1] for r, q in zip(ranked, asks, strict=True)], pa.list_(pa.int32()))], names=["id", "v", "parts"])
 
-    placed = ws.save(rows.where(F.size("v") == dim).mapInArrow(route, "id long, v array<double>, parts array<int>"), "placed")
-    counts = {r[0]: r[1] for r in placed.groupBy(F.col("parts")[0].alias("part")).count().collect()}  # one row per partition
-    total = sum(counts.values())
-    goal = min(spec.most_chunk, max(spec.least_chunk, total // max(1, len(counts))))
+    kind = rows.schema["v"].dataType.simpleString()
+    common = rows.where(F.size("v") == dim).mapInArrow(route, f"id long, v {kind}, parts array<int>")
+    odd = rows.where(F.size("v") != dim).select("id", "v", F.array(-F.size("v")).alias("parts"))  # a partition for each other length
+    placed = ws.save(common.union(odd), "placed")
+    home = F.col("parts")[0]
+    counts = {r[0]: r[1] for r in placed.groupBy(home.alias("part")).count().collect()}  # one row per partition
     if not counts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    least = np.cumsum(sorted(counts.get(p, 0) for p in range(parts)))
-    enough = int(np.searchsorted(least, min(spec.k + 1, total))) + 1  # any so many partitions hold k candidates
+    held = [n for p, n in counts.items() if p >= 0]
+    least = np.cumsum(sorted([0] * (parts - len(held)) + held))
+    enough = int(np.searchsorted(least, min(spec.k + 1, sum(held)))) + 1  # any so many partitions hold k candidates
     visits = min(parts, max(shared.value.visits, enough))
-    chunks = F.create_map(*(F.lit(int(y)) for p, n in counts.items() for y in (p, -(-n // goal))))
-    is_query = F.col("id") % spec.every == 0
-    blocks = max(1, -(-placed.where(is_query).count() // spec.query_block))
-    cell = lambda part, chunk, block: F.xxhash64(part, chunk, block)
-    home = F.col("parts")[0]
-    stored = placed.select("id", "v", home.alias("part"), F.pmod(F.xxhash64("id", F.lit(1)), chunks[home]).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(False).alias("asks"))
-    asked = placed.where(is_query).select("id", "v", F.explode(F.slice("parts", 1, visits)).alias("part")).dropDuplicates(["id", "part"]).where(F.array_contains(F.array(*(F.lit(int(p)) for p in counts)), F.col("part")))
-    asked = asked.select("id", "v", "part", F.explode(F.sequence(F.lit(0), (chunks[F.col("part")] - 1).cast("int"))).alias("chunk"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)).cast("int").alias("block"), F.lit(True).alias("asks"))
-    both = stored.union(asked).select(cell("part", "chunk", "block").alias("cell"), "asks", "id", "v")
+    goal = min(spec.most_chunk, max(spec.least_chunk, sum(counts.values()) // len(counts)))
+    asks = placed.where(is_query).groupBy("id").agg(F.min(F.struct("v", "parts")).alias("q"))
+    asks = asks.select("id", "q.v", F.explode(F.slice("q.parts", 1, visits)).alias("part")).where(F.col("part").isin([int(p) for p in counts]))
+    asks = ws.save(asks, "asks")
+    visitors = {r[0]: r[1] for r in asks.groupBy("part").count().collect()}  # one row per partition
+    table = lambda found: F.create_map(*(F.lit(int(y)) for p in counts for y in (p, found(p))))
+    chunks, blocks = table(lambda p: -(-counts[p] // goal)), table(lambda p: -(-visitors.get(p, 0) // spec.query_block))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    cell = F.xxhash64(*(F.col(c).cast("int") for c in ("part", "chunk", "block"))).alias("cell")
+    stored = placed.select("id", "v", home.alias("part")).where(blocks[F.col("part")] > 0)
+    stored = stored.select("id", "v", "part", F.pmod(F.xxhash64("id", F.lit(1)), chunks[F.col("part")]).alias("chunk"), spread(blocks[F.col("part")]).alias("block"))
+    asked = asks.select("id", "v", "part", spread(chunks[F.col("part")]).alias("chunk"), F.pmod(F.xxhash64("id", F.lit(2)), blocks[F.col("part")]).alias("block"))
+    both = stored.select(cell, F.lit(False).alias("asks"), "id", "v").union(asked.select(cell, F.lit(True).alias("asks"), "id", "v"))
 
     def rerank(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         asks = t["asks"].to_numpy(zero_copy_only=False).astype(bool)
-        ids, v = t["id"].to_numpy(), _matrix(t["v"].combine_chunks() if isinstance(t["v"], pa.ChunkedArray) else t["v"], dim)
+        ids, v = t["id"].to_numpy(), _matrix(t["v"].combine_chunks() if isinstance(t["v"], pa.ChunkedArray) else t["v"], len(t))
         if not asks.any() or asks.all():
             q, r, d = np.empty(0, int), np.empty(0, int), np.empty(0)
         else:

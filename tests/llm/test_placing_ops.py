@@ -237,6 +237,36 @@ def test_search_against_brute_force(spark):
     assert hit >= 0.9 * 10 * len(found)
 
 
+def test_few_partitions_are_visited_and_shuffles_are_linear(spark):
+    """Vectors with neighbourhoods: recall 0.9 at under a third of the partitions, whose number grows with the rows."""
+    rng = np.random.default_rng(4)
+    spec = learned_partitions.PartitionSpec()
+    assert [spec.parts_of(n) for n in (0, 1, 2000, 51_282, 10**6, 10**9)] == [32, 32, 32, 128, 512, 1024]
+    centres = rng.normal(size=(300, 32))
+    x = centres[rng.integers(0, 300, 20_000)] + rng.normal(size=(20_000, 32)) * 0.25
+    parts = spec.parts_of(len(x))
+    router = learned_partitions.fit_router(x[rng.choice(len(x), spec.sample_of(parts), replace=False)], spec, parts)
+    home, asked = router.ranked(x, 1)[:, 0], np.arange(0, len(x), 100)
+    near = learned_partitions._nearest(x[asked], x, 10, asked)
+    seen = router.ranked(x[asked], router.visits)
+    recall = np.mean([np.isin(home[n], p).mean() for n, p in zip(near, seen, strict=True)])
+    assert recall >= 0.9 and router.visits < parts / 3, (recall, router.visits, parts)
+
+
+def test_blocks_of_queries_give_the_same_rows(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 6)).astype(np.float32)
+    df = vectors(spark, x).withColumnsRenamed({"label": "part"}).selectExpr("*", "1 as id", "2 as v", "3 as parts", "4 as chunk", "5 as asks")
+    runs = [sorted(map(tuple, learned_partitions.search(df, spec=learned_partitions.PartitionSpec(every=3, parts=4, query_block=b, least_chunk=c, most_chunk=c)).collect())) for b, c in ((65_536, 65_536), (7, 31))]
+    assert runs[0] == runs[1] and len(runs[0]) == 3000
+
+
+def test_lengths_and_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (100, [0.0, 1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0, 0.5]), (3, [0.0, 2.0, 0.0]), (4, [1.0, 1.0]), (0, [1.0, 0.0]), (100, [9.0, 9.0, 9.0])]
+    got = learned_partitions.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(0, 1, 1, 0.1), (0, 2, 4, 1.0), (100, 1, 2, 0.5), (100, 2, 3, 1.0)]
+
+
 def test_search_of_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (100, [0.0, 1.0]), (1, [1.0, 0.1]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [1.0, None]), (6, [float("inf"), 1.0]), (7, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (1, [1.0, 0.1]), (200, [])]
     got = learned_partitions.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
