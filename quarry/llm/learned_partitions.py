@@ -45,7 +45,7 @@ class PartitionSpec:
     graph: int = 24
     hidden: int = 256
     epochs: int = 30
-    target: float = 0.95
+    target: float = 0.97
     slack: float = 1.08
     least_chunk: int = 256
     most_chunk: int = 65_536
