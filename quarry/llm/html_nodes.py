@@ -12,7 +12,8 @@ joined in page order by one space; nothing else is dropped or capped.
 
 Defined cases: null or empty html, or html without kept text, gives an empty text; broken markup (unclosed, unknown
 or stray tags, unclosed comments, stray quotes) is read as text and elements as far as it goes; a tag that the page's
-end cuts off is dropped; repeated rows give equal texts.
+end cuts off is dropped; pages of any length and depth are read whole, in one pass; of equal gains a node is dropped;
+repeated rows give equal texts; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,13 +31,14 @@ from pyspark.sql import functions as F
 from quarry.runtime import ship
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+RAW = frozenset("script style textarea title noscript iframe template svg".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 IMPLIED = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"), "tbody": ("thead tbody tr td th", "table"), "tfoot": ("tbody tr td th", "table")}
 IMPLIED = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in IMPLIED.items()}
 TEXT_TAGS = frozenset("p li td blockquote pre h1 h2 h3 h4".split())
-SKIPPED = frozenset("head script style noscript template iframe svg math title textarea select button input option object".split())
+#: Scripts, styles, drawings, form controls and the head hold no article text whatever the trees say.
+SKIPPED = frozenset("head script style noscript template iframe svg title textarea select button input option".split())
 
 #: A quote counts only after ``=``; nothing is tried twice, so a page cut inside a tag takes one pass.
 _TAG = re.compile(r"""<!--(?:.*?)-->|<!--.*\Z|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>="']++|=\s*+(?:"[^"]*+"|'[^']*+')|[="'])*+)(>|\Z)""", re.S)
@@ -203,7 +205,7 @@ def elements(root: Node) -> list[Element]:
                 e.links += size
             if size:
                 e.stops += sum(map(text.count, ".,;:!?"))
-                e.digits += sum(map(str.isdigit, text)) if size < 200 else 0
+                e.digits += sum(map(text.count, "0123456789"))
             continue
         if item.tag in SKIPPED:
             e.parts.append(" ")

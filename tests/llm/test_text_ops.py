@@ -148,6 +148,37 @@ def test_decoding_has_no_kept_node_below_a_dropped_one():
         assert all(not k or e.parent < 0 or kept[e.parent] for e, k in zip(es, kept, strict=True))
 
 
+def test_decoding_is_the_best_of_all_labelings():
+    import itertools
+    import random
+
+    r = random.Random(5)
+    for _ in range(25):
+        page, open_ = "", 0
+        for k in range(7):
+            page += f"<div>text{'x' * r.randint(0, 30)}"
+            open_ += 1
+            while open_ and r.random() < 0.45:
+                page, open_ = page + "</div>", open_ - 1
+        es = html_nodes.elements(html_nodes.parse(page))
+        logit = np.array([r.uniform(-3, 3) for _ in es])
+        stake = np.array([e.own + 1.0 for e in es]) * logit
+        best = max(sum(stake[i] for i in range(1, len(es)) if k[i]) for rest in itertools.product((0, 1), repeat=len(es) - 1) for k in [(1, *rest)] if all(not k[i] or k[e.parent] for i, e in enumerate(es) if e.parent >= 0))
+        kept = html_nodes.decode(es, logit)
+        assert np.isclose(sum(stake[i] for i in range(1, len(es)) if kept[i]), best)
+
+
+def test_pages_long_deep_and_with_other_columns(spark):
+    model = html_training.train_node_model(150)
+    story = " ".join(f"This is sentence number {i} of the long story, told at some length." for i in range(4000))
+    inner = "<p>The square is <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here, and <object>some inner text</object> follows in this paragraph of the article.</p>"
+    pages = {1: f"<body><article><p>{story}</p></article></body>", 2: "<div>" * 3000 + f"<article><p>{story[:2000]}</p></article>" + "</div>" * 3000, 3: f"<body><article><h1>Squares</h1>{inner * 3}</article></body>"}
+    rows = [(i, "u", p, 1, "t", 3) for i, p in pages.items()]
+    got = {r.page_id: r.text for r in html_nodes.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int, text string, kept int"), model).collect()}
+    assert got[1] == story and got[2] == story[:2000].strip()
+    assert got[3].startswith("Squares The square is x=2 here, and") and got[3].count("some inner text") == 3
+
+
 def test_model_on_held_out_pages():
     model = html_training.train_node_model(400)
     x, y, w = html_training.examples(150, 77)
