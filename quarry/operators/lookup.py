@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions.lexicon import FIELD_ONTOLOGIES
 from quarry.functions.text import norm_key
-from quarry.functions.vector import cosine
+from quarry.functions.vector import GUARD
 
 
 def build_lookup(terms: DataFrame, synonyms: DataFrame) -> DataFrame:
@@ -42,17 +43,46 @@ def exact_matches(wanted: DataFrame, lookup: DataFrame, terms: DataFrame) -> Dat
     return distinct.join(named, ["category", "raw"], "left").select("category", "raw", "onto", "id", "onto_name", F.when(F.col("id").isNotNull(), 1.0).otherwise(0.0).alias("confidence"), F.when(F.col("id").isNotNull(), "exact").otherwise("none").alias("method"))
 
 
-def nearest_matches(wanted: DataFrame, vectors: DataFrame, threshold: float = 0.65, digits: int = 9) -> DataFrame:
+def nearest_matches(wanted: DataFrame, vectors: DataFrame, threshold: float = 0.65, digits: int = 9, by: str | None = None, block: int = 4096, chunk: int = 65_536) -> DataFrame:
     """Best term for each (raw, vec) with a cosine of at least ``threshold``; ties go to the smaller id.
 
-    ``wanted`` holds the distinct terms that found no exact match; ``vectors``: id, vec. Every wanted term is compared
-    with every vector, so the wanted side should be small; it is streamed against the vectors, and only the best
-    match per term and task is shuffled.
+    ``wanted`` holds the distinct terms that found no exact match; ``vectors``: id, vec; ``by`` names a column of both
+    that must agree. All wanted terms are compared with all vectors, as matrix products of a block of terms and a chunk of
+    vectors, so a task holds no more than one of each; vectors are shuffled once for every ``block`` terms. Terms without
+    a vector or of another length than a vector don't match it.
     """
-    pairs = wanted.select("raw", F.col("vec").alias("_q")).join(vectors.select("id", F.col("vec").alias("_v")))
-    scored = pairs.select("raw", "id", F.round(cosine(F.col("_q"), F.col("_v")), digits).alias("score")).where(F.col("score") >= threshold)
-    best = scored.groupBy("raw").agg(F.max(F.struct("score", F.struct((-F.col("id")).alias("neg"), "id").alias("t"))).alias("m"))
-    return best.select("raw", F.col("m.t.id").alias("id"), F.col("m.score").alias("score"))
+    keys = [by] if by else []
+    blocks, chunks = (max(1, -(-df.count() // size)) for df, size in ((wanted, block), (vectors, chunk)))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = wanted.where("vec is not null").select(*keys, "raw", F.col("vec").cast("array<double>").alias("vec"), F.size("vec").alias("dim"), part("raw", blocks).alias("block"), spread(chunks).alias("chunk"))
+    right = vectors.where("vec is not null").select(*keys, "id", F.col("vec").cast("array<double>").alias("vec"), F.size("vec").alias("dim"), part("id", chunks).alias("chunk"), spread(blocks).alias("block"))
+    cell = [*keys, "dim", "block", "chunk"]
+
+    def best(asked: pa.Table, held: pa.Table) -> pa.Table:
+        import numpy as np
+
+        out = {**{k: asked[k] for k in keys}, "raw": asked["raw"]}
+        if not len(asked) or not len(held):
+            return pa.table({**{k: c.slice(0, 0) for k, c in out.items()}, "id": held["id"].slice(0, 0), "score": pa.array([], pa.float64())})
+        held = held.sort_by("id")
+        matrix = lambda t: t["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
+        q, v = matrix(asked), matrix(held)
+        size = lambda x: np.sqrt((x * x).sum(1)) + GUARD
+        at, score, norms = [], [], size(v)
+        for start in range(0, len(q), 256):
+            some = q[start : start + 256]
+            cos = np.round(some @ v.T / (size(some)[:, None] * norms), digits)
+            at.append(cos.argmax(1))  # the first of equal ones has the smallest id
+            score.append(cos.max(1))
+        at, score = np.concatenate(at), np.concatenate(score)
+        return pa.table({**out, "id": held["id"].take(pa.array(at)), "score": pa.array(score)}).filter(pa.array(score >= threshold))
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    schema = ", ".join([*(f"{k} {kind(wanted, k)}" for k in keys), f"raw {kind(wanted, 'raw')}", f"id {kind(vectors, 'id')}", "score double"])
+    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(best, schema)
+    nth = F.row_number().over(Window.partitionBy(*keys, "raw").orderBy(F.desc("score"), "id"))
+    return found.withColumn("_nth", nth).where("_nth = 1").select(*keys, "raw", "id", F.round("score", digits).alias("score"))
 
 
 def normalize_terms(wanted: DataFrame, lookup: DataFrame, terms: DataFrame, vectors: DataFrame | None = None, encode=None, threshold: float = 0.65) -> DataFrame:
@@ -64,12 +94,11 @@ def normalize_terms(wanted: DataFrame, lookup: DataFrame, terms: DataFrame, vect
     if vectors is None or encode is None:
         return exact
     missing = encode(exact.where("method = 'none'").select("category", "raw"))
-    order = F.try_element_at(field_priority(), F.col("category"))
-    pairs = missing.select("category", "raw", F.col("vec").alias("_q")).join(vectors.select("onto", "id", F.col("vec").alias("_v")))
-    at = F.when(order.isNull(), 0).otherwise(F.array_position(order, F.col("onto")))
-    pairs = pairs.withColumn("at", at).where(order.isNull() | (F.col("at") > 0))
-    near = pairs.withColumn("score", cosine(F.col("_q"), F.col("_v"))).where(F.col("score") >= threshold)
-    nth = F.row_number().over(Window.partitionBy("category", "raw").orderBy("at", "onto", F.desc("score"), "id"))
+    order = F.coalesce(F.try_element_at(field_priority(), F.col("category")), F.array_sort(F.lit([r[0] for r in vectors.select("onto").distinct().collect()])))  # a handful
+    asked = missing.select("category", "raw", "vec", F.posexplode(order).alias("at", "onto"))
+    once = asked.select("raw", "vec", "onto").dropDuplicates(["raw", "onto"])
+    near = asked.drop("vec").join(nearest_matches(once, vectors.select("onto", "id", "vec"), threshold, by="onto"), ["raw", "onto"])
+    nth = F.row_number().over(Window.partitionBy("category", "raw").orderBy("at"))
     near = near.withColumn("nth", nth).where("nth = 1").select("category", "raw", F.col("onto").alias("o2"), F.col("id").alias("i2"), "score")
     near = near.join(terms.select(F.col("onto").alias("o2"), F.col("id").alias("i2"), F.col("name").alias("n2")), ["o2", "i2"], "left")
     out = exact.join(near, ["category", "raw"], "left")

@@ -76,10 +76,17 @@ def make_unique(df: DataFrame, name: str, pos: str, group: list[str] | None = No
 
 
 def budget_prefix(df: DataFrame, size: Column, order: list[Column | str], budget: int, group: list[str] | None = None) -> DataFrame:
-    """The longest prefix whose sizes fit the budget; the first row always stays."""
+    """The longest prefix whose sizes fit the budget; the first row always stays. Sizes are 0 at least.
+
+    Without a group, sizes of 1 and more fill the budget after as many rows at most, so that many rows are taken in order
+    first and no task orders the whole table; rows of size 0 make the prefix longer, and then all rows are ordered.
+    """
+    sized = df.withColumn("_size", size)
+    if group is None and not (sized.where("_size < 1").limit(1).count()):
+        sized = sized.orderBy(*order).limit(budget + 1)
     w = Window.partitionBy(*group).orderBy(*order) if group else Window.orderBy(*order)
     run = F.sum("_size").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = df.withColumn("_size", size).withColumn("_run", run).withColumn("_nth", F.row_number().over(w))
+    out = sized.withColumn("_run", run).withColumn("_nth", F.row_number().over(w))
     return out.where((F.col("_run") <= budget) | (F.col("_nth") == 1)).drop("_size", "_run", "_nth")
 
 

@@ -71,7 +71,6 @@ def soft_sample_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ontology_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, k = table(spark, sf_dir, "nation"), F.col("n_nationkey")
-    stanza = F.concat_ws("\n", F.lit("[Term]"), F.concat(F.when(k % 6 == 5, "XX:").otherwise("CL:"), k), F.lit("x"))
     stanza = F.concat_ws(
         "\n",
         F.lit("[Term]"),
@@ -115,7 +114,7 @@ def ontology_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COS = "round(list_dot_product(a.embedding::double[], b.embedding::double[]) / ((sqrt(list_dot_product(a.embedding::double[], a.embedding::double[])) + 1e-10) * (sqrt(list_dot_product(b.embedding::double[], b.embedding::double[])) + 1e-10)), 9)"
 
 
-@query(f"""select a.vec_id as raw, b.vec_id as id, {_COS} as score from embeddings a, embeddings b where a.label = 0 and a.vec_id < 500 and b.label != 0 and {_COS} >= 0.3 qualify row_number() over (partition by a.vec_id order by score desc, b.vec_id) = 1""")
+@query(f"""select a.vec_id as raw, b.vec_id as id, {_COS} as score from embeddings a, embeddings b where a.label = 0 and b.label != 0 and {_COS} >= 0.3 qualify row_number() over (partition by a.vec_id order by score desc, b.vec_id) = 1""")
 def ontology_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     wanted = e.where("label = 0").select(F.col("vec_id").alias("raw"), F.col("embedding").alias("vec"))  # the terms without an exact match

@@ -183,8 +183,7 @@ def search_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {_ST}, t as (select s_suppkey, '[' || s_suppkey || '] ' || gse_id || ': ' || title || chr(10) || '  Organism: ' || organism || ' | Tissues: ' || coalesce(tissue, '') || ' | Diseases: ' || coalesce(disease, '') || chr(10) as context from st)
 select s_suppkey, context from (select *, sum(length(context)) over (order by s_suppkey) as run, row_number() over (order by s_suppkey) as n from t) where run <= 2000 or n = 1""")
 def context_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = _studies(spark, sf_dir).where("rank <= 1000")  # a result list is short
-    return within_budget(first, 500).select("s_suppkey", context_text().alias("context"))
+    return within_budget(_studies(spark, sf_dir), 500).select("s_suppkey", context_text().alias("context"))
 
 
 @query(f"""with {_ST} select gse_id, 'header' as chunk_type, gse_id || ': ' || title || ' | Organism: ' || organism || ' | Modalities: ' || modality as text from st

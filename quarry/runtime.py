@@ -1,8 +1,8 @@
 """Intermediate tables in the folder that all executors share.
 
 Multi-step operators cut their lineage by writing a table and reading it again, so that a lost executor costs a
-task retry and not the whole job. The folder comes from ``spark.checkpoint.dir``; only where that is unset (tests,
-a laptop) a temporary folder of this process is used.
+task retry and not the whole job. The folder comes from ``spark.checkpoint.dir``; only where that is unset and the master
+is local (tests, a laptop) a temporary folder of this process is used.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if "tmp" not in _own:
         _own["tmp"] = tempfile.mkdtemp(prefix="quarry-")
         atexit.register(shutil.rmtree, _own["tmp"], ignore_errors=True)
@@ -74,6 +76,15 @@ class Workspace:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
+    def put(self, name: str, text: str) -> str:
+        """Write a small text file and return its path."""
+        path = f"{self.root}/{name}"
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        out = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(p, True)
+        out.write(text.encode())
+        out.close()
+        return path
+
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""
         for name in names:
