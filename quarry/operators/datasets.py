@@ -135,3 +135,18 @@ def matrix_triplets(files: DataFrame, folder: str = "folder", name: str = "name"
     both = pairs("b", "barcodes").join(pairs("f", "features"), [folder, "matrix"])
     both = both.withColumn("score", F.col("barcodes_score") + F.col("features_score"))
     return both.groupBy(folder).agg(F.min_by(F.struct("matrix", "barcodes", "features", "score"), F.struct((-F.col("score")).alias("s"), F.col("matrix").alias("m"))).alias("x")).select(folder, "x.*")
+
+
+def bucket_histogram(files: DataFrame, series: str = "series_id", name: str = "url") -> DataFrame:
+    """(series, bucket, files): how many files of each download category a series has."""
+    return files.groupBy(series, download_bucket(F.col(name)).alias("bucket")).agg(F.count("*").alias("files"))
+
+
+def copies_needed(chosen: DataFrame, present: DataFrame, key: str = "series_id") -> DataFrame:
+    """Chosen matrix files (key, path, size_bytes) that their series folder lacks or has in another size.
+
+    ``present``: key, size_bytes of the canonical files that stand already.
+    """
+    there = present.groupBy(key).agg(F.max("size_bytes").alias("_there"))
+    out = chosen.join(there, key, "left").where(F.col("_there").isNull() | (F.col("_there") != F.col("size_bytes"))).drop("_there")
+    return out.withColumn("target", F.concat(key, F.lit("/"), key, F.lit(".h5ad")))

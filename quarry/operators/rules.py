@@ -203,3 +203,9 @@ def parse_query(query: Column) -> Column:
     for word, label in lexicon.QUERY_ASSAYS:
         assay = assay.when(q.contains(word), label)
     return F.struct(organism.alias("organism"), assay.otherwise("").alias("assay"), query.alias("free_text"))
+
+
+def search_expression(query: Column, organism: Column, kind: Column) -> Column:
+    """Expression of the study search: the query, and the organism and data set type where they are given, joined by AND."""
+    field = lambda c, name: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit('"'), c, F.lit(f'"[{name}]')))
+    return F.concat_ws(" AND ", F.concat(F.lit("("), F.coalesce(query, F.lit("single cell RNA-seq")), F.lit(")")), field(organism, "Organism"), field(kind, "DataSet Type"))

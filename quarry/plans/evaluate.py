@@ -144,3 +144,13 @@ def answer_items(items: DataFrame, generate) -> DataFrame:
         return p.map(one)
 
     return items.withColumn("response", ask("prompt"))
+
+
+def read_items(spark: SparkSession, registry: DataFrame, folder: str) -> DataFrame:
+    """Items of the registered datasets (dataset, evaluator, answer_field, shift) that lie in ``folder`` as JSON lines.
+
+    A dataset lies in DATASET.json or in files of a folder of that name; registered ones without files are skipped.
+    """
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+?)(?:\.json)?(?:/part-[^/]*)?$", 1)
+    rows = spark.read.option("recursiveFileLookup", True).text(folder).select(name.alias("dataset"), F.col("value").alias("item")).where("item != ''")
+    return rows.join(registry, "dataset").withColumn("item_id", F.md5("item"))

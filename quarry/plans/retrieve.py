@@ -90,7 +90,7 @@ def multi_step(index: DataFrame, query: str, spec: RetrievalSpec | None = None,
         refined = (refine(query, titles) or "").strip()
     except Exception:  # a refinement that fails leaves the first results
         return first
-    return first if len(refined) < least else merge_rankings(first, run(refined), key, spec.rerank_k)
+    return first if len(refined) < least else merge_rankings(first.drop("rrf"), run(refined).drop("rrf"), key, spec.rerank_k)
 
 
 def search(index: DataFrame, query: str, parsed: dict[str, str], spec: RetrievalSpec | None = None, providers: Providers | None = None) -> DataFrame:

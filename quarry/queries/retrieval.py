@@ -14,6 +14,7 @@ from quarry.plans.answer import context_text, field_chunks, within_budget
 from quarry.plans.index import index_info, search_text
 from quarry.plans.retrieve import RetrievalSpec, dense_top, retrieve, sparse_top
 from quarry.queries.base import query, quoted
+from quarry.sources.records import study_by_id
 from quarry.tables import table
 
 QUERY = "the of and thing with"
@@ -205,7 +206,8 @@ def chat_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select o_orderkey, o_orderstatus, o_totalprice from orders where o_orderkey = 7 limit 1")
 def study_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").where("o_orderkey = 7").select("o_orderkey", "o_orderstatus", "o_totalprice").limit(1)
+    studies = table(spark, sf_dir, "orders").withColumn("gse_id", F.col("o_orderkey").cast("string"))
+    return study_by_id(studies, "7").select("o_orderkey", "o_orderstatus", "o_totalprice")
 
 
 @query("select doc_id, md5(doc_id || '42') as h from documents order by h, doc_id limit 200")

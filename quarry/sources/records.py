@@ -134,3 +134,12 @@ def shape_studies(raw: DataFrame) -> DataFrame:
 
 def study_by_id(studies: DataFrame, gse_id: str) -> DataFrame:
     return studies.where(F.col("gse_id") == gse_id).limit(1)
+
+
+def read_search(spark: SparkSession, path: str) -> DataFrame:
+    """(count, ids, web_env, query_key) of landed search answers; what is missing is 0, empty or ''."""
+    schema = "Count string, IdList struct<Id: array<string>>, WebEnv string, QueryKey string"
+    rows = spark.read.format("xml").option("rowTag", "eSearchResult").schema(schema).load(path)
+    text = lambda c: F.coalesce(c, F.lit(""))
+    ids = F.filter(F.coalesce(F.col("IdList.Id"), F.array().cast("array<string>")), lambda i: text(i) != "")
+    return rows.select(F.coalesce(F.col("Count").try_cast("long"), F.lit(0)).alias("count"), ids.alias("ids"), text(F.col("WebEnv")).alias("web_env"), text(F.col("QueryKey")).alias("query_key"))
