@@ -13,8 +13,8 @@ and documents are selected by comparing their key with it, without moving texts.
 
 Main path: DataFrame functions only. A token is a word here. Defined cases: null levels count as ''; null or blank
 texts have no tokens and cost nothing; rows with one doc_id share a key and are selected together; levels without a
-given weight get ``default_weight``; a weight of 0 gives no budget while siblings with weight have room; an empty table gives an
-empty result; all columns of the input stay.
+given weight get ``default_weight``; a weight of 0 gives no budget while siblings with weight have room; a text of any
+length counts whole; an empty table gives an empty result; all columns of the input, whatever their names, stay.
 """
 
 from __future__ import annotations
@@ -158,12 +158,13 @@ def mixed_documents(docs: DataFrame, spec: MixSpec | None = None, text: str = "t
     spec = spec or MixSpec()
     ws = Workspace(docs.sparkSession, "mixing")
     _, cuts = mix_plan(docs, spec, ws, text)
-    names = {x: f"_level_{i}" for i, x in enumerate(spec.levels)}
-    keyed = docs.withColumns({n: F.coalesce(F.col(x).cast("string"), F.lit("")) for x, n in names.items()})
-    at = cuts.select(*(F.col(x).alias(n) for x, n in names.items()), F.col("epochs").alias("_epochs"), F.col("cut").alias("_cut"))
+    names = {x: f"level_{i}" for i, x in enumerate(spec.levels)}
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", *(F.coalesce(F.col(x).cast("string"), F.lit("")).alias(n) for x, n in names.items()))
+    at = cuts.select(*(F.col(x).alias(n) for x, n in names.items()), "epochs", "cut")
     found = keyed.join(at, list(names.values()))
-    more = F.coalesce((_key(spec, F.col("_epochs")) <= F.col("_cut")).cast("int"), F.lit(0))
-    return found.withColumn("_copies", F.col("_epochs") + more).where("_copies > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).select(*docs.columns)
+    more = F.coalesce((_key(spec, F.col("epochs")) <= F.col("cut")).cast("int"), F.lit(0))
+    copies = found.select("row", (F.col("epochs") + more).alias("copies")).where("copies > 0")
+    return copies.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def oracle(spec: MixSpec | None = None, domains: dict[str, str] | None = None) -> str:

@@ -6,14 +6,15 @@ the text, each filter's maximum over all positions is kept, and a logistic layer
 a filter response is a sum over its offsets, scoring uses one table of responses per offset (embedding times filter)
 and only gathers and adds.
 
-Training: at most ``per_class`` rows of each label (in the order of a hash of doc_id, a documented bound) whose
-crc32(doc_id) mod 5 isn't 0; one in five of these is kept to choose when to stop and to calibrate a threshold for each
+Training: at most ``per_class`` rows of each label with at most ``most_words`` words together (in the order of a hash of
+doc_id, documented bounds; a row over the bound is left out whole) whose crc32(doc_id) mod 5 isn't 0; one in five of these is kept to choose when to stop and to calibrate a threshold for each
 language. The language of a text is told from its own function words, never from a column. A score is the logistic of
 the logit's distance to the threshold of the text's language, so 0.5 is the threshold everywhere.
 
-Defined cases: a null or empty text is scored as a text without words; labels that are null are ignored; of several
-labels of one document the largest counts; without labels of both kinds every score is 0; repeated rows get equal
-scores; an empty table gives an empty result; other columns are ignored.
+Defined cases: a null or empty text is scored as a text without words; a text of any length is scored whole, a few
+megabytes of texts at a time; labels that are null are ignored; of several labels of one document the largest counts;
+without labels of both kinds every score is 0; a tie between languages goes to the first of them; repeated rows get
+equal scores; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,14 +22,16 @@ from __future__ import annotations
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quarry.llm.text import list_array, utf8
+from quarry.llm.text import list_array, slices, utf8, word_count
 from quarry.runtime import ship
 
 #: Function words that tell the language of a text.
@@ -50,6 +53,7 @@ class ToxicSpec:
     widths: tuple[int, ...] = (1, 2, 3)
     filters: int = 8
     per_class: int = 3000
+    most_words: int = 2_000_000
     updates: int = 2400
     checks: int = 24
     patience: int = 6
@@ -87,6 +91,7 @@ def word_ids(text: bytes | None, table: WordBuckets) -> np.ndarray:
     return table.rows[slots]
 
 
+@cache
 def language_table(buckets: int) -> np.ndarray:
     """Bucket -> 1 + index of the language that its function word belongs to, or 0."""
     table = WordBuckets(buckets)
@@ -288,11 +293,14 @@ def fit(docs: DataFrame, labels: DataFrame, spec: ToxicSpec | None = None) -> Mo
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordBuckets(spec.buckets)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), list_array([word_ids(t, table).ravel() for t in b.column(2).to_pylist()], pa.int32())], names=["doc_id", "y", "ids"])
+        for b in slices(batches, 2):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), list_array([word_ids(t.as_py(), table).ravel() for t in b.column(2)], pa.int32())], names=["doc_id", "y", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "y", utf8(F.col("text"))).mapInArrow(ids, f"doc_id {kind}, y int, ids array<int>").toArrow()
+    rows = docs.select("doc_id", "text").join(sample, "doc_id").withColumn("n", word_count(F.col("text")))
+    so_far = F.sum("n").over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", "n", F.xxhash64("text")))  # a few thousand rows
+    rows = rows.withColumn("so_far", so_far).where(F.col("so_far") <= spec.most_words)
+    rows = rows.select("doc_id", "y", utf8(F.col("text"))).mapInArrow(ids, f"doc_id {kind}, y int, ids array<int>").toArrow()
     rows = rows.sort_by("doc_id")
     y = rows["y"].to_numpy()
     if len(y) < 20 or not 0 < y.sum() < len(y):
@@ -311,7 +319,7 @@ def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         table = WordBuckets(m.spec.buckets)
-        for b in (whole.slice(o, 512) for whole in batches for o in range(0, whole.num_rows, 512)):  # few ids at a time
+        for b in slices(batches, 2):  # few ids at a time
             s = m.scores([word_ids(t.as_py(), table) for t in b.column(2)])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=[key, "held_out", "score", "predicted"])
 
