@@ -4,7 +4,8 @@ A token budget flows down a tree (by default domain, language, source). Children
 weight, but none takes more than its capacity: the tokens of all leaves below it times the number of epochs allowed.
 What a child can't take goes to its siblings; only when all of them are full does the shortage show at the parent,
 whose own siblings take it. Since each node's capacity is known from below before budgets come from above, one
-top-down pass of water filling per level does this exactly, in integers.
+top-down pass of water filling per level does this exactly, in integers; what rounding down leaves over goes to the
+children with the largest fractions, one token each, ties to the smaller name.
 
 A leaf's budget is filled from seeded epochs: whole passes over the leaf as often as they fit, then the prefix of one
 more pass in the order of ``md5(seed:epoch:doc_id)``. The prefix is the longest whose tokens fit. It is found from
@@ -82,7 +83,12 @@ def _share(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
     idle = Window.partitionBy(*parent, "wopen").orderBy(name).rowsBetween(first, -1) if parent else Window.partitionBy("wopen").orderBy(name).rowsBetween(first, -1)
     x = x.withColumn("idle", F.coalesce(F.sum(F.when(F.col("full"), 0).otherwise(F.col("cap"))).over(idle), F.lit(0)))
     rest = F.greatest(F.lit(0), F.least(F.col("cap"), F.col("left") - F.col("idle")))
-    budget = F.when(F.col("full"), F.col("cap")).when(F.col("wopen") > 0, F.expr("left * w div wopen")).otherwise(rest)
+    # what rounding down leaves over goes to the largest fractions, one token each
+    shared = ~F.col("full") & (F.col("wopen") > 0)
+    x = x.withColumns({"base": F.when(shared, F.expr("left * w div wopen")).otherwise(0), "fraction": F.when(shared, F.expr("left * w % wopen")).otherwise(-1)})
+    largest = (Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))).orderBy(F.desc("fraction"), name)
+    x = x.withColumn("more", (F.row_number().over(largest) <= F.col("left") - F.sum("base").over(whole)).cast("int"))
+    budget = F.when(F.col("full"), F.col("cap")).when(F.col("wopen") > 0, F.col("base") + F.col("more")).otherwise(rest)
     return x.withColumn("budget", budget.cast("long")).select(*parent, name, "budget")
 
 
@@ -189,7 +195,9 @@ def oracle(spec: MixSpec | None = None, domains: dict[str, str] | None = None) -
             f"p{i} as (select *, coalesce(sum(cap) over ({part} order by cap::double / w, {name} rows between unbounded preceding and 1 preceding), 0) as prev, sum(w) over ({part} order by cap::double / w, {name} rows between current row and unbounded following) as wrem from n{i} {join})",
             f"q{i} as (select *, (b - prev) * w >= cap * wrem as sat from p{i})",
             f"r{i} as (select *, sum(case when sat then cap else 0 end) over ({part}) as taken, sum(case when sat then 0 else w end) over ({part}) as wopen from q{i})",
-            f"b{i + 1} as (select {here}, case when sat then cap else (b - taken) * w // nullif(wopen, 0) end as b from r{i})",
+            f"t{i} as (select *, case when sat then 0 else (b - taken) * w // nullif(wopen, 0) end as base, case when sat then -1 else (b - taken) * w % nullif(wopen, 0) end as fraction from r{i})",
+            f"u{i} as (select *, (b - taken) - sum(base) over ({part}) as extra, row_number() over ({part} order by fraction desc, {name}) as nth from t{i})",
+            f"b{i + 1} as (select {here}, case when sat then cap else base + case when nth <= extra then 1 else 0 end end as b from u{i})",
         ]
     last, cols = f"b{len(levels)}", ", ".join(levels)
     ctes += [

@@ -159,8 +159,13 @@ def plain_mix(rows, spec):
                 left -= cap[full[-1]]
             for k in full:
                 budget[k] = cap[k]
+            whole = sum(w[x] for x in open_)
             for k in open_:
-                budget[k] = left * w[k] // sum(w[x] for x in open_)
+                budget[k] = left * w[k] // whole
+            extra = left - sum(budget[k] for k in open_) if open_ else 0
+            for k in sorted(open_, key=lambda k: (-(left * w[k] % whole), k[-1]))[:extra]:
+                budget[k] += 1
+            assert sum(budget[k] for k in kids) == budget[parent]
     picked = Counter()
     for p, ds in leaves.items():
         n, b = tokens[p], budget[p]
