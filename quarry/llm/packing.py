@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import re
+import threading
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -52,7 +53,8 @@ class PackSpec:
 
 _CLOSING = ".,;:!?*#$%&|"
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")  # one lower-case form each, and no marks that combine
-_TOKENIZERS: dict[str, object] = {}
+_CACHES: dict[str, "TokenCache"] = {}
+_IDLE: list[threading.Timer] = []
 
 
 class TokenCache:
@@ -60,7 +62,7 @@ class TokenCache:
 
     The tokenizer works on letter runs, digits and other runs between white space, so a text's ids are those of its words
     in order. Arrow splits a block and numbers its distinct words. A word of letters and closing punctuation is put together
-    from its lower-case letters, which are kept from block to block of a task, and its punctuation; any other word is encoded as it
+    from its lower-case letters, which are kept from block to block, and its punctuation; any other word is encoded as it
     is. New letter runs are encoded many at a time with a digit between them. The table of letter runs starts anew when full.
     """
 
@@ -125,10 +127,19 @@ class TokenCache:
 
 
 def cached(path: str) -> TokenCache:
-    """A cache for one task over this worker's tokenizer, so that workers don't hold words while they do other things."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = load_tokenizer(path)
-    return TokenCache(_TOKENIZERS[path])
+    """This worker's cache for a tokenizer; it outlives a task, but not the seconds after the last one."""
+    while _IDLE:
+        _IDLE.pop().cancel()
+    if path not in _CACHES:
+        _CACHES[path] = TokenCache(load_tokenizer(path))
+    return _CACHES[path]
+
+
+def release_later(seconds: float = 3.0) -> None:
+    """Forget the caches if no task asks for them soon, so that workers don't hold words while they do other things."""
+    _IDLE.append(threading.Timer(seconds, _CACHES.clear))
+    _IDLE[-1].daemon = True
+    _IDLE[-1].start()
 
 
 def load_tokenizer(path: str):
@@ -140,7 +151,7 @@ def load_tokenizer(path: str):
     return t
 
 
-def blocks(texts: pa.Array, size: int = 4_000_000) -> Iterator[pa.Array]:
+def blocks(texts: pa.Array, size: int = 8_000_000) -> Iterator[pa.Array]:
     """Runs of texts of about so many bytes, one text at least; null is empty."""
     texts = pc.fill_null(texts, "")
     ends = np.cumsum(pc.binary_length(texts).to_numpy())
@@ -176,6 +187,7 @@ def pieces(docs: DataFrame, spec: PackSpec, key: str = "doc_id", text: str = "te
                 [b.column(0).take(pa.array(rows, pa.int32())), pa.array(nth, pa.int32()), *(pa.array(c, pa.int64()) for c in (start, length, crc))],
                 names=[key, "piece", "start", "length", "ids_crc32"],
             )
+        release_later()
 
     return docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"{key} {kind}, piece int, start long, length long, ids_crc32 long")
 
