@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -127,13 +128,31 @@ def joined_text(*parts: Column) -> Column:
     return F.lower(F.concat_ws(" ", *(F.coalesce(p, F.lit("")) for p in parts)))
 
 
+def literal_start(pattern: str) -> str:
+    """Letters that a match of the pattern must begin with, '' if none are certain."""
+    m = re.match(r"(?:\\b)?([A-Za-z]+)(.?)", pattern)
+    if not m or "|" in pattern:
+        return ""
+    return m[1][:-1] if m[2] and m[2] in "?*+{" else m[1]
+
+
+def has_pattern(low: Column, pattern: str) -> Column:
+    """Whether a lower-case text has the pattern in any case; a fast search for its first letters goes first."""
+    p = pattern.lower()
+    if p.isalpha():
+        return low.contains(p)
+    start = literal_start(p)
+    return low.contains(start) & low.rlike(p) if start else low.rlike(p)
+
+
 def domain_score(text: Column, patterns: dict[str, tuple[str, ...]] | None = None) -> Column:
     """struct(domain, keywords): two cancer patterns decide; one yields to more than two of development; else the most."""
     patterns = patterns or lexicon.DOMAIN_PATTERNS
-    t = F.lower(text)
     none = F.array().cast("array<string>")
-    # the text is in lower case, so patterns in lower case find what they find in any case, and plain words are searched fast
-    found = F.struct(*(F.filter(F.array(*(F.when(t.contains(p.lower()) if p.isalpha() else t.rlike(p.lower()), p) for p in ps)), lambda x: x.isNotNull()).alias(d) for d, ps in patterns.items()))
+
+    def keywords(low: Column) -> Column:
+        # in lower case, patterns in lower case find what they find in any case
+        return F.struct(*(F.filter(F.array(*(F.when(has_pattern(low, p), p) for p in ps)), lambda x: x.isNotNull()).alias(d) for d, ps in patterns.items()))
 
     def decide(f: Column) -> Column:
         n = {d: F.size(f[d]) for d in patterns}
@@ -148,7 +167,8 @@ def domain_score(text: Column, patterns: dict[str, tuple[str, ...]] | None = Non
             out = out.when(n[d] == most, pick(d))
         return out
 
-    return F.get(F.transform(F.array(found), decide), F.lit(0))  # bound once, so that each pattern runs once
+    # the text in lower case and what was found are bound once, so that each pattern runs once
+    return F.get(F.transform(F.transform(F.array(F.lower(text)), keywords), decide), F.lit(0))
 
 
 def domain_first(text: Column) -> Column:
