@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 
 from quarry.config import Config
 from quarry.functions.text import joined
-from quarry.operators.datasets import apply_filters, dataset_flags, download_order
+from quarry.operators.datasets import apply_filters, copies_needed, dataset_flags, download_order
 from quarry.operators.lookup import build_lookup, normalize_terms
 from quarry.operators.matrix import quality_filter
 from quarry.operators.rules import classify_files, domain_score, joined_text, modalities_of_text, parse_query
 from quarry.plans.answer import generate
+from quarry.plans.convert import convert_folder, totals_by_series
 from quarry.plans.enrich import enrich, study_mappings
 from quarry.plans.index import encode, index_info, payload, upsert_index, write_index
-from quarry.plans.reports import manifest_files, organ_gaps, write_manifests, write_theme_layout
+from quarry.plans.reports import manifest_files, organ_gaps, write_manifests, write_summary, write_theme_layout
 from quarry.plans.retrieve import RetrievalSpec, search
-from quarry.providers import Providers
-from quarry.runtime import ship
-from quarry.sources.matrices import read_any, read_triplet, scan_folder
+from quarry.providers import Providers, encoder_name
+from quarry.runtime import Workspace, exists, ship
+from quarry.sources.matrices import read_triplet, scan_folder
 from quarry.sources.obo import entry_text, parse_terms, read_obo, synonyms_of
 from quarry.sources.records import listed_files, read_articles, read_studies, read_summaries, series_hits, study_by_id
 from quarry.sources.soft import parse_samples, parse_series, read_texts, supplementary_urls
@@ -80,19 +81,43 @@ class Engine:
     # ---- matrices
 
     def convert(self, folder: str, qc: bool = False) -> DataFrame:
-        """(sample, cell, gene, value) of all readable files below a folder, written by sample."""
-        rows = scan_folder(self.spark, folder).where(F.col("format").isin("csv", "tsv")).select("path", "name", "format").toLocalIterator()
-        out = None
-        for r in rows:  # one plan per file: their columns differ
-            m = read_any(self.spark, r["path"], r["format"]).withColumn("sample", F.lit(r["name"]))
-            out = m if out is None else out.unionByName(m)
-        if out is None:
-            out = self.spark.createDataFrame([], "cell string, gene string, value double, sample string")
+        """Entries of all matrix files below a folder, written by series and sample, and a summary beside them.
+
+        A series' samples lie in one table, so a merged matrix is a read of the series' folder. Files that give nothing are
+        in the table ``conversions`` with their errors. Quality limits hold for each file alone.
+        """
+        made, results = convert_folder(self.spark, folder)
         c = self.config
-        out = quality_filter(out, c.qc_min_genes, c.qc_min_cells, c.qc_max_mito_percent) if qc else out
+        out = quality_filter(made, c.qc_min_genes, c.qc_min_cells, c.qc_max_mito_percent, within=["source"]) if qc else made
         path = self.config.path("matrices")
-        out.write.mode("overwrite").partitionBy("sample").parquet(path)
-        return self.spark.read.parquet(path)
+        out.write.mode("overwrite").partitionBy("series_id", "sample").parquet(path)
+        results.write.mode("overwrite").json(self.config.path("conversions"))
+        write_summary(totals_by_series(results), self.config.path("conversion_summary"))
+        return self.spark.read.schema(made.schema).parquet(path)
+
+    def place_matrices(self, folder: str, series: DataFrame | None = None, qc: bool = False, meta_only: bool = False) -> DataFrame:
+        """(series_id, entries) of series folders whose matrix is new or has changed, after conversion; manifests are filled in.
+
+        The matrix of a series stands in ``canonical`` by series. ``series`` gives the manifests' texts; without it they are empty.
+        """
+        local = scan_folder(self.spark, folder).withColumn("series_id", F.upper(F.regexp_extract("path", r"(?i)/(GSE\d+)[^/]*/", 1))).where("series_id != ''")
+        local = local.select("series_id", "name", F.col("length").alias("size_bytes"))
+        if series is None:
+            none = F.lit("")
+            series = local.select("series_id").distinct().select("series_id", *(none.alias(c) for c in ("title", "summary", "overall_design", "organism", "series_type")))
+        self.write_manifests(series, local)
+        count = F.count("*").alias("size_bytes")
+        empty = self.spark.createDataFrame([], "series_id string, size_bytes long")
+        if meta_only:
+            return empty.withColumnRenamed("size_bytes", "entries")
+        made, canonical = self.convert(folder, qc), self.config.path("canonical")
+        old = self.spark.read.schema(made.schema).parquet(canonical).groupBy("series_id").agg(count) if exists(self.spark, canonical) else empty
+        chosen = made.where("series_id != ''").groupBy("series_id").agg(count).withColumn("path", F.lit(self.config.path("matrices")))
+        ws = Workspace(self.spark, "canonical")
+        due = ws.save(copies_needed(chosen, old).select("series_id", F.col("size_bytes").alias("entries")), "due")
+        writer = made.join(due, "series_id", "left_semi").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("series_id").parquet(canonical)
+        return due
 
     def convert_triplet(self, matrix: str, barcodes: str, features: str) -> DataFrame:
         return read_triplet(self.spark, matrix, barcodes, features)
@@ -110,12 +135,25 @@ class Engine:
         """Ontology mappings of the studies' terms: exact, else nearest by the encoder."""
         terms = parse_terms(read_obo(self.spark, ontology))
         enc = self.providers.encoder
-        vectors = enc.column(terms.select("onto", "id", entry_text(F.col("name"), F.col("synonyms")).alias("entry")), "entry").drop("entry")
+        vectors = self.term_vectors(terms)
         fields = F.array(*(F.struct(F.lit(c).alias("category"), F.col(n).alias("t")) for c, n in (("tissue", "tissues"), ("disease", "diseases"), ("cell_type", "cell_types"))))
         wanted = studies.select(F.explode(fields).alias("f")).select("f.category", F.explode("f.t").alias("raw"))
         matched = normalize_terms(wanted, build_lookup(terms, synonyms_of(terms)), terms, vectors, lambda d: enc.column(d, "raw"), self.config.ontology_threshold)
         return study_mappings(studies, matched)
 
+    def term_vectors(self, terms: DataFrame) -> DataFrame:
+        """(onto, id, vec) of the terms: kept in a table by encoder, where only new or changed terms are encoded."""
+        enc = self.providers.encoder
+        path = f"{self.config.path('ontology_vectors')}/{encoder_name(enc)}"
+        entries = terms.select("onto", "id", entry_text(F.col("name"), F.col("synonyms")).alias("entry"))
+        old = self.spark.read.parquet(path) if exists(self.spark, path) else None
+        new = entries if old is None else entries.join(old.select("onto", "id", "entry"), ["onto", "id", "entry"], "left_anti")
+        ws = Workspace(self.spark, "vectors")
+        made = ws.save(enc.column(new, "entry"), "new")
+        if not made.isEmpty():
+            made.write.mode("append").parquet(path)
+        return self.spark.read.schema(made.schema).parquet(path).join(entries, ["onto", "id", "entry"], "left_semi").dropDuplicates(["onto", "id"]).drop("entry") if exists(self.spark, path) else made.drop("entry")
+
     def index(self, studies: DataFrame) -> str:
         path = self.config.path("index")
         write_index(encode(payload(studies), self.providers), path)

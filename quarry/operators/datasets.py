@@ -121,8 +121,8 @@ def best_output(paths: DataFrame, path: str = "path", pos: str = "pos") -> DataF
     return x.groupBy("series_id").agg(F.min_by(path, F.struct(prio.alias("prio"), F.col(pos).alias("pos"))).alias("path"))
 
 
-def matrix_triplets(files: DataFrame, folder: str = "folder", name: str = "name") -> DataFrame:
-    """The matrix, barcodes and features files of each folder that share the most name tokens.
+def matrix_triplets(files: DataFrame, folder: str = "folder", name: str = "name", every: bool = False) -> DataFrame:
+    """The matrix, barcodes and features files of each folder that share the most name tokens, or those of each matrix.
 
     Folders hold few files; candidates are matched inside a folder only.
     """
@@ -134,6 +134,8 @@ def matrix_triplets(files: DataFrame, folder: str = "folder", name: str = "name"
     pairs = lambda k, c: one("m", "matrix").join(one(k, c), folder).withColumn("score", F.size(F.array_intersect("matrix_tokens", f"{c}_tokens"))).groupBy(folder, "matrix").agg(F.min_by(F.struct(c, "score"), F.struct((-F.col("score")).alias("s"), F.col(c).alias("c"))).alias("x")).select(folder, "matrix", f"x.{c}", F.col("x.score").alias(f"{c}_score"))
     both = pairs("b", "barcodes").join(pairs("f", "features"), [folder, "matrix"])
     both = both.withColumn("score", F.col("barcodes_score") + F.col("features_score"))
+    if every:
+        return both.select(folder, "matrix", "barcodes", "features", "score")
     return both.groupBy(folder).agg(F.min_by(F.struct("matrix", "barcodes", "features", "score"), F.struct((-F.col("score")).alias("s"), F.col("matrix").alias("m"))).alias("x")).select(folder, "x.*")
 
 

@@ -28,17 +28,21 @@ def merge_samples(samples: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, (m.withColumn("sample", F.lit(s)) for s, m in samples.items()))
 
 
-def quality_filter(m: DataFrame, min_genes: int = 200, min_cells: int = 3, max_mito_percent: float = 20.0, mito_prefixes: tuple[str, ...] = ("MT-", "mt-"), cell: str = "cell", gene: str = "gene", value: str = "value") -> DataFrame:
-    """Cells with enough genes, then genes in enough cells, then cells with few mitochondrial counts among what is left."""
+def quality_filter(m: DataFrame, min_genes: int = 200, min_cells: int = 3, max_mito_percent: float = 20.0, mito_prefixes: tuple[str, ...] = ("MT-", "mt-"), cell: str = "cell", gene: str = "gene", value: str = "value", within: list[str] | None = None) -> DataFrame:
+    """Cells with enough genes, then genes in enough cells, then cells with few mitochondrial counts among what is left.
+
+    Columns ``within`` keep matrices apart: each is filtered as if it were alone.
+    """
+    cells, genes = [*(within or []), cell], [*(within or []), gene]
     x = m.where(F.col(value) != 0)
-    x = x.join(x.groupBy(cell).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_genes).select(cell), cell, "left_semi")
-    x = x.join(x.groupBy(gene).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_cells).select(gene), gene, "left_semi")
+    x = x.join(x.groupBy(*cells).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_genes).select(*cells), cells, "left_semi")
+    x = x.join(x.groupBy(*genes).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_cells).select(*genes), genes, "left_semi")
     mito = F.lit(False)
     for p in mito_prefixes:
         mito = mito | F.col(gene).cast("string").startswith(p)
     share = F.try_divide(F.lit(100.0) * F.sum(F.when(mito, F.col(value)).otherwise(0.0)), F.sum(value))
-    keep = x.groupBy(cell).agg(share.alias("_share")).where(F.col("_share") < max_mito_percent).select(cell)
-    return x.join(keep, cell, "left_semi")
+    keep = x.groupBy(*cells).agg(share.alias("_share")).where(F.col("_share") < max_mito_percent).select(*cells)
+    return x.join(keep, cells, "left_semi")
 
 
 def named_axes(entries: DataFrame, barcodes: DataFrame, features: DataFrame) -> DataFrame:

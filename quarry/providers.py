@@ -52,6 +52,75 @@ class HashingEncoder:
         return F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter(words, lambda w: w == k)) / F.size(words)))
 
 
+def encoder_name(encoder) -> str:
+    """A folder name that differs for encoders with different settings."""
+    settings = repr(getattr(encoder, "name", encoder))
+    return f"{type(encoder).__name__.lower()}-{hashlib.md5(settings.encode()).hexdigest()[:8]}"
+
+
+def pick_device(wanted: str = "auto", present: Callable[[str], bool] | None = None) -> str:
+    """The wanted device if it is present, else cuda, mps or cpu, whichever is present first."""
+
+    def seen(device: str) -> bool:
+        try:
+            import torch
+        except ImportError:
+            return False
+        return torch.cuda.is_available() if device.startswith("cuda") else device == "mps" and torch.backends.mps.is_available()
+
+    present = present or seen
+    order = ([] if wanted == "auto" else [wanted]) + ["cuda", "mps"]
+    return next((d for d in order if d == "cpu" or present(d)), "cpu")
+
+
+_loaded: dict[tuple[str, str], Callable[[list[str]], list[list[float]]]] = {}
+
+
+@dataclass(frozen=True)
+class ModelEncoder:
+    """Vectors of a model that every worker loads once, when its first batch comes.
+
+    ``load`` takes a device and gives a function from texts to vectors; it has to be importable on the workers. If loading or
+    encoding fails on another device, the CPU is tried. ``unit`` scales vectors to length one.
+    """
+
+    name: str
+    load: Callable[[str], Callable[[list[str]], list[list[float]]]]
+    device: str = "auto"
+    unit: bool = True
+
+    def _call(self, texts: list[str]) -> list[list[float]]:
+        device = pick_device(self.device)
+        for d in dict.fromkeys((device, "cpu")):
+            try:
+                key = (self.name, d)
+                if key not in _loaded:
+                    _loaded[key] = self.load(d)
+                rows = [[float(x) for x in v] for v in _loaded[key](texts)]
+                break
+            except RuntimeError:  # what devices raise when they lack memory or kernels
+                if d == "cpu":
+                    raise
+        if not self.unit:
+            return rows
+        sizes = [sum(x * x for x in v) ** 0.5 for v in rows]
+        return [[x / n for x in v] if n else v for v, n in zip(rows, sizes, strict=True)]
+
+    def encode(self, text: str) -> list[float]:
+        return self._call([text])[0]
+
+    def column(self, df: DataFrame, text: str, out: str = "vec", block: int = 64) -> DataFrame:
+        call = self._call
+
+        @F.pandas_udf("array<float>")
+        def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for b in batches:
+                texts = [t or "" for t in b]
+                yield pd.Series([v for i in range(0, len(texts), block) for v in call(texts[i : i + block])], index=b.index, dtype=object)
+
+        return df.withColumn(out, encode(F.col(text)))
+
+
 @dataclass(frozen=True)
 class LexicalReranker:
     def score(self, query: str | Column, passage: Column) -> Column:

@@ -18,7 +18,7 @@ OTHER_TABLES = ("fragments.tsv", "positions_file.csv")
 
 
 def scan_folder(spark: SparkSession, root: str) -> DataFrame:
-    """(path, folder, name, length, format) of data files below a folder; contents aren't read."""
+    """(path, folder, name, length, format) of data files below a folder; contents aren't read, and files of no bytes are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", F.col("modificationTime").alias("mtime"))
     x = files.withColumn("name", F.substring_index("path", "/", -1)).withColumn("folder", F.expr("substring(path, 1, length(path) - length(name) - 1)"))
     low = F.lower("name")
@@ -74,15 +74,21 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return transpose(rows) if needs_transpose(df.count(), len(genes)) else rows
 
 
-def _optional(kind: str) -> Callable:
-    def read(*_):
-        raise NotImplementedError(f"{kind} files need an HDF5 library, which isn't a dependency; register a reader for them")
+def _hdf5(kind: str) -> Callable:
+    def read(spark: SparkSession, path: str) -> DataFrame:
+        from quarry.plans.convert import local_path
+        from quarry.sources.hdf5 import read_hdf5
+
+        one = spark.createDataFrame([(path, kind)], "path string, format string")
+        # a single file's error is the reader's error
+        rows = read_hdf5(one, local_path)
+        return rows.select("cell", "gene", F.when(F.col("error").isNotNull(), F.raise_error("error")).otherwise(F.col("value")).cast("double").alias("value"))
 
     return read
 
 
-#: Reader of each format; all take (spark, path). HDF5-based formats are an extension point.
-READERS: dict[str, Callable] = {"csv": read_table, "tsv": read_table, "h5ad": _optional("h5ad"), "h5ad_gz": _optional("h5ad"), "h5_10x": _optional("10x HDF5"), "h5_other": _optional("HDF5"), "loom": _optional("loom")}
+#: Reader of each format; all take (spark, path). HDF5 formats need h5py on the workers.
+READERS: dict[str, Callable] = {"csv": read_table, "tsv": read_table} | {k: _hdf5(k) for k in ("h5ad", "h5_10x", "h5_other", "loom")}
 
 
 def read_any(spark: SparkSession, path: str, kind: str) -> DataFrame:
