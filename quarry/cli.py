@@ -12,11 +12,42 @@ import sys
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.config import load_config
 from quarry.engine import Engine
-from quarry.plans.acquire import FolderFetcher, download, verify_links
-from quarry.plans.reports import link_report, series_status
+from quarry.operators.datasets import bucket_histogram, filter_files
+from quarry.operators.rules import classify_files
+from quarry.plans.acquire import Fetcher, FolderFetcher, HttpFetcher, verify_links
+from quarry.plans.reports import link_report
+
+
+def _filters(p: argparse.ArgumentParser) -> None:
+    """Flags that all commands on series share."""
+    for flag in ("--domain", "--modality", "--organism"):
+        p.add_argument(flag)
+    p.add_argument("--format", action="append", default=[])
+    p.add_argument("--require-format", action="store_true")
+    p.add_argument("--limit", type=int, help="most series to show or take, by accession")
+    p.add_argument("--save", help="folder for the result as JSON lines")
+
+
+def _remote(p: argparse.ArgumentParser) -> None:
+    p.add_argument("--folder", help="where files stand instead of behind their urls")
+    p.add_argument("--delay", type=float, default=0.0, help="seconds before each request")
+
+
+def _chosen(args: argparse.Namespace) -> dict:
+    return {"domain": args.domain, "modality": args.modality, "formats": args.format, "organism": args.organism, "require_format": args.require_format}
+
+
+def _fetcher(args: argparse.Namespace) -> Fetcher:
+    return FolderFetcher(args.folder) if args.folder else HttpFetcher(delay=args.delay)
+
+
+def _first(series: DataFrame, limit: int | None) -> DataFrame:
+    """The first series by accession, if there is a limit, which is the feature here."""
+    return series if limit is None else series.orderBy("series_id").limit(limit)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -37,20 +68,29 @@ def parser() -> argparse.ArgumentParser:
     one = sub.add_parser("search", help="series of landed search summaries")
     one.add_argument("summaries")
     one.add_argument("--min-samples", type=int)
+    one.add_argument("--save", help="folder for the result as JSON lines")
+    one = sub.add_parser("find", help="search the archive, land its answer and summaries, and show the series")
+    one.add_argument("expression", nargs="+")
+    one.add_argument("--target", required=True, help="folder for what is landed")
+    for flag in ("--organism", "--dataset-type", "--save"):
+        one.add_argument(flag)
+    one.add_argument("--max-results", type=int)
+    one.add_argument("--start", type=int, default=0)
+    one.add_argument("--min-samples", type=int)
     one = sub.add_parser("scan", help="formats, modality and domain of a series file list (JSON)")
     one.add_argument("series")
-    for flag in ("--domain", "--modality", "--organism"):
-        one.add_argument(flag)
-    one.add_argument("--format", action="append", default=[])
-    one.add_argument("--require-format", action="store_true")
+    _filters(one)
     one.add_argument("--require-convertible", action="store_true")
+    one.add_argument("--show-files", action="store_true", help="how many files of each kind the series have")
     one = sub.add_parser("verify", help="probe the links of a file list")
     one.add_argument("files")
-    one.add_argument("--folder", required=True, help="where the offline fetcher finds files")
+    _remote(one)
     one = sub.add_parser("download", help="fetch the chosen files of each series")
     one.add_argument("files")
-    one.add_argument("--folder", required=True)
+    _remote(one)
     one.add_argument("--target", required=True)
+    one.add_argument("--format", action="append", default=[])
+    one.add_argument("--modality")
     one = sub.add_parser("manifest", help="write manifests of local files")
     one.add_argument("series")
     one.add_argument("files")
@@ -62,15 +102,24 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("candidates")
     one.add_argument("--format", action="append", default=[])
     one.add_argument("--modality", default="rna")
+    one.add_argument("--save", help="folder for the report as JSON lines")
+    one.add_argument("--download-top", type=int, default=0, help="fetch the files of this many first candidates an organ")
+    one.add_argument("--target", help="folder for them")
+    _remote(one)
     one = sub.add_parser("run", help="scan, select, download and convert")
     one.add_argument("series")
-    one.add_argument("--folder", required=True)
+    _remote(one)
     one.add_argument("--target", required=True)
-    one.add_argument("--domain")
+    _filters(one)
     one.add_argument("--qc", action="store_true")
     one = sub.add_parser("convert", help="matrices below a folder")
     one.add_argument("folder")
     one.add_argument("--qc", action="store_true")
+    one = sub.add_parser("normalize", help="convert series folders, place each one's matrix, fill in manifests")
+    one.add_argument("folder")
+    one.add_argument("--series", help="series table for the manifests")
+    one.add_argument("--qc", action="store_true")
+    one.add_argument("--meta-only", action="store_true")
     one = sub.add_parser("query", help="a query of the catalogue over a folder of tables")
     one.add_argument("name")
     one.add_argument("folder")
@@ -82,6 +131,14 @@ def show(df: DataFrame, n: int = 20) -> None:
         print(r)
 
 
+def report(df: DataFrame, save: str | None) -> None:
+    """Show a result; with a folder, write all of it there first."""
+    if save:
+        df.write.mode("overwrite").json(save)
+        df = df.sparkSession.read.schema(df.schema).json(save)
+    show(df)
+
+
 def chat(engine: Engine, lines=sys.stdin) -> None:
     for line in lines:
         text = line.strip()
@@ -117,17 +174,24 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif args.command == "chat":
         chat(engine)
     elif args.command == "search":
-        show(engine.search_series(args.summaries, min_samples=args.min_samples))
+        report(engine.search_series(args.summaries, min_samples=args.min_samples), args.save)
+    elif args.command == "find":
+        report(engine.find_series(" ".join(args.expression), args.target, args.organism, args.dataset_type, args.max_results, args.start, args.min_samples), args.save)
     elif args.command == "scan":
-        series = spark.read.json(args.series)
-        data, files = engine.classify(series)
-        show(engine.select(data, files, domain=args.domain, modality=args.modality, formats=args.format, organism=args.organism, require_format=args.require_format, require_convertible=args.require_convertible)[0])
+        data, files = engine.classify(_first(spark.read.json(args.series), args.limit))
+        chosen, kept = engine.select(data, files, require_convertible=args.require_convertible, **_chosen(args))
+        report(chosen, args.save)
+        if args.show_files:
+            show(bucket_histogram(kept))
     elif args.command == "verify":
-        links = verify_links(spark.read.json(args.files), FolderFetcher(args.folder))
+        links = verify_links(spark.read.json(args.files), _fetcher(args))
+        links.write.mode("overwrite").json(config.path("links"))
+        links = spark.read.schema(links.schema).json(config.path("links"))
         show(link_report(links, ["series_id"]))
+        show(link_report(links, []))
     elif args.command == "download":
-        chosen = engine.download_plan(spark.read.json(args.files)).select("series_id", "url")
-        show(series_status(download(chosen, FolderFetcher(args.folder), args.target)))
+        files = filter_files(classify_files(spark.read.json(args.files)), args.format, args.modality)
+        show(engine.download(files, _fetcher(args), args.target))
     elif args.command == "manifest":
         print(engine.write_manifests(spark.read.json(args.series), spark.read.json(args.files)))
     elif args.command == "organize":
@@ -136,16 +200,21 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         data, files = engine.classify(spark.read.json(args.candidates))
         found = data.join(spark.read.json(args.candidates).select("series_id", "organ", "pos"), "series_id")
         meta = spark.read.json(args.manifests).select("geo_metadata.*")
-        show(engine.gaps(meta, found, files, args.format, modality=args.modality))
+        gaps = engine.gaps(meta, found, files, args.format, modality=args.modality)
+        report(gaps, args.save)
+        if args.download_top:
+            best = gaps.select(F.explode("candidates").alias("c")).where(F.col("c.rank") <= args.download_top).select("c.series_id").distinct()
+            show(engine.download(filter_files(files, args.format).join(best, "series_id", "left_semi"), _fetcher(args), args.target or config.path("files")))
     elif args.command == "run":
-        data, files = engine.classify(spark.read.json(args.series))
-        kept = engine.select(data, files, domain=args.domain, require_convertible=True)[1]
-        got = download(engine.download_plan(kept).select("series_id", "url"), FolderFetcher(args.folder), args.target)
-        got.write.mode("overwrite").json(config.path("downloads"))
-        show(series_status(spark.read.schema(got.schema).json(config.path("downloads"))))
-        show(engine.convert(args.target, args.qc).groupBy("sample").count())
+        data, files = engine.classify(_first(spark.read.json(args.series), args.limit))
+        chosen, kept = engine.select(data, files, require_convertible=True, **_chosen(args))
+        report(chosen, args.save)
+        show(engine.download(kept, _fetcher(args), args.target))
+        show(engine.convert(args.target, args.qc).groupBy("series_id", "sample").count())
+    elif args.command == "normalize":
+        show(engine.place_matrices(args.folder, spark.read.json(args.series) if args.series else None, args.qc, args.meta_only))
     elif args.command == "convert":
-        show(engine.convert(args.folder, args.qc).groupBy("sample").count())
+        show(engine.convert(args.folder, args.qc).groupBy("series_id", "sample").count())
     else:
         from quarry.catalogue import QUERIES
 

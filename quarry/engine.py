@@ -10,12 +10,14 @@ from quarry.functions.text import joined
 from quarry.operators.datasets import apply_filters, copies_needed, dataset_flags, download_order
 from quarry.operators.lookup import build_lookup, normalize_terms
 from quarry.operators.matrix import quality_filter
-from quarry.operators.rules import classify_files, domain_score, joined_text, modalities_of_text, parse_query
+from quarry.operators.rules import classify_files, domain_score, joined_text, modalities_of_text, parse_query, search_expression
+from quarry.plans.acquire import Fetcher, download
 from quarry.plans.answer import generate
 from quarry.plans.convert import convert_folder, totals_by_series
 from quarry.plans.enrich import enrich, study_mappings
 from quarry.plans.index import encode, index_info, payload, upsert_index, write_index
-from quarry.plans.reports import manifest_files, organ_gaps, write_manifests, write_summary, write_theme_layout
+from quarry.plans.remote import Archive, land_search, land_summaries
+from quarry.plans.reports import manifest_files, organ_gaps, series_status, write_manifests, write_summary, write_theme_layout
 from quarry.plans.retrieve import RetrievalSpec, search
 from quarry.providers import Providers, encoder_name
 from quarry.runtime import Workspace, exists, ship
@@ -41,6 +43,23 @@ class Engine:
         found = hits.join(files, "series_id", "left")
         return found.withColumn("supplementary_files", F.coalesce(F.transform("x", lambda x: x["url"]), F.array().cast("array<string>"))).drop("x")
 
+    def find_series(self, expression: str, target: str, organism: str | None = None, kind: str | None = None, limit: int | None = None, start: int = 0, min_samples: int | None = None, archive: Archive | None = None) -> DataFrame:
+        """Series of a search of the archive, whose answer and summaries are landed below ``target``."""
+        row = self.spark.range(1).select(search_expression(*(F.lit(x).cast("string") for x in (expression, organism, kind))).alias("q")).first()
+        found = land_search(self.spark, row.q, f"{target}/search", limit or self.config.max_results, start, archive)
+        lost = land_summaries(found.select(F.explode("ids").alias("id")), f"{target}/summaries", archive)
+        lost.write.mode("overwrite").json(f"{target}/failed")
+        return self.search_series(f"{target}/summaries", min_samples=min_samples)
+
+    def download(self, files: DataFrame, fetcher: Fetcher, target: str) -> DataFrame:
+        """(series_id, status) after fetching the planned files; what came of each file is in the table ``downloads``."""
+        got = download(self.download_plan(files).select("series_id", "url"), fetcher, target)
+        got.write.mode("overwrite").json(self.config.path("downloads"))
+        done = self.spark.read.schema(got.schema).json(self.config.path("downloads"))
+        out = series_status(done)
+        out.write.mode("overwrite").json(self.config.path("download_status"))
+        return out
+
     def classify(self, series: DataFrame, samples: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """(datasets, files): files classified, sample files probed where a series has only archives, domain and modalities."""
         files = series.select("series_id", F.posexplode("supplementary_files").alias("pos", "url"))

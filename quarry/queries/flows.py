@@ -12,6 +12,7 @@ from quarry.operators.ranking import top_k
 from quarry.operators.rules import organ_first, search_expression
 from quarry.plans.acquire import verify_links
 from quarry.plans.answer import envelope, fallback_answer, field_chunks, result_stats
+from quarry.plans.convert import convert_folder
 from quarry.plans.enrich import enrich, long_characteristics, study_mappings
 from quarry.plans.evaluate import category_composites, dataset_results, prompts, read_items, run_records, score_items
 from quarry.plans.index import fallback_text, payload, upsert_index, write_index
@@ -243,6 +244,18 @@ def newest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest(c.select(_text("GSE", F.col("c_nationkey")).alias("series_id"), _text("s", F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("path"), F.col("c_custkey").alias("mtime")), "series_id")
 
 
+@query("""with s as (select 'GSE' || (s_nationkey % 2 + 1) as series_id, s_suppkey::varchar as cell, s_acctbal::float::double as a, s_nationkey::double as b from supplier)
+select series_id, cell, 'balance' as gene, a as value from s where a != 0 union all select series_id, cell, 'nation, "key"', b from s where b != 0""")
+def converted_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as tables of two series, one with tabs and one with commas and quotes, through the conversion of folders."""
+    ws = Workspace(spark, "tables")
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("balance"), F.col("s_nationkey").alias('nation, "key"'))
+    for n, sep, ending in ((0, ",", "csv"), (1, "\t", "tsv")):
+        part = s.where(F.col('nation, "key"') % 2 == n)
+        part.write.option("header", True).option("sep", sep).option("escape", '"').option("quoteAll", True).option("extension", ending).csv(f"{ws.root}/in/GSE{n + 1}")
+    return convert_folder(spark, f"{ws.root}/in")[0].select("series_id", "cell", "gene", "value")
+
+
 @query("""select 'cell ' || r_name as cell, case when n_nationkey % 2 = 0 then n_name else 'ID' || n_nationkey end as gene, (n_nationkey + 1)::double as value from nation join region on n_regionkey = r_regionkey""")
 def triplet_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # 25 rows
