@@ -218,3 +218,42 @@ LIMITS = {"summary": 500, "summary_short": 300, "design": 300, "title": 200, "do
 RRF_K = 60
 TOP_K = 50
 RERANK_K = 10
+
+# A leading letter, a stated one and one at the end; a marked number and any; what looks like a function call.
+ANSWER_LETTERS = (r"^([A-D])\b", r"(?i)(?:answer|correct)\s*(?:is|:)\s*([A-D])\b", r"\b([A-D])\s*$")
+ANSWER_NUMBERS = (r"####\s*([\d,]+\.?\d*)", r"([\d,]+\.?\d*)")
+FUNCTION_CALL = r"<functioncall>|<tool_call>|\w+\(.*?\)|\{[\"']name[\"']"
+
+# Modality by words of a file name, first match.
+NAME_MODALITIES = (
+    ("atac", ("peak_bc_matrix", "atac", "fragments")),
+    ("rna", ("feature_bc_matrix", "rna", "gene")),
+    ("multiome", ("multiome", "arc")),
+)
+
+# Names of the parts of a matrix triplet.
+TRIPLET_PARTS = ("matrix.mtx", "barcodes.tsv", "features.tsv", "genes.tsv")
+
+# Download categories by ending; None stands for the parts of a triplet anywhere in the name.
+DOWNLOAD_BUCKETS = (
+    ("h5ad", (".h5ad", ".h5ad.gz")),
+    ("h5", (".h5", ".h5.gz")),
+    ("mtx", None),
+    ("csv_tsv", (".csv", ".csv.gz", ".tsv", ".tsv.gz", ".txt", ".txt.gz")),
+    ("loom", (".loom", ".loom.gz")),
+    ("tar", (".tar", ".tar.gz", ".tgz")),
+)
+
+# Formats that the converter tells by ending; None stands for a matrix file by its base name.
+CONVERTER_FORMATS = (
+    ("h5ad", (".h5ad",)),
+    ("h5ad_gz", (".h5ad.gz",)),
+    ("h5_other", (".h5",)),
+    ("mtx", None),
+    ("loom", (".loom",)),
+    ("tar", (".tar.gz", ".tgz", ".tar")),
+    ("mtx", (".mtx.gz",)),
+    ("csv", (".csv.gz", ".csv")),
+    ("tsv", (".tsv.gz", ".txt.gz", ".tsv", ".txt")),
+    ("gz", (".gz",)),
+)

@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarry.functions import lexicon
 from quarry.functions.text import extract, nullif_empty, strip, tokens
 
 
 def mcq_letter(x: Column) -> Column:
     """Leading letter, else 'answer is X', else a letter at the end, else ''."""
     t = strip(F.coalesce(x, F.lit("")))
-    stated = F.upper(extract(t, r"(?i)(?:answer|correct)\s*(?:is|:)\s*([A-D])\b"))
-    return F.coalesce(extract(t, r"^([A-D])\b"), stated, extract(t, r"\b([A-D])\s*$"), F.lit(""))
+    leading, stated, ending = (extract(t, p) for p in lexicon.ANSWER_LETTERS)
+    return F.coalesce(leading, F.upper(stated), ending, F.lit(""))
 
 
 def number(x: Column) -> Column:
     """The number after ####, else the last number, without commas; else ''."""
     x = F.coalesce(x, F.lit(""))
-    marked = extract(x, r"####\s*([\d,]+\.?\d*)")
-    last = nullif_empty(F.try_element_at(F.regexp_extract_all(x, F.lit(r"([\d,]+\.?\d*)"), F.lit(1)), F.lit(-1)))
+    marked_number, any_number = lexicon.ANSWER_NUMBERS
+    marked = extract(x, marked_number)
+    last = nullif_empty(F.try_element_at(F.regexp_extract_all(x, F.lit(any_number), F.lit(1)), F.lit(-1)))
     return F.replace(F.coalesce(marked, last, F.lit("")), F.lit(","), F.lit(""))
 
 
@@ -45,4 +47,4 @@ def decision(x: Column) -> Column:
 
 def has_call(x: Column) -> Column:
     """Something that looks like a function call."""
-    return F.coalesce(x, F.lit("")).rlike(r"<functioncall>|<tool_call>|\w+\(.*?\)|\{[\"']name[\"']")
+    return F.coalesce(x, F.lit("")).rlike(lexicon.FUNCTION_CALL)

@@ -43,10 +43,3 @@ def quality_filter(m: DataFrame, min_genes: int = 200, min_cells: int = 3, max_m
     share = F.try_divide(F.lit(100.0) * F.sum(F.when(mito, F.col(value)).otherwise(0.0)), F.sum(value))
     keep = x.groupBy(*cells).agg(share.alias("_share")).where(F.col("_share") < max_mito_percent).select(*cells)
     return x.join(keep, cells, "left_semi")
-
-
-def named_axes(entries: DataFrame, barcodes: DataFrame, features: DataFrame) -> DataFrame:
-    """Matrix entries (row, col, value; features are rows) with names by position."""
-    b = barcodes.select(F.col("idx").alias("col"), F.col("name").alias("cell"))
-    g = features.select(F.col("idx").alias("row"), F.col("name").alias("gene"))
-    return entries.join(b, "col").join(g, "row").select("cell", "gene", "value")

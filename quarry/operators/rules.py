@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,13 +69,7 @@ def classify_files(files: DataFrame, url: str = "url") -> DataFrame:
 
 def name_modality(name: Column) -> Column:
     """Modality by substrings of a file name: peak/atac, then rna/gene, then multiome/arc."""
-    n = F.lower(name)
-    return (
-        F.when(any_word(n, ("peak_bc_matrix", "atac", "fragments")), "atac")
-        .when(any_word(n, ("feature_bc_matrix", "rna", "gene")), "rna")
-        .when(any_word(n, ("multiome", "arc")), "multiome")
-        .otherwise("unknown")
-    )
+    return first_word(F.lower(name), lexicon.NAME_MODALITIES, "unknown")
 
 
 def canonical_name(series: Column, name: Column) -> Column:
@@ -85,38 +79,28 @@ def canonical_name(series: Column, name: Column) -> Column:
     return F.concat_ws("__", F.upper(series), sample_id(name), name_modality(name), F.concat(stem, ext))
 
 
+def _ends(text: Column, endings: tuple[str, ...]) -> Column:
+    return text.rlike("(" + "|".join(x.replace(".", r"\.") for x in endings) + ")$")
+
+
+def _first(rules, hit: Callable, otherwise: str) -> Column:
+    """Name of the first rule whose words hit."""
+    out = F.lit(otherwise)
+    for name, words in reversed(rules):
+        out = F.when(hit(words), name).otherwise(out)
+    return out
+
+
 def download_bucket(name: Column) -> Column:
     """One of h5ad, h5, mtx, csv_tsv, loom, tar, other."""
     n = F.lower(name)
-    ends = lambda *xs: n.rlike("(" + "|".join(x.replace(".", r"\.") for x in xs) + ")$")
-    return (
-        F.when(ends(".h5ad", ".h5ad.gz"), "h5ad")
-        .when(ends(".h5", ".h5.gz"), "h5")
-        .when(any_word(n, ("matrix.mtx", "barcodes.tsv", "features.tsv", "genes.tsv")), "mtx")
-        .when(ends(".csv", ".csv.gz", ".tsv", ".tsv.gz", ".txt", ".txt.gz"), "csv_tsv")
-        .when(ends(".loom", ".loom.gz"), "loom")
-        .when(ends(".tar", ".tar.gz", ".tgz"), "tar")
-        .otherwise("other")
-    )
+    return _first(lexicon.DOWNLOAD_BUCKETS, lambda xs: _ends(n, xs) if xs else any_word(n, lexicon.TRIPLET_PARTS), "other")
 
 
 def converter_format(path: Column) -> Column:
     """Format that the converter sees by extension; whether an .h5 is a 10x file takes its content."""
     p = F.lower(path)
-    ends = lambda *xs: p.rlike("(" + "|".join(x.replace(".", r"\.") for x in xs) + ")$")
-    return (
-        F.when(ends(".h5ad"), "h5ad")
-        .when(ends(".h5ad.gz"), "h5ad_gz")
-        .when(ends(".h5"), "h5_other")
-        .when(F.substring_index(p, "/", -1).contains("matrix.mtx"), "mtx")
-        .when(ends(".loom"), "loom")
-        .when(ends(".tar.gz", ".tgz", ".tar"), "tar")
-        .when(ends(".mtx.gz"), "mtx")
-        .when(ends(".csv.gz", ".csv"), "csv")
-        .when(ends(".tsv.gz", ".txt.gz", ".tsv", ".txt"), "tsv")
-        .when(ends(".gz"), "gz")
-        .otherwise("unknown")
-    )
+    return _first(lexicon.CONVERTER_FORMATS, lambda xs: _ends(p, xs) if xs else F.substring_index(p, "/", -1).contains(lexicon.TRIPLET_PARTS[0]), "unknown")
 
 
 def looks_single_cell(names: Column) -> Column:
