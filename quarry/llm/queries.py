@@ -6,7 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import compression_bands, html_nodes, html_training, learned_partitions, minimax_shards, mixing, packing, prefix_join, secrets, surrogates, toxicity
+from quarry.llm import (
+    block_norms,
+    compression_bands,
+    golay_hash,
+    html_nodes,
+    html_training,
+    learned_partitions,
+    minimax_shards,
+    mixing,
+    packing,
+    prefix_join,
+    secrets,
+    surrogates,
+    token_alignment,
+    toxicity,
+)
 from quarry.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +69,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_figures(table(spark, sf_dir, "documents"))
+
+
+def op12_block_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_norms.cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+def op13_golay_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golay_hash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -67,6 +94,9 @@ QUERIES: dict[str, Query] = {
         op8_html_extraction,
         op9_minimax_shards,
         op10_toxicity,
+        op11_token_alignment,
+        op12_block_norms,
+        op13_golay_hash,
     )
 }
 
@@ -81,4 +111,4 @@ e as (select x, y from l union all select y, x from l),
 r(x, y) as (select x, y from e union select r.x, e.y from r join e on r.y = e.x)
 select n.doc_id, n.n as n_shingles, least(n.doc_id, coalesce(min(r.y), n.doc_id)) as component_id from n left join r on r.x = n.doc_id group by n.doc_id, n.n"""
 
-ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": _NEAR_SQL.replace("\\\\", "\\"), "op6_mixing": mixing.oracle()}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": _NEAR_SQL, "op6_mixing": mixing.oracle(), "op12_block_norms": block_norms.oracle()}
