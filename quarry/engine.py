@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.config import Config
-from quarry.functions.text import joined
+from quarry.functions.text import joined, nullif_empty
 from quarry.operators.datasets import apply_filters, copies_needed, dataset_flags, download_order
 from quarry.operators.lookup import build_lookup, normalize_terms
 from quarry.operators.matrix import quality_filter
@@ -15,16 +15,19 @@ from quarry.plans.acquire import Fetcher, download
 from quarry.plans.answer import generate
 from quarry.plans.convert import convert_folder, totals_by_series
 from quarry.plans.enrich import enrich, study_mappings
-from quarry.plans.index import encode, index_info, payload, upsert_index, write_index
-from quarry.plans.remote import Archive, land_search, land_summaries
+from quarry.plans.index import encode, index_info, payload, write_index
+from quarry.plans.postings import Postings, write_postings
+from quarry.plans.remote import Archive, fetch_records, land_search, land_summaries, watch_series
 from quarry.plans.reports import manifest_files, organ_gaps, series_status, write_manifests, write_summary, write_theme_layout
-from quarry.plans.retrieve import RetrievalSpec, search
+from quarry.plans.retrieve import RetrievalSpec, retrieve_many, search
+from quarry.plans.vector_index import VectorIndex, write_cells
 from quarry.providers import Providers, encoder_name
 from quarry.runtime import Workspace, exists, ship
-from quarry.sources.matrices import read_triplet, scan_folder
+from quarry.sources.matrices import read_any, read_triplet, scan_folder
 from quarry.sources.obo import entry_text, parse_terms, read_obo, synonyms_of
-from quarry.sources.records import listed_files, read_articles, read_studies, read_summaries, series_hits, study_by_id
-from quarry.sources.soft import parse_samples, parse_series, read_texts, supplementary_urls
+from quarry.sources.records import listed_files, read_articles, read_summaries, series_hits, studies_of, study_by_id, study_documents, with_mappings
+from quarry.sources.soft import parse_samples, parse_series, read_texts, select_accessions, supplementary_urls
+from quarry.versions import VersionedTable
 
 
 class Engine:
@@ -51,6 +54,19 @@ class Engine:
         lost.write.mode("overwrite").json(f"{target}/failed")
         return self.search_series(f"{target}/summaries", min_samples=min_samples)
 
+    def lookup(self, accessions: DataFrame, archive: Archive | None = None) -> tuple[DataFrame, DataFrame]:
+        """(series, lost) of accessions (id): those that are series are fetched as records and read; lost have no record, with the error."""
+        ws = Workspace(self.spark, "lookup")
+        wanted = ws.save(select_accessions(accessions), "wanted")
+        got = ws.save(fetch_records(wanted, archive), "records")
+        return parse_series(got.where("error = ''").select("series_id", "text")), got.where("error != ''").select("series_id", "error")
+
+    def watch(self, expression: str, archive: Archive | None = None, **options: str) -> DataFrame:
+        """All series that runs of this search have found; this run asks only for what is new."""
+        out = self.config.path("watched")
+        watch_series(self.spark, expression, out, f"{out}-checkpoint", archive, **options)
+        return self.spark.read.parquet(out)
+
     def download(self, files: DataFrame, fetcher: Fetcher, target: str) -> DataFrame:
         """(series_id, status) after fetching the planned files; what came of each file is in the table ``downloads``."""
         got = download(self.download_plan(files).select("series_id", "url"), fetcher, target)
@@ -138,8 +154,9 @@ class Engine:
         writer.partitionBy("series_id").parquet(canonical)
         return due
 
-    def convert_triplet(self, matrix: str, barcodes: str, features: str) -> DataFrame:
-        return read_triplet(self.spark, matrix, barcodes, features)
+    def read_matrix(self, path: str, kind: str, barcodes: str | None = None, features: str | None = None) -> DataFrame:
+        """(cell, gene, value) of one file, or of a triplet with its barcodes and features."""
+        return read_triplet(self.spark, path, barcodes, features) if barcodes and features else read_any(self.spark, path, kind)
 
     # ---- studies
 
@@ -147,8 +164,31 @@ class Engine:
         s = parse_series(read_texts(self.spark, series))
         return enrich(s, parse_samples(read_texts(self.spark, samples)), read_articles(self.spark, articles) if articles else None)
 
+    def study_documents(self) -> DataFrame:
+        """(doc): the current version of the rewritten studies, and landed ones that it doesn't hold."""
+        landed, versions = self.config.path("studies"), self._versions("studies_mapped")
+        if versions.current() is None:
+            return study_documents(self.spark, landed)
+        kept, gse = study_documents(self.spark, versions.path()), F.try_variant_get("doc", "$.gse_id", "string").alias("gse_id")
+        if not exists(self.spark, landed):
+            return kept
+        new = study_documents(self.spark, landed).withColumn("gse_id", gse).join(kept.select(gse), "gse_id", "left_anti")
+        return kept.unionByName(new.select("doc"))
+
     def studies(self) -> DataFrame:
-        return read_studies(self.spark, self.config.path("studies"))
+        return studies_of(self.study_documents())
+
+    def map_studies(self, ontology: str) -> DataFrame:
+        """Rewrite the studies with their ontology mappings as a new version, which readers see when it is complete; returns the mappings."""
+        docs = self.study_documents()
+        ws = Workspace(self.spark, "mappings")
+        found = ws.save(self.normalize(studies_of(docs), ontology), "found")
+        text = with_mappings(docs, found).select(F.to_json("doc").alias("value"))
+        self._versions("studies_mapped").write(lambda path: text.write.text(path), f"mapped to {ontology}")
+        return found
+
+    def _versions(self, name: str) -> VersionedTable:
+        return VersionedTable(self.spark, self.config.path(name))
 
     def normalize(self, studies: DataFrame, ontology: str) -> DataFrame:
         """Ontology mappings of the studies' terms: exact, else nearest by the encoder."""
@@ -174,12 +214,29 @@ class Engine:
         return self.spark.read.schema(made.schema).parquet(path).join(entries, ["onto", "id", "entry"], "left_semi").dropDuplicates(["onto", "id"]).drop("entry") if exists(self.spark, path) else made.drop("entry")
 
     def index(self, studies: DataFrame) -> str:
-        path = self.config.path("index")
-        write_index(encode(payload(studies), self.providers), path)
-        return path
-
-    def reindex(self, studies: DataFrame, new: str) -> DataFrame:
-        return upsert_index(self.spark, encode(payload(studies), self.providers), self.config.path("index"), self.config.path(new))
+        """Index all studies anew; readers see it when it is complete. Returns the version's folder."""
+        return self._write_index(encode(payload(studies), self.providers), "all studies")
+
+    def reindex(self, studies: DataFrame) -> DataFrame:
+        """The index with these studies added or in place of those with their ids, as a new version."""
+        old = self._index_rows()
+        new = encode(payload(studies), self.providers)
+        kept = old.join(new.select("gse_id"), "gse_id", "left_anti").unionByName(new.select(old.columns))
+        self._write_index(kept, "some studies")
+        return self._index_rows()
+
+    def _write_index(self, rows: DataFrame, note: str) -> str:
+        def make(path: str) -> None:
+            write_index(rows, f"{path}/rows")
+            kept = self.spark.read.parquet(f"{path}/rows")
+            write_postings(kept, f"{path}/postings")
+            write_cells(kept, f"{path}/vectors")
+
+        versions = self._versions("index")
+        return f"{versions.root}/{versions.write(make, note).folder}"
+
+    def _index_rows(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self._versions('index').path()}/rows")
 
     # ---- questions
 
@@ -189,14 +246,27 @@ class Engine:
     def retrieve(self, query: str, filters: dict[str, str] | None = None) -> DataFrame:
         parsed = self.parse(query) | (filters or {})
         spec = RetrievalSpec(self.config.strategy, self.config.top_k, self.config.rerank_k)
-        return search(self.spark.read.parquet(self.config.path("index")), query, parsed, spec, self.providers)
+        at = self._versions("index").path()
+        return search(self.spark.read.parquet(f"{at}/rows"), query, parsed, spec, self.providers, Postings(self.spark, f"{at}/postings"))
+
+    def retrieve_many(self, queries: DataFrame) -> DataFrame:
+        """Ranked keys and scores of a table of queries (query_id, query), in one plan; each is filtered by the organism that it names."""
+        parsed = queries.withColumn("_p", parse_query(F.col("query"))).select("query_id", F.coalesce(nullif_empty(F.col("_p.free_text")), F.col("query")).alias("query"), nullif_empty(F.col("_p.organism")).alias("organism"))
+        asked = self.providers.encoder.column(parsed, "query")
+        at = self._versions("index").path()
+        spec = RetrievalSpec(self.config.strategy, self.config.top_k, self.config.rerank_k)
+        return retrieve_many(self.spark.read.parquet(f"{at}/rows"), asked, spec, ["organism"], self.providers, postings=Postings(self.spark, f"{at}/postings"))
+
+    def similar(self, queries: DataFrame, k: int, cells: int | None = None) -> DataFrame:
+        """(query_id, gse_id, score, rank) of the studies whose vectors are nearest to (query_id, vec), exact or from some cells."""
+        return VectorIndex(self.spark, f"{self._versions('index').path()}/vectors").search(queries, k, cells=cells)
 
     def answer(self, query: str) -> dict:
         return generate(self.retrieve(query), query, self.parse(query), self.providers)
 
     def stats(self) -> DataFrame:
-        return index_info(self.spark.read.parquet(self.config.path("index")))
+        return index_info(self._index_rows())
 
     def detail(self, gse_id: str) -> DataFrame:
-        found = study_by_id(self.spark.read.parquet(self.config.path("index")), gse_id)
+        found = study_by_id(self._index_rows(), gse_id)
         return found.select("gse_id", "title", "organism", "domain", joined(F.col("tissues"), "N/A").alias("tissues"), joined(F.col("diseases"), "N/A").alias("diseases"), F.substring("summary", 1, 1000).alias("summary"))

@@ -38,12 +38,20 @@ def reciprocal_rank_fusion(rankings: list[DataFrame], key: str, k: int = RRF_K)
     return rows.groupBy(key).agg(F.sum(F.lit(1.0) / (F.lit(float(k)) + F.col("rank"))).alias("rrf"))
 
 
-def fuse(rankings: list[DataFrame], key: str, keep: int, k: int = RRF_K) -> DataFrame:
-    """Fused ranking, cut to ``keep``; ties go to the earlier list, then to its rank."""
-    tagged = [r.select(key, "rank", F.lit(i).alias("_list")) for i, r in enumerate(rankings)]
+def fuse(rankings: list[DataFrame], key: str, keep: int, k: int = RRF_K, scores: list[str] | None = None, group: list[str] | None = None) -> DataFrame:
+    """Fused ranking, cut to ``keep``; ties go to the earlier list, then to its rank.
+
+    ``scores`` are columns of any of the lists that stay, so that no list is asked for again; with ``group`` there is one ranking of each.
+    """
+    scores, group = scores or [], group or []
+    kept = lambda r: [F.col(c) if c in r.columns else F.lit(None).alias(c) for c in scores]
+    tagged = [r.select(*group, key, "rank", F.lit(i).alias("_list"), *kept(r)) for i, r in enumerate(rankings)]
     rows = reduce(DataFrame.unionByName, tagged)
-    fused = rows.groupBy(key).agg(F.sum(F.lit(1.0) / (F.lit(float(k)) + F.col("rank"))).alias("rrf"), F.min(F.struct("_list", "rank")).alias("_first"))
+    total = F.sum(F.lit(1.0) / (F.lit(float(k)) + F.col("rank"))).alias("rrf")
+    fused = rows.groupBy(*group, key).agg(total, F.min(F.struct("_list", "rank")).alias("_first"), *(F.max(c).alias(c) for c in scores))
     order = [F.desc(F.round("rrf", 12)), "_first", key]
+    if group:
+        return top_per_group(fused, group, order, keep).drop("_first")
     best = fused.orderBy(*order).limit(keep)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*order))).drop("_first")
 

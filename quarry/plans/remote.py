@@ -1,7 +1,8 @@
-"""Search, summaries, articles and records of the public study archive, landed as files that the readers of sources take.
+"""Search, summaries, articles and records of the public study archive.
 
-Answers are landed as they come and parsed by Spark, so a search can be repeated from its files. Requests go in few tasks with
-a delay in each, since the archive limits requests of a second.
+They are read through the data source of ``sources.archive``, as tables or as a stream of what is new, or landed as files that the
+readers of sources take, so that a search can be repeated from its files. Requests go in few tasks with a delay in each, since
+the archive limits requests of a second.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.plans.acquire import Fetcher, HttpFetcher, fetch_texts
-from quarry.sources.records import read_search
+from quarry.sources import archive as source
+from quarry.sources.records import ARTICLE, SUMMARY, articles_of, parsed_documents, read_search, series_hits, summaries_of
+from quarry.streaming.ingest import append_new
 
 
 @dataclass(frozen=True)
@@ -78,3 +81,33 @@ def fetch_records(accessions: DataFrame, archive: Archive | None = None, samples
     what = "&targ=gsm&form=text&view=brief" if samples else "&targ=self&form=text"
     address = F.concat(F.lit(f"{archive.records}?acc="), F.url_encode("series_id"), F.lit(what))
     return fetch_texts(accessions.select("series_id", address.alias("url")).coalesce(tasks), archive.fetcher)
+
+
+def open_archive(spark: SparkSession, kind: str, archive: Archive | None = None, stream: bool = False, **options: str):
+    """A reader of the archive's data source for one kind of documents; ``load()`` gives (id, at, document, error)."""
+    a = archive or Archive()
+    source.register(spark)
+    given = {"kind": kind, "services": a.services, "records": a.records, "batch": str(a.batch), "delay": str(getattr(a.fetcher, "delay", 0.0)), **options}
+    return (spark.readStream if stream else spark.read).format(source.ArchiveSource.name()).options(**given)
+
+
+def search_series(spark: SparkSession, expression: str, archive: Archive | None = None, **options: str) -> DataFrame:
+    """Series of all hits of a search, read page by page from the archive's history."""
+    found = open_archive(spark, "summaries", archive, expression=expression, **options).load()
+    return series_hits(summaries_of(parsed_documents(found, SUMMARY)))
+
+
+def articles_by_id(spark: SparkSession, ids: list[str], archive: Archive | None = None, **options: str) -> DataFrame:
+    """Articles of a list of identifiers."""
+    found = open_archive(spark, "articles", archive, ids=",".join(ids), **options).load()
+    return articles_of(parsed_documents(found, ARTICLE))
+
+
+def watch_series(spark: SparkSession, expression: str, out: str, checkpoint: str, archive: Archive | None = None, **options: str) -> None:
+    """Append the series of the hits that no earlier run has seen to the table ``out``, then stop."""
+    rows = open_archive(spark, "summaries", archive, stream=True, expression=expression, **options).load()
+
+    def take(batch: DataFrame, _: int) -> None:
+        append_new(series_hits(summaries_of(parsed_documents(batch, SUMMARY))).drop("pos"), out, "series_id")
+
+    rows.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

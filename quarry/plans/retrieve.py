@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from quarry.functions.lexicon import RERANK_K, RRF_K, TOP_K
 from quarry.functions.text import tokens
 from quarry.functions.vector import constant, cosine
-from quarry.operators.ranking import fuse, merge_rankings, top_k
+from quarry.operators.ranking import fuse, merge_rankings, top_k, top_per_group
+from quarry.plans.postings import Postings, sparse_top_many
+from quarry.plans.vector_index import VectorIndex, dense_top_many
 from quarry.providers import Providers
 
 
@@ -54,22 +56,32 @@ def sparse_top(index: DataFrame, query: str, k: int, key: str = "gse_id", text:
     return top_k(scored, "sparse_score", key, k)
 
 
-def retrieve(index: DataFrame, query: str, vector: list[float], spec: RetrievalSpec | None = None, filters: dict[str, object] | None = None, providers: Providers | None = None, key: str = "gse_id", text: str = "document_text", vec: str = "vec") -> DataFrame:
-    """Rows of the index with rank, dense_score, sparse_score, rrf and rerank_score, best first by rank."""
+def retrieve(index: DataFrame, query: str, vector: list[float], spec: RetrievalSpec | None = None, filters: dict[str, object] | None = None, providers: Providers | None = None, key: str = "gse_id", text: str = "document_text", vec: str = "vec", vectors: DataFrame | None = None, postings: Postings | None = None) -> DataFrame:
+    """Rows of the index with rank, dense_score, sparse_score, rrf and rerank_score, best first by rank.
+
+    Each arm ranks keys and scores alone; rows of the index are fetched for the fused keys only. ``vectors`` (key, vec) may stand apart
+    from the index, and ``postings`` may stand for its texts in the sparse arm.
+    """
     spec, providers = spec or RetrievalSpec(), providers or Providers()
     s = spec.strategy
     use_dense, use_sparse = "dense" in s or "hybrid" in s, "sparse" in s or "hybrid" in s or not ("dense" in s)
-    hit = equality(filters) if "filter" in s else F.lit(True)
-    dense = dense_top(index.where(hit), vector, spec.top_k, key, vec, spec.digits) if use_dense else None
-    sparse = sparse_top(index.where(hit) if spec.filter_scope == "both" else index, query, spec.top_k, key, text) if use_sparse else None
-    if dense is not None and sparse is not None:
-        ranking = fuse([dense, sparse], key, spec.top_k, spec.rrf_k)
-    else:
-        ranking = (dense if dense is not None else sparse).select(key, F.lit(None).cast("double").alias("rrf"), "rank")
-    out = ranking
-    for arm, score in ((dense, "dense_score"), (sparse, "sparse_score")):
-        out = out.join(arm.select(key, score), key, "left") if arm is not None else out.withColumn(score, F.lit(None).cast("double"))
-    out = out.join(index.drop("rank"), key)
+    filtered = "filter" in s and bool(filters)
+    hit = equality(filters) if filtered else F.lit(True)
+    arms = []
+    if use_dense:
+        some = index.where(hit) if vectors is None else vectors.join(index.where(hit).select(key), key, "left_semi") if filtered else vectors
+        arms.append(dense_top(some, vector, spec.top_k, key, vec, spec.digits))
+    if use_sparse:
+        within = filtered and spec.filter_scope == "both"
+        if postings is None:
+            arms.append(sparse_top(index.where(hit) if within else index, query, spec.top_k, key, text))
+        else:
+            arms.append(postings.top(query, spec.top_k, index.where(hit).select(key) if within else None))
+    out = fuse(arms, key, spec.top_k, spec.rrf_k, ["dense_score", "sparse_score"])
+    if len(arms) == 1:
+        out = out.withColumn("rrf", F.lit(None).cast("double"))
+    kinds = {"dense_score": "double", "sparse_score": "int"}
+    out = out.withColumns({c: F.col(c).cast(kinds[c]) for c in kinds}).join(index.drop("rank"), key)
     if "rerank" in s and providers.reranker is not None:
         out = out.withColumn("rerank_score", F.round(providers.reranker.score(query, F.col(text)), spec.digits))
         return top_k(out.withColumnRenamed("rank", "_rank").withColumn("_tie", -F.col("_rank")), "rerank_score", "_rank", spec.rerank_k).drop("_rank", "_tie")
@@ -93,11 +105,54 @@ def multi_step(index: DataFrame, query: str, spec: RetrievalSpec | None = None,
     return first if len(refined) < least else merge_rankings(first.drop("rrf"), run(refined).drop("rrf"), key, spec.rerank_k)
 
 
-def search(index: DataFrame, query: str, parsed: dict[str, str], spec: RetrievalSpec | None = None, providers: Providers | None = None) -> DataFrame:
+def search(index: DataFrame, query: str, parsed: dict[str, str], spec: RetrievalSpec | None = None, providers: Providers | None = None, postings: Postings | None = None) -> DataFrame:
     """Retrieval filtered by the organism of a parsed query."""
     spec, providers = spec or RetrievalSpec(), providers or Providers()
     if providers.reranker is None:
         spec = replace(spec, strategy=spec.strategy.replace("+rerank", ""))
     filters = {"organism": parsed["organism"]} if parsed.get("organism") else None
     text = parsed.get("free_text") or query
-    return retrieve(index, text, providers.encoder.encode(text), spec, filters, providers)
+    return retrieve(index, text, providers.encoder.encode(text), spec, filters, providers, postings=postings)
+
+
+def retrieve_many(index: DataFrame, queries: DataFrame, spec: RetrievalSpec | None = None, filters: list[str] | None = None, providers: Providers | None = None, key: str = "gse_id", text: str = "document_text", vec: str = "vec", vectors: DataFrame | None = None, postings: Postings | None = None, cells: VectorIndex | None = None) -> DataFrame:
+    """(query_id, key, rank, dense_score, sparse_score, rrf, rerank_score) for a table of queries (query_id, query, vec), in one plan.
+
+    The same results as ``retrieve`` gives for each query. ``filters`` name columns of both tables: a query's value, where it isn't null,
+    is asked of the dense arm (with ``filter_scope='both'`` of both arms). Rows of the index are read only for texts that are reranked.
+    """
+    spec, providers = spec or RetrievalSpec(), providers or Providers()
+    s, group = spec.strategy, ["query_id"]
+    use_dense, use_sparse = "dense" in s or "hybrid" in s, "sparse" in s or "hybrid" in s or not ("dense" in s)
+    by = list(filters or []) if "filter" in s else []
+    facts = index.select(key, *by)
+    arms = []
+    if use_dense:
+        held = (index if vectors is None else vectors).select(key, vec)
+        if by:
+            held = index.select(key, vec, *by) if vectors is None else held.join(facts, key)
+        if cells is not None and not by:
+            arms.append(cells.search(queries, spec.top_k, "query_id", "vec").withColumnRenamed("score", "dense_score"))
+        else:
+            arms.append(dense_top_many(held, queries, spec.top_k, key, vec, by, spec.digits))
+    if use_sparse:
+        within = by if spec.filter_scope == "both" else []
+        arms.append(sparse_top_many(index, queries, spec.top_k, key, text, within) if postings is None else postings.top_many(queries, spec.top_k, facts if within else None, within))
+    out = fuse(arms, key, spec.top_k, spec.rrf_k, ["dense_score", "sparse_score"], group)
+    if len(arms) == 1:
+        out = out.withColumn("rrf", F.lit(None).cast("double"))
+    kinds = {"dense_score": "double", "sparse_score": "int"}
+    out = out.withColumns({c: F.col(c).cast(kinds[c]) for c in kinds})
+    columns = ["query_id", key, "rank", *kinds, "rrf"]
+    if "rerank" not in s or providers.reranker is None:
+        return out.where(F.col("rank") <= spec.rerank_k).select(*columns, F.lit(None).cast("double").alias("rerank_score"))
+    read = out.join(index.select(key, F.col(text).alias("_text")), key).join(queries.select("query_id", F.col("query").alias("_query")), "query_id")
+    scored = read.withColumn("rerank_score", F.round(providers.reranker.score(F.col("_query"), F.col("_text")), spec.digits)).withColumnRenamed("rank", "_rank")
+    return top_per_group(scored, group, [F.desc("rerank_score"), "_rank"], spec.rerank_k).select(*columns, "rerank_score")
+
+
+def merge_many(first: DataFrame, second: DataFrame, key: str, keep: int) -> DataFrame:
+    """Two result tables of ``retrieve_many`` fused query by query; a row that both have is taken from the first one."""
+    both = first.withColumn("_from", F.lit(0)).unionByName(second.withColumn("_from", F.lit(1)))
+    once = top_per_group(both, ["query_id", key], ["_from", "rank"], 1, "_nth").drop("_from", "_nth", "rank", "rrf")
+    return fuse([first, second], key, keep, group=["query_id"]).join(once, ["query_id", key])

@@ -22,6 +22,7 @@ from quarry.plans.retrieve import RetrievalSpec, multi_step, search
 from quarry.queries.base import files, query, quoted
 from quarry.queries.retrieval import _ST, _overlap, _studies
 from quarry.runtime import Workspace
+from quarry.sources.hdf5_writer import write_matrices
 from quarry.sources.matrices import newest, read_triplet, scan_folder, series_folders
 from quarry.sources.obo import parse_terms, read_obo
 from quarry.sources.records import accession_index, listed_files, read_articles, read_search, read_studies, read_summaries, series_hits, study_by_id
@@ -256,6 +257,15 @@ def converted_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convert_folder(spark, f"{ws.root}/in")[0].select("series_id", "cell", "gene", "value")
 
 
+@query("""select 'GSE' || l_suppkey as series_id, l_orderkey::varchar as cell, l_partkey::varchar as gene, sum(l_quantity)::double as value from lineitem group by all having sum(l_quantity) != 0""")
+def hdf5_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders as HDF5 matrices of their suppliers, through the conversion of folders."""
+    ws = Workspace(spark, "hdf5-files")
+    rows = table(spark, sf_dir, "lineitem").select(_text("GSE", F.col("l_suppkey")).alias("series_id"), F.col("l_orderkey").cast("string").alias("cell"), F.col("l_partkey").cast("string").alias("gene"), F.col("l_quantity").cast("double").alias("value"))
+    ws.save(write_matrices(rows, f"{ws.root}/in"), "written")
+    return convert_folder(spark, f"{ws.root}/in")[0].select("series_id", "cell", "gene", "value")
+
+
 @query("""select 'cell ' || r_name as cell, case when n_nationkey % 2 = 0 then n_name else 'ID' || n_nationkey end as gene, (n_nationkey + 1)::double as value from nation join region on n_regionkey = r_regionkey""")
 def triplet_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # 25 rows

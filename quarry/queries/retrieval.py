@@ -22,8 +22,11 @@ OTHER = "la de que and to"
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("document_text"), "lang").join(e, "doc_id", "left")
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("document_text"), "lang")
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
 
 
 def _vector(spark: SparkSession, sf_dir: str, vec_id: int) -> list[float]:
@@ -55,7 +58,7 @@ ranked as (select doc_id, rrf, row_number() over (order by round(rrf, 12) desc,
 from ranked r left join dense d using (doc_id) left join sparse s using (doc_id) where r.rank <= 10""")
 def hybrid_rrf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = RetrievalSpec(strategy="hybrid+filter")
-    out = retrieve(_index(spark, sf_dir), QUERY, _vector(spark, sf_dir, 0), spec, {"lang": "en"}, key="doc_id")
+    out = retrieve(_index(spark, sf_dir), QUERY, _vector(spark, sf_dir, 0), spec, {"lang": "en"}, key="doc_id", vectors=_vectors(spark, sf_dir))
     return out.select("doc_id", F.col("rank").cast("long").alias("rank"), F.round("rrf", 12).alias("rrf"), F.coalesce("dense_score", F.lit(0.0)).alias("dense_score"), F.coalesce("sparse_score", F.lit(0)).cast("long").alias("sparse_score"))
 
 
@@ -71,7 +74,7 @@ def _tokens(x: str) -> str:
 scored as (select doc_id, before, round({_F1}, 9) as rerank_score from pg)
 select doc_id, rerank_score, row_number() over (order by rerank_score desc, before)::bigint as rank from scored qualify rank <= 10""")
 def rerank_token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = retrieve(_index(spark, sf_dir), QUERY, _vector(spark, sf_dir, 0), RetrievalSpec(), {"lang": "en"}, key="doc_id")
+    out = retrieve(_index(spark, sf_dir), QUERY, _vector(spark, sf_dir, 0), RetrievalSpec(), {"lang": "en"}, key="doc_id", vectors=_vectors(spark, sf_dir))
     return out.select("doc_id", "rerank_score", F.col("rank").cast("long").alias("rank"))
 
 

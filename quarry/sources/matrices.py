@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from quarry.operators.ranking import make_unique
 from quarry.operators.rules import converter_format
+from quarry.runtime import Workspace
 
 # Files of the pipeline itself, and tables that hold no expression values.
 OWN_FILES = ("dataset_meta.json", "download_manifest_standard.tsv", "download_manifest.csv", "download_manifest.json", "conversion_summary.json")
@@ -46,6 +47,18 @@ def scan_lines(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return text.select(F.regexp_replace(url, "^file:/+", "file:/").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
 
 
+def numbered_lines(lines: DataFrame, out: str = "n") -> DataFrame:
+    """``lines`` (path, block, at, ...) with each line's number in its file, from 0; no task sees more than one split of a file.
+
+    Lines of a split follow each other, so a line's number is its place in its split and the lines of the splits before. Those are
+    sums over one row a split. ``lines`` are to be a saved table, since ``at`` may differ between two scans.
+    """
+    splits = lines.groupBy("path", "block").agg(F.min("at").alias("_first"), F.count("*").alias("_lines"))
+    before = F.sum("_lines").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = splits.select("path", "block", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    return lines.join(starts, ["path", "block"]).withColumn(out, F.col("at") + F.col("_shift")).drop("_shift")
+
+
 def _separator(line: Column) -> Column:
     return F.when(line.contains("\t"), "\t").when(line.contains(";"), ";").otherwise(",")
 
@@ -83,7 +96,9 @@ def triplet_entries(triplets: DataFrame, lines: DataFrame) -> DataFrame:
     """(source, cell, gene, value) of triplets (matrix, barcodes, features: paths) whose lines are given.
 
     Rows of a matrix are features. Names come from the second column of a features file, else the first, and are made unique.
+    Lines of axis files are numbered by splits, so the axes of a large file are dealt over tasks like its entries.
     """
+    ws = Workspace(lines.sparkSession, "axes")
     m = lines.join(triplets.select(F.col("matrix").alias("path")), "path", "left_semi").where("not startswith(value, '%') and trim(value) != ''")
     size = m.groupBy("path").agg(F.min(F.struct("block", "at")).alias("h"))
     v = F.split(F.trim("value"), r"\s+")
@@ -91,8 +106,8 @@ def triplet_entries(triplets: DataFrame, lines: DataFrame) -> DataFrame:
     entries = entries.select("source", (F.col("v")[0].try_cast("long") - 1).alias("r"), (F.col("v")[1].try_cast("long") - 1).alias("c"), F.coalesce(F.get("v", F.lit(2)).try_cast("double"), F.when(F.size("v") == 2, 1.0)).alias("value"))
 
     def axis(kind: str, idx: str, name: str) -> DataFrame:
-        x = lines.join(triplets.select(F.col(kind).alias("path"), F.col("matrix").alias("source")), "path")
-        x = x.withColumn(idx, F.row_number().over(Window.partitionBy("source").orderBy("block", "at")).cast("long") - 1)
+        own = ws.save(lines.join(triplets.select(F.col(kind).alias("path")).distinct(), "path", "left_semi"), kind)
+        x = numbered_lines(own, idx).join(triplets.select(F.col(kind).alias("path"), F.col("matrix").alias("source")), "path")
         parts = F.split("value", "\t")
         second = F.get(parts, F.lit(1))
         one = F.when(second != "", second) if kind == "features" else F.lit(None)
@@ -118,26 +133,23 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 def _hdf5(kind: str) -> Callable:
     def read(spark: SparkSession, path: str) -> DataFrame:
-        from quarry.plans.convert import local_path
+        from quarry.plans.convert import reachable
         from quarry.sources.hdf5 import read_hdf5
 
         one = spark.createDataFrame([(path, kind)], "path string, format string")
         # a single file's error is the reader's error
-        rows = read_hdf5(one, local_path)
-        return rows.select("cell", "gene", F.when(F.col("error").isNotNull(), F.raise_error("error")).otherwise(F.col("value")).cast("double").alias("value"))
+        rows = read_hdf5(one, reachable)
+        return rows.select("cell", "gene", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("double")).otherwise(F.col("value")).alias("value"))
 
     return read
 
 
-#: Reader of each format; all take (spark, path). HDF5 formats need h5py on the workers.
+#: Reader of each format; all take (spark, path).
 READERS: dict[str, Callable] = {"csv": read_table, "tsv": read_table} | {k: _hdf5(k) for k in ("h5ad", "h5_10x", "h5_other", "loom")}
 
 
 def read_any(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """(cell, gene, value) of one file of a known format."""
     if kind not in READERS:
         raise ValueError(f"no reader for {kind!r}")
     return READERS[kind](spark, path)
-
-
-def line_numbers(lines: DataFrame, group: str, pos: str) -> DataFrame:
-    return lines.withColumn("n", F.row_number().over(Window.partitionBy(group).orderBy(pos)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.text import extract, strip
+from quarry.functions.text import extract
 from quarry.operators.ranking import first_wins
 from quarry.operators.rules import listing_folder
 
@@ -15,7 +15,11 @@ SUMMARY = "Id string, Item array<struct<_Name: string, _Type: string, _VALUE: st
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
     """(pmid, title, abstract, mesh_terms, keywords); labelled abstract parts joined by a space."""
-    rows = spark.read.format("xml").option("rowTag", "PubmedArticle").option("attributePrefix", "_").schema(ARTICLE).load(path)
+    return articles_of(spark.read.format("xml").option("rowTag", "PubmedArticle").option("attributePrefix", "_").schema(ARTICLE).load(path))
+
+
+def articles_of(rows: DataFrame) -> DataFrame:
+    """Articles of rows of the schema ARTICLE."""
     c = F.col("MedlineCitation")
     parts = F.transform(c["Article"]["Abstract"]["AbstractText"], lambda p: F.concat(F.when(F.coalesce(p["_Label"], F.lit("")) != "", F.concat(p["_Label"], F.lit(": "))).otherwise(""), F.coalesce(p["_VALUE"], F.lit(""))))
     some = lambda x: F.filter(F.coalesce(x, F.array().cast("array<string>")), lambda v: v.isNotNull() & (v != ""))
@@ -31,6 +35,11 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
 def read_summaries(spark: SparkSession, path: str) -> DataFrame:
     """(uid, strings map, integers map, lists map) of search summaries, by the type of each item."""
     rows = spark.read.format("xml").option("rowTag", "DocSum").option("attributePrefix", "_").schema(SUMMARY).load(path)
+    return summaries_of(rows.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).alias("_file")))
+
+
+def summaries_of(rows: DataFrame) -> DataFrame:
+    """Summaries of rows of the schema SUMMARY; other columns stay."""
 
     def of(kind: str, value) -> Column:
         items = F.filter("Item", lambda i: i["_Type"] == kind)
@@ -40,7 +49,13 @@ def read_summaries(spark: SparkSession, path: str) -> DataFrame:
     text = of("String", lambda i: F.coalesce(i["_VALUE"], F.lit("")))
     number = of("Integer", lambda i: F.coalesce(i["_VALUE"].try_cast("int"), F.lit(0)))
     many = of("List", lambda i: F.filter(F.transform(F.coalesce(i["Item"], F.array().cast(rows.schema["Item"].dataType.elementType["Item"].dataType)), lambda x: x["_VALUE"]), lambda v: v.isNotNull()))
-    return rows.select(F.col("Id").alias("uid"), text.alias("strings"), number.alias("integers"), many.alias("lists"))
+    return rows.select(F.col("Id").alias("uid"), text.alias("strings"), number.alias("integers"), many.alias("lists"), *(c for c in rows.columns if c not in ("Id", "Item")))
+
+
+def parsed_documents(documents: DataFrame, schema: str) -> DataFrame:
+    """Documents (id, at, document, error) of the archive as rows of a schema, with their place; those with errors leave."""
+    x = documents.where("error = ''").select("at", F.from_xml("document", schema, {"attributePrefix": "_"}).alias("d"))
+    return x.select("d.*", F.col("at").alias("_at"))
 
 
 def series_of_summary(accession: Column, entry_type: Column, uid: Column, record: Column) -> Column:
@@ -54,10 +69,14 @@ def series_of_summary(accession: Column, entry_type: Column, uid: Column, record
 
 
 def series_hits(summaries: DataFrame) -> DataFrame:
-    """One row per series, the first hit wins; hits without a series leave."""
+    """One row per series, the first hit wins; hits without a series leave.
+
+    The first is the newest by place (``_at``) where the archive gave one, else the first by file, place in the file and uid.
+    """
     s, n, lists = F.col("strings"), F.col("integers"), F.col("lists")
     text = lambda k: F.coalesce(F.try_element_at(s, F.lit(k)), F.lit(""))
-    x = summaries.withColumn("pos", F.monotonically_increasing_id())
+    place = [(-F.col("_at")).alias("at")] if "_at" in summaries.columns else [F.col("_file")] if "_file" in summaries.columns else []
+    x = summaries.withColumn("pos", F.struct(*place, F.monotonically_increasing_id().alias("n")))
     x = x.withColumn("series_id", series_of_summary(text("Accession"), text("entryType"), F.col("uid"), F.to_json(F.struct("uid", "strings"))))
     x = first_wins(x.where("series_id is not null"), ["series_id"], ["pos"])
     return x.select(
@@ -86,30 +105,60 @@ def listed_files(listings: DataFrame, series: str = "series_id", html: str = "ht
     return listings.select(series, F.posexplode(keep).alias("pos", "name")).select(series, "pos", F.concat(listing_folder(F.col(series)), F.lit("suppl/"), "name").alias("url"))
 
 
+_OBJECT = "map<string, variant>"
+
+
 def accession_index(texts: DataFrame, text: str = "value") -> DataFrame:
-    """Distinct accessions of JSON indexes: keys of gse_folder_index, else keys like one at the first two levels."""
-    top = F.from_json(text, "map<string, string>")
-    inner = lambda v: F.map_keys(F.from_json(v, "map<string, string>"))
-    deep = F.flatten(F.transform(F.filter(F.map_values(top), lambda v: v.startswith("{")), inner))
-    named = F.try_element_at(top, F.lit("gse_folder_index"))
-    keys = F.when(named.isNotNull(), inner(named)).otherwise(F.filter(F.concat(F.map_keys(top), deep), lambda k: k.startswith("GSE")))
-    return texts.select(F.explode(keys).alias("series_id")).distinct()
+    """Distinct accessions of JSON indexes: keys of gse_folder_index, else keys like one at the first two levels.
+
+    Each text is parsed once; texts that are no JSON objects have none.
+    """
+    top = F.try_variant_get(F.try_parse_json(text), "$", _OBJECT)
+    found = texts.select(top.alias("top")).where("top is not null")
+    keys = lambda v: F.map_keys(F.try_variant_get(v, "$", _OBJECT))
+    deep = F.flatten(F.transform(F.map_values("top"), lambda v: F.coalesce(keys(v), F.array().cast("array<string>"))))
+    named = F.try_element_at("top", F.lit("gse_folder_index"))
+    some = F.when(named.isNotNull(), keys(named)).otherwise(F.filter(F.concat(F.map_keys("top"), deep), lambda k: k.startswith("GSE")))
+    return found.select(F.explode(some).alias("series_id")).distinct()
 
 
 _SUMMARY = "struct<tissues: array<string>, diseases: array<string>, cell_types: array<string>, treatments: array<string>, organisms: array<string>, donor_count: int, sex: array<string>, age_range: string>"
-STUDY = (
-    "gse_id string, title string, summary string, overall_design string, organism string, platform string, series_type string, n_samples int, sample_count int, "
-    "submission_date string, domain string, modalities array<string>, samples map<string, string>, document_text string, "
-    f"characteristics_summary {_SUMMARY}, tissues array<string>, diseases array<string>, cell_types array<string>, treatments array<string>, "
-    "pubmed string, ontology_mappings string, _corrupt_record string"
-)
 _PUBMED = "struct<pmid: string, title: string, abstract: string, mesh_terms: array<string>, keywords: array<string>>"
+#: Fields of a study's document that columns are made of. ``pubmed`` is an article or a list of them.
+FIELDS = {
+    **dict.fromkeys(("gse_id", "title", "summary", "overall_design", "organism", "platform", "series_type"), "string"),
+    **dict.fromkeys(("n_samples", "sample_count"), "int"),
+    **dict.fromkeys(("submission_date", "domain", "document_text"), "string"),
+    **dict.fromkeys(("modalities", "tissues", "diseases", "cell_types", "treatments"), "array<string>"),
+    "characteristics_summary": _SUMMARY,
+    "pubmed": "variant",
+}
+STUDY = ", ".join(f"{n} {t}" for n, t in FIELDS.items())
+
+
+def study_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(doc) of the studies in JSON files, as variants: one to a line, or a file that is one document or an array of them.
+
+    Files are read as lines, which Spark splits; a file with a line that is no JSON by itself is read again as a whole, and
+    skipped if that is no JSON either.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").where("trim(value) != ''")
+    parsed = lines.select("file", F.try_parse_json("value").alias("v"))
+    whole_files = parsed.where("v is null").select("file").distinct()
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value").join(whole_files, "file", "left_semi")
+    some = parsed.join(whole_files, "file", "left_anti").select("v").unionByName(whole.select(F.try_parse_json("value").alias("v")))
+    many = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
+    return some.where("v is not null").select(F.explode(many).alias("doc")).where(F.try_variant_get("doc", "$", _OBJECT).isNotNull())
 
 
 def read_studies(spark: SparkSession, path: str) -> DataFrame:
     """Studies from JSON files in either shape: nested or flat terms, one article or a list; bad files are skipped."""
-    raw = spark.read.schema(STUDY).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    return shape_studies(raw.where("_corrupt_record is null").drop("_corrupt_record"))
+    return studies_of(study_documents(spark, path))
+
+
+def studies_of(documents: DataFrame) -> DataFrame:
+    """Columns of studies' documents (doc); a field of another type than its column's is null."""
+    return shape_studies(documents.select(*(F.try_variant_get("doc", f"$.{n}", t).alias(n) for n, t in FIELDS.items())))
 
 
 def shape_studies(raw: DataFrame) -> DataFrame:
@@ -118,8 +167,7 @@ def shape_studies(raw: DataFrame) -> DataFrame:
     c = F.col("characteristics_summary")
     terms = {t: F.coalesce(F.when(F.size(F.col(t)) > 0, F.col(t)), c[t], empty) for t in ("tissues", "diseases", "cell_types", "treatments")}
     text = {t: F.coalesce(t, F.lit("")) for t in ("title", "summary", "overall_design", "organism", "platform", "series_type", "submission_date", "domain")}
-    one = strip(F.coalesce("pubmed", F.lit("")))
-    article = F.when(one.startswith("["), F.get(F.from_json(one, f"array<{_PUBMED}>"), F.lit(0))).when(one.startswith("{"), F.from_json(one, _PUBMED))
+    article = F.coalesce(F.try_variant_get("pubmed", "$[0]", _PUBMED), F.try_variant_get("pubmed", "$", _PUBMED))
     return raw.select(
         F.coalesce("gse_id", F.lit("")).alias("gse_id"),
         *(v.alias(k) for k, v in text.items()),
@@ -132,6 +180,19 @@ def shape_studies(raw: DataFrame) -> DataFrame:
     )
 
 
+def with_mappings(documents: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Documents (doc) with ``ontology_mappings`` from (gse_id, category, mappings); all other fields stay as they are.
+
+    Former mappings of a study that has none now go.
+    """
+    m = F.transform("mappings", lambda x: F.struct(x["raw"].alias("raw_term"), x["id"].alias("ontology_id"), x["onto_name"].alias("ontology_name"), x["onto"].alias("ontology"), x["confidence"].alias("confidence"), x["method"].alias("method")))
+    of = mappings.groupBy("gse_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", m.alias("m"))))).alias("_m"))
+    x = documents.withColumn("gse_id", F.try_variant_get("doc", "$.gse_id", "string")).join(of, "gse_id", "left")
+    fields = F.map_filter(F.try_variant_get("doc", "$", _OBJECT), lambda k, _: k != "ontology_mappings")
+    added = F.when(F.col("_m").isNull(), fields).otherwise(F.map_concat(fields, F.create_map(F.lit("ontology_mappings"), F.to_variant_object("_m"))))
+    return x.select(F.parse_json(F.to_json(added)).alias("doc"))
+
+
 def study_by_id(studies: DataFrame, gse_id: str) -> DataFrame:
     return studies.where(F.col("gse_id") == gse_id).limit(1)
 

@@ -19,7 +19,7 @@ def studies(spark, n=6):
         {"gse_id": f"GSE{i}", "title": f"Study {i} of lung cells", "summary": f"A summary about sample number {i} of the lung" if i % 2 else "short", "organism": "Homo sapiens" if i % 3 else "Mus musculus", "n_samples": i, "tissues": ["lung", "liver"][: i % 3], "diseases": ["flu"] if i % 2 else [], "modalities": ["scRNA-seq"]}
         for i in range(n)
     ]
-    raw = spark.createDataFrame([json.dumps(r) for r in rows], "string").select(F.from_json("value", records.STUDY.replace(", _corrupt_record string", "")).alias("s")).select("s.*")
+    raw = spark.createDataFrame([json.dumps(r) for r in rows], "string").select(F.from_json("value", records.STUDY).alias("s")).select("s.*")
     return records.shape_studies(raw)
 
 
@@ -173,7 +173,7 @@ def test_engine_end_to_end(spark, tmp_path, capsys):
     cli.chat(e, ["/help", "/stats", "/detail GSE1", "", "/quit", "never"])
     said = capsys.readouterr().out
     assert "points_count" in said and '"gse_id":"GSE1"' in said
-    again = e.reindex(e.studies().where("gse_id = 'GSE1'").withColumn("title", F.lit("new")), "index2")
+    again = e.reindex(e.studies().where("gse_id = 'GSE1'").withColumn("title", F.lit("new")))
     assert {r.gse_id: r.title for r in again.collect()} == {"GSE1": "new", "GSE2": "Lung atlas number 2 = x"}
     s = spark.createDataFrame([("GSE1", "tumor cancer", "scRNA", "Homo sapiens", "", ["RAW.tar"]), ("GSE2", "t", "", "", "", ["x.h5ad"])], "series_id string, title string, summary string, organism string, series_type string, supplementary_files array<string>")
     data, files = e.classify(s, texts(spark, ("GSE1", SAMPLES)))
