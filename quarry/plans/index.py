@@ -72,3 +72,15 @@ def upsert_index(spark: SparkSession, indexed: DataFrame, old: str, new: str) ->
 
 def index_info(index: DataFrame) -> DataFrame:
     return index.agg(F.count("*").alias("points_count")).withColumn("status", F.when(F.col("points_count") > 0, "green").otherwise("empty"))
+
+
+def studies_of_payload(rows: DataFrame) -> DataFrame:
+    """Stored rows as studies again: what the payload doesn't hold has its default, and extra columns such as scores stay."""
+    held = set(rows.columns)
+    empty = {"overall_design": F.lit(""), "donor_count": F.lit(0), "pubmed": F.lit(None).cast("struct<pmid: string, title: string, abstract: string, mesh_terms: array<string>, keywords: array<string>>")}
+    text = ("gse_id", "title", "summary", "organism", "platform", "series_type", "domain", "submission_date", "document_text")
+    lists = ("modalities", "tissues", "diseases", "cell_types", "treatments")
+    named = {c: F.coalesce(F.col(c), F.lit("")) if c in held else F.lit("") for c in text}
+    named |= {c: F.coalesce(F.col(c), F.array().cast("array<string>")) if c in held else F.array().cast("array<string>") for c in lists}
+    named |= {"n_samples": F.coalesce(F.col("n_samples"), F.lit(0)) if "n_samples" in held else F.lit(0)}
+    return rows.drop("search_text", "vec").withColumns(named | {c: v for c, v in empty.items() if c not in held})

@@ -39,8 +39,9 @@ def equality(filters: dict[str, object] | None) -> Column:
 
 
 def dense_top(index: DataFrame, query: list[float], k: int, key: str = "gse_id", vec: str = "vec", digits: int = 9) -> DataFrame:
-    """(key, dense_score, rank) of the nearest vectors; only key and score leave the scan."""
-    scored = index.where(F.col(vec).isNotNull()).select(key, F.round(cosine(F.col(vec), constant(query)), digits).alias("dense_score"))
+    """(key, dense_score, rank) of the nearest vectors; only key and score leave the scan. Zero vectors, asked or stored, are near to nothing."""
+    some = F.exists(vec, lambda x: x != 0) if any(query) else F.lit(False)
+    scored = index.where(F.col(vec).isNotNull() & some).select(key, F.round(cosine(F.col(vec), constant(query)), digits).alias("dense_score"))
     return top_k(scored, "dense_score", key, k)
 
 

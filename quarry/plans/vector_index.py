@@ -144,7 +144,7 @@ class VectorIndex:
         self.spark, self.key, self.vec, self.digits = spark, key, vec, digits
         rows = spark.read.parquet(f"{path}/centres").orderBy("cell").collect()  # at most ``most_cells``
         self.cells = np.array([r.cell for r in rows], int)
-        self.centres = np.array([r.centre for r in rows], float).reshape(len(rows), -1)
+        self.centres = np.array([r.centre for r in rows], float)
         self.radius = np.array([r.radius for r in rows], float)
         self.n = np.array([r.n for r in rows], int)
         self.rows = spark.read.parquet(f"{path}/cells") if rows else None
