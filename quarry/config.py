@@ -23,6 +23,8 @@ class Config:
     qc_min_genes: int = 200
     qc_min_cells: int = 3
     qc_max_mito_percent: float = 20.0
+    tier: str = ""
+    default_model: str = "qwen2.5-1.5b"
 
     def path(self, name: str) -> str:
         """Folder of a table: landed, series, studies, ontology, index, manifests, matrices or themes."""

@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.config import Config
 from quarry.functions.text import joined, nullif_empty
-from quarry.operators.datasets import apply_filters, copies_needed, dataset_flags, download_order
+from quarry.operators.datasets import apply_filters, copies_needed, dataset_flags, download_order, downloadable
 from quarry.operators.lookup import build_lookup, normalize_terms
 from quarry.operators.matrix import quality_filter
 from quarry.operators.rules import classify_files, domain_score, joined_text, modalities_of_text, parse_query, search_expression
-from quarry.plans.acquire import Fetcher, download
-from quarry.plans.answer import generate
-from quarry.plans.convert import convert_folder, totals_by_series
+from quarry.plans.acquire import Fetcher, download_ranged
+from quarry.plans.answer import answer_prompt, compress, extract_metadata, fallback_answer, generate, parse_with, refine_prompt, results_context
+from quarry.plans.convert import convert_folder, local_path, totals_by_series
 from quarry.plans.enrich import enrich, study_mappings
+from quarry.plans.evaluate import run_panel
 from quarry.plans.index import encode, index_info, payload, write_index
+from quarry.plans.models import Router
 from quarry.plans.postings import Postings, write_postings
 from quarry.plans.remote import Archive, fetch_records, land_search, land_summaries, watch_series
-from quarry.plans.reports import manifest_files, organ_gaps, series_status, write_manifests, write_summary, write_theme_layout
-from quarry.plans.retrieve import RetrievalSpec, retrieve_many, search
+from quarry.plans.reports import layout_folders, layout_summary, manifest_files, organ_gaps, series_status, write_manifests, write_summary, write_theme_layout
+from quarry.plans.retrieve import RetrievalSpec, multi_step, retrieve_many, search
 from quarry.plans.vector_index import VectorIndex, write_cells
-from quarry.providers import Providers, encoder_name
+from quarry.providers import HttpGenerator, Providers, encoder_name
 from quarry.runtime import Workspace, exists, ship
 from quarry.sources.matrices import read_any, read_triplet, scan_folder
 from quarry.sources.obo import entry_text, parse_terms, read_obo, synonyms_of
@@ -34,6 +38,7 @@ class Engine:
     def __init__(self, spark: SparkSession, config: Config | None = None, providers: Providers | None = None):
         ship(spark)
         self.spark, self.config, self.providers = spark, config or Config(), providers or Providers()
+        self.router = Router(set(self.providers.registered), self.config.default_model)
 
     # ---- acquisition
 
@@ -68,8 +73,12 @@ class Engine:
         return self.spark.read.parquet(out)
 
     def download(self, files: DataFrame, fetcher: Fetcher, target: str) -> DataFrame:
-        """(series_id, status) after fetching the planned files; what came of each file is in the table ``downloads``."""
-        got = download(self.download_plan(files).select("series_id", "url"), fetcher, target)
+        """(series_id, status) after fetching the planned files in parts; what came of each file is in the table ``downloads``.
+
+        Whoever reads ``download_progress`` meanwhile sees which parts are there.
+        """
+        planned = self.download_plan(downloadable(files) if "format_type" in files.columns else files)
+        got = download_ranged(planned.select("series_id", "url"), fetcher, target, self.config.path("download_progress"))
         got.write.mode("overwrite").json(self.config.path("downloads"))
         done = self.spark.read.schema(got.schema).json(self.config.path("downloads"))
         out = series_status(done)
@@ -110,6 +119,24 @@ class Engine:
         write_theme_layout(files, series, path)
         return path
 
+    def lay_out(self, folder: str, series: DataFrame | None = None, mode: str = "symlink") -> DataFrame:
+        """Series folders below ``folder`` placed by domain and organ below ``themed``, and a summary beside it; existing targets stay."""
+        root = local_path(self.config.path("themed"))
+        found = scan_folder(self.spark, folder).select(F.regexp_extract("path", r"(?i)^(?:file:)?(.*?/(GSE\d+)[^/]*)/", 1).alias("path"), F.upper(F.regexp_extract("path", r"(?i)/(GSE\d+)[^/]*/", 1)).alias("series_id"))
+        ws = Workspace(self.spark, "layout")
+        placed = ws.save(layout_folders(found.where("series_id != ''").distinct(), series, root, mode), "placed")
+        write_summary(layout_summary(placed, mode), self.config.path("theme_summary"))
+        return placed
+
+    def saved_series(self, path: str) -> DataFrame:
+        """Series of a saved search, of JSON lines or of one array, for another scan."""
+        doc = study_documents(self.spark, path)
+        field = lambda n, t="string": F.try_variant_get("doc", f"$.{n}", t)
+        texts = ("title", "summary", "overall_design", "organism", "platform", "series_type", "submission_date", "ftp_link")
+        lists = ("pubmed_ids", "supplementary_files")
+        named = [F.coalesce(field(c), F.lit("")).alias(c) for c in texts] + [F.coalesce(field(c, "array<string>"), F.array().cast("array<string>")).alias(c) for c in lists]
+        return doc.select(F.coalesce(field("series_id"), field("gse_id")).alias("series_id"), *named, F.coalesce(field("n_samples", "int"), F.lit(0)).alias("n_samples")).where("series_id is not null")
+
     def gaps(self, manifests: DataFrame, candidates: DataFrame, files: DataFrame, formats: list[str], **options) -> DataFrame:
         return organ_gaps(manifests, candidates, files, formats, **options)
 
@@ -240,14 +267,37 @@ class Engine:
 
     # ---- questions
 
-    def parse(self, query: str) -> dict[str, str]:
-        return self.spark.range(1).select(parse_query(F.lit(query)).alias("p")).select("p.*").first().asDict()
-
-    def retrieve(self, query: str, filters: dict[str, str] | None = None) -> DataFrame:
-        parsed = self.parse(query) | (filters or {})
-        spec = RetrievalSpec(self.config.strategy, self.config.top_k, self.config.rerank_k)
+    def _model(self, task: str, key: str = "") -> tuple[str, HttpGenerator] | None:
+        """(name, generator) of a task's model, or of a named one that is registered; None without models."""
+        if self.providers.models is None:
+            return None
+        router = self.router
+        name = key if key in router.registered else router.default if key else router.model(task)
+        return name, self.providers.models(name)
+
+    def _tier(self, name: str = "") -> dict:
+        """Settings of a tier, of the configured one if none is named; empty without any."""
+        name = name or self.config.tier
+        return self.router.tier(name) if name else {}
+
+    def parse(self, query: str, tier: str = "") -> dict[str, str]:
+        """Constraints of a query: by the tier's model where there are models, else by rules."""
+        plain = self.spark.range(1).select(parse_query(F.lit(query)).alias("p")).select("p.*").first().asDict()
+        model = self._model("query_parsing", self._tier(tier).get("parse_model", ""))
+        return parse_with(model[1].answer, query, plain) if model else plain
+
+    def retrieve(self, query: str, filters: dict[str, str] | None = None, tier: str = "", steps: int = 1, parsed: dict[str, str] | None = None) -> DataFrame:
+        """Ranked studies. With two steps a model rewrites the query from the first titles, and both results are fused."""
+        parsed = (self.parse(query, tier) if parsed is None else parsed) | (filters or {})
+        spec = RetrievalSpec(self._tier(tier).get("strategy", self.config.strategy), self.config.top_k, self.config.rerank_k)
         at = self._versions("index").path()
-        return search(self.spark.read.parquet(f"{at}/rows"), query, parsed, spec, self.providers, Postings(self.spark, f"{at}/postings"))
+        index, held = self.spark.read.parquet(f"{at}/rows"), Postings(self.spark, f"{at}/postings")
+        model = self._model("fast_utility") if steps > 1 else None
+        if model is None:
+            return search(index, query, parsed, spec, self.providers, held)
+        refine = lambda q, titles: model[1].answer(refine_prompt(q, titles))
+        where = {"organism": parsed["organism"]} if parsed.get("organism") else None
+        return multi_step(index, parsed.get("free_text") or query, spec, refine, where, self.providers)
 
     def retrieve_many(self, queries: DataFrame) -> DataFrame:
         """Ranked keys and scores of a table of queries (query_id, query), in one plan; each is filtered by the organism that it names."""
@@ -261,8 +311,54 @@ class Engine:
         """(query_id, gse_id, score, rank) of the studies whose vectors are nearest to (query_id, vec), exact or from some cells."""
         return VectorIndex(self.spark, f"{self._versions('index').path()}/vectors").search(queries, k, cells=cells)
 
-    def answer(self, query: str) -> dict:
-        return generate(self.retrieve(query), query, self.parse(query), self.providers)
+    def _asked(self, query: str, tier: str, steps: int, compressed: bool) -> tuple[DataFrame, dict[str, str], str | None]:
+        """(results as a saved table, constraints, context): the context is the tier's form, or a model's summary; None for all details."""
+        parsed = self.parse(query, tier)
+        results = Workspace(self.spark, "answer").save(self.retrieve(query, tier=tier, steps=steps, parsed=parsed).drop("vec"), "results")
+        t = self._tier(tier)
+        model = self._model("fast_utility") if compressed else None
+        if model:
+            try:
+                return results, parsed, compress(results, query, model[1].answer)
+            except Exception:  # without a summary the results speak for themselves
+                pass
+        return results, parsed, results_context(results, t["context_format"], t["context_k"]) if t else None
+
+    def _answerers(self, tier: str) -> list[tuple[str, HttpGenerator]]:
+        """The tier's or the task's model and the default one; the provider's generator without models."""
+        first = self._model("answer_generation", self._tier(tier).get("answer_model", ""))
+        if first is None:
+            return [("", self.providers.generator)]
+        return list({name: (name, g) for name, g in (first, self._model("", self.config.default_model))}.values())
+
+    def answer(self, query: str, tier: str = "", steps: int = 1, compressed: bool = False) -> dict:
+        results, parsed, context = self._asked(query, tier, steps, compressed)
+        calls = [(name, g.answer) for name, g in self._answerers(tier)]
+        return generate(results, query, parsed, self.providers, context=context, calls=calls)
+
+    def stream(self, query: str, tier: str = "", steps: int = 1, compressed: bool = False) -> Iterator[str]:
+        """The answer piece by piece; where the model fails, what the results say follows."""
+        results, parsed, context = self._asked(query, tier, steps, compressed)
+        if "overall_design" not in results.columns:
+            results = results.withColumn("overall_design", F.lit(""))
+        n = results.count()
+        prompt = answer_prompt(query, parsed, n, results_context(results) if context is None else context)
+        try:
+            yield from self._answerers(tier)[0][1].stream(prompt)
+        except Exception:  # any failure of the provider
+            yield fallback_answer(results, query).first()[0]
+
+    def extract(self, studies: DataFrame) -> DataFrame:
+        """(gse_id, tissues, diseases, cell_types) that the task's model finds in the studies' texts."""
+        model = self._model("metadata_extraction")
+        return extract_metadata(studies, model[1].answer if model else self.providers.generator.answer)
+
+    def evaluate(self, items: DataFrame, panel: list[str] | None = None, most: int = 200) -> DataFrame:
+        """Results of a panel of models on evaluation items; goes on where an earlier run stopped."""
+        if self.providers.models is None:
+            raise ValueError("an evaluation needs models")
+        models = self.providers.models
+        return run_panel(self.spark, self.config.path("evaluation"), items, lambda m: models(m).answer, panel, set(self.providers.registered), most)
 
     def stats(self) -> DataFrame:
         return index_info(self._index_rows())

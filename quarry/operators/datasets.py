@@ -152,3 +152,23 @@ def copies_needed(chosen: DataFrame, present: DataFrame, key: str = "series_id")
     there = present.groupBy(key).agg(F.max("size_bytes").alias("_there"))
     out = chosen.join(there, key, "left").where(F.col("_there").isNull() | (F.col("_there") != F.col("size_bytes"))).drop("_there")
     return out.withColumn("target", F.concat(key, F.lit("/"), key, F.lit(".h5ad")))
+
+
+def downloadable(files: DataFrame) -> DataFrame:
+    """Classified files that are worth fetching: count matrices of any format, and all others but serialized R objects."""
+    return files.where(F.col("is_count_matrix") | (F.col("format_type") != "rds"))
+
+
+def selected(rows: DataFrame, wanted: DataFrame, key: str = "series_id") -> DataFrame:
+    """Rows of the wanted accessions."""
+    return rows.join(wanted.select(key), key, "left_semi")
+
+
+def uncovered(panel: DataFrame, covered: DataFrame, key: str) -> DataFrame:
+    """Members of a panel that nothing covers; a covered name of null covers none."""
+    return panel.join(covered.where(F.col(key).isNotNull()).select(key).distinct(), key, "left_anti")
+
+
+def filled(row: str, *others: str) -> Column:
+    """A column's own text, else the first of the others that isn't null, else empty."""
+    return F.coalesce(F.when(F.col(row) != "", F.col(row)), *(F.col(o) for o in others), F.lit(""))

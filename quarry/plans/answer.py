@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,7 +12,8 @@ from pyspark.sql.window import Window
 from quarry.functions.lexicon import LIMITS
 from quarry.functions.text import failure_class, joined, json_text, series_ids, truncate
 from quarry.operators.ranking import budget_prefix
-from quarry.providers import Providers, with_fallback
+from quarry.plans.evaluate import answer_items
+from quarry.providers import Providers
 
 
 def _c(name: str) -> Column:
@@ -101,18 +104,44 @@ def result_stats(results: DataFrame) -> DataFrame:
     return results.agg(F.count("*").alias("total_results"), F.coalesce(F.max(first[0]), F.lit(0.0)).alias("top_score"), F.coalesce(F.max(first[1]), F.lit(0.0)).alias("top_rerank_score"))
 
 
-def generate(results: DataFrame, query: str, parsed: dict[str, str], providers: Providers | None = None, more: list | None = None) -> dict:
-    """Answer by the generator, else by the fallback generators, else from the results; with statistics."""
+def call_models(calls: list[tuple[str, Callable[[str], str]]], prompt: str) -> dict:
+    """A record of the first (name, call) that succeeds, or of the last failure; ``envelope`` takes it."""
+    row = {"response": None, "fallback_used": False, "model": "", "eval_tokens": 0, "prompt_tokens": 0, "duration_ns": 0, "error": ""}
+    for i, (name, call) in enumerate(calls):
+        began = time.monotonic_ns()
+        row |= {"model": name, "fallback_used": i > 0}
+        try:
+            return row | {"response": (call(prompt) or "").strip(), "duration_ns": time.monotonic_ns() - began, "error": ""}
+        except Exception as e:  # any failure of a provider leads to the next one
+            row["error"] = f"{type(e).__name__}: {e}"
+    return row
+
+
+CALL = "response string, fallback_used boolean, model string, eval_tokens int, prompt_tokens int, duration_ns long, error string"
+
+
+def results_context(results: DataFrame, form: str = "", most: int | None = None) -> str:
+    """The results as one text: with all details, or in a context form, and of the first ``most`` only."""
+    rows = results if most is None else results.where(F.col("rank") <= most)
+    return joined_rows(rows, context_text(form) if form else detail_text(), "rank", "\n" if form else "\n\n").first()[0] or ""
+
+
+def generate(results: DataFrame, query: str, parsed: dict[str, str], providers: Providers | None = None, more: list | None = None, context: str | None = None, calls: list[tuple[str, Callable[[str], str]]] | None = None) -> dict:
+    """Answer by the generator, else by the fallback generators, else from the results; with statistics and the envelope of the call.
+
+    ``calls`` are (name, call) in order, in place of the provider's generator and ``more``; ``context`` stands for the results' details.
+    """
     providers = providers or Providers()
     if "overall_design" not in results.columns:  # the index doesn't hold it
         results = results.withColumn("overall_design", F.lit(""))
-    context = joined_rows(results, detail_text(), "rank", "\n\n").first()[0]
     stats = result_stats(results).first().asDict()
-    prompt = answer_prompt(query, parsed, stats["total_results"], context or "")
-    text = with_fallback([providers.generator.answer, *(more or [])], prompt)
+    prompt = answer_prompt(query, parsed, stats["total_results"], results_context(results) if context is None else context)
+    row = call_models(calls or [("", c) for c in (providers.generator.answer, *(more or []))], prompt)
+    text = row["response"]
     if text is None:
         text = fallback_answer(results, query).first()[0]
-    return {"query": query, "answer": text, "retrieval_stats": stats}
+    record = envelope(results.sparkSession.createDataFrame([row], CALL)).first().asDict()
+    return {"query": query, "answer": text, "retrieval_stats": stats, "generation": record}
 
 
 def envelope(calls: DataFrame) -> DataFrame:
@@ -181,12 +210,19 @@ def compress(results: DataFrame, query: str, generate, words: int = 500) -> str:
     return generate(f"In at most {words} words, keep what matters for the query and all accessions.\n\nQuery: {query}\n\n{context}")
 
 
-def extract_metadata(studies: DataFrame, generate) -> DataFrame:
-    """(gse_id, tissues, diseases, cell_types) that a generator finds in title and summary; empty lists without an answer."""
-    @F.pandas_udf("string")
-    def ask(title: pd.Series, summary: pd.Series) -> pd.Series:
-        return pd.Series([generate(f"Give tissues, diseases and cell_types of this study as JSON lists.\n\nTitle: {t}\nSummary: {s}") for t, s in zip(title, summary, strict=True)])
+def refine_prompt(query: str, titles: list[str]) -> str:
+    """Prompt for a more specific query, given the first titles found."""
+    found = "\n".join(f"- {t}" for t in titles)
+    return f"Query: {query}\n\nFirst results\n{found}\n\nWrite one more specific search query that finds further datasets. Answer with the query alone."
+
+
+def extract_metadata(studies: DataFrame, generate, batch: int = 16) -> DataFrame:
+    """(gse_id, tissues, diseases, cell_types) that a generator finds in title and summary; empty lists without an answer.
 
-    got = F.from_json(json_text(F.col("_answer")), "struct<tissues: array<string>, diseases: array<string>, cell_types: array<string>>")
-    rows = studies.select("gse_id", ask("title", F.substring("summary", 1, LIMITS["document"])).alias("_answer")).withColumn("_m", got)
+    A generator with ``many`` gets up to ``batch`` prompts at once. A call that fails is no answer.
+    """
+    lead = F.lit("Give tissues, diseases and cell_types of this study as JSON lists.\n\nTitle: ")
+    prompt = F.concat(lead, F.coalesce("title", F.lit("")), F.lit("\nSummary: "), F.coalesce(F.substring("summary", 1, LIMITS["summary"]), F.lit("")))
+    got = F.from_json(json_text(F.coalesce("response", F.lit(""))), "struct<tissues: array<string>, diseases: array<string>, cell_types: array<string>>")
+    rows = answer_items(studies.select("gse_id", prompt.alias("prompt")), generate, batch).withColumn("_m", got)
     return rows.select("gse_id", *(F.coalesce(F.col("_m")[c], F.array().cast("array<string>")).alias(c) for c in ("tissues", "diseases", "cell_types")))

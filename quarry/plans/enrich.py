@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import lexicon
 from quarry.functions.text import first_number, norm_key, nullif_empty, strip
+from quarry.operators.datasets import filled
 from quarry.operators.rules import domain_first, modalities_in_order
 from quarry.plans.index import search_text
 
@@ -62,7 +63,7 @@ def enrich(series: DataFrame, samples: DataFrame, articles: DataFrame | None = N
     if manifest is not None:
         m = manifest.select("series_id", *(F.col(c).alias(f"_m_{c}") for c in ("title", "summary", "series_type")))
         out = out.join(m, "series_id", "left")
-        out = out.withColumns({c: F.coalesce(nullif_empty(F.col(c)), F.col(f"_m_{c}"), F.lit("")) for c in ("title", "summary", "series_type")})
+        out = out.withColumns({c: filled(c, f"_m_{c}") for c in ("title", "summary", "series_type")})
     arrays = ("tissues", "diseases", "cell_types", "treatments", "organisms", "sex")
     out = out.withColumns({c: F.coalesce(c, empty) for c in arrays} | {"donor_count": F.coalesce("donor_count", F.lit(0)), "age_range": F.coalesce("age_range", F.lit(""))})
     out = out.withColumn("organism", F.coalesce(nullif_empty(F.col("organism")), F.get("organisms", F.lit(0)), F.lit("")))

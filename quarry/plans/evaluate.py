@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.scoring import decision, has_call, mcq_letter, number, says_yes, token_f1
 from quarry.functions.text import json_text
+from quarry.operators.ranking import top_per_group
+from quarry.runtime import Workspace
+from quarry.versions import VersionedTable
 
 _LETTERS = "ABCD"
 
@@ -22,7 +28,7 @@ def _letter_at(index: Column) -> Column:
 
 def shuffled_choices(item_id: Column, choices: Column) -> Column:
     """Choices in a fixed pseudo-random order of the item."""
-    return F.transform(F.array_sort(F.transform(choices, lambda c: F.struct(F.xxhash64(c, item_id).alias("h"), c.alias("c")))), lambda x: x["c"])
+    return F.transform(F.array_sort(F.transform(choices, lambda c: F.struct(F.md5(F.concat(c, F.lit("|"), item_id)).alias("h"), c.alias("c")))), lambda x: x["c"])
 
 
 def mcq_prompt(question: Column, choices: Column, context: Column | None = None) -> Column:
@@ -131,21 +137,90 @@ def prompts(items: DataFrame, choices_field: str = "choices", context_field: str
     return items.withColumn("prompt", F.coalesce(prompt, F.lit("")))
 
 
-def answer_items(items: DataFrame, generate) -> DataFrame:
-    """``items`` with the generator's response to each prompt; a call that fails leaves a null, which isn't counted."""
+def answer_items(items: DataFrame, generate, batch: int = 16) -> DataFrame:
+    """``items`` with the generator's response to each prompt; a call that fails leaves a null, which isn't counted.
+
+    A generator with ``many`` gets up to ``batch`` prompts at once, others one by one; if many fail together, each is asked alone.
+    """
+    many = getattr(generate, "many", None)
+
     def one(p: str) -> str | None:
         try:
-            return generate(p)
+            return many([p])[0] if many else generate(p)
         except Exception:  # any failure of the provider
             return None
 
+    def some(prompts: list[str]) -> list[str | None]:
+        if many:
+            try:
+                return list(many(prompts))
+            except Exception:
+                pass
+        return [one(p) for p in prompts]
+
     @F.pandas_udf("string")
-    def ask(p: pd.Series) -> pd.Series:
-        return p.map(one)
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            texts = b.tolist()
+            yield pd.Series([r for i in range(0, len(texts), batch) for r in some(texts[i : i + batch])], index=b.index, dtype=object)
 
     return items.withColumn("response", ask("prompt"))
 
 
+def first_items(items: DataFrame, most: int, dataset: str = "dataset", key: str = "item_id") -> DataFrame:
+    """At most so many items of each dataset, by the hash of their ids: the sample of an evaluation."""
+    return top_per_group(items, [dataset], [F.xxhash64(key), key], most, "_nth").drop("_nth")
+
+
+class PanelIncomplete(ValueError):
+    """Members of a frozen panel that aren't there."""
+
+
+#: The models of the public panel, in order.
+PUBLIC_PANEL = ("qwen2.5-0.5b", "qwen3-8b", "qwen3.5-9b-q8", "llama3.1-8b", "llama3.2-3b", "gemma3-12b-q8", "mistral-7b", "phi4-14b-q8", "falcon3-7b", "aya-expanse-8b", "granite3.3-8b")
+
+CLOSED = "closed"
+
+
+def run_panel(spark: SparkSession, root: str, items: DataFrame, generator_of: Callable[[str], Callable[[str], str]], panel: list[str] | None = None, available: set[str] | None = None, most: int = 200) -> DataFrame:
+    """Results (label, model, dataset, category, n_samples, accuracy, avg_score, seconds) of a panel of models.
+
+    ``items``: dataset, category, evaluator, answer_field, shift, item_id, item. Without ``panel`` it is the public one, which is frozen: all of its members
+    have to be available, and once they are done the results are closed. A given panel runs those of its members that are available.
+    Each model's results are a version of their own, so a run that was stopped goes on with the models it hasn't committed.
+    """
+    frozen = panel is None
+    wanted = list(PUBLIC_PANEL if frozen else panel)
+    lost = [m for m in wanted if available is not None and m not in available]
+    if frozen and lost:
+        raise PanelIncomplete(f"the panel lacks {', '.join(lost)}")
+    store = VersionedTable(spark, root)
+    ws = Workspace(spark, "panel")
+    asked = None
+    for model in wanted:
+        at = store.current()
+        if at and at.note == CLOSED:
+            break
+        old = store.read() if at else None
+        if model in lost or (old is not None and not old.where(F.col("label") == model).isEmpty()):
+            continue
+        if asked is None:
+            asked = ws.save(prompts(first_items(items, most)), "prompts")
+        began = time.time()
+        scored = ws.save(score_items(answer_items(asked, generator_of(model))), "scored")
+        took = F.lit(round(time.time() - began, 1)).alias("seconds")
+        new = dataset_results(scored, ["dataset", "category"]).select(F.lit(model).alias("label"), F.lit(model).alias("model"), "*", took)
+        both = new if old is None else old.unionByName(new)
+        store.write(lambda path, rows=both: rows.coalesce(1).write.parquet(path), model)  # a row for each model and dataset
+    at = store.current()
+    if frozen and at and at.note != CLOSED:
+        done = store.read()
+        store.write(lambda path: done.coalesce(1).write.parquet(path), CLOSED)
+    if store.current() is None:
+        raise PanelIncomplete("none of the models is available")
+    return store.read()
+
+
 def read_items(spark: SparkSession, registry: DataFrame, folder: str) -> DataFrame:
     """Items of the registered datasets (dataset, evaluator, answer_field, shift) that lie in ``folder`` as JSON lines.
 

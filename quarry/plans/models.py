@@ -75,3 +75,10 @@ def memory_fit(plan: DataFrame, budget_gb: float = 24.5) -> DataFrame:
     share = F.col("vram_gb") / budget_gb * 100
     rows = plan.where("enabled and not cpu_spill").select("key", "vram_gb", F.round(share, 1).alias("percent"), F.when(share <= 100, "OK").otherwise("OVER").alias("fit"))
     return rows.orderBy(F.desc("vram_gb"), "key")
+
+
+def with_defaults(rows: DataFrame, defaults: dict[str, object]) -> DataFrame:
+    """``rows`` with every setting of ``defaults``: a row's own value where it has one, else the default; lists and texts alike."""
+    held = set(rows.columns)
+    value = lambda v: F.array(*(F.lit(x) for x in v)) if isinstance(v, (list, tuple, set)) else F.lit(v)
+    return rows.withColumns({k: F.coalesce(F.col(k), value(v)) if k in held else value(v) for k, v in defaults.items()})

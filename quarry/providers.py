@@ -362,3 +362,6 @@ class Providers:
     encoder: HashingEncoder = HashingEncoder()
     reranker: LexicalReranker | None = LexicalReranker()
     generator: TemplateGenerator = TemplateGenerator()
+    #: Language models by name, where there are any: parsing, refining, compressing and answering go to the tier's or the task's model.
+    models: Callable[[str], HttpGenerator] | None = None
+    registered: frozenset[str] = frozenset()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import lexicon
 from quarry.functions.text import failure_class, format_bytes, sample_id, series_ids
-from quarry.operators.datasets import apply_filters, best_output, dataset_flags, download_order, filter_files, matrix_triplets, modalities_text, not_elsewhere
+from quarry.operators.datasets import apply_filters, best_output, dataset_flags, download_order, downloadable, filter_files, matrix_triplets, modalities_text, not_elsewhere
 from quarry.operators.ranking import first_wins
 from quarry.operators.rules import canonical_name, classify_files, converter_format, domain_first, domain_score, listing_folder, looks_single_cell, modalities_in_order, modalities_of_text, name_modality, organ_first, organism_name, parse_query
 from quarry.queries.base import CLASSIFIED_SQL, FILES_SQL, any_sql, files, query, quoted, words_sql
@@ -55,7 +55,7 @@ def file_filter_modality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {CLASSIFIED_SQL} select pos from classified where is_count_matrix or format_type != 'rds'")
 def downloadable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify_files(files(spark, sf_dir)).where("is_count_matrix or format_type != 'rds'").select("pos")
+    return downloadable(classify_files(files(spark, sf_dir))).select("pos")
 
 
 @query(f"with {FLAGS_SQL} select series_id from datasets where is_convertible")

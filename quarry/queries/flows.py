@@ -12,12 +12,12 @@ from quarry.operators.ranking import top_k
 from quarry.operators.rules import organ_first, search_expression
 from quarry.plans.acquire import verify_links
 from quarry.plans.answer import envelope, fallback_answer, field_chunks, result_stats
-from quarry.plans.convert import convert_folder
+from quarry.plans.convert import convert_folder, totals_by_series
 from quarry.plans.enrich import enrich, long_characteristics, study_mappings
 from quarry.plans.evaluate import category_composites, dataset_results, prompts, read_items, run_records, score_items
 from quarry.plans.index import fallback_text, payload, upsert_index, write_index
 from quarry.plans.models import build_plan, filter_plan, resolve_names
-from quarry.plans.reports import conversion_summary, organ_gaps
+from quarry.plans.reports import organ_gaps
 from quarry.plans.retrieve import RetrievalSpec, multi_step, search
 from quarry.queries.base import files, query, quoted
 from quarry.queries.retrieval import _ST, _overlap, _studies
@@ -323,11 +323,12 @@ def canonical_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies_needed(chosen, present).select("series_id", "path", "target")
 
 
-@query("select count(*) as total, count(*) filter (c_custkey % 4 != 0) as success, count(*) filter (c_custkey % 4 = 0) as failed, count(distinct c_nationkey) filter (c_custkey % 4 != 0) as outputs from customer")
+@query("""with s as (select c_nationkey, max(case when c_custkey % 4 != 0 then c_custkey % 9 else 0 end) as most from customer group by c_nationkey)
+select count(*) as total, count(*) filter (most > 0) as success, count(*) filter (most = 0) as failed, count(*) filter (most > 0) as outputs from s""")
 def conversion_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    done = table(spark, sf_dir, "customer").select(_text("in/", k).alias("path"), F.when(k % 4 != 0, _text("out/", F.col("c_nationkey"))).alias("output"), F.when(k % 4 == 0, "bad").alias("error"))
-    return conversion_summary(done).withColumn("outputs", F.size("outputs").cast("long"))
+    done = table(spark, sf_dir, "customer").select(_text("GSE", F.col("c_nationkey")).alias("series_id"), F.when(k % 4 != 0, k % 9).otherwise(0).alias("entries"))
+    return totals_by_series(done).withColumn("outputs", F.size("outputs").cast("long"))
 
 
 # ---- index, retrieval and answers
@@ -498,15 +499,17 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("nexus_fc", F.lit('{"python_function_name": "get_it"}'), F.when(right, "Call: GET_IT(3)").otherwise("other(3)")),
         ("glaive_fc", F.lit("{}"), F.when(right, "<functioncall> {}").otherwise("I cannot")),
         ("toolace", F.lit("{}"), F.when(right, "do(x)").otherwise("nothing")),
+        ("sciq", F.lit('{"distractor1": "red", "distractor2": "green", "distractor3": "blue", "correct_answer": "right"}'), F.when(right, "A").otherwise("none of them")),
     ]
     rows = F.array(*(F.struct(F.lit(n).alias("evaluator"), i.alias("item"), r.alias("response")) for n, i, r in kinds))
     one = e.select("event_id", F.element_at(rows, (k % len(kinds) + 1).cast("int")).alias("x")).select("event_id", "x.*")
     return one.select("event_id", "evaluator", F.lit("answer").alias("answer_field"), F.lit(-1).alias("shift"), F.col("event_id").cast("string").alias("item_id"), "item", "response")
 
 
-_KINDS = ("mcq_letter", "mcq_index", "mcq_index_str", "binary_choice", "boolean", "gsm8k", "truthfulqa", "pubmedqa", "token_f1", "ifeval", "json_schema", "nexus_fc", "glaive_fc", "toolace")
+_KINDS = ("mcq_letter", "mcq_index", "mcq_index_str", "binary_choice", "boolean", "gsm8k", "truthfulqa", "pubmedqa", "token_f1", "ifeval", "json_schema", "nexus_fc", "glaive_fc", "toolace", "sciq")
 _SCORED = f"""i as (select event_id, ([{', '.join(quoted(x) for x in _KINDS)}])[1 + event_id % {len(_KINDS)}] as evaluator, (event_id // 14) % 2 = 0 as good from events),
-s as (select event_id, evaluator, case when evaluator = 'token_f1' then 0 when evaluator = 'boolean' then 1 when evaluator in ('nexus_fc') then 1 when good then 1 else 0 end as correct,
+s as (select event_id, evaluator, case when evaluator = 'token_f1' then 0 when evaluator = 'boolean' then case when event_id % 2 = 0 then 1 else 0 end when evaluator in ('nexus_fc') then 1
+  when evaluator = 'sciq' then case when good and list_sort(list_transform(['red', 'green', 'blue', 'right'], lambda c: md5(c || '|' || event_id) || c))[1][33:] = 'right' then 1 else 0 end when good then 1 else 0 end as correct,
 case evaluator when 'token_f1' then case when good then 1.0 else 0.5 end when 'ifeval' then case when good then 1.0 else 0.5 end when 'nexus_fc' then case when good then 1.0 else 0.0 end when 'glaive_fc' then case when good then 1.0 else 0.0 end when 'toolace' then case when good then 1.0 else 0.0 end end as score from i)"""
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import lexicon
-from quarry.functions.text import json_text, nullif_empty
+from quarry.functions.text import json_text
+from quarry.operators.datasets import filled, selected
 from quarry.operators.lookup import build_lookup, exact_matches, nearest_matches
 from quarry.plans.enrich import only_new, summarize_pairs
 from quarry.queries.base import query, quoted
@@ -143,8 +144,8 @@ from orders left join customer on o_custkey = c_custkey left join nation on c_na
 def enrich_left_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c, n, r = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))
     x = o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    own = nullif_empty(F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("c_name")))
-    return x.select("o_orderkey", F.coalesce(own, "n_name", "r_name", F.lit("")).alias("title"), F.coalesce("n_name", F.lit("")).alias("organism"), F.coalesce(F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")), "c_mktsegment").alias("series_type"))
+    x = x.withColumn("own", F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("c_name"))).withColumn("none", F.lit(""))
+    return x.select("o_orderkey", filled("own", "n_name", "r_name").alias("title"), filled("none", "n_name").alias("organism"), F.coalesce(F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")), "c_mktsegment").alias("series_type"))
 
 
 @query("select c_custkey from customer anti join (select o_custkey from orders where o_orderstatus = 'P' or o_totalprice > 300000) on c_custkey = o_custkey")
@@ -156,7 +157,7 @@ def existing_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select o_orderkey, o_custkey from orders semi join (select c_custkey from customer where c_mktsegment = 'BUILDING') on o_custkey = c_custkey")
 def selected_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
-    return table(spark, sf_dir, "orders").join(wanted, "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
+    return selected(table(spark, sf_dir, "orders"), wanted, "o_custkey").select("o_orderkey", "o_custkey")
 
 
 @query("""select event_id, case event_id % 4 when 3 then null else '{"id": ' || event_id || ', "t": "' || event_type || '"}' end as json from events""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.scoring import mcq_letter, number, says_yes, token_f1
 from quarry.operators.matrix import merge_samples, needs_transpose, quality_filter, wide_to_rows
+from quarry.operators.datasets import uncovered
 from quarry.operators.ranking import make_unique, top_per_group
 from quarry.plans.evaluate import category_composites, dataset_results, open_runs, score_items
 from quarry.plans.models import build_plan, memory_fit, plan_totals
@@ -49,14 +50,14 @@ def theme_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gap_set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     covered = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("n_name")
-    return n.select("n_name").subtract(covered)
+    return uncovered(n.select("n_name"), covered, "n_name")
 
 
 @query("""select n_name, c_custkey, row_number() over (partition by n_name order by c_acctbal desc, c_custkey)::bigint as rank from nation join customer on c_nationkey = n_nationkey
 where n_nationkey not in (select s_nationkey from supplier where s_acctbal > 5000) and c_mktsegment != 'BUILDING' qualify rank <= 5""")
 def gap_topn_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     covered = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("n_nationkey"))
-    missing = table(spark, sf_dir, "nation").join(covered, "n_nationkey", "left_anti")
+    missing = uncovered(table(spark, sf_dir, "nation"), covered, "n_nationkey")
     good = table(spark, sf_dir, "customer").where("c_mktsegment != 'BUILDING'").join(missing, F.col("c_nationkey") == F.col("n_nationkey"))
     best = top_per_group(good, ["n_name"], [F.desc("c_acctbal"), "c_custkey"], 5)
     return best.select("n_name", "c_custkey", F.col("rank").cast("long").alias("rank"))
