@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -55,12 +56,61 @@ class Node:
         self.depth = parent.depth + 1 if parent else 0
 
 
+class _Open:
+    """The open elements from the root down, with the places of each tag among them, so that no end tag climbs past what it closes."""
+
+    def __init__(self, root: Node):
+        self.chain = [root]
+        self.places: dict[str, list[int]] = {}
+        self.barriers: list[int] = []  # elements that close a paragraph
+        self.solid = [0]  # elements that aren't inline
+
+    def push(self, node: Node) -> None:
+        i = len(self.chain)
+        self.chain.append(node)
+        self.places.setdefault(node.tag, []).append(i)
+        if node.tag in CLOSES_P:
+            self.barriers.append(i)
+        if node.tag not in INLINE:
+            self.solid.append(i)
+
+    def cut(self, length: int) -> None:
+        """Close all elements from place ``length`` on."""
+        for node in self.chain[length:]:
+            self.places[node.tag].pop()
+        del self.chain[length:]
+        for places in (self.barriers, self.solid):
+            while places and places[-1] >= length:
+                places.pop()
+
+    def end(self, name: str) -> None:
+        """An end tag closes the last element of its name; one of a paragraph reaches over no block. Others are stray."""
+        places = self.places.get(name)
+        if places and not (name == "p" and self.barriers and self.barriers[-1] > places[-1]):
+            self.cut(places[-1])
+
+    def before(self, name: str) -> None:
+        """What a start tag closes: a paragraph above inline elements only, or the first of the elements that it ends in its scope."""
+        if name in CLOSES_P:
+            if self.chain[self.solid[-1]].tag == "p":
+                self.cut(self.solid[-1])
+        elif name in IMPLIED:
+            ends, scope = IMPLIED[name]
+            last = lambda t: (self.places.get(t) or [0])[-1]
+            edge = max(map(last, scope), default=0)
+            inside = [places[i] for t in ends if (places := self.places.get(t)) and (i := bisect_right(places, edge)) < len(places)]
+            if inside:
+                self.cut(min(inside))
+
+
 def parse(page: str) -> Node:
-    """The element tree; items of a node are texts and nodes in order."""
+    """The element tree; items of a node are texts and nodes in order. Time is linear in the page, whatever its tags."""
     root = Node("#root", "", None)
-    here, at, n = root, 0, len(page)
+    open_ = _Open(root)
+    at, n = 0, len(page)
     while at < n:
         m = _TAG.search(page, at)
+        here = open_.chain[-1]
         if not m:
             here.items.append(page[at:])
             break
@@ -74,30 +124,10 @@ def parse(page: str) -> Node:
             break
         name = name.lower()
         if m[1]:
-            x = here
-            while x.parent and x.tag != name:
-                if name == "p" and x.tag in CLOSES_P:
-                    x = root
-                    break
-                x = x.parent
-            if x.parent:
-                here = x.parent
+            open_.end(name)
             continue
-        if name in CLOSES_P:
-            x = here
-            while x.parent and x.tag != "p" and (x.tag in INLINE):
-                x = x.parent
-            if x.tag == "p":
-                here = x.parent
-        elif name in IMPLIED:
-            ends, scope = IMPLIED[name]
-            x, last = here, None
-            while x.parent and x.tag not in scope:
-                if x.tag in ends:
-                    last = x
-                x = x.parent
-            if last:
-                here = last.parent
+        open_.before(name)
+        here = open_.chain[-1]
         node = Node(name, m[3], here)
         here.items.append(node)
         if name in VOID or m[3].endswith("/") and name not in CLOSES_P and name not in INLINE:
@@ -107,7 +137,7 @@ def parse(page: str) -> Node:
             node.items.append(page[at : end.start() if end else n])
             at = end.end() if end else n
             continue
-        here = node
+        open_.push(node)
     return root
 
 
