@@ -228,11 +228,13 @@ def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sp
         (F.octet_length(body) + F.lit(spec.overhead)).cast("long").alias("size"),
         F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
         F.xxhash64(body).alias("h"),
+        # kept in the table, so that all steps see the same slices; rows of one key or text lie in many of them
+        F.pmod(F.xxhash64(F.col(key), F.monotonically_increasing_id()), F.lit(spec.slices)).cast("int").alias("slice"),
     )
     rows = ws.save(rows, "rows")
     groups = ws.save(rows.groupBy("h").agg(F.sum("size").alias("weight")), "groups")
     shard = _shard_of(F.col("h"), plan_cuts(groups, spec))
-    placed = rows.withColumn("shard", shard.cast("int")).withColumn("slice", F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(spec.slices)).cast("int"))
+    placed = rows.withColumn("shard", shard.cast("int"))
     counts = placed.groupBy("shard", "slice").count()
     before = Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
