@@ -6,11 +6,12 @@ documents and attention cost (the sum of squared piece lengths). Among the bins
 capacity, the best has the smallest weighted norm of what would be left (``rule='norm'``), or the largest weighted dot
 product of what is left with what the piece takes (``rule='dot'``); capacities scale the dimensions to 1.
 
-Pieces are dealt evenly by hash over tasks of about ``task_pieces`` pieces, each packed alone: a task has at most one
+Pieces are numbered and dealt evenly over tasks of about ``task_pieces`` pieces, each packed alone: a task has at most one
 bin that more pieces would have helped, so the loss is about one sequence per task.
 
 Defined cases: null text is empty and becomes one piece, the end mark alone; special tokens' strings in a text are
-ordinary text; repeated rows are pieces of their own; a document of exact multiples of the capacity has no empty last
+ordinary text; repeated rows are pieces of their own, and so are rows that share a doc_id or have none; pieces of one length may lie in any order; texts
+of any length are encoded whole; a document of exact multiples of the capacity has no empty last
 piece; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -240,7 +241,8 @@ def pack_documents(docs: DataFrame, spec: PackSpec | None = None, key: str = "do
     if spec.rule not in ("norm", "dot"):
         raise ValueError(f"rule is 'norm' or 'dot', not {spec.rule!r}")
     ws = Workspace(docs.sparkSession, "packing")
-    cut = ws.save(pieces(docs, spec, key, text), "pieces")
+    numbered = ws.save(pieces(docs, spec, key, text).withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    cut = numbered.drop("_row")
     names = cut.columns
     short = F.col("length") < spec.capacity
     tasks = max(1, -(-cut.where(short).count() // spec.task_pieces))
@@ -255,7 +257,8 @@ def pack_documents(docs: DataFrame, spec: PackSpec | None = None, key: str = "do
         yield from t.to_batches()
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema)
-    dealt = cut.where(short).repartition(tasks, F.xxhash64(key, "piece", "ids_crc32"))
+    # Rows go by their numbers, so equal documents, however many, are dealt like any others and no task gets more than its share.
+    dealt = numbered.where(short).repartition(tasks, F.xxhash64("_row")).drop("_row")
     packed = dealt.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
     alone = cut.where(~short).select(*names, (-F.monotonically_increasing_id() - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(alone)
