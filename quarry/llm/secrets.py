@@ -224,14 +224,31 @@ def predict(forest: list[Tree], x: np.ndarray) -> np.ndarray:
 
 
 def as_column(forest: list[Tree], names: list[str]) -> Column:
-    """The forest as one expression over feature columns."""
-
-    def of(t: Tree) -> Column:
-        return F.lit(t.share) if t.feature < 0 else F.when(F.col(names[t.feature]) <= F.lit(t.cut), of(t.low)).otherwise(of(t.high))
-
-    total = of(forest[0])
-    for t in forest[1:]:
-        total = total + of(t)
+    """The forest over feature columns."""
+    return walked(forest, F.array(*(F.col(n).cast("double") for n in names)))
+
+
+def walked(forest: list[Tree], values: Column) -> Column:
+    """The forest as one expression over an array of features: nodes are arrays that each tree is walked through.
+
+    Its code is small whatever the number of trees, so that it compiles beside any filter.
+    """
+    feature, cut, low, high, share = [], [], [], [], []
+
+    def place(t: Tree) -> int:
+        i = len(feature)
+        for column, x in ((feature, max(t.feature, 0)), (cut, t.cut), (low, i), (high, i), (share, t.share)):
+            column.append(x)
+        if t.feature >= 0:
+            low[i], high[i] = place(t.low), place(t.high)
+        return i  # a leaf leads to itself
+
+    depth = lambda t: 0 if t.feature < 0 else 1 + max(depth(t.low), depth(t.high))
+    roots = [place(t) for t in forest]
+    at = lambda xs, i: F.get(F.lit(xs), i)
+    step = lambda n, _: F.when(F.get(values, at(feature, n)) <= at(cut, n), at(low, n)).otherwise(at(high, n))
+    levels = F.sequence(F.lit(1), F.lit(max(1, *map(depth, forest))))
+    total = F.aggregate(F.lit(roots), F.lit(0.0), lambda s, root: s + at(share, F.aggregate(levels, root, step)))
     return total / F.lit(float(len(forest)))
 
 
@@ -247,7 +264,8 @@ def train(spark: SparkSession, spec: ForestSpec | None = None, findings: list[tu
 
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = "source", context: int = 48) -> DataFrame:
     """key, nth, start, candidate, before, after, path for every place where a candidate stands."""
-    hit = docs.where(F.col(text).rlike(CANDIDATE))
+    # Few texts hold a keyword or a run, and only those are searched for values behind keywords.
+    hit = docs.where(F.col(text).rlike(_RUN) | (F.col(text).rlike(_SECRET_NAME) & F.col(text).rlike(CANDIDATE)))
     found = hit.select(
         F.col(key),
         (F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")).alias("path"),
@@ -277,6 +295,7 @@ def scan(docs: DataFrame, forest: list[Tree], spec: ForestSpec | None = None, ke
     spec = spec or ForestSpec()
     rows = candidates(docs, key, text, path, spec.context_chars)
     cols = features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path"))
-    rows = rows.select(key, "nth", "start", "candidate", *(c.alias(f"f_{k}") for k, c in cols.items()))
-    rows = rows.withColumn("score", F.round(as_column(forest, [f"f_{k}" for k in cols]), 9))
+    # A row's features and its score are each made once, below whatever is asked of them: no filter is pushed through a generator.
+    rows = rows.select(key, "nth", "start", "candidate", F.explode(F.array(F.array(*cols.values()))).alias("features"))
+    rows = rows.select(key, "nth", "start", "candidate", F.explode(F.array(F.round(walked(forest, F.col("features")), 9))).alias("score"))
     return rows.select(key, "nth", "start", F.length("candidate").cast("long").alias("length"), "candidate", "score", (F.col("score") >= spec.threshold).alias("is_secret"))
