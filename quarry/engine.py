@@ -224,9 +224,23 @@ class Engine:
         vectors = self.term_vectors(terms)
         fields = F.array(*(F.struct(F.lit(c).alias("category"), F.col(n).alias("t")) for c, n in (("tissue", "tissues"), ("disease", "diseases"), ("cell_type", "cell_types"))))
         wanted = studies.select(F.explode(fields).alias("f")).select("f.category", F.explode("f.t").alias("raw"))
-        matched = normalize_terms(wanted, build_lookup(terms, synonyms_of(terms)), terms, vectors, lambda d: enc.column(d, "raw"), self.config.ontology_threshold)
+        matched = normalize_terms(wanted, build_lookup(terms, synonyms_of(terms)), terms, vectors, lambda d: enc.column(d, "raw"), self.config.ontology_threshold, self._nearest_terms(vectors))
         return study_mappings(studies, matched)
 
+    def _nearest_terms(self, vectors: DataFrame):
+        """A search for terms' nearest vectors of one ontology, through cells of all vectors: exact, and only cells that may hold a match are compared."""
+        ws = Workspace(self.spark, "term-cells")
+        write_cells(vectors, ws.root, "id", "vec", keep=["onto"])
+        cells = VectorIndex(self.spark, ws.root, "id", "vec")
+
+        def nearest(asked: DataFrame, threshold: float) -> DataFrame:
+            query = F.to_json(F.struct("onto", "raw"))
+            got = cells.matches(asked.withColumn("query_id", query), threshold, ["onto"])
+            parts = F.from_json("query_id", "onto string, raw string")
+            return got.withColumn("_p", parts).select("_p.onto", "_p.raw", "id", "score")
+
+        return nearest
+
     def term_vectors(self, terms: DataFrame) -> DataFrame:
         """(onto, id, vec) of the terms: kept in a table by encoder, where only new or changed terms are encoded."""
         enc = self.providers.encoder

@@ -85,10 +85,11 @@ def nearest_matches(wanted: DataFrame, vectors: DataFrame, threshold: float = 0.
     return found.withColumn("_nth", nth).where("_nth = 1").select(*keys, "raw", "id", F.round("score", digits).alias("score"))
 
 
-def normalize_terms(wanted: DataFrame, lookup: DataFrame, terms: DataFrame, vectors: DataFrame | None = None, encode=None, threshold: float = 0.65) -> DataFrame:
+def normalize_terms(wanted: DataFrame, lookup: DataFrame, terms: DataFrame, vectors: DataFrame | None = None, encode=None, threshold: float = 0.65, nearest=None) -> DataFrame:
     """Exact matches, then nearest ones for the rest; each distinct term is matched once.
 
-    ``vectors``: onto, id, vec; ``encode`` turns a DataFrame with ``raw`` into one with ``raw, vec``.
+    ``vectors``: onto, id, vec; ``encode`` turns a DataFrame with ``raw`` into one with ``raw, vec``. ``nearest`` may stand for ``nearest_matches``:
+    it takes terms (raw, vec, onto) and a threshold, and gives (onto, raw, id, score).
     """
     exact = exact_matches(wanted, lookup, terms)
     if vectors is None or encode is None:
@@ -97,7 +98,8 @@ def normalize_terms(wanted: DataFrame, lookup: DataFrame, terms: DataFrame, vect
     order = F.coalesce(F.try_element_at(field_priority(), F.col("category")), F.array_sort(F.lit([r[0] for r in vectors.select("onto").distinct().collect()])))  # a handful
     asked = missing.select("category", "raw", "vec", F.posexplode(order).alias("at", "onto"))
     once = asked.select("raw", "vec", "onto").dropDuplicates(["raw", "onto"])
-    near = asked.drop("vec").join(nearest_matches(once, vectors.select("onto", "id", "vec"), threshold, by="onto"), ["raw", "onto"])
+    found = nearest(once, threshold) if nearest else nearest_matches(once, vectors.select("onto", "id", "vec"), threshold, by="onto")
+    near = asked.drop("vec").join(found, ["raw", "onto"])
     nth = F.row_number().over(Window.partitionBy("category", "raw").orderBy("at"))
     near = near.withColumn("nth", nth).where("nth = 1").select("category", "raw", F.col("onto").alias("o2"), F.col("id").alias("i2"), "score")
     near = near.join(terms.select(F.col("onto").alias("o2"), F.col("id").alias("i2"), F.col("name").alias("n2")), ["o2", "i2"], "left")

@@ -110,11 +110,11 @@ def fit_centres(vectors: DataFrame, key: str, vec: str, spec: CellSpec, seed: in
     return centres
 
 
-def write_cells(vectors: DataFrame, path: str, key: str = "gse_id", vec: str = "vec", spec: CellSpec | None = None) -> None:
-    """Vectors by cell below ``path``/cells, and ``path``/centres (cell, centre, radius, n)."""
-    spec = spec or CellSpec()
+def write_cells(vectors: DataFrame, path: str, key: str = "gse_id", vec: str = "vec", spec: CellSpec | None = None, keep: list[str] | None = None) -> None:
+    """Vectors by cell below ``path``/cells, and ``path``/centres (cell, centre, radius, n); columns of ``keep`` stay beside the vectors."""
+    spec, keep = spec or CellSpec(), keep or []
     spark = vectors.sparkSession
-    rows = _usable(vectors.select(key, vec), vec)
+    rows = _usable(vectors.select(key, vec, *keep), vec)
     centres = fit_centres(rows, key, vec, spec)
     kind = vectors.schema[key].dataType.simpleString()
 
@@ -127,12 +127,13 @@ def write_cells(vectors: DataFrame, path: str, key: str = "gse_id", vec: str = "
             near = unit @ centres.T
             own = near.argmax(1)
             far = np.sqrt(((unit - centres[own]) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, pa.int32()), pa.array(far)], names=[key, vec, "cell", "far"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.int32()), pa.array(far)], names=[key, vec, *keep, "cell", "far"])
 
-    dealt = rows.mapInArrow(run, f"`{key}` {kind}, `{vec}` array<double>, cell int, far double")
+    more = "".join(f", `{c}` {vectors.schema[c].dataType.simpleString()}" for c in keep)
+    dealt = rows.mapInArrow(run, f"`{key}` {kind}, `{vec}` array<double>{more}, cell int, far double")
     dealt.hint("rebalance", "cell").sortWithinPartitions("cell", key).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
     facts = spark.createDataFrame([(i, c) for i, c in enumerate(centres.tolist())], "cell int, centre array<double>")
-    schema = f"`{key}` {kind}, `{vec}` array<double>, far double, cell int"
+    schema = f"`{key}` {kind}, `{vec}` array<double>{more}, far double, cell int"
     sizes = spark.read.schema(schema).parquet(f"{path}/cells").groupBy("cell").agg(F.max("far").alias("radius"), F.count("*").alias("n"))
     facts.join(sizes, "cell").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
 
@@ -149,11 +150,12 @@ class VectorIndex:
         self.n = np.array([r.n for r in rows], int)
         self.rows = spark.read.parquet(f"{path}/cells") if rows else None
 
-    def _visits(self, queries: DataFrame, query_id: str, vector: str, cells: int | None, k: int, bound: str | None = None) -> DataFrame:
-        """(query_id, vector, cell): the nearest cells of each query, or with ``bound`` all that may hold a cosine above it and weren't visited.
+    def _visits(self, queries: DataFrame, query_id: str, vector: str, cells: int | None, k: int, bound: str | None = None, least_score: float | None = None, by: list[str] | None = None) -> DataFrame:
+        """(query_id, vector, values of ``by``, cell): the nearest cells of each query, or with ``bound`` all that may hold a cosine above it and weren't visited.
 
-        The nearest cells are as many as hold k vectors, and ``cells`` at least.
+        The nearest cells are as many as hold k vectors, and ``cells`` at least. With ``least_score`` they are all that may hold such a cosine.
         """
+        by = by or []
         centres, radius, numbers, sizes = self.centres, self.radius, self.cells, self.n
         kind = queries.schema[query_id].dataType.simpleString()
         least = cells or 1
@@ -176,13 +178,18 @@ class VectorIndex:
                     to_any = np.maximum(0, to_centre - radius[None, :] - 1e-7)
                     best = 1 - to_any**2 / 2  # the largest cosine that the cell can hold
                     first = ~first & (best >= limit[:, None] - 1e-7)
+                elif least_score is not None:
+                    to_any = np.maximum(0, np.sqrt(np.maximum(0, 2 - 2 * near)) - radius[None, :] - 1e-7)
+                    first = 1 - to_any**2 / 2 >= least_score - 1e-7
                 r, c = np.nonzero(first)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r)), b.column(1).take(pa.array(r)), pa.array(numbers[c], pa.int32())], names=[query_id, "_q", "cell"])
+                with_values = [b.column(i) for i in (0, 1, *range(b.num_columns - len(by), b.num_columns))]
+                yield pa.RecordBatch.from_arrays([*(x.take(pa.array(r)) for x in with_values), pa.array(numbers[c], pa.int32())], names=[query_id, "_q", *(f"_{x}" for x in by), "cell"])
 
-        wanted = [F.col(query_id), F.col(vector).alias("_q"), *([F.col(bound)] if bound else [])]
-        return _usable(queries.select(*wanted), "_q").mapInArrow(run, f"`{query_id}` {kind}, _q array<double>, cell int")
+        wanted = [F.col(query_id), F.col(vector).alias("_q"), *([F.col(bound)] if bound else []), *(F.col(c).alias(f"_{c}") for c in by)]
+        more = "".join(f", `_{c}` {queries.schema[c].dataType.simpleString()}" for c in by)
+        return _usable(queries.select(*wanted), "_q").mapInArrow(run, f"`{query_id}` {kind}, _q array<double>{more}, cell int")
 
-    def _scored(self, visits: DataFrame, query_id: str, k: int) -> DataFrame:
+    def _scored(self, visits: DataFrame, query_id: str, k: int, by: list[str] | None = None) -> DataFrame:
         """The k best of each (query, cell), as matrix products of one cell's chunk of vectors and the queries that visit it.
 
         Both sides of a cell are dealt over as many chunks as its size asks for, so no task holds more than one of each.
@@ -192,10 +199,11 @@ class VectorIndex:
         chunks = self.spark.createDataFrame([(int(c), max(1, -(-int(n) // chunk))) for c, n in zip(self.cells, self.n, strict=True)], "cell int, chunks int")
         grid = chunks.join(counts, "cell").withColumn("blocks", F.ceil(F.col("asked") / block).cast("int"))
         spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        left = visits.join(F.broadcast(grid), "cell").select(query_id, "_q", "cell", F.pmod(F.xxhash64(query_id), "blocks").cast("int").alias("block"), spread("chunks").alias("chunk"))
-        right = self.rows.join(F.broadcast(grid), "cell").select(key, vec, F.col("cell").alias("c2"), F.pmod(F.xxhash64(key), "chunks").cast("int").alias("k2"), spread("blocks").alias("b2"))
+        by = by or []
+        left = visits.join(F.broadcast(grid), "cell").select(query_id, "_q", *(f"_{c}" for c in by), "cell", F.pmod(F.xxhash64(query_id), "blocks").cast("int").alias("block"), spread("chunks").alias("chunk"))
+        right = self.rows.join(F.broadcast(grid), "cell").select(key, vec, *by, F.col("cell").alias("c2"), F.pmod(F.xxhash64(key), "chunks").cast("int").alias("k2"), spread("blocks").alias("b2"))
 
-        best = lambda asked, held: top_cosines(asked, held, k, query_id, key, vec, digits)
+        best = lambda asked, held: top_cosines(asked, held, k, query_id, key, vec, digits, by)
         kind = lambda df, c: df.schema[c].dataType.simpleString()
         schema = f"`{query_id}` {kind(visits, query_id)}, `{key}` {kind(self.rows, key)}, score double"
         return left.groupBy("cell", "block", "chunk").cogroup(right.groupBy("c2", "b2", "k2")).applyInArrow(best, schema)
@@ -214,6 +222,17 @@ class VectorIndex:
             first = near.drop("_n").unionByName(self._scored(more, query_id, k))
         return top_per_group(first, [query_id], [F.desc("score"), self.key], k)
 
+    def matches(self, queries: DataFrame, least: float, by: list[str] | None = None, query_id: str = "query_id", vector: str = "vec") -> DataFrame:
+        """(query_id, key, score): each query's most similar vector of at least that cosine, exactly; ``by`` names columns that have to agree.
+
+        Only cells that may hold such a vector are compared.
+        """
+        kind = queries.schema[query_id].dataType.simpleString()
+        if self.rows is None:
+            return self.spark.createDataFrame([], f"`{query_id}` {kind}, `{self.key}` string, score double")
+        found = self._scored(self._visits(queries, query_id, vector, None, 1, least_score=least, by=by), query_id, 1, by)
+        return top_per_group(found.where(F.col("score") >= least), [query_id], [F.desc("score"), self.key], 1).drop("rank")
+
     def recall(self, queries: DataFrame, k: int, cells: int, query_id: str = "query_id", vector: str = "vec") -> float:
         """Share of the exact results that ``cells`` cells find."""
         exact = self.search(queries, k, query_id, vector).select(query_id, self.key)

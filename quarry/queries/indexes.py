@@ -10,7 +10,8 @@ from quarry.plans.index import payload, studies_of_payload
 from quarry.plans.postings import Postings, write_postings
 from quarry.plans.retrieve import RetrievalSpec, merge_many, retrieve_many
 from quarry.plans.vector_index import VectorIndex, write_cells
-from quarry.queries.base import query
+from quarry.queries import records  # noqa: F401  its SQL is used here
+from quarry.queries.base import ORACLE_SQL, query
 from quarry.queries.retrieval import _ST, QUERY, _cos, _index, _overlap, _vectors
 from quarry.runtime import Workspace
 from quarry.sources.matrices import numbered_lines, scan_lines
@@ -46,6 +47,16 @@ def nearest_in_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("rank", rank.cast("long")).where("rank <= 5").select("query_id", "vec_id", "score", "rank")
 
 
+@query(ORACLE_SQL["ontology_nearest"])
+def matched_in_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vector of another label above a threshold, from cells that may hold one."""
+    ws = Workspace(spark, "match-cells")
+    e = table(spark, sf_dir, "embeddings")
+    write_cells(e.where("label != 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), ws.root, "id", "vec")
+    asked = e.where("label = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    return VectorIndex(spark, ws.root, "id", "vec").matches(asked, 0.3).select(F.col("query_id").alias("raw"), "id", "score")
+
+
 def _by_score(group: str, score: str, key: str):
     from pyspark.sql.window import Window
 

@@ -215,3 +215,28 @@ def test_commands_with_models_and_text(spark, tmp_path, capsys):
     with pytest.raises(SystemExit):
         run("download", str(tmp_path / "files.json"), "--target", str(tmp_path / "t"), "--domain", "cancer")
     server.shutdown()
+
+
+def test_commands_of_flows(spark, tmp_path, capsys):
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    site = f"http://127.0.0.1:{server.server_address[1]}"
+    root = tmp_path / "r"
+    (root / "studies").mkdir(parents=True)
+    (root / "studies" / "a.json").write_text(json.dumps({"gse_id": "GSE1", "title": "t"}))
+
+    def run(*words):
+        assert cli.main(["--root", str(root), *words], spark) == 0
+        return [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+
+    assert run("--models", site, "extract") == [{"gse_id": "GSE1", "tissues": [], "diseases": [], "cell_types": []}]
+    (tmp_path / "in" / "GSE7").mkdir(parents=True)
+    (tmp_path / "in" / "GSE7" / "x.csv").write_text("id,a\n")
+    got = run("layout", str(tmp_path / "in"), "--mode", "copy")
+    assert [(r["series_id"], r["domain"], r["status"]) for r in got] == [("GSE7", "unknown", "copy")]
+    (tmp_path / "registry.json").write_text(json.dumps({"dataset": "d", "category": "c", "evaluator": "boolean", "answer_field": "answer", "shift": 0}))
+    (tmp_path / "sets" / "d").mkdir(parents=True)
+    (tmp_path / "sets" / "d" / "part-0.json").write_text(json.dumps({"question": "q", "answer": "false"}))
+    got = run("--models", site, "--registered", "m", "evaluate", str(tmp_path / "registry.json"), str(tmp_path / "sets"), "--models-of", "m")
+    assert [(r["label"], r["dataset"], r["n_samples"], r["accuracy"]) for r in got] == [("m", "d", 1, 1.0)]  # no yes in the answer
+    server.shutdown()

@@ -77,6 +77,26 @@ def test_cells_are_exact_by_bounds_and_mostly_right_without(spark, tmp_path, spr
     assert held.search(asked, 4000).where("query_id = 0").count() == 3001  # more than there are
 
 
+def test_matches_above_a_threshold_are_exact_and_agree(spark, tmp_path):
+    centres = np.random.default_rng(5).normal(size=(12, 8))
+    x, q = vectors(2000, 8, 3, centres), vectors(80, 8, 4, centres)
+    rows = [(f"i{i:05}", v, "ab"[i % 2]) for i, v in enumerate(x.tolist())]
+    write_cells(spark.createDataFrame(rows, "id string, vec array<double>, onto string"), str(tmp_path), "id", "vec", CellSpec(per_cell=100), ["onto"])
+    held = VectorIndex(spark, str(tmp_path), "id", "vec")
+    asked = spark.createDataFrame([(i, v, "ab"[i // 40]) for i, v in enumerate(q.tolist())] + [(99, [0.0] * 8, "a")], "query_id int, vec array<double>, onto string")
+    for least in (0.5, 0.95, 0.999):
+        want = {}
+        for i, v in enumerate(q):
+            few = [j for j in range(len(x)) if rows[j][2] == "ab"[i // 40]]
+            cos = np.round(x[few] @ v / ((np.sqrt((x[few] ** 2).sum(1)) + 1e-10) * (np.sqrt(v @ v) + 1e-10)), 9)
+            if cos.max() >= least:
+                want[i] = (rows[few[int(cos.argmax())]][0], pytest.approx(cos.max(), abs=2e-9))
+        got = {r.query_id: (r.id, r.score) for r in held.matches(asked, least, ["onto"]).collect()}
+        assert got == want
+    visits = held._visits(asked, "query_id", "vec", None, 1, least_score=0.95, by=["onto"]).count()
+    assert visits < 0.5 * 80 * len(held.cells)  # most cells are ruled out
+
+
 def test_an_empty_vector_index(spark, tmp_path):
     write_cells(spark.createDataFrame([("a", None)], "gse_id string, vec array<double>"), str(tmp_path))
     asked = spark.createDataFrame([(1, [1.0, 2.0])], "query_id int, vec array<double>")
