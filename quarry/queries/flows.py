@@ -478,8 +478,8 @@ def model_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- evaluation: every second item is answered rightly
 
 
-def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items of all kinds of tasks from events: (evaluator, answer_field, shift, item_id, item, response)."""
+def _items(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
+    """Items of all kinds of tasks, or of the first ``most``, from events: (evaluator, answer_field, shift, item_id, item, response)."""
     e, k = table(spark, sf_dir, "events"), F.col("event_id")
     right = (F.expr("event_id div 14") % 2 == 0)
     letter = F.substring(F.lit("ABCD"), (k % 4 + 1).cast("int"), F.lit(1))
@@ -501,27 +501,29 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("toolace", F.lit("{}"), F.when(right, "do(x)").otherwise("nothing")),
         ("sciq", F.lit('{"distractor1": "red", "distractor2": "green", "distractor3": "blue", "correct_answer": "right"}'), F.when(right, "A").otherwise("none of them")),
     ]
+    kinds = kinds[:most]
     rows = F.array(*(F.struct(F.lit(n).alias("evaluator"), i.alias("item"), r.alias("response")) for n, i, r in kinds))
     one = e.select("event_id", F.element_at(rows, (k % len(kinds) + 1).cast("int")).alias("x")).select("event_id", "x.*")
     return one.select("event_id", "evaluator", F.lit("answer").alias("answer_field"), F.lit(-1).alias("shift"), F.col("event_id").cast("string").alias("item_id"), "item", "response")
 
 
 _KINDS = ("mcq_letter", "mcq_index", "mcq_index_str", "binary_choice", "boolean", "gsm8k", "truthfulqa", "pubmedqa", "token_f1", "ifeval", "json_schema", "nexus_fc", "glaive_fc", "toolace", "sciq")
-_SCORED = f"""i as (select event_id, ([{', '.join(quoted(x) for x in _KINDS)}])[1 + event_id % {len(_KINDS)}] as evaluator, (event_id // 14) % 2 = 0 as good from events),
+def _scored(kinds: tuple[str, ...]) -> str:
+    return f"""i as (select event_id, ([{', '.join(quoted(x) for x in kinds)}])[1 + event_id % {len(kinds)}] as evaluator, (event_id // 14) % 2 = 0 as good from events),
 s as (select event_id, evaluator, case when evaluator = 'token_f1' then 0 when evaluator = 'boolean' then case when event_id % 2 = 0 then 1 else 0 end when evaluator in ('nexus_fc') then 1
   when evaluator = 'sciq' then case when good and list_sort(list_transform(['red', 'green', 'blue', 'right'], lambda c: md5(c || '|' || event_id) || c))[1][33:] = 'right' then 1 else 0 end when good then 1 else 0 end as correct,
 case evaluator when 'token_f1' then case when good then 1.0 else 0.5 end when 'ifeval' then case when good then 1.0 else 0.5 end when 'nexus_fc' then case when good then 1.0 else 0.0 end when 'glaive_fc' then case when good then 1.0 else 0.0 end when 'toolace' then case when good then 1.0 else 0.0 end end as score from i)"""
 
 
-@query(f"with {_SCORED} select event_id, evaluator, correct::bigint as correct, score::double as score from s")
+@query(f"with {_scored(_KINDS)} select event_id, evaluator, correct::bigint as correct, score::double as score from s")
 def evaluator_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_items(_items(spark, sf_dir)).where("counted").select("event_id", "evaluator", F.col("correct").cast("long").alias("correct"), F.col("score").cast("double").alias("score"))
 
 
-@query(f"""with {_SCORED}, d as (select event_id % 3 as model, case when length(evaluator) % 2 = 0 then 'even' else 'odd' end as category, evaluator, round(avg(correct), 4) as accuracy from s group by all),
+@query(f"""with {_scored(_KINDS[:14])}, d as (select event_id % 3 as model, case when length(evaluator) % 2 = 0 then 'even' else 'odd' end as category, evaluator, round(avg(correct), 4) as accuracy from s group by all),
 c as (select model, category, round(avg(accuracy), 4) as composite from d group by all) select 'm' || model as model, max(composite) filter (category = 'even') as even, max(composite) filter (category = 'odd') as odd from c group by model""")
 def model_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = score_items(_items(spark, sf_dir)).withColumns({"model": _text("m", F.col("event_id") % 3), "category": F.when(F.length("evaluator") % 2 == 0, "even").otherwise("odd")})
+    x = score_items(_items(spark, sf_dir, 14)).withColumns({"model": _text("m", F.col("event_id") % 3), "category": F.when(F.length("evaluator") % 2 == 0, "even").otherwise("odd")})
     out = run_records(category_composites(dataset_results(x, ["model", "category", "evaluator"]), ["model", "category"]))
     return out.select("model", *(F.try_element_at("composites", F.lit(c)).alias(c) for c in ("even", "odd")))
 
