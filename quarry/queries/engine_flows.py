@@ -47,7 +47,7 @@ def probed_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return data.join(n, "series_id", "left").select("series_id", "title", "is_convertible", F.coalesce("probed", F.lit(0)).cast("long").alias("probed"))
 
 
-@query("""select 'GSE' || s_nationkey as series_id, count(*) filter (s_suppkey != 0) as entries, (select count(distinct s_nationkey) from supplier where s_suppkey != 0) as success from supplier group by s_nationkey""")
+@query("""select 'GSE' || s_nationkey as series_id, count(*) as entries, (select count(distinct s_nationkey) from supplier where s_suppkey != 0) as success from supplier where s_suppkey != 0 group by s_nationkey""")
 def engine_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of series folders converted by the engine; its matrices are read by series, and its summary is JSON."""
     e = _engine(spark, "conversion")
