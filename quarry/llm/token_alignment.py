@@ -8,11 +8,11 @@ from the groups' sizes.
 
 What a link is worth is known only over all documents: how many of them hold its id pair. The plan:
 
-1. One pass over the texts aligns them, in blocks of some megabytes. A block is one row: its documents' figures, the distinct
-   pairs of the block with the number of its documents that hold each, and each document's pairs as places in that list.
+1. One pass over the texts aligns them, in blocks of some megabytes. A block lists its distinct pairs, with the number of its documents
+   that hold each, in rows of some ten thousand; a document is a row with its figures and its pairs as places in that list.
 2. The blocks' pairs are added up by pair, and each pair is compared with the highest count of its A id. A pair is at most one
    row a block, however many documents hold it, so frequent pairs (a comma with a comma) are small before they are shuffled.
-3. Each block's pairs meet their counts, and the block gets them back as one list; documents are put together from it.
+3. Each block's pairs meet their counts, which go back to the block's documents.
 
 So what a task holds is bounded by a block (or one text, if longer), and no list of tokens or links is shuffled by document
 or by pair.
@@ -33,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +51,7 @@ class AlignSpec:
     part_bytes: int = 2_000_000
     block_bytes: int = 16_000_000
     products: int = 4_000_000  # links expanded at once
+    run: int = 65_536  # pairs in a row or batch
 
 
 def _public(name: str) -> str:
@@ -246,26 +248,45 @@ def _aligner(spec: AlignSpec) -> tuple[str, str, str | None]:
 
 
 def _blocks(docs: DataFrame, key: str, text: str, spec: AlignSpec) -> DataFrame:
-    """One row for each block of documents."""
+    """Rows of documents and, with a null hash, of runs of a block's pairs; both name their block.
+
+    A row is one document or one run, never a block, so that no writer, reader or sort holds more of a block than some rows.
+    """
     kind = docs.schema[key].dataType.simpleString()
     paths = _aligner(spec)
     figures = ("n_a", "n_b", "n_groups", "n_links")
+    names = ["block", "id", *figures, "hash", "places", "times", "at", "pairs", "holding"]
+    types = [pa.int64(), None, *[pa.int64()] * 4, pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+
+    def rows(id_type: pa.DataType, n: int, **some: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([some[c] if c in some else pa.nulls(n, t or id_type) for c, t in zip(names, types, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner.of(*paths)
         block = np.int64(TaskContext.get().partitionId()) << 32
-        ids, counts, hashes, sizes, pairs, times, held = [], [], [], [], [], [], 0
-
-        def row() -> pa.RecordBatch:
-            coded = pa.array(np.concatenate(pairs)).dictionary_encode()
-            place = coded.indices.to_numpy()
-            one = lambda x, t: list_array([x], t)
-            numbers = np.concatenate(counts)
-            columns = [pa.array([block]), pa.ListArray.from_arrays([0, sum(map(len, ids))], pa.concat_arrays(ids))]
-            columns += [one(numbers[:, i], pa.int64()) for i in range(4)]
-            columns += [pa.array([[h for part in hashes for h in part]], pa.list_(pa.string())), one(np.concatenate(sizes), pa.int32()), one(place.astype(np.int32), pa.int32()), one(np.concatenate(times).astype(np.int32), pa.int32())]
-            columns += [one(coded.dictionary.to_numpy(), pa.int64()), one(np.bincount(place, minlength=len(coded.dictionary)).astype(np.int32), pa.int32())]
-            return pa.RecordBatch.from_arrays(columns, names=["block", "ids", *figures, "hashes", "sizes", "places", "times", "pairs", "holding"])
+        kept, held = [], 0
+
+        def block_rows() -> Iterator[pa.RecordBatch]:
+            coded = pa.array(np.concatenate([part[4] for part in kept])).dictionary_encode()
+            place, pairs = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+            holding = np.bincount(place, minlength=len(pairs)).astype(np.int32)
+            id_type, done = kept[0][0].type, 0
+            for ids, numbers, hashes, sizes, pair, times in kept:
+                ends = np.cumsum(sizes)
+                at = 0
+                while at < len(ids):  # no more pairs in a batch than in a run, other than those of one document
+                    before = int(ends[at - 1]) if at else 0
+                    stop = max(at + 1, int(np.searchsorted(ends, before + spec.run, side="right")))
+                    some = slice(before, int(ends[stop - 1]))
+                    offsets = pa.array(np.concatenate(([0], ends[at:stop] - before)), pa.int32())
+                    lists = {c: pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for c, x in (("places", place[done + some.start : done + some.stop]), ("times", times[some]))}
+                    columns = {c: pa.array(numbers[at:stop, i]) for i, c in enumerate(figures)}
+                    yield rows(id_type, stop - at, block=pa.array(np.full(stop - at, block)), id=ids.slice(at, stop - at), hash=pa.array(hashes[at:stop], pa.string()), **columns, **lists)
+                    at = stop
+                done += len(pair)
+            for at in range(0, len(pairs), spec.run):
+                one = {"pairs": list_array([pairs[at : at + spec.run]], pa.int64()), "holding": list_array([holding[at : at + spec.run]], pa.int32())}
+                yield rows(id_type, 1, block=pa.array([block]), at=pa.array([at], pa.int32()), **one)
 
         for part in slices(batches, 1, rows=4096, size=spec.part_bytes):
             texts = part.column(1).to_pylist()
@@ -280,27 +301,28 @@ def _blocks(docs: DataFrame, key: str, text: str, spec: AlignSpec) -> DataFrame:
             np.add.at(whole_links, docs_of[2], products)
             number[at, 3] = whole_links
             doc, pair, count = aligner.links(g, spec.products)
-            size = np.zeros(n, np.int32)
+            size = np.zeros(n, np.int64)
             size[at] = np.bincount(doc, minlength=len(at))
             named = np.full(n, "", object)
             named[at] = aligner.hashes(g)
-            for kept, x in ((ids, part.column(0)), (counts, number), (hashes, named), (sizes, size), (pairs, pair), (times, count)):
-                kept.append(x)
+            ids = part.column(0)
+            # a copy of the ids, since a slice keeps the whole batch with its texts
+            kept.append((ids.take(pa.array(np.arange(n))), number, named, size, pair, count.astype(np.int32)))
             held += sum(map(len, filter(None, texts)))
             if held >= spec.block_bytes:
-                yield row()
+                yield from block_rows()
                 block += 1
-                ids, counts, hashes, sizes, pairs, times, held = [], [], [], [], [], [], 0
-        if ids:
-            yield row()
+                kept, held = [], 0
+        if kept:
+            yield from block_rows()
 
-    schema = f"block long, ids array<{kind}>, " + ", ".join(f"{c} array<long>" for c in figures) + ", hashes array<string>, sizes array<int>, places array<int>, times array<int>, pairs array<long>, holding array<int>"
+    schema = f"block long, id {kind}, " + ", ".join(f"{c} long" for c in figures) + ", hash string, places array<int>, times array<int>, at int, pairs array<long>, holding array<int>"
     return docs.select(F.col(key), utf8(F.col(text))).mapInArrow(run, schema)
 
 
-def pair_counts(blocks: DataFrame, base: int) -> DataFrame:
+def pair_counts(runs: DataFrame, base: int) -> DataFrame:
     """pair, n (documents that hold it) and best (whether no other B id has more with its A id)."""
-    rows = blocks.select(F.explode(F.arrays_zip("pairs", "holding")).alias("p")).select("p.pairs", "p.holding")
+    rows = runs.select(F.explode(F.arrays_zip("pairs", "holding")).alias("p")).select("p.pairs", "p.holding")
     total = rows.groupBy(F.col("pairs").alias("pair")).agg(F.sum("holding").alias("n"))
     of_a = Window.partitionBy(F.floor(F.col("pair") / base))  # at most as many rows as B has ids
     return total.withColumn("best", F.col("n") == F.max("n").over(of_a))
@@ -312,8 +334,9 @@ def alignment_figures(docs: DataFrame, key: str = "doc_id", text: str = "text",
     kind = docs.schema[key].dataType.simpleString()
     ws = Workspace(docs.sparkSession, "token-alignment")
     blocks = ws.save(_blocks(docs, key, text, spec), "blocks")
-    counts = ws.save(pair_counts(blocks, _b_size(spec)), "counts")
-    wanted = blocks.select("block", F.posexplode("pairs").alias("at", "pair"))
+    runs = blocks.where("hash is null").select("block", "at", "pairs", "holding")
+    counts = ws.save(pair_counts(runs, _b_size(spec)), "counts")
+    wanted = runs.select("block", "at", F.posexplode("pairs").alias("nth", "pair")).select("block", (F.col("at") + F.col("nth")).alias("at"), "pair")
     met = wanted.join(counts, "pair").select(F.col("block").alias("of"), "at", "n", "best")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -321,20 +344,20 @@ def alignment_figures(docs: DataFrame, key: str = "doc_id", text: str = "text",
         at = right["at"].to_numpy()
         n, best = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         n[at], best[at] = right["n"].to_numpy(), right["best"].to_numpy().astype(np.int64)
-        for b in left.to_batches():
-            for i in range(b.num_rows):
-                c = {name: b.column(name)[i].values for name in b.schema.names if name != "block"}
-                place, times = c["places"].to_numpy(), c["times"].to_numpy().astype(np.int64)
-                ends = np.cumsum(c["sizes"].to_numpy())
-                sums = [np.concatenate(([0], np.cumsum(times * v[place])))[np.concatenate(([0], ends))] for v in (best, n)]
-                out.append(pa.Table.from_arrays([c["ids"], c["n_a"], c["n_b"], c["n_groups"], c["n_links"], *(pa.array(np.diff(s)) for s in sums), c["hashes"]], names=names))
+        for whole in left.to_batches():
+            for first in range(0, whole.num_rows, 256):
+                b = whole.slice(first, 256)
+                place, times = b["places"].flatten().to_numpy(), b["times"].flatten().to_numpy().astype(np.int64)
+                ends = np.concatenate(([0], np.cumsum(pc.list_value_length(b["places"]).to_numpy())))
+                sums = [np.concatenate(([0], np.cumsum(times * v[place])))[ends] for v in (best, n)]
+                out.append(pa.Table.from_arrays([b["id"], b["n_a"], b["n_b"], b["n_groups"], b["n_links"], *(pa.array(np.diff(s)) for s in sums), b["hash"]], names=names))
         return pa.concat_tables(out) if out else pa.Table.from_arrays([pa.array([], f.type) for f in empty], names=names)
 
     names = ["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     empty = [pa.field(c, pa.string() if c == "groups_sha256" else pa.int64()) for c in names]
     schema = f"id {kind}, " + ", ".join(f"{c} long" for c in names[1:-1]) + ", groups_sha256 string"
     # A block without pairs has no counts, but its documents stay.
-    out = blocks.drop("pairs", "holding").groupBy("block").cogroup(met.groupBy("of")).applyInArrow(run, schema)
+    out = blocks.where("hash is not null").drop("at", "pairs", "holding").groupBy("block").cogroup(met.groupBy("of")).applyInArrow(run, schema)
     return out.withColumnRenamed("id", key)
 
 

@@ -326,3 +326,13 @@ def test_fingerprints_of_nothing(spark, no_docs):
     assert golay_hash.near_duplicates(no_docs).collect() == []
     got = golay_hash.near_duplicates(spark.createDataFrame([row(None, "a b c d"), row(5, None), row(4, "")], SCHEMA)).collect()
     assert {tuple(g)[0]: g.component_id for g in got} == {None: None, 5: 4, 4: 4} and {g.fingerprint for g in got if g.doc_id} == {"0" * 16}
+
+
+def test_blocks_are_written_in_small_rows(spark):
+    docs = spark.createDataFrame([row(i, f"words {i} of document {i * 7919} with pairs {i * 31}") for i in range(300)], SCHEMA).coalesce(1)
+    spec = token_alignment.AlignSpec(run=100)
+    rows = token_alignment._blocks(docs, "doc_id", "text", spec).collect()
+    assert sorted(r["id"] for r in rows if r["hash"] is not None) == list(range(300))
+    runs = [r for r in rows if r["hash"] is None]
+    assert len(runs) > 1 and all(len(r["pairs"]) <= 100 for r in runs)
+    assert [r["at"] for r in runs] == [100 * i for i in range(len(runs))]
