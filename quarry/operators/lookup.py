@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +44,26 @@ def exact_matches(wanted: DataFrame, lookup: DataFrame, terms: DataFrame) -> Dat
     return distinct.join(named, ["category", "raw"], "left").select("category", "raw", "onto", "id", "onto_name", F.when(F.col("id").isNotNull(), 1.0).otherwise(0.0).alias("confidence"), F.when(F.col("id").isNotNull(), "exact").otherwise("none").alias("method"))
 
 
-def nearest_matches(wanted: DataFrame, vectors: DataFrame, threshold: float = 0.65, digits: int = 9, by: str | None = None, block: int = 4096, chunk: int = 65_536) -> DataFrame:
+def best_cosines(q: np.ndarray, v: np.ndarray, digits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, cosine) of the row of ``v`` most similar to each row of ``q``, the first of equal ones; 256 by 8192 are compared at a time."""
+    size = lambda x: np.sqrt((x * x).sum(1)) + GUARD
+    at, score, norms = [], [], size(v)
+    for start in range(0, len(q), 256):
+        some = q[start : start + 256]
+        best_at, best_cos = np.zeros(len(some), np.int64), np.full(len(some), -np.inf)
+        for first in range(0, len(v), 8192):
+            cos = np.round(some @ v[first : first + 8192].T / (size(some)[:, None] * norms[first : first + 8192]), digits)
+            cos[np.isnan(cos)] = -np.inf
+            near = cos.argmax(1)
+            high = cos[np.arange(len(some)), near]
+            better = high > best_cos
+            best_at, best_cos = np.where(better, near + first, best_at), np.where(better, high, best_cos)
+        at.append(best_at)
+        score.append(best_cos)
+    return np.concatenate(at), np.concatenate(score)
+
+
+def nearest_matches(wanted: DataFrame, vectors: DataFrame, threshold: float = 0.65, digits: int = 9, by: str | None = None, block: int = 16_384, chunk: int = 16_384) -> DataFrame:
     """Best term for each (raw, vec) with a cosine of at least ``threshold``; ties go to the smaller id.
 
     ``wanted`` holds the distinct terms that found no exact match; ``vectors``: id, vec; ``by`` names a column of both
@@ -60,22 +80,13 @@ def nearest_matches(wanted: DataFrame, vectors: DataFrame, threshold: float = 0.
     cell = [*keys, "dim", "block", "chunk"]
 
     def best(asked: pa.Table, held: pa.Table) -> pa.Table:
-        import numpy as np
-
         out = {**{k: asked[k] for k in keys}, "raw": asked["raw"]}
         if not len(asked) or not len(held):
             return pa.table({**{k: c.slice(0, 0) for k, c in out.items()}, "id": held["id"].slice(0, 0), "score": pa.array([], pa.float64())})
         held = held.sort_by("id")
         matrix = lambda t: t["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
         q, v = matrix(asked), matrix(held)
-        size = lambda x: np.sqrt((x * x).sum(1)) + GUARD
-        at, score, norms = [], [], size(v)
-        for start in range(0, len(q), 256):
-            some = q[start : start + 256]
-            cos = np.round(some @ v.T / (size(some)[:, None] * norms), digits)
-            at.append(cos.argmax(1))  # the first of equal ones has the smallest id
-            score.append(cos.max(1))
-        at, score = np.concatenate(at), np.concatenate(score)
+        at, score = best_cosines(q, v, digits)
         return pa.table({**out, "id": held["id"].take(pa.array(at)), "score": pa.array(score)}).filter(pa.array(score >= threshold))
 
     kind = lambda df, c: df.schema[c].dataType.simpleString()

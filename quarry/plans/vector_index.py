@@ -59,21 +59,32 @@ def top_cosines(asked: pa.Table, held: pa.Table, k: int, query_id: str, key: str
     values = [(np.array(asked[f"_{c}"].to_pylist(), object), np.array(held[c].to_pylist(), object)) for c in by or []]
     for s in range(0, len(q), 256):
         some = q[s : s + 256]
-        cos = np.round(some @ v.T / (size(some)[:, None] * norms), digits)
-        for want, has in values:
-            w = want[s : s + 256]
-            cos[np.array([x is not None for x in w])[:, None] & (w[:, None] != has[None, :])] = -np.inf
-        top = np.argsort(-cos, axis=1, kind="stable")[:, :few]
-        rows.append(np.repeat(np.arange(s, s + len(some)), few))
-        cols.append(top.ravel())
-        scores.append(np.take_along_axis(cos, top, 1).ravel())
+        best_cos, best_col = np.empty((len(some), 0)), np.empty((len(some), 0), np.int64)
+        for t in range(0, len(v), 8192):  # a product of 256 by 8192 at a time, and the best so far
+            cos = np.round(some @ v[t : t + 8192].T / (size(some)[:, None] * norms[t : t + 8192]), digits)
+            for want, has in values:
+                w = want[s : s + 256]
+                cos[np.array([x is not None for x in w])[:, None] & (w[:, None] != has[None, t : t + 8192])] = -np.inf
+            n = min(few, cos.shape[1])
+            least = np.partition(cos, cos.shape[1] - n, axis=1)[:, cos.shape[1] - n]
+            high = cos >= least[:, None]  # with all ties of the last one, in order of keys
+            above = cos > least[:, None]
+            high &= above | (np.cumsum(high & ~above, axis=1, dtype=np.int32) <= (n - above.sum(1))[:, None])
+            col = np.nonzero(high)[1].reshape(len(some), n)
+            best_cos = np.hstack([best_cos, np.take_along_axis(cos, col, 1)])
+            best_col = np.hstack([best_col, col + t])
+            top = np.argsort(-best_cos, axis=1, kind="stable")[:, :few]  # earlier columns are smaller keys
+            best_cos, best_col = np.take_along_axis(best_cos, top, 1), np.take_along_axis(best_col, top, 1)
+        rows.append(np.repeat(np.arange(s, s + len(some)), best_col.shape[1]))
+        cols.append(best_col.ravel())
+        scores.append(best_cos.ravel())
     rows, cols, scores = np.concatenate(rows), np.concatenate(cols), np.concatenate(scores)
     good = np.isfinite(scores)
     rows, cols = rows[good], cols[good]
     return pa.table({query_id: asked[query_id].take(pa.array(rows)), key: held[key].take(pa.array(cols)), "score": pa.array(scores[good])})
 
 
-def dense_top_many(held: DataFrame, queries: DataFrame, k: int, key: str, vec: str, by: list[str] | None = None, digits: int = 9, chunk: int = 65_536, block: int = 4096) -> DataFrame:
+def dense_top_many(held: DataFrame, queries: DataFrame, k: int, key: str, vec: str, by: list[str] | None = None, digits: int = 9, chunk: int = 16_384, block: int = 16_384) -> DataFrame:
     """(query_id, key, dense_score, rank) of the k most similar vectors of each query (query_id, vec), all compared, without an index.
 
     Blocks of queries meet chunks of vectors as matrix products. Vectors of another length than the query's don't match it.
@@ -194,7 +205,7 @@ class VectorIndex:
 
         Both sides of a cell are dealt over as many chunks as its size asks for, so no task holds more than one of each.
         """
-        chunk, block, key, vec, digits = 65_536, 4096, self.key, self.vec, self.digits
+        chunk, block, key, vec, digits = 16_384, 16_384, self.key, self.vec, self.digits
         counts = visits.groupBy("cell").agg(F.count("*").alias("asked"))
         chunks = self.spark.createDataFrame([(int(c), max(1, -(-int(n) // chunk))) for c, n in zip(self.cells, self.n, strict=True)], "cell int, chunks int")
         grid = chunks.join(counts, "cell").withColumn("blocks", F.ceil(F.col("asked") / block).cast("int"))

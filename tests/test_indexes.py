@@ -183,3 +183,27 @@ def test_retrieval_reads_vectors_and_texts_apart(spark, index):
     one = retrieve(index, "lung tumor", vec, RetrievalSpec(), {"organism": "a"}, Providers()).select("gse_id", "rank", "dense_score", "sparse_score", "rerank_score")
     two = retrieve(texts, "lung tumor", vec, RetrievalSpec(), {"organism": "a"}, Providers(), vectors=held).select(*one.columns)
     assert sorted(plain(one.collect())) == sorted(plain(two.collect()))
+
+
+def test_products_of_large_chunks_are_cut():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from quarry.operators.lookup import best_cosines
+    from quarry.plans.vector_index import top_cosines
+
+    r = np.random.default_rng(5)
+    v, q = r.integers(-2, 3, (40_000, 4)) + 0.5, r.integers(-2, 3, (256, 4)) + 0.5
+    asked, held = pa.table({"q": range(len(q)), "_q": pa.array(q.tolist())}), pa.table({"k": range(len(v)), "v": pa.array(v.tolist())})
+    tracemalloc.start()
+    at, score = best_cosines(q, v, 9)
+    found = top_cosines(asked, held, 3, "q", "k", "v", 9).to_pydict()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120_000_000  # all of it at once takes 82 MB for each copy
+    size = lambda x: np.sqrt((x * x).sum(1)) + 1e-10
+    cos = np.round(q @ v.T / (size(q)[:, None] * size(v)), 9)
+    assert at.tolist() == cos.argmax(1).tolist() and score.tolist() == cos.max(1).tolist()
+    assert found["k"] == np.argsort(-cos, axis=1, kind="stable")[:, :3].ravel().tolist()
