@@ -14,6 +14,10 @@ from quarry.functions.text import tokens
 from quarry.operators.ranking import top_k, top_per_group
 
 
+#: Tokens of a table of queries that every executor may hold.
+_FEW_WORDS = 200_000
+
+
 def bucket_of(token: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
@@ -82,5 +86,12 @@ def _best(words: DataFrame, rows: DataFrame, on: list[str], key: str, k: int, by
 def sparse_top_many(index: DataFrame, queries: DataFrame, k: int, key: str, text: str, by: list[str] | None = None) -> DataFrame:
     """As ``Postings.top_many`` from the texts themselves; tokens that no query has leave before anything is shuffled."""
     words = query_tokens(queries, by)
-    some = index.select(key, *(by or []), F.explode(tokens(F.col(text))).alias("token")).join(words.select("token").distinct(), "token", "left_semi")
+    if words.limit(_FEW_WORDS + 1).count() > _FEW_WORDS:
+        asked = words.select("token").distinct()
+    else:
+        words = F.broadcast(words)
+        asked = F.broadcast(words.select("token").distinct())
+    # Texts are dealt by key once: tokens are counted, met and summed where their text lies, and only the best of each task are shuffled.
+    dealt = index.select(key, *(by or []), F.col(text).alias("_text")).repartition(key)
+    some = dealt.select(key, *(by or []), F.explode(tokens(F.col("_text"))).alias("token")).join(asked, "token", "left_semi")
     return _best(words, some.groupBy("token", key, *(by or [])).agg(F.count("*").alias("tf")), ["token"], key, k, by)
