@@ -178,3 +178,9 @@ def test_parts_of_files_in_a_folder(spark, tmp_path):
     files = spark.createDataFrame([("GSE1", "x/f.bin"), ("GSE1", "x/empty.bin")], "series_id string, url string")
     got = acquire.download_ranged(files, acquire.FolderFetcher(str(tmp_path / "src")), str(tmp_path / "got"), str(tmp_path / "p"), part_bytes=33_333).collect()
     assert all(r.ok for r in got) and (tmp_path / "got" / "GSE1" / "f.bin").read_bytes() == Site.body and (tmp_path / "got" / "GSE1" / "empty.bin").read_bytes() == b""
+
+
+def test_joining_of_small_rows_is_dealt_over_tasks(spark, tmp_path):
+    rows = [(f"GSE{i}", f"http://x/f{i}", 1, 0, "gone") for i in range(100)]
+    got = acquire.join_ranges(spark.createDataFrame(rows, "series_id string, url string, size long, part int, error string"), str(tmp_path))
+    assert got.count() == 100 and got.select(F.spark_partition_id()).distinct().count() > 4
