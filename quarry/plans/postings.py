@@ -23,8 +23,12 @@ def bucket_of(token: Column, buckets: int) -> Column:
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(token, key, tf) of each document's tokens; repeated keys are one document."""
-    rows = docs.select(key, F.explode(tokens(F.col(text))).alias("token"))
+    """(token, key, tf) of each document's tokens; repeated keys are one document.
+
+    Texts are dealt by key once, and their tokens are counted where they lie: a text is shuffled, never its tokens.
+    """
+    dealt = docs.select(key, F.col(text).alias("_text")).repartition(key)
+    rows = dealt.select(key, F.explode(tokens(F.col("_text"))).alias("token"))
     return rows.groupBy("token", key).agg(F.count("*").alias("tf"))
 
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.plans.postings import Postings, write_postings
+from quarry.plans.postings import Postings, postings, write_postings
 from quarry.plans.retrieve import RetrievalSpec, merge_many, retrieve, retrieve_many, sparse_top
 from quarry.plans.vector_index import CellSpec, VectorIndex, write_cells
 from quarry.providers import Providers
@@ -47,6 +48,19 @@ def test_postings_give_what_the_texts_give(spark, index, tmp_path):
     assert {r.gse_id for r in p.top("lung", 500, among).collect()} <= {r.gse_id for r in among.collect()}
 
 
+def _exchanges(df):
+    """What the shuffles of a plan deal rows by."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return [re.sub(r"#\d+L?", "", x) for x in re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", plan)]
+
+
+def test_postings_shuffle_texts_and_no_tokens(spark, tmp_path):
+    rows = [("a", "lung Lung cell"), ("b", "cell"), ("a", "lung"), ("b", None), (None, "cell"), (None, "cell")]
+    got = postings(spark.createDataFrame(rows, "gse_id string, document_text string"), "gse_id", "document_text")
+    assert _exchanges(got) == ["gse_id"]
+    assert {tuple(r) for r in got.collect()} == {("lung", "a", 3), ("cell", "a", 1), ("cell", "b", 1), ("cell", None, 2)}
+
+
 def vectors(n, dims, seed, centres=None):
     r = np.random.default_rng(seed)
     return r.normal(size=(n, dims)) if centres is None else centres[r.integers(0, len(centres), n)] + 0.15 * r.normal(size=(n, dims))
