@@ -68,9 +68,14 @@ class Postings:
         return top_k(scores, "sparse_score", self.key, k)
 
     def top_many(self, queries: DataFrame, k: int, facts: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
-        """(query_id, key, sparse_score, rank) of the best documents of every query (query_id, query), in one plan."""
+        """(query_id, key, sparse_score, rank) of the best documents of every query (query_id, query), in one plan.
+
+        The postings of the queries' tokens are dealt by key, so that they meet the queries and are summed where their document lies.
+        """
         words = query_tokens(queries, by).withColumn("bucket", bucket_of(F.col("token"), self.buckets))
-        rows = self.rows if not by else self.rows.join(facts, self.key)
+        words, asked = _few(words, ["bucket", "token"])
+        rows = self.rows.join(asked, ["bucket", "token"], "left_semi")
+        rows = rows.repartition(self.key) if not by else rows.join(facts, self.key).repartition(self.key)
         return _best(words, rows, ["bucket", "token"], self.key, k, by)
 
 
@@ -79,6 +84,12 @@ def query_tokens(queries: DataFrame, by: list[str] | None = None) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("token"), *(F.col(c).alias(f"_{c}") for c in by or []))
 
 
+def _few(words: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``words`` and their distinct ``on``, sent to every executor if they are few."""
+    asked = words.select(*on).distinct()
+    return (words, asked) if words.limit(_FEW_WORDS + 1).count() > _FEW_WORDS else (F.broadcast(words), F.broadcast(asked))
+
+
 def _best(words: DataFrame, rows: DataFrame, on: list[str], key: str, k: int, by: list[str] | None) -> DataFrame:
     met = words.join(rows, on)
     for c in by or []:
@@ -89,12 +100,7 @@ def _best(words: DataFrame, rows: DataFrame, on: list[str], key: str, k: int, by
 
 def sparse_top_many(index: DataFrame, queries: DataFrame, k: int, key: str, text: str, by: list[str] | None = None) -> DataFrame:
     """As ``Postings.top_many`` from the texts themselves; tokens that no query has leave before anything is shuffled."""
-    words = query_tokens(queries, by)
-    if words.limit(_FEW_WORDS + 1).count() > _FEW_WORDS:
-        asked = words.select("token").distinct()
-    else:
-        words = F.broadcast(words)
-        asked = F.broadcast(words.select("token").distinct())
+    words, asked = _few(query_tokens(queries, by), ["token"])
     # Texts are dealt by key once: tokens are counted, met and summed where their text lies, and only the best of each task are shuffled.
     dealt = index.select(key, *(by or []), F.col(text).alias("_text")).repartition(key)
     some = dealt.select(key, *(by or []), F.explode(tokens(F.col("_text"))).alias("token")).join(asked, "token", "left_semi")

@@ -61,6 +61,16 @@ def test_postings_shuffle_texts_and_no_tokens(spark, tmp_path):
     assert {tuple(r) for r in got.collect()} == {("lung", "a", 3), ("cell", "a", 1), ("cell", "b", 1), ("cell", None, 2)}
 
 
+def test_many_queries_meet_postings_where_their_document_lies(spark, index, tmp_path):
+    write_postings(index, str(tmp_path), buckets=4)
+    queries = spark.createDataFrame([(i, f"{w} tumor") for i, w in enumerate(WORDS)], "query_id int, query string")
+    got = Postings(spark, str(tmp_path)).top_many(queries, 5)
+    assert [x for x in _exchanges(got) if "gse_id" in x] == ["gse_id"]  # never by query and document
+    for i, w in enumerate(WORDS):
+        want = plain(sparse_top(index, f"{w} tumor", 5).orderBy("rank").collect())
+        assert plain(got.where(F.col("query_id") == i).orderBy("rank").drop("query_id").collect()) == want
+
+
 def vectors(n, dims, seed, centres=None):
     r = np.random.default_rng(seed)
     return r.normal(size=(n, dims)) if centres is None else centres[r.integers(0, len(centres), n)] + 0.15 * r.normal(size=(n, dims))
