@@ -19,15 +19,25 @@ def _family(key: Column) -> Column:
     return found
 
 
+#: Family of the row that stands for a sample itself.
+_SAMPLE = "_sample"
+
+
+def _pairs(samples: DataFrame, series: str, with_samples: bool = False) -> DataFrame:
+    """(series, family, value) of samples, in one pass over them; with a row without value for each sample itself, if asked for."""
+    pair = lambda family, value: F.struct(family.alias("family"), value.alias("value"))
+    known = F.transform(F.map_entries("characteristics"), lambda e: pair(_family(norm_key(e["key"])), strip(e["value"])))
+    known = F.filter(known, lambda p: p["family"].isNotNull() & (p["value"] != "") & ~F.lower(p["value"]).isin(*lexicon.NO_VALUE))
+    source = F.when(~F.lower(F.coalesce("source", F.lit(""))).isin(*lexicon.NO_SOURCE), pair(F.lit("tissue"), F.col("source")))
+    organism = F.when(F.col("organism") != "", pair(F.lit("organism"), F.col("organism")))
+    own = [pair(F.lit(_SAMPLE), F.lit(None).cast("string"))] if with_samples else []
+    some = F.filter(F.array(source, organism, *own), lambda p: p.isNotNull())
+    return samples.select(series, F.explode(F.concat(F.coalesce(known, F.slice(some, 1, 0)), some)).alias("p")).select(series, "p.family", "p.value")
+
+
 def long_characteristics(samples: DataFrame, series: str = "series_id") -> DataFrame:
     """(series, family, value): known characteristics with a value, and sample sources as tissues."""
-    pairs = samples.select(series, F.explode("characteristics").alias("key", "value"))
-    v = strip(F.col("value"))
-    named = pairs.select(series, _family(norm_key(F.col("key"))).alias("family"), v.alias("value")).where("family is not null and value != ''")
-    named = named.where(~F.lower("value").isin(*lexicon.NO_VALUE))
-    sources = samples.where(~F.lower(F.coalesce("source", F.lit(""))).isin(*lexicon.NO_SOURCE)).select(series, F.lit("tissue").alias("family"), F.col("source").alias("value"))
-    organisms = samples.where("organism != ''").select(series, F.lit("organism").alias("family"), F.col("organism").alias("value"))
-    return named.unionByName(sources).unionByName(organisms)
+    return _pairs(samples, series)
 
 
 def summarize_characteristics(samples: DataFrame, series: str = "series_id") -> DataFrame:
@@ -35,7 +45,7 @@ def summarize_characteristics(samples: DataFrame, series: str = "series_id") ->
     return summarize_pairs(long_characteristics(samples, series), series)
 
 
-def summarize_pairs(pairs: DataFrame, series: str = "series_id") -> DataFrame:
+def summarize_pairs(pairs: DataFrame, series: str = "series_id", *more: Column) -> DataFrame:
     of = lambda f, c=None: F.array_sort(F.collect_set(F.when(F.col("family") == f, F.lower("value") if c is None else c)))
     age = F.when(F.col("family") == "age", first_number(F.col("value")))
     low, high = F.min(age), F.max(age)
@@ -46,8 +56,9 @@ def summarize_pairs(pairs: DataFrame, series: str = "series_id") -> DataFrame:
         of("treatment").alias("treatments"),
         of("organism", F.col("value")).alias("organisms"),
         of("sex").alias("sex"),
-        F.count_distinct(F.when(F.col("family") == "donor", F.col("value"))).cast("int").alias("donor_count"),
+        F.size(F.collect_set(F.when(F.col("family") == "donor", F.col("value")))).alias("donor_count"),
         F.coalesce(F.concat_ws("-", low.cast("string"), high.cast("string")), F.lit("")).alias("age_range"),
+        *more,
     )
 
 
@@ -57,9 +68,9 @@ def enrich(series: DataFrame, samples: DataFrame, articles: DataFrame | None = N
     ``articles``: pmid, title, abstract, mesh_terms, keywords; ``manifest``: series_id, title, summary, series_type.
     """
     empty = F.array().cast("array<string>")
-    terms = summarize_characteristics(samples)
-    counts = samples.groupBy("series_id").agg(F.count("*").cast("int").alias("_samples"))
-    out = series.join(terms, "series_id", "left").join(counts, "series_id", "left")
+    # Samples are read once: their number comes with their terms.
+    terms = summarize_pairs(_pairs(samples, "series_id", with_samples=True), "series_id", F.count_if(F.col("family") == _SAMPLE).cast("int").alias("_samples"))
+    out = series.join(terms, "series_id", "left")
     if manifest is not None:
         m = manifest.select("series_id", *(F.col(c).alias(f"_m_{c}") for c in ("title", "summary", "series_type")))
         out = out.join(m, "series_id", "left")

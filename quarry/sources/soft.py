@@ -59,27 +59,40 @@ def parse_series(texts: DataFrame, text: str = "text") -> DataFrame:
     ).drop("_lines", text)
 
 
-def characteristics(raw: Column) -> Column:
-    """Map of sample characteristics: 'key: value', else 'key=value', else attr_n; a later key wins."""
-    labelled = lambda x: (F.instr(x, ": ") > 0) | ((F.instr(x, "=") > 0) & ~x.startswith("!"))
+def _labelled(x: Column) -> Column:
+    return (F.instr(x, ": ") > 0) | ((F.instr(x, "=") > 0) & ~x.startswith("!"))
 
+
+def _entries(raw: Column) -> Column:
     def entry(x: Column, i: Column) -> Column:
-        n = F.size(F.filter(F.slice(raw, F.lit(1), i), lambda y: ~labelled(y)))
-        key = F.when(F.instr(x, ": ") > 0, F.lower(before(x, ": "))).when(labelled(x), F.lower(before(x, "="))).otherwise(F.concat(F.lit("attr_"), n.cast("string")))
-        value = F.when(F.instr(x, ": ") > 0, after(x, ": ")).when(labelled(x), after(x, "=")).otherwise(x)
+        n = F.size(F.filter(F.slice(raw, F.lit(1), i), lambda y: ~_labelled(y)))
+        key = F.when(F.instr(x, ": ") > 0, F.lower(before(x, ": "))).when(_labelled(x), F.lower(before(x, "="))).otherwise(F.concat(F.lit("attr_"), n.cast("string")))
+        value = F.when(F.instr(x, ": ") > 0, after(x, ": ")).when(_labelled(x), after(x, "=")).otherwise(x)
         return F.struct(key.alias("key"), value.alias("value"))
 
-    entries = F.transform(raw, entry)
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    return F.transform(raw, entry)
+
+
+def _last_of_each(entries: Column, keys: Column) -> Column:
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.try_element_at(F.filter(entries, lambda e: e["key"] == k), F.lit(-1))["value"]))
 
 
+def with_characteristics(rows: DataFrame, raw: Column, out: str = "characteristics") -> DataFrame:
+    """``rows`` with a map of sample characteristics: 'key: value', else 'key=value', else attr_n; a later key wins.
+
+    Each step is a column of its own, since Spark evaluates anew what stands inside another step's lambda, once for each element.
+    """
+    rows = rows.withColumn("_raw", raw).withColumn("_entries", _entries(F.col("_raw")))
+    rows = rows.withColumn("_keys", F.array_distinct(F.transform("_entries", lambda e: e["key"])))
+    return rows.withColumn(out, _last_of_each(F.col("_entries"), F.col("_keys"))).drop("_raw", "_entries", "_keys")
+
+
 def parse_samples(texts: DataFrame, series: str = "series_id", text: str = "text") -> DataFrame:
     """One row per sample section; of sections with one id the last wins."""
     parts = F.filter(F.split(F.col(text), r"(?m)^[ \t]*(?=\^SAMPLE)"), lambda s: s.startswith("^SAMPLE"))
     rows = texts.select(series, F.posexplode(parts).alias("pos", "section")).withColumn("_lines", lines_of(F.col("section")))
     get = lambda p: last(values_of(F.col("_lines"), p))
-    rows = rows.select(
+    rows = with_characteristics(rows, values_of(F.col("_lines"), "!Sample_characteristics_ch1")).select(
         series,
         "pos",
         after(F.get("_lines", F.lit(0)), "=").alias("sample_id"),
@@ -87,7 +100,7 @@ def parse_samples(texts: DataFrame, series: str = "series_id", text: str = "text
         get("!Sample_source_name_ch1").alias("source"),
         get("!Sample_organism_ch1").alias("organism"),
         get("!Sample_platform_id").alias("platform"),
-        characteristics(values_of(F.col("_lines"), "!Sample_characteristics_ch1")).alias("characteristics"),
+        "characteristics",
         F.filter(values_of(F.col("_lines"), "!Sample_supplementary_file"), lambda v: (v != "") & (F.lower(v) != "none")).alias("supplementary_files"),
     ).where("sample_id != ''")
     names = [c for c in rows.columns if c not in (series, "sample_id")]

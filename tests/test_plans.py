@@ -11,6 +11,7 @@ from quarry.engine import Engine
 from quarry.plans import answer, enrich, evaluate, index, models, reports, retrieve
 from quarry.providers import HashingEncoder, Providers, TemplateGenerator, hash_vector, with_fallback
 from quarry.sources import records
+from quarry.sources.soft import parse_samples
 from tests.test_sources import SAMPLES, SERIES, texts
 
 
@@ -191,3 +192,22 @@ def test_configuration():
     assert c.top_k == 7 and c.path("index") == "/r/index"
     v = hash_vector("a b a", 8)
     assert sum(x * x for x in v) == pytest.approx(1) and hash_vector("", 4) == [0.0] * 4
+
+
+def test_enrich_reads_its_samples_once(spark, tmp_path):
+    sample = lambda i, *xs: "\n".join([f"^SAMPLE = GSM{i}", f"!Sample_title = s{i}", *xs])
+    chars = lambda *xs: [f"!Sample_characteristics_ch1 = {x}" for x in xs]
+    text = "\n".join([
+        sample(1, "!Sample_source_name_ch1 = Lung", "!Sample_organism_ch1 = Homo sapiens", *chars("donor: a", "age: 5 years", "Donor: b", "free", "disease state=Flu", "also free")),
+        sample(2, "!Sample_source_name_ch1 = None", *chars("donor: a", "age: 11")),
+        sample(3),
+    ])
+    spark.createDataFrame([("GSE1", text), ("GSE2", "")], "series_id string, text string").write.parquet(str(tmp_path / "texts"))
+    samples = parse_samples(spark.read.parquet(str(tmp_path / "texts")))
+    assert {r.sample_id: r.characteristics for r in samples.collect()}["GSM1"] == {"donor": "b", "age": "5 years", "attr_0": "free", "disease state": "Flu", "attr_1": "also free"}
+    empty = "title string, summary string, overall_design string, organism string, platform string, series_type string, submission_date string"
+    series = spark.createDataFrame([(f"GSE{i}", *[""] * 7, ["x"], 0) for i in (1, 2)], f"series_id string, {empty}, pubmed_ids array<string>, n_samples int")
+    out = enrich.enrich(series, samples)
+    assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("FileScan parquet") == 1
+    got = {r.gse_id: (r.n_samples, r.donor_count, r.age_range, r.tissues, r.diseases, r.organism) for r in out.collect()}
+    assert got == {"GSE1": (3, 2, "5-11", ["lung"], ["flu"], "Homo sapiens"), "GSE2": (0, 0, "", [], [], "")}
