@@ -170,6 +170,11 @@ def _error(e: Exception) -> str:
     return f"{type(e).__name__}: {e}"
 
 
+def _dealt(files: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Files over a number of tasks that is given: by their paths' bytes Spark would open them all in one."""
+    return files.repartition(tasks or 8 * files.sparkSession.sparkContext.defaultParallelism, "path")
+
+
 def sniff_formats(files: DataFrame, local: Callable[[str], str], opener: Callable[[str], Any] = open_hdf5) -> DataFrame:
     """``files`` (path, format, ...) with the format of .h5 files by what they hold; one that can't be opened keeps its format."""
 
@@ -186,7 +191,7 @@ def sniff_formats(files: DataFrame, local: Callable[[str], str], opener: Callabl
                 found.append(kind)
             yield b.assign(format=found)
 
-    return files.mapInPandas(run, files.schema)
+    return _dealt(files).mapInPandas(run, files.schema)
 
 
 def read_hdf5(files: DataFrame, local: Callable[[str], str], opener: Callable[[str], Any] = open_hdf5, tasks: int | None = None, size: int = SLICE) -> DataFrame:
@@ -227,7 +232,7 @@ def read_hdf5(files: DataFrame, local: Callable[[str], str], opener: Callable[[s
             f.__exit__(None, None, None)
 
     ws = Workspace(spark, "hdf5")
-    one_each = files.select("path", "format").repartition("path")
+    one_each = _dealt(files.select("path", "format"), tasks)
     slices = ws.save(one_each.mapInPandas(plan, "path string, format string, first long, last long, error string"), "slices")
     n = min(slices.count(), tasks or 8 * spark.sparkContext.defaultParallelism)
     # Neighbouring slices of a file go to one task, which opens the file once for them.

@@ -10,6 +10,7 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.config import load_config
 from quarry.engine import Engine
@@ -17,6 +18,7 @@ from quarry.operators.matrix import quality_filter
 from quarry.plans import convert
 from quarry.providers import ModelEncoder, encoder_name, pick_device
 from quarry.sources import hdf5
+from quarry.sources.hdf5_writer import write_matrices
 
 
 class Data:
@@ -183,3 +185,17 @@ def test_models_load_once_and_fall_back(spark):
     assert e.encode("x") == [0.6, 0.8] and e.encode("") == [0.0, 0.0] and loads == ["cpu"]
     assert pick_device("cuda", lambda d: d == "mps") == "mps" and pick_device("cpu") == "cpu" and pick_device("auto", lambda d: True) == "cuda"
     assert encoder_name(e) != encoder_name(ModelEncoder("m2", load))
+
+
+def test_folders_without_tables_are_listed_once_and_files_are_dealt(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(f"GSE{i}", "c", f"g{j}", float(j)) for i in range(6) for j in (1, 2)], "series_id string, cell string, gene string, value double")
+    write_matrices(rows, f"file:{tmp_path}/in").collect()
+    asked = []
+    monkeypatch.setattr(convert, "scan_lines", lambda *a: asked.append(a))
+    entries, results = convert.convert_folder(spark, f"file:{tmp_path}/in")
+    assert not asked
+    assert {(r.series_id, r.gene, r.value) for r in entries.collect()} == {(f"GSE{i}", f"g{j}", float(j)) for i in range(6) for j in (1, 2)}
+    assert results.where("error is null and entries = 2").count() == 6
+    files = spark.createDataFrame([(f"x{i}", "h5_other") for i in range(64)], "path string, format string")
+    seen = hdf5.sniff_formats(files, str).select(F.spark_partition_id().alias("task")).distinct().count()
+    assert seen > 8
