@@ -303,7 +303,7 @@ def ingested_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (Path(folder) / f"{word}_{n}").write_text(t)
                 yield b[["name"]]
 
-        ws.save(x.mapInPandas(write, "name string"), word)
+        ws.save(x.repartition(64).mapInPandas(write, "name string"), word)  # small rows, but a file each
 
     s = table(spark, sf_dir, "supplier")
     out = [f"{ws.root}/{n}" for n in ("landed", "out", "mark")]

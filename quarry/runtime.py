@@ -13,6 +13,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,6 +67,24 @@ def clean_up(spark: SparkSession) -> None:
         _delete(spark, _roots.pop())
 
 
+@contextmanager
+def many_small_files(spark: SparkSession) -> Iterator[None]:
+    """Settings for steps over many small files, put back afterwards.
+
+    A stream of files lists each file of a batch anew, as a path of its own, and Spark makes up to 10,000 tasks of that. It also
+    counts a file as 4 MB when it packs files into tasks: 32 to a task, however small they are.
+    """
+    settings = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": "64", "spark.sql.files.openCostInBytes": str(128 << 10)}
+    former = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in former.items():
+            spark.conf.set(k, v)
+
+
 class Workspace:
     """Named Parquet tables under one folder of the shared storage."""
 

@@ -1,9 +1,13 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
+from quarry import runtime
+from quarry.queries.engine_flows import ingested_twice
 from quarry.sources import matrices, obo, records, soft
 from quarry.streaming.ingest import event_counts, ingest_series
 
@@ -116,6 +120,70 @@ def test_matrix_files(spark, tmp_path):
     assert [(r.series_id, r.paths) for r in matrices.series_folders(p).collect()] == [("GSE1", ["/a/gse1_x", "/b/GSE1"])]
 
 
+class _Runs(StreamingQueryListener):
+    """Groups of the jobs of streams."""
+
+    def __init__(self):
+        self.groups = []
+
+    def onQueryStarted(self, event):
+        self.groups.append(str(event.runId))
+
+    def onQueryProgress(self, event):
+        pass
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
+
+
+def test_ingestion_has_few_tasks_for_many_small_files(spark, tmp_path):
+    landed, out = tmp_path / "in", str(tmp_path / "out")
+    landed.mkdir()
+    for i in range(300):
+        (landed / f"GSE{i}.soft").write_text(SERIES)
+    settings = ("spark.sql.sources.parallelPartitionDiscovery.parallelism", "spark.sql.files.openCostInBytes")
+    former = [spark.conf.get(k) for k in settings]
+    runs, parts = _Runs(), []
+    spark.streams.addListener(runs)
+    try:
+        ingest_series(spark, str(landed), out, str(tmp_path / "mark"), transform=lambda b: parts.append(b.rdd.getNumPartitions()) or soft.parse_series(b))
+    finally:
+        spark.streams.removeListener(runs)
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [tracker.getJobInfo(j) for g in runs.groups for j in tracker.getJobIdsForGroup(g)]
+    tasks = [tracker.getStageInfo(s).numTasks for j in jobs for s in j.stageIds]
+    assert tasks and max(tasks) <= 64  # a task for each file to list them, before
+    assert parts and max(parts) <= 4  # one for 32 files to read them
+    assert [spark.conf.get(k) for k in settings] == former
+    assert spark.read.parquet(out).count() == 300
+
+
+def test_records_are_landed_by_many_tasks(spark):
+    assert ingested_twice(spark, "/root/testdata/sf0.01").count() == 100
+    place = Path(runtime._roots[-1].removeprefix("file://"))
+    assert len(list((place / "second").glob("part-*.parquet"))) > 8  # one, before
+
+
+def test_ingestion_unpacks_what_the_reader_of_texts_unpacks(spark, tmp_path):
+    landed, out, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
+    landed.mkdir()
+    text = lambda n: f"^SERIES = GSE{n}\n!Series_title = é {n}\n"
+    (landed / "GSE1.soft").write_text(text(1))
+    for n, kind in enumerate(("gzip", "bzip2", "deflate", "lz4", "snappy"), 2):
+        spark.createDataFrame([(text(n),)], "value string").coalesce(1).write.option("compression", kind).text(str(tmp_path / kind))
+        (part,) = (tmp_path / kind).glob("part-*")
+        part.rename(landed / f"GSE{n}.soft{part.suffix}")
+    (landed / "GSE9.soft").write_bytes(b"!Series_title = \xff\r\n")
+    (landed / "GSE10.soft").write_text("")
+    for _ in range(2):
+        ingest_series(spark, str(landed), out, mark)
+    got = {r.series_id: bytes(r.title) for r in spark.read.parquet(out).select("series_id", F.col("title").cast("binary").alias("title")).collect()}
+    assert got == {f"GSE{n}": f"é {n}".encode() for n in range(1, 7)} | {"GSE9": "\ufffd".encode()}
+
+
 def test_ingestion_takes_each_file_once(spark, tmp_path):
     landed, out, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
     landed.mkdir()
