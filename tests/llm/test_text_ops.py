@@ -110,6 +110,56 @@ def test_token_cache_is_the_tokenizer():
         assert got == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
 
 
+class _Watched:
+    """A tokenizer that notes which texts it encodes in batches."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.seen = tokenizer, []
+
+    def __getattr__(self, name):
+        return getattr(self.tokenizer, name)
+
+    def encode_batch_fast(self, texts, **options):
+        self.seen += texts
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def _ids(tokenizer, texts):
+    return [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_token_cache_leaves_letter_runs_to_the_model_and_keeps_the_rest():
+    import public_tokenizers
+
+    t = packing.load_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    watched = _Watched(t)
+    cache = packing.TokenCache(watched)
+    texts = ["One two, three: don't 4x été! ...", "two ÉTÉ don't 4x three..."]
+    assert [x for text in texts for x in cache.encode(pa.array([text]))] == _ids(t, texts)
+    assert sorted(watched.seen) == ["!", ",", "...", "4x", ":", "don't"]
+
+
+def test_token_cache_on_random_words():
+    import public_tokenizers
+    from tokenizers import Tokenizer, normalizers
+
+    t = packing.load_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    stripping = Tokenizer.from_str(t.to_str())
+    stripping.normalizer = normalizers.Sequence([normalizers.NFD(), normalizers.StripAccents(), normalizers.Lowercase()])
+    rng = np.random.default_rng(5)
+    kinds = [*(8 * packing._LETTERS), *(2 * packing._CLOSING), *(2 * "'-1\u0301\u00a0\u0130\u017f\u03a3\u212a\u65e5\x1c\x00")]
+    words = ["".join(rng.choice(kinds, rng.integers(1, 7))) for _ in range(3000)]
+    texts = ["", " ", "\n\t", *(" ".join(words[i : i + 25]) for i in range(0, 3000, 25)), *(" ".join(rng.choice(words, 40)) for _ in range(60))]
+    for tokenizer in (t, stripping):
+        for limit, size in ((5, 32_000_000), (300_000, 500), (300_000, 32_000_000)):
+            for kind in (pa.string(), pa.large_string()):
+                cache = packing.TokenCache(tokenizer, limit, size)
+                got = [x for p in packing.blocks(pa.array(texts, kind), 2000) for x in cache.encode(p)]
+                assert got == _ids(tokenizer, texts)
+                assert (len(cache.texts) > 2000) == (limit > 5 and size > 500)
+    assert packing.TokenCache(t).plain is not t and packing.TokenCache(stripping).plain is stripping
+
+
 # ---- html
 
 
