@@ -184,3 +184,42 @@ def test_joining_of_small_rows_is_dealt_over_tasks(spark, tmp_path):
     rows = [(f"GSE{i}", f"http://x/f{i}", 1, 0, "gone") for i in range(100)]
     got = acquire.join_ranges(spark.createDataFrame(rows, "series_id string, url string, size long, part int, error string"), str(tmp_path))
     assert got.count() == 100 and got.select(F.spark_partition_id()).distinct().count() > 4
+
+
+class Breaking(acquire.FolderFetcher):
+    """Gives parts, but none that begins at a mark's place while the mark is there."""
+
+    def read_range(self, url, start, stop):
+        if start == 128 and self.path("broken").exists():
+            raise OSError("no part")
+        yield from self.read(url, start)
+
+
+def test_small_files_are_put_to_their_place_at_once(spark, tmp_path):
+    f = Breaking(str(tmp_path / "src"), fan=8)
+    names = [f"f{i}.txt" for i in range(50)]
+    for name in names + ["broken"]:
+        f.path(name).parent.mkdir(parents=True, exist_ok=True)
+        f.path(name).write_text(name * 40)
+    assert len(list((tmp_path / "src").iterdir())) == 8
+    files = spark.createDataFrame([(f"GSE{i % 7}", f"http://x/{n}") for i, n in enumerate(names)], "series_id string, url string")
+    target = tmp_path / "whole"
+    plan = acquire.plan_ranges(files, f, 64).localCheckpoint()
+    assert plan.count() > 3 * len(names)
+    f.path("broken").unlink()
+    got = acquire.fetch_ranges(plan, f, str(target)).collect()
+    assert all(r.done == r.fetched == r.stop - r.start and not r.error for r in got)
+    assert sorted(p.name for p in target.rglob("*.txt*")) == sorted(names)  # no parts, nothing to join
+    assert all((target / f"GSE{i % 7}" / n).read_text() == n * 40 for i, n in enumerate(names))
+    again = acquire.fetch_ranges(plan, f, str(target)).agg(F.sum("fetched")).first()[0]
+    assert again == 0
+    # a part that doesn't come leaves the others beside the file, and only it is fetched afterwards
+    target = str(tmp_path / "broken")
+    f.path("broken").write_text("")
+    bad = acquire.download_ranged(files, f, target, str(tmp_path / "p"), part_bytes=64, retries=1, wait=0).collect()
+    assert len(bad) == 50 and all("no part" in r.error for r in bad) and not list((tmp_path / "broken").rglob("*.txt"))
+    f.path("broken").unlink()
+    left = acquire.fetch_ranges(plan, f, target).where("fetched > 0").select("start").distinct().collect()
+    assert [r.start for r in left] == [128]
+    assert all(r.ok for r in acquire.download_ranged(files, f, target, str(tmp_path / "p"), part_bytes=64).collect())
+    assert all((tmp_path / "broken" / f"GSE{i % 7}" / n).read_text() == n * 40 for i, n in enumerate(names)) and not list((tmp_path / "broken").rglob("*.part*"))
