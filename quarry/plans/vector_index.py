@@ -94,8 +94,10 @@ def dense_top_many(held: DataFrame, queries: DataFrame, k: int, key: str, vec: s
     q = _usable(queries.select("query_id", F.col("vec").alias("_q"), *(F.col(c).alias(f"_{c}") for c in by)), "_q").withColumn("dim", F.size("_q"))
     chunks, blocks = (max(1, -(-df.count() // size)) for df, size in ((held, chunk), (queries, block)))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = q.select("*", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), spread(chunks).alias("chunk"))
-    right = v.select(key, vec, *by, F.col("dim").alias("d2"), F.pmod(F.xxhash64(key), F.lit(chunks)).alias("k2"), spread(blocks).alias("b2"))
+    # Both sides' numbers are ints: a long is hashed to another partition, and a cogroup doesn't cast its keys.
+    nth = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = q.select("*", nth("query_id", blocks).alias("block"), spread(chunks).alias("chunk"))
+    right = v.select(key, vec, *by, F.col("dim").alias("d2"), nth(key, chunks).alias("k2"), spread(blocks).alias("b2"))
     kind = lambda df, c: df.schema[c].dataType.simpleString()
     schema = f"`query_id` {kind(queries, 'query_id')}, `{key}` {kind(held, key)}, score double"
     best = lambda asked, some: top_cosines(asked, some, k, "query_id", key, vec, digits, by)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.plans.postings import Postings, postings, write_postings
 from quarry.plans.retrieve import RetrievalSpec, merge_many, retrieve, retrieve_many, sparse_top
-from quarry.plans.vector_index import CellSpec, VectorIndex, write_cells
+from quarry.plans.vector_index import CellSpec, VectorIndex, dense_top_many, write_cells
 from quarry.providers import Providers
 from quarry.sources.matrices import numbered_lines, scan_lines
 from quarry.versions import CommitConflict, VersionedTable
@@ -231,3 +231,23 @@ def test_products_of_large_chunks_are_cut():
     cos = np.round(q @ v.T / (size(q)[:, None] * size(v)), 9)
     assert at.tolist() == cos.argmax(1).tolist() and score.tolist() == cos.max(1).tolist()
     assert found["k"] == np.argsort(-cos, axis=1, kind="stable")[:, :3].ravel().tolist()
+
+
+def test_blocks_and_chunks_meet_over_many_partitions(spark):
+    n = np.random.default_rng(4)
+    x = n.normal(size=(60, 4))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, vec array<double>")
+    asked = vectors.where("doc_id < 20").withColumnRenamed("doc_id", "query_id")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit[:20] @ unit.T
+    former = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as with more data than one partition takes
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        for chunk, block in ((16, 16), (16, 7), (1000, 1000)):
+            got = dense_top_many(vectors, asked, 5, "doc_id", "vec", chunk=chunk, block=block).collect()
+            found = {(r.query_id, r["rank"]): r.doc_id for r in got}
+            assert found == {(q, i + 1): d for q in range(20) for i, d in enumerate(np.argsort(-near[q])[:5].tolist())}
+    finally:
+        for k, v in former.items():
+            spark.conf.set(k, v)
